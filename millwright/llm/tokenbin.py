@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millwright.llm.common import column, materialize, pick, shared_path, shuffle_partitions, slices, strings
+from millwright.llm.common import arrow_rows, column, materialize, pick, shared_path, shuffle_partitions, slices, strings
 
 MAGIC = b"MWPLANE1"
 BLOCK_IDS, END_ID, LEVEL = 1 << 16, 2, 3
 NO_ID = -(1 << 63)
-CACHE_PIECES = 400_000
+CACHE_PIECES = 500_000
 FOOTER = "<QQQQQQ8s"
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -50,34 +50,67 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class PieceEncoder:
-    """Ids of whole texts with the tokenizers library, encoding each distinct piece of a slice once.
+    """Ids of whole texts with the tokenizers library, doing each distinct piece of a slice once.
 
     A single space between two characters that are no white space always starts a new pre-token of a byte-level BPE,
-    so a text may be cut before it, and the ids of the parts make up the ids of the text. Texts with any other space
-    go to the library whole. Ids of pieces stay in a bounded cache.
+    so a text may be cut before it, and the ids of the parts make up the ids of the text. A piece of letters and
+    plain marks alone is one pre-token of letters and one of marks: those go to the library's BPE model, each distinct
+    one once (a bounded cache carries them from slice to slice). Other pieces, and texts with other white space, go
+    to the library's encoder as they are.
     """
 
     EDGE = r"^[\x00-\x20\x7f-\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{2060}\x{3000}\x{feff}]|[\x00-\x20\x7f-\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{2060}\x{3000}\x{feff}]$|^$|<\|"
+    PLAIN = r"^(?P<letters>[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+)(?P<marks>[.,;:!?*#$%&|()\-]*)$"
 
     def __init__(self, path: str, end_id: int = END_ID):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.bpe = tokenizer.encode_batch_fast, tokenizer.model.tokenize
         self.end = np.uint32(end_id).tobytes()
         self.cache: dict[str, bytes] = {}
+        # How the byte-level pre-tokenizer writes each byte.
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.bytes = {b: spell(chr(b))[0][0] for b in range(128)}
+        for c in map(chr, range(128, 2048)):
+            for b, x in zip(c.encode(), spell(c)[0][0]):
+                self.bytes[b] = x
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.encode(texts, add_special_tokens=False)]
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
+    def _model(self, pretokens: list[str]) -> list[bytes]:
         known = self.cache
-        missing = [p for p in pieces if p not in known]
+        missing = [p for p in pretokens if p not in known]
         if len(known) + len(missing) > CACHE_PIECES:
-            known = self.cache = {p: known[p] for p in pieces if p in known}
-        for i in range(0, len(missing), 4096):
-            part = missing[i : i + 4096]
-            known.update(zip(part, self._ids([" " + p for p in part])))
-        return [known[p] for p in pieces]
+            known = self.cache = {p: known[p] for p in pretokens if p in known}
+        spell, bpe = self.bytes, self.bpe
+        for p in missing:
+            found = bpe((p if p.isascii() else p.encode().decode("latin-1")).translate(spell))
+            known[p] = struct.pack(f"<{len(found)}I", *[t.id for t in found])
+        return [known[p] for p in pretokens]
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces, each with the space before it, and how many each has."""
+        found = pc.extract_regex(pieces, self.PLAIN)
+        plain = pc.is_valid(found)
+        fields = found.filter(plain)
+        letters, marks = (pc.struct_field(fields, name).dictionary_encode() for name in ("letters", "marks"))
+        others = _list(pieces.filter(pc.invert(plain)))
+        ids = self._model([" " + x for x in _list(letters.dictionary)])
+        n_letters = len(ids)
+        ids += [i if m else b"" for m, i in zip(_list(marks.dictionary), self._model(_list(marks.dictionary)))]
+        n_marks = len(ids)
+        ids += self._ids([" " + x for x in others])
+        # A plain piece is its letters, then its marks; another one is itself, then nothing.
+        ids.append(b"")
+        parts = np.full((len(pieces), 2), len(ids) - 1, np.int64)
+        mask = plain.to_numpy(zero_copy_only=False)
+        parts[mask, 0] = letters.indices.to_numpy(zero_copy_only=False)
+        parts[mask, 1] = marks.indices.to_numpy(zero_copy_only=False) + np.int64(n_letters)
+        parts[~mask, 0] = n_marks + np.arange(len(others))
+        flat, size = _ragged(*_joined(ids), parts.ravel())
+        return flat, size.reshape(-1, 2).sum(axis=1)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text followed by the end id; the number of ids of each text."""
@@ -89,37 +122,42 @@ class PieceEncoder:
         later[first] = False
         coded = pieces.filter(pa.array(later)).dictionary_encode()
         odd_piece = pc.match_substring_regex(coded.dictionary, self.EDGE).to_numpy(zero_copy_only=False)
-        codes = np.full(len(doc), -1, np.int64)
-        codes[later] = coded.indices.to_numpy(zero_copy_only=False)
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         odd = np.zeros(n, bool)
-        odd[doc[later][odd_piece[codes[later]]]] = True
-        # What follows a text's first piece must not begin with white space, and the piece must not end with it.
+        odd[doc[later][odd_piece[codes]]] = True
+        # A text's first piece must not border on white space either.
         heads = pieces.take(pa.array(first))
         odd |= pc.match_substring_regex(heads, self.EDGE).to_numpy(zero_copy_only=False)
-        used = later & ~odd[doc]
-        ids = [b""] * len(coded.dictionary)
-        wanted = np.unique(codes[used])
-        for c, x in zip(wanted.tolist(), self._pieces(coded.dictionary.take(pa.array(wanted)).to_pylist())):
-            ids[c] = x
+        used = ~odd[doc[later]]
         starts = [texts[i].as_py() if odd[i] else h for i, h in enumerate(heads.to_pylist())]
-        base = len(ids)
-        ids += self._ids(starts)
-        end = len(ids)
-        ids.append(self.end)
-        # The order of pieces: the start of each text, its later pieces, the end id.
-        codes[first] = base + np.arange(n)
-        live = used | ~later
-        order, owner = codes[live], doc[live]
-        last = np.searchsorted(owner, np.arange(n), side="right")
-        order = np.insert(order, last, end)
-        owner = np.insert(owner, last, np.arange(n))
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        begin = np.cumsum(size) - size
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        lengths = size[order]
-        shift = np.cumsum(lengths) - lengths
-        at = np.repeat(begin[order] - shift, lengths) + np.arange(int(lengths.sum()))
-        return flat[at], np.bincount(owner, lengths, n).astype(np.int64)
+        flat, size = self._pieces(coded.dictionary)
+        more, more_size = _joined([*self._ids(starts), self.end])
+        flat, size, base = np.concatenate([flat, more]), np.concatenate([size, more_size]), len(size)
+        # The start of each text, its later pieces, the end id.
+        order, owner = codes[used], doc[later][used]
+        lo, hi = np.searchsorted(owner, np.arange(n)), np.searchsorted(owner, np.arange(n), side="right")
+        at = np.concatenate([lo, hi])
+        extra = np.concatenate([base + np.arange(n), np.full(n, base + n)])
+        rank = np.argsort(np.concatenate([2 * np.arange(n), 2 * np.arange(n) + 1]), kind="stable")
+        order = np.insert(order, at[rank], extra[rank])
+        out, lengths = _ragged(flat, size, order)
+        ends = np.flatnonzero(order == base + n)
+        return out, np.diff(np.cumsum(lengths)[ends], prepend=0)
+
+
+def _list(strings: pa.Array) -> list[str]:
+    return strings.to_numpy(zero_copy_only=False).tolist()
+
+
+def _joined(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+
+
+def _ragged(flat: np.ndarray, size: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The items of a ragged array in the given order, and their sizes."""
+    lengths = size[order]
+    shift = (np.cumsum(size) - size)[order] - (np.cumsum(lengths) - lengths)
+    return flat[np.repeat(shift, lengths) + np.arange(int(lengths.sum()))], lengths
 
 
 # --- file format ------------------------------------------------------------------------------------------------
@@ -238,7 +276,7 @@ def _filesystem(path: str):
 def _write(path: str, tokenizer: str, end_id: int, planes: int, block: int):
     def run(batches):
         encode, writer, name = None, None, ""
-        for b in slices(batches, "text", 8 << 20):
+        for b in slices(batches, "text"):
             if writer is None:
                 encode = PieceEncoder(tokenizer, end_id)
                 store, folder = _filesystem(path)
@@ -263,7 +301,8 @@ def write_tokens(docs: DataFrame, path: str | None = None, tokenizer: str | None
     base = pick(docs, "doc_id", "text").withColumn("tie", F.xxhash64("text"))
     ranged = base.repartitionByRange(files or shuffle_partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     written = ranged.mapInArrow(_write(path, tokenizer or tokenizer_path(), end_id, planes, block), "file_no long, file string, n_docs long, n_ids long")
-    manifest = materialize(written, "tokens-manifest")
+    with arrow_rows(spark, 1000):  # a task holds a batch, its pieces and their cache
+        manifest = materialize(written, "tokens-manifest")
     before = W.orderBy("file_no").rowsBetween(W.unboundedPreceding, -1)  # one row per file
     return manifest.select("file_no", F.concat(F.lit(f"{path}/"), "file").alias("file"), "n_docs", "n_ids", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start"))
 
