@@ -1,11 +1,623 @@
-"""The registered queries of the engine and the SQL that they must equal."""
+"""The registered queries: each applies an operator to whole tables; ``SQL`` says what it must return."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millwright.functions import text as fx
+from millwright.operators import aggregate, expressions, graph, joins, match, paging, rules, search, series, sets, windows
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+class Tables:
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def add(make):
+        QUERIES[make.__name__] = lambda spark, sf_dir: make(Tables(spark, sf_dir))
+        if sql:
+            SQL[make.__name__] = sql
+        return make
+
+    return add
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
+
+
+# --- time series
+
+
+def _samples(t: Tables) -> DataFrame:
+    return t.events.select("user_id", "ts", "event_id", "value", F.when(F.col("event_type") == "error", F.lit("error")).alias("error"))
+
+
+@query("""
+    WITH e AS (SELECT user_id, ts, event_id, value, CASE WHEN event_type = 'error' THEN 'error' END AS error FROM events),
+    l AS (SELECT *, lag(value) OVER w AS pv, coalesce(lag(error) OVER w, '') AS pe, row_number() OVER w > 1 AS has
+          FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    m AS (SELECT *, has AND (value IS DISTINCT FROM pv OR coalesce(error, '') <> pe) AS moved FROM l)
+    SELECT user_id, count(*) AS samples, count(error) AS errors, count(*) FILTER (WHERE moved) AS n_changes,
+           min(ts) AS first_at, max(ts) AS last_at, first(value ORDER BY ts, event_id) AS first_value,
+           last(value ORDER BY ts, event_id) AS last_value, min(ts) FILTER (WHERE moved) AS first_change_at,
+           max(error) AS last_error, min(value) FILTER (WHERE error IS NULL) AS min_value,
+           max(value) FILTER (WHERE error IS NULL) AS max_value
+    FROM m GROUP BY user_id""")
+def session_summary(t):
+    return series.session_summary(_samples(t), ["user_id"], ["ts", "event_id"], "value", "error", F.to_date("ts"))
+
+
+@query("""
+    WITH l AS (SELECT user_id, ts, event_id, event_type, lag(event_type) OVER w AS prev_event_type, lag(ts) OVER w AS prev_ts,
+                      row_number() OVER w AS r FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+    SELECT user_id, ts, event_id, event_type, prev_event_type, prev_ts FROM l
+    WHERE r > 1 AND event_type IS DISTINCT FROM prev_event_type""")
+def change_points(t):
+    rows = t.events.select("user_id", "ts", "event_id", "event_type", F.lit(None).cast("string").alias("error"))
+    found = series.change_points(rows, ["user_id"], ["ts", "event_id"], "event_type", "error", F.to_date("ts"))
+    return found.select("user_id", "ts", "event_id", "event_type", "prev_event_type", "prev_ts")
+
+
+@query("""
+    SELECT event_type, user_id, ts, value FROM (
+        SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1""")
+def latest_value(t):
+    return series.latest(t.events, ["event_type"], ["ts", "event_id"], ["user_id", "ts", "value"])
+
+
+@query("""
+    SELECT event_id, user_id, ts, value FROM events
+    WHERE event_type = 'click' AND ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-12 12:00:00'""")
+def stream_slice(t):
+    lo, hi = F.lit("2024-01-05 00:00:00").cast("timestamp_ntz"), F.lit("2024-01-12 12:00:00").cast("timestamp_ntz")
+    kind = t.events.schema["ts"].dataType
+    return t.events.where((F.col("event_type") == "click") & match.in_range(F.col("ts"), lo.cast(kind), hi.cast(kind))).select("event_id", "user_id", "ts", "value")
+
+
+@query("""
+    WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i,
+                      count(*) OVER (PARTITION BY user_id) AS n FROM events),
+    want AS (SELECT DISTINCT user_id, CAST(round_even(k * (n - 1) / 6.0, 0) AS BIGINT) AS i
+             FROM (SELECT DISTINCT user_id, n FROM n) CROSS JOIN range(7) AS g(k))
+    SELECT n.user_id, event_id, ts, value FROM n
+    WHERE n.n <= 7 OR EXISTS (SELECT 1 FROM want WHERE want.user_id = n.user_id AND want.i = n.i)""")
+def downsample_even(t):
+    return series.downsample(t.events, ["user_id"], ["ts", "event_id"], 7).select("user_id", "event_id", "ts", "value")
+
+
+@query()
+def cycle_budget(t):
+    rows = t.events.select("user_id", F.to_date("ts").alias("day"), "event_id", "props", F.lit(None).cast("string").alias("error"))
+    return series.enforce_budget(rows, ["user_id", "day"], ["event_id"], "props", "error", 16)
+
+
+@query("""
+    SELECT p_partkey AS tag, s.v AS value, CASE WHEN s.tag IS NULL THEN 'missing tag result' END AS error
+    FROM part LEFT JOIN (SELECT l_partkey AS tag, max(l_quantity) AS v FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F'
+                         AND l_quantity > 40 GROUP BY 1) s ON s.tag = p_partkey""")
+def snapshot_read(t):
+    found = t.lineitem.where("l_returnflag = 'R' and l_linestatus = 'F' and l_quantity > 40").groupBy(F.col("l_partkey").alias("tag")).agg(F.max("l_quantity").alias("value"))
+    return series.snapshot(t.part.select(F.col("p_partkey").alias("tag")), found.withColumn("error", F.lit(None).cast("string")), "tag", "value", "error")
+
+
+# --- windows
+
+
+@query("""
+    SELECT o_custkey, o_orderkey, o_totalprice FROM (
+        SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 3""")
+def topn_per_group(t):
+    return windows.top_per_group(t.orders, ["o_custkey"], [F.desc("o_totalprice"), "o_orderkey"], 3).select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("""
+    SELECT o_custkey, o_orderkey, o_orderdate FROM (
+        SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders) WHERE r = 1""")
+def first_per_key(t):
+    return windows.first_per_key(t.orders, ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_orderdate")
+
+
+@query("""
+    SELECT o_custkey, o_orderkey, o_orderdate FROM (
+        SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1""")
+def last_per_key(t):
+    return windows.last_per_key(t.orders, ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_orderdate")
+
+
+@query("""
+    WITH m AS (SELECT *, max(CASE WHEN contains(lower(text), 'the') AND role = 'user' THEN 1 ELSE 0 END) OVER (
+                   PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS near FROM conversations)
+    SELECT conv_id, turn, role FROM m WHERE near = 1""")
+def neighborhood_rows(t):
+    hit = match.contains(F.col("text"), "the") & (F.col("role") == "user")
+    return windows.neighbourhood(t.conversations, ["conv_id"], ["turn"], hit, before=1, after=2).select("conv_id", "turn", "role")
+
+
+@query("""
+    SELECT l_orderkey, l_linenumber, l_quantity, lag(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS prev_l_quantity
+    FROM lineitem""")
+def lag_pairs(t):
+    return windows.previous(t.lineitem, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], ["l_quantity"]).select("l_orderkey", "l_linenumber", "l_quantity", "prev_l_quantity")
+
+
+@query("""
+    SELECT l_orderkey, l_linenumber, 'Line:' || lpad(CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS VARCHAR), 4, '0') AS id
+    FROM lineitem""")
+def running_id(t):
+    return windows.running_id(t.lineitem, ["l_orderkey"], ["l_linenumber"], "id", "Line:", 4).select("l_orderkey", "l_linenumber", "id")
+
+
+# --- aggregates
+
+
+@query("""
+    WITH f AS (SELECT 'o_orderstatus' AS facet, o_orderstatus AS key, count(*) AS n FROM orders GROUP BY 2
+               UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*) FROM orders GROUP BY 2
+               UNION ALL SELECT 'o_custkey', CAST(o_custkey AS VARCHAR), count(*) FROM orders GROUP BY 2)
+    SELECT facet, key, n FROM (SELECT *, row_number() OVER (PARTITION BY facet ORDER BY n DESC, key) AS r FROM f) WHERE r <= 20""")
+def facet_counts(t):
+    return aggregate.facets(t.orders, ["o_orderstatus", "o_orderpriority", "o_custkey"])
+
+
+@query("""
+    SELECT l_returnflag, l_orderkey, l_linenumber, rank, total FROM (
+        SELECT *, CAST(row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber) AS INTEGER) AS rank,
+               count(*) OVER (PARTITION BY l_returnflag) AS total FROM lineitem) WHERE rank <= 500""")
+def cap_and_count(t):
+    return aggregate.cap_and_count(t.lineitem, "l_returnflag", ["l_orderkey", "l_linenumber"], 500).select("l_returnflag", "l_orderkey", "l_linenumber", "rank", "total")
+
+
+@query("""
+    WITH s AS (SELECT lang, count(*) AS a FROM documents GROUP BY 1),
+    c AS (SELECT lang, count(*) AS b FROM documents JOIN labels USING (doc_id) GROUP BY 1)
+    SELECT lang, coalesce(a, 0) AS source_count, coalesce(b, 0) AS covered_count,
+           greatest(coalesce(a, 0) - coalesce(b, 0), 0) AS missing_count,
+           CASE WHEN greatest(coalesce(a, 0) - coalesce(b, 0), 0) = 0 THEN 'green' ELSE 'red' END AS status
+    FROM s FULL JOIN c USING (lang)""")
+def coverage_surface(t):
+    docs = t.documents.select("doc_id", "lang")
+    return aggregate.coverage_surface(docs, docs.join(t.labels.select("doc_id"), "doc_id"), "lang")
+
+
+@query("""
+    SELECT o_custkey, count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'F') AS finished,
+           count(*) FILTER (WHERE o_totalprice > 200000) AS large FROM orders GROUP BY 1""")
+def conditional_counts(t):
+    return aggregate.conditional_counts(t.orders, ["o_custkey"], {"finished": F.col("o_orderstatus") == "F", "large": F.col("o_totalprice") > 200000})
+
+
+@query("""
+    SELECT 'nation' AS dataset, count(*) AS n FROM nation UNION ALL SELECT 'orders', count(*) FROM orders
+    UNION ALL SELECT 'documents', count(*) FROM documents""")
+def table_counts(t):
+    return aggregate.table_counts({n: getattr(t, n) for n in ("nation", "orders", "documents")})
+
+
+@query("""
+    SELECT element, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS element FROM pages) GROUP BY 1""")
+def element_counts(t):
+    return aggregate.element_counts(t.pages, "html", r"<([a-z][a-z0-9]*)")
+
+
+@query("""
+    SELECT l_partkey, string_agg(DISTINCT CAST(l_suppkey AS VARCHAR), ',' ORDER BY CAST(l_suppkey AS VARCHAR)) AS writers
+    FROM lineitem GROUP BY 1""")
+def producers_consumers(t):
+    rows = t.lineitem.select("l_partkey", F.col("l_suppkey").cast("string").alias("s"))
+    return aggregate.distinct_per_group(rows, ["l_partkey"], "s", "w").select("l_partkey", F.array_join("w", ",").alias("writers"))
+
+
+# --- predicates
+
+
+def _symbols(t: Tables) -> DataFrame:
+    s = F.concat(F.lit("C"), "o_custkey", F.when(F.col("o_orderstatus") == "O", "").when(F.col("o_orderstatus") == "P", "[0]").otherwise(F.concat(F.lit("."), "o_orderstatus")))
+    return t.orders.select("o_orderkey", s.alias("symbol"))
+
+
+_SYMBOLS = """WITH s AS (SELECT o_orderkey, 'C' || o_custkey || CASE o_orderstatus WHEN 'O' THEN '' WHEN 'P' THEN '[0]' ELSE '.' || o_orderstatus END AS symbol FROM orders)"""
+
+
+@query(_SYMBOLS + " SELECT o_orderkey, symbol FROM s WHERE lower(symbol) = 'c10'")
+def match_exact(t):
+    return _symbols(t).where(match.symbol_match(F.col("symbol"), "c10"))
+
+
+@query(_SYMBOLS + " SELECT o_orderkey, symbol FROM s WHERE lower(symbol) = 'c10' OR starts_with(lower(symbol), 'c10.') OR starts_with(lower(symbol), 'c10[')")
+def match_members(t):
+    return _symbols(t).where(match.symbol_match(F.col("symbol"), "C10", "members"))
+
+
+@query(_SYMBOLS + " SELECT o_orderkey, symbol FROM s WHERE split_part(split_part(lower(symbol), '.', 1), '[', 1) = 'c10'")
+def match_base(t):
+    return _symbols(t).where(match.symbol_match(F.col("symbol"), "C10", "base"))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'd w') OR contains(lower(p_name), '_')")
+def like_literal(t):
+    return t.part.where(match.contains(F.col("p_name"), "D w") | match.contains(F.col("p_name"), "_")).select("p_partkey", "p_name")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem WHERE l_returnflag NOT IN ('R', 'A')")
+def destructive_filter(t):
+    return t.lineitem.where(match.destructive(F.col("l_returnflag"), False, ["R", "A"])).select("l_orderkey", "l_linenumber", "l_returnflag")
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority IN ('1-URGENT', '3-MEDIUM')")
+def in_list(t):
+    return t.orders.where(match.in_list(F.col("o_orderpriority"), "1-URGENT, 3-MEDIUM,")).select("o_orderkey", "o_orderpriority")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice BETWEEN 1000 AND 150000")
+def value_range(t):
+    return t.orders.where(match.in_range(F.col("o_totalprice"), 1000.0, 150000.0)).select("o_orderkey", "o_totalprice")
+
+
+@query("""
+    SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = 7 AND o_orderstatus = 'F'
+    ORDER BY o_orderkey LIMIT 1""")
+def point_lookup(t):
+    rows = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus")
+    found = match.point_lookup([(rows, (F.col("o_custkey") == 7) & (F.col("o_orderstatus") == "F")), (rows, F.col("o_custkey") == 7)], ["o_orderkey"])
+    return found.select("o_orderkey", "o_custkey")
+
+
+@query("SELECT count(*) > 0 AS found, count(*) AS n FROM documents WHERE contains(lower(text), 'license')")
+def exists_probe(t):
+    return match.exists(t.documents, match.contains(F.col("text"), "License"))
+
+
+# --- text
+
+
+@query("SELECT doc_id, source FROM documents WHERE contains(lower(text), 'licensed under')")
+def text_search(t):
+    return t.documents.where(match.contains(F.col("text"), "Licensed under")).select("doc_id", "source")
+
+
+@query(r"""
+    WITH h AS (SELECT doc_id, text, strpos(lower(text), 'license') AS pos FROM documents),
+    w AS (SELECT doc_id, text, greatest(pos - 40, 1) AS lo, least(pos - 1 + 7 + 40, length(text)) AS hi FROM h WHERE pos > 0)
+    SELECT doc_id, (CASE WHEN lo > 1 THEN '...' ELSE '' END) || regexp_replace(substr(text, lo, hi - lo + 1), '\s+', ' ', 'g')
+           || (CASE WHEN hi < length(text) THEN '...' ELSE '' END) AS snippet FROM w""")
+def text_snippet(t):
+    return t.documents.select("doc_id", fx.snippet(F.col("text"), "license", 40).alias("snippet")).where("snippet is not null")
+
+
+_BM25 = """
+    WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
+    c AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: x = 'license')) AS f0, len(list_filter(w, lambda x: x = 'the')) AS f1 FROM t),
+    s AS (SELECT count(*) AS n, avg(n) AS mean, count(*) FILTER (WHERE f0 > 0) AS d0, count(*) FILTER (WHERE f1 > 0) AS d1 FROM c)
+    SELECT doc_id, round(ln((s.n - d0 + 0.5) / (d0 + 0.5) + 1.0) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * c.n / s.mean))
+        + ln((s.n - d1 + 0.5) / (d1 + 0.5) + 1.0) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * c.n / s.mean)), 6) AS score
+    FROM c, s WHERE f0 > 0 AND f1 > 0"""
+
+
+@query(_BM25)
+def bm25_search(t):
+    return search.ranked(t.documents, "doc_id", "text", "License the")
+
+
+@query("""
+    SELECT term, doc_id, count(*) AS tf, min(pos) AS first_pos FROM (
+        SELECT doc_id, unnest(w) AS term, CAST(unnest(range(len(w))) AS INTEGER) AS pos
+        FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents)) GROUP BY 1, 2""")
+def search_index(t):
+    return search.build_index(t.documents, "doc_id", "text").select("term", "doc_id", "tf", F.get("positions", F.lit(0)).alias("first_pos"))
+
+
+@query(r"""
+    WITH i AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(regexp_replace(text, '''[^'']*(?:''|$)|"[^"]*(?:"|$)', ' ', 'g'),
+        '[A-Za-z_][A-Za-z0-9_$]*(?::[A-Za-z0-9_$]+)?(?:\[[^\]]+\])?(?:\.[A-Za-z_][A-Za-z0-9_$]*(?:\[[^\]]+\])?)*'))) AS symbol FROM documents)
+    SELECT symbol, count(*) AS n FROM i WHERE upper(symbol) NOT IN (""" + ", ".join(f"'{k}'" for k in fx.KEYWORDS) + ") GROUP BY 1")
+def token_refs(t):
+    return t.documents.select(F.explode(fx.tag_references(F.col("text"))).alias("symbol")).groupBy("symbol").agg(F.count("*").alias("n"))
+
+
+@query("""
+    SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS text, source,
+           len(string_split(text, chr(10))) AS line_count FROM documents""")
+def summary_projection(t):
+    return t.documents.select("doc_id", fx.clip(F.col("text"), 200).alias("text"), "source", F.size(F.split("text", "\n")).cast("long").alias("line_count"))
+
+
+@query(_SYMBOLS + r" SELECT o_orderkey, regexp_extract(symbol, '^[A-Za-z_][A-Za-z0-9_$]*(?::[A-Za-z0-9_$]+)?') AS base FROM s")
+def base_symbols(t):
+    return _symbols(t).select("o_orderkey", fx.base_symbol(F.col("symbol"), keep_segment=True).alias("base"))
+
+
+@query(r"""
+    SELECT p_partkey, CAST(coalesce(nullif(regexp_extract(op, '\.(\d+)$', 1), ''), nullif(regexp_extract(op, '\[(\d+)\]$', 1), ''),
+           nullif(regexp_extract(op, '(\d+)$', 1), '')) AS INTEGER) AS point
+    FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'D.' || p_size WHEN 1 THEN 'D[' || p_size || ']' WHEN 2 THEN 'Pt' || p_size ELSE 'Data.x' END AS op FROM part)""")
+def point_numbers(t):
+    op = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("D."), "p_size")).when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("D["), "p_size", F.lit("]"))).when(F.col("p_partkey") % 4 == 2, F.concat(F.lit("Pt"), "p_size")).otherwise("Data.x")
+    return t.part.select("p_partkey", fx.point_number(op).alias("point"))
+
+
+@query("SELECT doc_id, substr(sha256(text), 1, 16) AS anchor FROM documents")
+def sha_prefix(t):
+    return t.documents.select("doc_id", fx.digest_prefix(F.col("text"), 16).alias("anchor"))
+
+
+# --- joins
+
+
+@query("""
+    SELECT l_orderkey, l_linenumber, coalesce(p.p_name, s.s_name) AS evidence FROM lineitem
+    LEFT JOIN part p ON p.p_partkey = l_suppkey * 3 AND p.p_size > 25 LEFT JOIN supplier s ON s.s_suppkey = l_suppkey * 3""")
+def enrich_left_join(t):
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", (F.col("l_suppkey") * 3).alias("k"))
+    lookups = [t.part.where("p_size > 25").select("p_partkey", "p_name"), t.supplier.select("s_suppkey", "s_name")]
+    return joins.enrich_by_priority(rows, "k", lookups, "evidence").drop("k")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def semi_join(t):
+    return joins.present(t.customer, t.orders.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"]).select("c_custkey", "c_name")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)")
+def anti_join(t):
+    return joins.absent(t.customer, t.orders.where("o_totalprice > 450000").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"]).select("c_custkey", "c_name")
+
+
+@query(_SYMBOLS + """ SELECT c_custkey, o_orderkey, symbol FROM customer JOIN s ON symbol = 'C' || c_custkey
+    OR starts_with(symbol, 'C' || c_custkey || '.') OR starts_with(symbol, 'C' || c_custkey || '[')""")
+def prefix_join(t):
+    names = t.customer.select("c_custkey", F.concat(F.lit("C"), "c_custkey").alias("name"))
+    return joins.prefix_join(names, "name", _symbols(t), "symbol").select("c_custkey", "o_orderkey", "symbol")
+
+
+@query("""
+    SELECT DISTINCT a.l_suppkey AS frm, b.l_partkey AS to_part FROM lineitem a JOIN lineitem b USING (l_orderkey)
+    WHERE a.l_returnflag = 'R' AND b.l_returnflag = 'A'""")
+def self_join_step(t):
+    left = t.lineitem.where("l_returnflag = 'R'").select("l_orderkey", F.col("l_suppkey").alias("frm"))
+    right = t.lineitem.where("l_returnflag = 'A'").select("l_orderkey", F.col("l_partkey").alias("to_part"))
+    return joins.through(left, right, "l_orderkey", "frm", "to_part")
+
+
+@query("""
+    WITH a AS (SELECT o_orderkey, o_orderpriority, unnest(list_distinct(list_concat(string_split(o_orderpriority, '-'), [o_orderstatus]))) AS m FROM orders)
+    SELECT o_orderkey, name FROM a JOIN (SELECT DISTINCT l_linestatus AS name FROM lineitem UNION SELECT 'URGENT') ON m = name""")
+def array_member_join(t):
+    rows = t.orders.select("o_orderkey", "o_orderstatus", F.split("o_orderpriority", "-").alias("tags"))
+    names = t.lineitem.select(F.col("l_linestatus").alias("name")).union(t.spark.range(1).select(F.lit("URGENT"))).distinct()
+    return joins.member_join(rows, "tags", "o_orderstatus", names, "name").select("o_orderkey", "name")
+
+
+def _bound(t: Tables) -> DataFrame:
+    formal = t.part.select(F.col("p_brand").alias("kind")).distinct().join(t.lineitem.select(F.col("l_returnflag").alias("param")).distinct())
+    wires = t.lineitem.where("l_quantity > 30").select(F.col("l_partkey").alias("id"), F.col("l_returnflag").alias("param"), F.col("l_linestatus").alias("expr")).distinct()
+    args = t.lineitem.where("l_quantity = 1").select(F.col("l_partkey").alias("id"), F.col("l_returnflag").alias("param"), F.lit("one").alias("expr"))
+    return joins.bindings(formal, t.part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("kind")), wires, args, ["kind", "id", "param"])
+
+
+_BOUND = """
+    WITH f AS (SELECT * FROM (SELECT p_partkey AS id FROM part), (SELECT DISTINCT l_returnflag AS param FROM lineitem)),
+    w AS (SELECT l_partkey AS id, l_returnflag AS param, string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus) AS sources FROM lineitem WHERE l_quantity > 30 GROUP BY 1, 2),
+    a AS (SELECT DISTINCT l_partkey AS id, l_returnflag AS param, 'one' AS argument FROM lineitem WHERE l_quantity = 1),
+    b AS (SELECT id, param, sources, argument, sources IS NOT NULL OR argument IS NOT NULL AS wired FROM f LEFT JOIN w USING (id, param) LEFT JOIN a USING (id, param))"""
+
+
+@query(_BOUND + " SELECT id, param, sources, argument, wired FROM b")
+def unwired_outer_join(t):
+    return _bound(t).select("id", "param", F.array_join("sources", ",").alias("sources"), "argument", "wired")
+
+
+@query(_BOUND + " SELECT id, count(*) AS total, count(*) FILTER (WHERE wired) AS wired, count(*) FILTER (WHERE NOT wired) AS unwired, count(*) FILTER (WHERE NOT wired AND param = 'R') AS required_unwired FROM b GROUP BY 1")
+def binding_totals(t):
+    return joins.binding_totals(_bound(t), "id", F.col("param") == "R")
+
+
+@query("""
+    WITH n AS (SELECT DISTINCT l_returnflag AS g, l_suppkey AS node, 'S' || l_suppkey AS label FROM lineitem WHERE l_quantity > 49)
+    SELECT l_orderkey, l_linenumber, coalesce(a.label, 'unresolved:' || l_suppkey) AS source, coalesce(b.label, 'unresolved:' || l_linenumber) AS target
+    FROM lineitem LEFT JOIN n a ON a.g = l_returnflag AND a.node = l_suppkey LEFT JOIN n b ON b.g = l_returnflag AND b.node = l_linenumber""")
+def wire_ends(t):
+    nodes = t.lineitem.where("l_quantity > 49").select(F.col("l_returnflag").alias("g"), F.col("l_suppkey").alias("node"), F.concat(F.lit("S"), "l_suppkey").alias("label")).distinct()
+    wires = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("g"), "l_suppkey")
+    return joins.wire_ends(wires, nodes, "g", "l_suppkey", "l_linenumber", "node", "label").select("l_orderkey", "l_linenumber", "source", "target")
+
+
+# --- sets, sorting, pages
+
+
+@query("""
+    SELECT r_name AS name, 'region' AS kind, NULL::INTEGER AS parent FROM region UNION ALL
+    SELECT n_name, 'nation', n_regionkey FROM nation UNION ALL SELECT c_name, 'customer', c_nationkey FROM customer""")
+def union_by_name(t):
+    return sets.union_all([
+        t.region.select(F.col("r_name").alias("name"), F.lit("region").alias("kind")),
+        t.nation.select(F.col("n_name").alias("name"), F.lit("nation").alias("kind"), F.col("n_regionkey").alias("parent")),
+        t.customer.select(F.col("c_name").alias("name"), F.lit("customer").alias("kind"), F.col("c_nationkey").alias("parent")),
+    ])
+
+
+@query("""
+    SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber FROM (
+        SELECT *, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey, l_linenumber) AS r FROM lineitem) WHERE r = 1""")
+def distinct_keep_first(t):
+    return sets.distinct_keep_first(t.lineitem, ["l_partkey", "l_suppkey"], ["l_orderkey", "l_linenumber"]).select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber")
+
+
+@query("SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 45")
+def set_difference(t):
+    return sets.difference(t.part.select(F.col("p_partkey").alias("k")), t.lineitem.where("l_quantity > 45").select(F.col("l_partkey").alias("k")), "k")
+
+
+@query("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+def set_intersection(t):
+    return sets.intersection(t.customer.select(F.col("c_nationkey").alias("k")), t.supplier.select(F.col("s_nationkey").alias("k")), "k")
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_custkey, o_totalprice, o_orderkey LIMIT 50 OFFSET 100")
+def page(t):
+    return paging.page(t.orders.select("o_orderkey", "o_custkey", "o_totalprice"), ["o_custkey", "o_totalprice", "o_orderkey"], 50, 100)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+def topk(t):
+    return paging.page(t.orders.select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), "o_orderkey"], 20)
+
+
+@query("SELECT c_name FROM (SELECT DISTINCT c_name FROM customer WHERE contains(lower(c_name), '12')) ORDER BY length(c_name), c_name LIMIT 5")
+def did_you_mean(t):
+    return paging.did_you_mean(t.customer, "c_name", "12")
+
+
+@query("""
+    SELECT name, row_number() OVER (ORDER BY coalesce(CASE WHEN regexp_full_match(name, '\\d+') THEN CAST(name AS BIGINT) END, 1000000000), name) AS place
+    FROM (SELECT DISTINCT CASE WHEN p_size % 3 = 0 THEN 'S' || p_size ELSE CAST(p_size AS VARCHAR) END AS name FROM part)""".replace("\\\\", "\\"))
+def numeric_sort(t):
+    from pyspark.sql import Window as W
+
+    names = t.part.select(F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("S"), "p_size")).otherwise(F.col("p_size").cast("string")).alias("name")).distinct()
+    return names.select("name", F.row_number().over(W.orderBy(*paging.numeric_first(F.col("name")))).cast("long").alias("place"))
+
+
+# --- graphs
+
+
+@query("""
+    WITH RECURSIVE x(item, depth) AS (
+        SELECT CAST(1 AS BIGINT), 0 UNION
+        SELECT w.l_partkey + 1, x.depth + 1 FROM x JOIN lineitem r ON r.l_partkey = x.item JOIN lineitem w ON w.l_orderkey = r.l_orderkey WHERE x.depth < 2),
+    i AS (SELECT item, min(depth) AS depth FROM x GROUP BY 1),
+    u AS (SELECT l_orderkey AS unit, min(depth) + 1 AS depth FROM i JOIN lineitem ON l_partkey = item GROUP BY 1)
+    SELECT 'item' AS kind, CAST(item AS VARCHAR) AS id, depth FROM i UNION ALL SELECT 'unit', CAST(unit AS VARCHAR), depth FROM u WHERE depth <= 2""")
+def impact_closure(t):
+    rows = t.lineitem.select(F.col("l_orderkey").alias("unit"), F.col("l_partkey").alias("item"))
+    return graph.impact_closure(rows, rows.withColumn("item", F.col("item") + 1), t.spark.range(1).select(F.lit(1).cast("long").alias("item")), 2)
+
+
+@query("""
+    WITH RECURSIVE c(name, root, hops) AS (
+        SELECT p_partkey, p_partkey // 10, 1 FROM part WHERE p_partkey >= 10 UNION ALL
+        SELECT name, root // 10, hops + 1 FROM c WHERE root >= 10)
+    SELECT name, CAST(arg_max(root, hops) AS BIGINT) AS root, CAST(max(hops) AS BIGINT) AS hops FROM c GROUP BY 1""")
+def alias_closure(t):
+    return graph.alias_roots(t.part.where("p_partkey >= 10").select("p_partkey", F.expr("p_partkey div 10").alias("target")), "p_partkey", "target")
+
+
+@query("""
+    SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON r_regionkey = n_regionkey
+    WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 9000)""")
+def unscheduled(t):
+    rows = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    return joins.absent(rows, t.supplier.where("s_acctbal > 9000").select(F.col("s_nationkey").alias("n_nationkey")), ["n_nationkey"]).select("n_nationkey", "n_name", "r_name")
+
+
+@query("""
+    WITH RECURSIVE k AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 97 = 0 THEN c_custkey + 100000000 WHEN c_custkey < 4 THEN NULL ELSE c_custkey // 4 END AS parent FROM customer),
+    r(key, parent, root, depth, orphan) AS (
+        SELECT key, parent, key, 0, parent IS NOT NULL FROM k WHERE parent IS NULL OR parent NOT IN (SELECT key FROM k)
+        UNION ALL SELECT k.key, k.parent, r.root, r.depth + 1, false FROM k JOIN r ON k.parent = r.key)
+    SELECT key, parent, root, depth, orphan FROM r""")
+def device_tree(t):
+    parent = F.when(F.col("c_custkey") % 97 == 0, F.col("c_custkey") + 100000000).when(F.col("c_custkey") >= 4, F.expr("c_custkey div 4"))
+    return graph.tree(t.customer.select("c_custkey", parent.alias("parent")), "c_custkey", "parent")
+
+
+@query("""
+    WITH RECURSIVE e AS (SELECT node, next FROM (SELECT node, next, row_number() OVER (PARTITION BY node ORDER BY o) AS r FROM (
+                             SELECT c_custkey // 4 AS node, c_custkey AS next, c_custkey AS o FROM customer WHERE c_custkey >= 4
+                             UNION ALL SELECT 21, 1, 0)) WHERE r <= 3),
+    p(node, path, depth, state) AS (
+        SELECT CAST(1 AS BIGINT), '1', 0, 'inner' UNION ALL
+        SELECT e.next, p.path || '>' || e.next, p.depth + 1,
+               CASE WHEN e.next = 1 THEN 'cycle' WHEN p.depth + 1 = 4 THEN 'max_depth'
+                    WHEN e.next NOT IN (SELECT node FROM e) THEN 'leaf' ELSE 'inner' END
+        FROM p JOIN e ON e.node = p.node WHERE p.state = 'inner')
+    SELECT path, depth, state FROM p""")
+def path_expand(t):
+    edges = t.customer.where("c_custkey >= 4").select(F.expr("c_custkey div 4").alias("node"), F.col("c_custkey").alias("next"), F.col("c_custkey").alias("o"))
+    edges = edges.union(t.spark.range(1).select(F.lit(21).cast("long"), F.lit(1).cast("long"), F.lit(0).cast("long")))
+    start = t.spark.range(1).select(F.lit(1).cast("long").alias("node"))
+    found = graph.expand_paths(edges, start, 4, 3, [F.col("o")])
+    return found.select(F.array_join("path", ">").alias("path"), "depth", "state")
+
+
+# --- rules
+
+
+@query("""
+    SELECT l_partkey, count(DISTINCT l_suppkey) AS writer_count,
+           array_to_string(list_sort(list(DISTINCT l_suppkey))[1:10], ',') AS writers
+    FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) >= 2""")
+def multiple_writers(t):
+    found = rules.multiple_writers(t.lineitem, "l_partkey", "l_suppkey")
+    return found.select("l_partkey", "writer_count", F.array_join(F.col("writers").cast("array<string>"), ",").alias("writers"))
+
+
+@query("SELECT DISTINCT l_partkey AS item FROM lineitem WHERE l_quantity > 30 EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity < 10")
+def written_never_read(t):
+    items = t.lineitem.select(F.col("l_partkey").alias("item"), "l_quantity")
+    return rules.written_never_read(items.where("l_quantity > 30"), items.where("l_quantity < 10"), "item")
+
+
+@query("SELECT DISTINCT l_partkey AS item FROM lineitem WHERE l_quantity < 10 EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 46")
+def read_never_written(t):
+    items = t.lineitem.select(F.col("l_partkey").alias("item"), "l_quantity")
+    return rules.read_never_written(items.where("l_quantity > 46"), items.where("l_quantity < 10"), "item")
+
+
+@query("""
+    SELECT l_orderkey, l_linenumber, l_partkey + 500 AS ref FROM lineitem
+    WHERE l_partkey + 500 NOT IN (SELECT p_partkey FROM part) AND l_partkey + 500 NOT IN (SELECT s_suppkey + 2000 FROM supplier)""")
+def broken_references(t):
+    refs = t.lineitem.select("l_orderkey", "l_linenumber", (F.col("l_partkey") + 500).alias("ref"))
+    return rules.broken_references(refs, "ref", [(t.part, "p_partkey"), (t.supplier.select((F.col("s_suppkey") + 2000).alias("k")), "k")]).select("l_orderkey", "l_linenumber", "ref")
+
+
+@query("""
+    SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)
+    AND p_partkey NOT IN (SELECT s_suppkey FROM supplier)""")
+def unused_definitions(t):
+    return rules.unused_definitions(t.part.select("p_partkey"), "p_partkey", [(t.lineitem.where("l_quantity > 45"), "l_partkey"), (t.supplier, "s_suppkey")])
+
+
+@query("""
+    WITH f AS (SELECT 'poor_customer' AS rule, 'warning' AS severity, c_name AS entity, 'balance below zero' AS title, CAST(c_nationkey AS VARCHAR) AS detail FROM customer WHERE c_acctbal < 0
+               UNION ALL SELECT 'poor_supplier', 'error', s_name, 'balance below zero', CAST(s_nationkey AS VARCHAR) FROM supplier WHERE s_acctbal < 0
+               UNION ALL SELECT 'large_part', 'info', p_name || p_partkey, 'size over 40', p_brand FROM part WHERE p_size > 40)
+    SELECT rule, severity, entity, title, detail, total, CASE severity WHEN 'error' THEN 1 WHEN 'warning' THEN 2 ELSE 3 END AS severity_rank
+    FROM (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY entity, detail) AS r, count(*) OVER (PARTITION BY rule) AS total FROM f) WHERE r <= 500""")
+def rule_runner(t):
+    finding = lambda df, rule, severity, entity, title, detail: df.select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), entity.alias("entity"), F.lit(title).alias("title"), F.col(detail).cast("string").alias("detail"))
+    found = rules.run({
+        "poor_customer": lambda: finding(t.customer.where("c_acctbal < 0"), "poor_customer", "warning", F.col("c_name"), "balance below zero", "c_nationkey"),
+        "poor_supplier": lambda: finding(t.supplier.where("s_acctbal < 0"), "poor_supplier", "error", F.col("s_name"), "balance below zero", "s_nationkey"),
+        "large_part": lambda: finding(t.part.where("p_size > 40"), "large_part", "info", F.concat("p_name", "p_partkey"), "size over 40", "p_brand"),
+    })
+    return found.select("rule", "severity", "entity", "title", "detail", "total", "severity_rank")
+
+
+# --- expressions
+
+
+@query("""
+    SELECT r_name, string_agg(CASE WHEN v LIKE '% AND %' OR v LIKE '% OR %' THEN '(' || v || ')' ELSE v END, ' OR ' ORDER BY v) AS infix, 'MERGE(' || string_agg(v, ', ' ORDER BY v) || ')' AS merged,
+           'ADD2(' || string_agg('In=' || v, ', ' ORDER BY v) || ').Q' AS called
+    FROM (SELECT n_regionkey, CASE WHEN n_nationkey % 2 = 0 THEN n_name || ' AND X' ELSE n_name END AS v FROM nation) JOIN region ON r_regionkey = n_regionkey GROUP BY 1""")
+def block_expressions(t):
+    v = F.when(F.col("n_nationkey") % 2 == 0, F.concat("n_name", F.lit(" AND X"))).otherwise(F.col("n_name"))
+    rows = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.sort_array(F.collect_list(v)).alias("v"))
+    inputs = F.transform("v", lambda x: F.struct(F.lit("In").alias("param"), x.alias("expr")))
+    return rows.select("r_name", expressions.block(F.lit("BOR"), inputs, F.lit("Out")).alias("infix"), expressions.merged(F.col("v")).alias("merged"), expressions.block(F.lit("ADD2"), inputs, F.lit("Q")).alias("called"))
