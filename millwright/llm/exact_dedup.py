@@ -147,7 +147,8 @@ def exact_groups(docs: DataFrame, owners: int | None = None, class_bytes: int =
 
     flagged = join_bounded(rows, suspects.withColumnRenamed(RID, "rid"), ["rid"], "left_semi")
     best = F.min(F.struct((-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("z"), "doc_id", "rid")).alias("best")
-    groups = flagged.groupBy("class").agg(best, F.count("*").alias("group_size"))
+    # Written out, so that the join below has a plain exchange on both sides and Spark may split a hot class.
+    groups = materialize(flagged.groupBy("class").agg(best, F.count("*").alias("group_size")), "dedup-groups")
     return rows.join(groups, "class", "left").select(
         "rid",
         "doc_id",
