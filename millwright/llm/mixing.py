@@ -80,7 +80,7 @@ def _taken(base, plan, rows, total, block):
     known = plan.join(used, "src").select("src", "source", "source_size", stop.alias("stop"), F.ceil(stop / F.col("source_size")).alias("passes")).where("stop > 0")
     run = base.join(F.broadcast(known) if known.limit(10_001).count() <= 10_000 else known, base["source"].eqNullSafe(known["source"])).where("size > 0").select(RID, "doc_id", "size", "key", "src", "source_size", "stop", "passes")
     # Offsets in a random order of each source: by hash range, then within the range.
-    bits = max(0, math.ceil(math.log2(max(1, rows) / 4096)))
+    bits = max(0, math.ceil(math.log2(max(1, rows) / 1024)))
     spread = run.withColumn("range", F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long"))
     sums = spread.groupBy("src", "range").agg(F.sum("size").alias("words"))
     start = prefix_offsets(sums, "range", "words", "start", 1 << bits, by=["src"]).select("src", "range", "start")
