@@ -54,9 +54,12 @@ def _codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages and their log probabilities (languages x DIMS) from rows (doc_id, lang, text)."""
-    key = F.xxhash64(F.lit(SEED), "doc_id", "text")
-    first = F.row_number().over(W.partitionBy("lang").orderBy(key, "doc_id"))
-    few = labelled.where("lang is not null").select("lang", "text", first.alias("r")).where(F.col("r") <= sample)
+    # Hashes are uniform: four times the share that is wanted leaves enough of each language, and little to rank.
+    counts = labelled.where("lang is not null").groupBy("lang").agg(F.count("*").alias("rows"))
+    key = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id", "text"), 11) / F.lit(float(1 << 53))
+    keyed = labelled.join(counts, "lang").withColumn("key", key).where(F.col("key") * F.col("rows") <= 4 * sample)
+    first = F.row_number().over(W.partitionBy("lang").orderBy("key", "doc_id"))
+    few = keyed.select("lang", "text", first.alias("r")).where(F.col("r") <= sample)
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         codes, _ = _codes(pa.array(pdf["text"].fillna(""), pa.string()))
