@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millwright.llm.common import RID, materialize, pick, prefix_offsets, with_rid, word_count
+from millwright.llm.common import RID, WORD, materialize, pick, prefix_offsets, word_count
 
 SEED, BLOCK_WORDS, WEIGHTS, MAX_REPEAT = 71, 128, (1, 2, 3), 3
 GOLDEN = 11_400_714_819_323_198_485  # 2^64 / phi
@@ -104,8 +104,23 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, block: i
 
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, block: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
-    """``docs`` once for each pass of which the mix takes at least half (the schedule cuts one document a source)."""
+    """``docs`` once for each pass of which the mix takes at least half (the schedule cuts one document a source).
+
+    What a source gives is the beginning of its order, after whole passes. So a row's copies follow from its place
+    against the last document of that beginning, one row a source, and texts need no shuffle.
+    """
     base, plan, rows, total = _prepared(docs, weights, max_repeat, block, seed)
     passes = _taken(base, plan, rows, total, block).groupBy(RID, "pass").agg(F.sum("words").alias("words"), F.first("size").alias("size"))
-    copies = materialize(passes.where("2 * words >= size").groupBy(RID).agg(F.count("*").cast("int").alias("__mw_copies")), "mix-copies")
-    return with_rid(docs).join(copies, RID).withColumn("__mw_copy", F.explode(F.sequence(F.lit(1), F.col("__mw_copies")))).drop(RID, "__mw_copies", "__mw_copy")
+    copies = materialize(passes.where("2 * words >= size").groupBy(RID).agg(F.count("*").alias("copies")), "mix-copies")
+    counted = materialize(base.where("size > 0").join(copies, RID, "left").select("source", F.struct("key", "doc_id", RID).alias("place"), F.coalesce("copies", F.lit(0)).alias("copies")), "mix-counted")
+    ends = counted.groupBy("source").agg(F.min("copies").alias("whole"), F.max(F.struct("copies", "place")).alias("end"))
+    ends = materialize(ends.select(F.col("source").alias("__mw_source"), "whole", F.when(F.col("end.copies") > F.col("whole"), F.col("end.place")).alias("end")), "mix-ends")
+    ends = F.broadcast(ends) if ends.count() <= 10_000 else ends
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = {c: names[docs.columns.index(c)] for c in ("doc_id", "source", "text")}
+    bare = docs.toDF(*names).withColumn(RID, F.monotonically_increasing_id())
+    placed = bare.where(F.coalesce(F.col(at["text"]).rlike(WORD), F.lit(False))).join(ends, F.col(at["source"]).eqNullSafe(F.col("__mw_source")))
+    place = F.struct(F.xxhash64(F.lit(seed), at["doc_id"], at["text"]).alias("key"), F.col(at["doc_id"]).alias("doc_id"), RID)
+    times = F.col("whole") + F.coalesce((place <= F.col("end")).cast("int"), F.lit(0))
+    taken = placed.withColumn("__mw_copies", times.cast("int")).where(F.col("__mw_copies") > 0)
+    return taken.withColumn("__mw_copy", F.explode(F.sequence(F.lit(1), F.col("__mw_copies")))).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
