@@ -70,8 +70,38 @@ def _escaped_length() -> str:
     return f"length({out})"
 
 
+def _quality_sql() -> str:
+    separators = ", ".join(f"'{x}'" for x in quality.SEPARATORS)
+    return rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i
+              FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d)),
+        n AS (SELECT doc_id, count(*) AS n_words, CAST(sum(length(w)) AS BIGINT) AS word_chars FROM w GROUP BY 1),
+        g AS (SELECT doc_id, i, concat_ws(' ', w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o) AS k, lead(w, 4) OVER o AS last
+              FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS c FROM g WHERE last IS NOT NULL) WHERE c > 1),
+        c AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM r) GROUP BY 1),
+        l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS no FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM d)),
+        m AS (SELECT doc_id, line, no, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw,
+                     length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS solid,
+                     length(regexp_replace(line, '[^!-/:-@\[-`{{-~]', '', 'g')) AS marks FROM l),
+        f AS (SELECT *, (len(lw) >= 4 AND marks >= {quality.MARKS} * greatest(solid, 1))
+                     OR (len(lw) >= 4 AND len(list_filter(lw, lambda x: x IN ({separators}))) >= {quality.BARS} * len(lw))
+                     OR (len(lw) BETWEEN 1 AND 40 AND regexp_matches(line, '{quality.FURNITURE}')) AS fails FROM m),
+        u AS (SELECT doc_id, count(*) FILTER (WHERE fails) AS n_lines_removed, sum(CASE WHEN fails THEN solid ELSE 0 END) / greatest(sum(solid), 1) AS lost FROM f GROUP BY 1),
+        q AS (SELECT doc_id, count(*) AS n_dup_lines FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY no) AS k FROM m WHERE len(lw) > 0) WHERE k > 1 GROUP BY 1),
+        s AS (SELECT doc_id, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols FROM d),
+        a AS (SELECT s.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+                     coalesce(n_repeat_words, 0) AS n_repeat_words, lost, n_lines_removed
+              FROM s LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN u USING (doc_id) LEFT JOIN q USING (doc_id)),
+        b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM a)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND lost <= {quality.MAX_LOST} AS kept, n_lines_removed FROM b"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_quality_rules": _quality_sql(),
         "op2_exact_dedup": r"""
             WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points,
                               regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
