@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
+import ctypes
+import sys
+import types
 
 import numpy as np
 import pyarrow as pa
@@ -12,30 +13,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millwright.sources.shared import materialize, shared_path  # noqa: F401
+
 RID = "__mw_rid"
 WS_CLASS = r"\x20\x09-\x0D"
 WORD = rf"[^{WS_CLASS}]+"
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share (``spark.checkpoint.dir``)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a lost executor costs no recomputation above this point."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def pick(df: DataFrame, *names: str, rid: bool = False) -> DataFrame:
     """Exactly the named columns, whatever other (even equally named) columns ``df`` has; the first match counts.
 
@@ -106,6 +90,18 @@ def prefix_offsets(counts: DataFrame, order: str, value: str, out: str, rows: in
 # --- inside tasks -----------------------------------------------------------------------------------------------
 
 
+def worker_state() -> dict:
+    """What a Python worker keeps from task to task."""
+    return sys.modules.setdefault("_millwright_worker", types.ModuleType("_millwright_worker")).__dict__
+
+
+def give_back() -> None:
+    """Return freed memory to the system; an executor's workers stay, and share its memory with the JVM."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches, column: str, budget: int = 4 << 20):
     """Cut Arrow batches where ``column`` passes ``budget`` bytes, so that work arrays stay small."""
     for batch in batches:

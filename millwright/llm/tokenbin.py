@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millwright.llm.common import arrow_rows, column, materialize, pick, shared_path, shuffle_partitions, slices, strings
+from millwright.llm.common import arrow_rows, column, give_back, materialize, pick, shared_path, shuffle_partitions, slices, strings, worker_state
 
 MAGIC = b"MWPLANE1"
 BLOCK_IDS, END_ID, LEVEL = 1 << 16, 2, 3
 NO_ID = -(1 << 63)
-CACHE_PIECES = 500_000
+CACHE_PIECES = 250_000
 FOOTER = "<QQQQQQ8s"
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -276,9 +276,11 @@ def _filesystem(path: str):
 def _write(path: str, tokenizer: str, end_id: int, planes: int, block: int):
     def run(batches):
         encode, writer, name = None, None, ""
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 2 << 20):
             if writer is None:
-                encode = PieceEncoder(tokenizer, end_id)
+                known = worker_state()  # loading a tokenizer costs more than most tasks' texts
+                encode = known.setdefault(("encoder", tokenizer, end_id), None) or PieceEncoder(tokenizer, end_id)
+                known["encoder", tokenizer, end_id] = encode
                 store, folder = _filesystem(path)
                 store.create_dir(folder, recursive=True)
                 part = TaskContext.get().partitionId()
@@ -289,6 +291,7 @@ def _write(path: str, tokenizer: str, end_id: int, planes: int, block: int):
             writer.add(docs, counts, ids)
         if writer is not None:
             writer.close()
+            give_back()
             yield pa.RecordBatch.from_pydict({"file_no": pa.array([part], pa.int64()), "file": [name], "n_docs": pa.array([sum(map(len, writer.docs))], pa.int64()), "n_ids": pa.array([writer.total], pa.int64())})
 
     return run

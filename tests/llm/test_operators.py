@@ -233,6 +233,39 @@ def water_fill(sizes):
         capped |= more
 
 
+def simulate_mix(spark, table, targets, sizes, block=mixing.BLOCK_WORDS):
+    """Words taken of each row (doc_id, source, size) by walking the schedule slot by slot."""
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
+    total = sum(sizes.values())
+    edges, at = [], 0.0
+    for s in names:
+        if targets[s] > 0:
+            edges.append((at / total, s))
+            at += targets[s]
+    slots = Counter()
+    for j in range(max(1, round(total / block))):
+        u = (j * mixing.GOLDEN % (1 << 64)) / float(1 << 64)
+        slots[next(s for lo, s in reversed(edges) if lo <= u)] += 1
+    taken = Counter()
+    for s in names:
+        stop = min(slots[s] * block, math.floor(targets[s]))
+        stream = sorted((r["key"] & (1 << 64) - 1, -1 << 65 if r["doc_id"] is None else r["doc_id"], i, r["size"]) for i, r in enumerate(table) if r["source"] == s and r["size"])
+        while stop > 0:
+            for _, _, i, n in stream:
+                taken[i] += min(n, stop)
+                stop -= min(n, stop)
+    return Counter((r["doc_id"], r["size"], taken[i]) for i, r in enumerate(table))
+
+
+def test_mix_against_a_walk_of_the_schedule(spark, docs, rows):
+    table = docs.select("doc_id", "source", common.word_count().alias("size"), F.xxhash64(F.lit(mixing.SEED), "doc_id", "text").alias("key")).collect()
+    sizes = Counter()
+    for r in table:
+        sizes[r["source"]] += r["size"]
+    want = simulate_mix(spark, table, water_fill(sizes), sizes)
+    assert Counter((r["doc_id"], r["size"], r["taken"]) for r in mixing.mix(docs).collect()) == want
+
+
 def test_mix(docs, rows, empty):
     got = mixing.mix(docs).collect()
     sizes = Counter()
