@@ -228,10 +228,9 @@ def triage_issue(t, issue_text, limit=5):
 
 @tool
 def scope_metadata(t, issue_text=""):
-    flags = {"needs_hmi_export_or_runtime": r"hmi|screen|display|colou?r", "needs_runtime_or_field_state": r"runtime|live|online|now", "may_depend_on_external_controller_or_gateway": r"gateway|modbus|opc"}
-    import re
-
-    return {"limits": ["read_only_offline_export", *[k for k, p in flags.items() if re.search(p, issue_text, re.I)]], "counts": t.data.manifest["counts"]}
+    counts = t.data.manifest["counts"]
+    evidence = {"logic": ["tags", "routines", "routine_units", "xrefs"], "diagrams": ["fbd_nodes", "fbd_wires"], "charts": ["sfc_nodes", "sfc_links"], "hardware": ["modules", "module_io_points"], "alarms": ["alarms", "messages"]}
+    return {"available": {k: {n: counts[n] for n in names} for k, names in evidence.items()}, "limits": t.a.scope_limits(issue_text)}
 
 
 @tool

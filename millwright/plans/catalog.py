@@ -621,3 +621,66 @@ def block_expressions(t):
     rows = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.sort_array(F.collect_list(v)).alias("v"))
     inputs = F.transform("v", lambda x: F.struct(F.lit("In").alias("param"), x.alias("expr")))
     return rows.select("r_name", expressions.block(F.lit("BOR"), inputs, F.lit("Out")).alias("infix"), expressions.merged(F.col("v")).alias("merged"), expressions.block(F.lit("ADD2"), inputs, F.lit("Q")).alias("called"))
+
+
+# --- more of the same operators on other shapes
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderdate, o_orderkey LIMIT 26")
+def probe_page(t):
+    """A page of 25 and the row that tells whether there are more."""
+    return paging.page(t.orders.where("o_orderstatus = 'P'").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"], 25 + 1)
+
+
+@query("""
+    SELECT doc_id, array_to_string(list_distinct_ordered, ',') AS words FROM (
+        SELECT doc_id, list_transform(list_sort(list_transform(list_distinct(w), lambda x: {'p': list_position(w, x), 'x': x})), lambda s: s.x) AS list_distinct_ordered
+        FROM (SELECT doc_id, list_filter(list_transform(string_split(text, ','), lambda x: trim(x)), lambda x: x <> '') AS w FROM documents))""")
+def ordered_distinct(t):
+    return t.documents.select("doc_id", F.array_join(sets.ordered_distinct(F.split("text", ",")), ",").alias("words"))
+
+
+@query("""
+    SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS samples, min(value) AS min_value, max(value) AS max_value FROM events GROUP BY 1, 2""")
+def windowed_statistics(t):
+    w = F.window("ts", "1 day")
+    return t.events.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("samples"), F.min("value").alias("min_value"), F.max("value").alias("max_value")).select(F.col("w.start").alias("start"), "event_type", "samples", "min_value", "max_value")
+
+
+@query("""
+    SELECT severity, count(*) AS n FROM (SELECT 'warning' AS severity FROM customer WHERE c_acctbal < 0 UNION ALL SELECT 'error' FROM supplier WHERE s_acctbal < 0) GROUP BY 1""")
+def findings_by_severity(t):
+    a = t.customer.where("c_acctbal < 0").select(F.lit("warning").alias("severity"))
+    return rules.summary(sets.union_all([a, t.supplier.where("s_acctbal < 0").select(F.lit("error").alias("severity"))]), "severity")
+
+
+@query("""
+    SELECT p_partkey, 'id:' || substr(sha256(p_name || chr(0) || p_type), 1, 16) AS anchor, regexp_replace(regexp_replace(p_name || '/' || p_type || '. ', '[<>:"/\\\\|?*]', '_', 'g'), '^[ .]+|[ .]+$', '', 'g') AS file_name
+    FROM part""".replace("\\\\\\\\", "\\\\"))
+def anchors(t):
+    raw = F.concat("p_name", F.lit("/"), "p_type", F.lit(". "))
+    return t.part.select("p_partkey", F.concat(F.lit("id:"), fx.digest_prefix(F.concat("p_name", F.lit("\0"), "p_type"), 16)).alias("anchor"), fx.file_name(raw).alias("file_name"))
+
+
+@query("""
+    WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1)) AS host FROM pages)
+    SELECT host, count(*) AS n, min(page_id) AS first_page FROM h GROUP BY 1 ORDER BY n DESC, host LIMIT 20""")
+def host_facets(t):
+    h = t.pages.select("page_id", F.lower(F.regexp_extract("url", "^[A-Za-z]+://([^/:?#]+)", 1)).alias("host"))
+    return paging.page(h.groupBy("host").agg(F.count("*").alias("n"), F.min("page_id").alias("first_page")), [F.desc("n"), "host"], 20)
+
+
+@query("""
+    SELECT conv_id, count(*) AS total, count(*) FILTER (WHERE role = 'assistant') AS assistant, count(*) FILTER (WHERE length(text) > 500) AS long_turns FROM conversations GROUP BY 1""")
+def turn_counts(t):
+    return aggregate.conditional_counts(t.conversations, ["conv_id"], {"assistant": F.col("role") == "assistant", "long_turns": F.length("text") > 500})
+
+
+@query("""
+    SELECT o_custkey, CAST(o_orderdate AS DATE) AS day, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS seq,
+           o_totalprice - lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS step FROM orders""")
+def slotted_steps(t):
+    """Differences to the order before, ordered within years and carried across them."""
+    rows = windows.previous(t.orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], ["o_totalprice"], F.year("o_orderdate"))
+    rows = windows.running_id(rows, ["o_custkey"], ["o_orderdate", "o_orderkey"], "seq")
+    return rows.select("o_custkey", F.to_date("o_orderdate").alias("day"), F.col("seq").cast("long").alias("seq"), (F.col("o_totalprice") - F.col("prev_o_totalprice")).alias("step"))

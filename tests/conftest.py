@@ -23,3 +23,15 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(scope="session")
+def plant(spark, tmp_path_factory):
+    """The small export as an ingested workspace."""
+    from fixtures import PROJECT
+    from millwright.sources.workspace import ingest
+
+    folder = tmp_path_factory.mktemp("plant")
+    (folder / "plant.L5X").write_text(PROJECT)
+    (folder / "w" / "stale").mkdir(parents=True)
+    return ingest(spark, str(folder / "*.L5X"), str(folder / "w"))

@@ -2,18 +2,14 @@
 
 import pytest
 
-from fixtures import PROJECT
 from millwright.plans.analysis import Analysis
 from millwright.plans.reading_views import views
-from millwright.sources.workspace import Workspace, WorkspaceError, ingest, newest, read_jsonl, write_jsonl
+from millwright.sources.workspace import Workspace, WorkspaceError, newest, read_jsonl, write_jsonl
 
 
 @pytest.fixture(scope="module")
-def a(spark, tmp_path_factory):
-    folder = tmp_path_factory.mktemp("export")
-    (folder / "plant.L5X").write_text(PROJECT)
-    (folder / "w" / "stale").mkdir(parents=True)
-    return Analysis(ingest(spark, str(folder / "*.L5X"), str(folder / "w")))
+def a(plant):
+    return Analysis(plant)
 
 
 def rows(frame, *columns):
@@ -72,7 +68,8 @@ def test_slices_and_search(a):
     assert rows(a.suggestions("motor"), "name") == {("Motor",), ("MotorA",), ("MotorB",)}
     fragment = a.data.source_fragments.where("element = 'Trends'").first()
     assert a.source_fragment(fragment["id"], 3).first()["raw_xml"] == "<Tr"
-    assert {r["name"] for r in a.triage("Why does Motor stop when Speed is high")["names"].collect()} == {"Motor", "Speed"}
+    assert {r["name"] for r in a.triage("Why does Motor stop when Speed is high on the screen")["names"].collect()} == {"Motor", "Speed"}
+    assert a.scope_limits("the HMI screen is slow") == ["read_only_offline_export_only", "needs_hmi_export_or_runtime"]
     assert a.tag_bundle("Start")["tag_comments"].count() == 2
     assert a.module_bundle("Adapter:4")["io_points"].count() == 2
     assert a.aoi_bundle("Pump")["parameters"].count() == 4

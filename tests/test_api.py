@@ -4,10 +4,8 @@ import json
 
 import pytest
 
-from fixtures import PROJECT
 from millwright import cli
 from millwright.api import PAYLOAD, TOOLS, Tools
-from millwright.sources.workspace import ingest
 
 CALLS = {
     "get_tag": {"name": "Start"}, "get_udt": {"name": "UnitT"}, "get_program": {"name": "Main"}, "get_routine": {"name": "R1"}, "get_aoi": {"name": "Pump"}, "get_tag_context": {"name": "Start"}, "get_routine_context": {"routine_id": "Program:Main.Routine:F1"},
@@ -20,11 +18,8 @@ RUNTIME = {"runtime_evidence_summary", "start_runtime_capture", "runtime_capture
 
 
 @pytest.fixture(scope="module")
-def tools(spark, tmp_path_factory):
-    folder = tmp_path_factory.mktemp("api")
-    (folder / "plant.L5X").write_text(PROJECT)
-    ingest(spark, str(folder / "*.L5X"), str(folder / "w"))
-    return Tools(spark, str(folder / "w"))
+def tools(spark, plant):
+    return Tools(spark, plant.path)
 
 
 def test_fifty_tools():
