@@ -10,7 +10,7 @@ templates inside texts get a backslash after their first character, and backslas
 pose as a turn and every text can be read back. The loss mask covers the escaped text of assistant turns alone.
 
 Null text or payload counts as empty, null role as an empty role, null conv_id is a conversation of its own. Equal
-turn numbers go by role, then text; repeated rows are separate turns. Other columns are ignored. An empty table gives
+turn numbers go by role, then by the MD5 of the text; repeated rows are separate turns. Other columns are ignored. An empty table gives
 an empty result. A conversation of any length streams through a task; it is never gathered.
 """
 
@@ -48,7 +48,7 @@ def unescape(text: str) -> str:
 def events_of_turns(turns: DataFrame) -> DataFrame:
     """A table of finished turns (conv_id, turn, role, text) as a log: one message and one delta for each row."""
     base = pick(turns, "conv_id", "turn", "role", "text", rid=True)
-    return base.select("conv_id", F.col("turn").alias("seq"), F.struct(F.coalesce("role", F.lit("")).alias("r"), F.coalesce("text", F.lit("")).alias("t"), F.col("__mw_rid").alias("i")).alias("msg_id"), F.lit("delta").alias("kind"), "role", F.col("text").alias("payload"))
+    return base.select("conv_id", F.col("turn").alias("seq"), F.struct(F.coalesce("role", F.lit("")).alias("r"), F.md5(F.coalesce("text", F.lit(""))).alias("t"), F.col("__mw_rid").alias("i")).alias("msg_id"), F.lit("delta").alias("kind"), "role", F.col("text").alias("payload"))
 
 
 def fold(log: DataFrame) -> DataFrame:

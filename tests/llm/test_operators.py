@@ -195,7 +195,7 @@ def test_chat_contract(spark):
         by[c].append((t if t is not None else -1, r or "", x or ""))
     assert set(got) == set(by)
     for c, g in by.items():
-        g.sort()
+        g.sort(key=lambda x: (x[0], x[1], hashlib.md5(x[2].encode()).hexdigest()))
         row = got[c]
         loss = "".join(x for _, r, x in g if r == "assistant")
         assert row["n_turns"] == len(g)
