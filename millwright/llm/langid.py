@@ -107,7 +107,8 @@ def fuse(scored: DataFrame, langs: list[str], kappa: float = KAPPA) -> DataFrame
     rows = scored.withColumn("soft", soft).withColumn("p", F.transform("soft", lambda x: x / F.aggregate("soft", F.lit(0.0), lambda a, y: a + y))).drop("soft")
     sums = [F.sum(F.col("p")[i]).alias(f"s{i}") for i in k]
     vector = F.array(*[F.col(f"s{i}") for i in k])
-    by_key = {c: rows.groupBy(c).agg(*sums).select(c, vector.alias(f"{c}_n")) for c in ("declared", "suffix", "site", "host")}
+    # Written out, so that the joins below have plain exchanges on both sides and Spark may split a hot host.
+    by_key = {c: materialize(rows.groupBy(c).agg(*sums).select(c, vector.alias(f"{c}_n")), f"lang-{c}") for c in ("declared", "suffix", "site", "host")}
     # The whole table's mix: one row of at most MAX_LANGS numbers.
     whole = rows.agg(*sums).first()
     mix = [float(x or 0) + 1.0 for x in whole]

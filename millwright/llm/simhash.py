@@ -205,7 +205,8 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, bucket_limit: int = BUCKE
     labels = components(links(distinct.select("fp"), radius, bucket_limit))
     named = distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
     tops = named.groupBy("label").agg(F.min("rep").alias("top"))
-    named = named.join(tops, "label").select("fp", "top")
+    # Written out, so that the join has a plain exchange on both sides and Spark may split a hot fingerprint.
+    named = materialize(named.join(tops, "label").select("fp", "top"), "simhash-named")
     return rows.join(named, "fp").select("rid", "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("top.doc_id").alias("component_id"), (F.col("top.rid") == F.col("rid")).alias("first"))
 
 
