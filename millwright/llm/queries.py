@@ -27,7 +27,7 @@ def op3_sharding(spark, sf_dir):
 
 
 def op4_license_scan(spark, sf_dir):
-    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents")).withColumn("licenses", F.array_join("licenses", ","))
 
 
 def op5_quality_rules(spark, sf_dir):
@@ -99,8 +99,31 @@ def _quality_sql() -> str:
                NOT base_failed AND lost <= {quality.MAX_LOST} AS kept, n_lines_removed FROM b"""
 
 
+def _license_sql() -> str:
+    texts = ", ".join("('{}', '{}')".format(name, t.replace("'", "''")) for name, ts in licenses.TEMPLATES.items() for t in ts)
+    words = lambda c: f"string_split(trim(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')"
+    pairs = lambda w: f"list_distinct(list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1]))"
+    t = licenses.THRESHOLD
+    return f"""
+        WITH k AS (SELECT name, {pairs("w")} AS b FROM (SELECT name, {words("t")} AS w FROM (VALUES {texts}) AS v(name, t))),
+        l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS no FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+        n AS (SELECT *, regexp_matches(lower(line), '[\\p{{L}}\\p{{N}}]') AS solid FROM l),
+        g AS (SELECT *, sum(CASE WHEN solid THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY no) AS run FROM n),
+        p AS (SELECT doc_id, 'paragraph' AS unit, min(no) AS no, string_agg(line, ' ' ORDER BY no) AS body FROM g WHERE solid GROUP BY doc_id, run HAVING count(*) > 1),
+        x AS (SELECT doc_id, 'text' AS unit, 0 AS no, string_agg(line, ' ' ORDER BY no) AS body FROM n GROUP BY doc_id HAVING count(*) > 1 AND NOT bool_and(solid)),
+        u AS (SELECT doc_id, 'line' AS unit, no, line AS body FROM n WHERE solid UNION ALL SELECT * FROM p UNION ALL SELECT * FROM x),
+        b AS (SELECT doc_id, unit, no, {pairs("w")} AS b FROM (SELECT doc_id, unit, no, {words("body")} AS w FROM u)),
+        d AS (SELECT doc_id, unit, no, name, 2 * len(list_intersect(b.b, k.b)) / (len(b.b) + len(k.b)) AS dice
+              FROM b JOIN k ON len(b.b) BETWEEN {t / (2 - t)} * len(k.b) AND {(2 - t) / t} * len(k.b)),
+        f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, name, unit, no) AS r FROM d WHERE dice >= {t}),
+        s AS (SELECT doc_id, list_sort(list(DISTINCT name)) AS licenses FROM f GROUP BY 1)
+        SELECT doc_id, name AS license, round(dice, 6) AS dice, unit, CAST(no AS BIGINT) AS line_no, array_to_string(coalesce(licenses, []), ',') AS licenses
+        FROM (SELECT doc_id FROM documents) LEFT JOIN (SELECT * FROM f WHERE r = 1) USING (doc_id) LEFT JOIN s USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_license_scan": _license_sql(),
         "op5_quality_rules": _quality_sql(),
         "op2_exact_dedup": r"""
             WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points,
