@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millwright.functions.values import kind
 from millwright.operators.windows import previous
 
 
@@ -42,6 +43,19 @@ def session_summary(samples: DataFrame, keys: list[str], order: list[str], value
     )
 
 
+def json_summary(samples: DataFrame, keys: list[str], order: list[str], value: str, error: str, slot: Column | None = None) -> DataFrame:
+    """``session_summary`` of values held as JSON text.
+
+    Extremes are those of the kind (bool, number, string) of a key's first sample without error; numbers compare as such.
+    """
+    base = session_summary(samples, keys, order, value, error, slot).drop("min_value", "max_value")
+    good = samples.where(F.coalesce(F.col(error), F.lit("")) == "").withColumn("kind", kind(F.col(value))).where("kind is not null")
+    first = good.groupBy(*keys).agg(F.min_by("kind", F.struct(*order)).alias("kind"))
+    place = F.struct(F.col(value).try_cast("double").alias("number"), F.col(value).alias("text"))
+    ends = good.join(first, [*keys, "kind"]).groupBy(*keys).agg(F.min_by(value, place).alias("min_value"), F.max_by(value, place).alias("max_value"), F.first("kind").alias("kind"))
+    return base.join(ends, keys, "left")
+
+
 def latest(samples: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
     """The last row of each key; combines before the shuffle."""
     best = F.max_by(F.struct(*columns), F.struct(*order)).alias("v")

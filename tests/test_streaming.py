@@ -35,6 +35,17 @@ def test_summary_and_downsample(spark):
     assert series.downsample(ramp, ["tag"], ["id"], 0).count() == 0 and series.downsample(ramp, ["tag"], ["id"], 99).count() == 20
 
 
+def test_values(spark):
+    from millwright.functions import values
+
+    df = spark.createDataFrame([('{"b": 1, "a": [1.0, true]}',), ('"' + "x" * 400 + '"',), ("[" + ",".join(map(str, range(25))) + "]",), (None,)], "v string")
+    got = df.select(values.canonical("v").alias("c"), values.compact("v").alias("s")).collect()
+    assert got[0]["c"] == '{"a":[1.0,true],"b":1}' and got[1]["s"] == '"' + "x" * 300 + '..."' and got[2]["s"].endswith('19, {"truncated_items": 5}]') and got[3]["c"] is None
+    rows_ = [(i, v, e) for i, (v, e) in enumerate([("10", None), ("9.5", None), ('"zz"', None), ("8", "x"), ("true", None)])]
+    r = series.json_summary(spark.createDataFrame(rows_, "seq long, v string, e string").withColumn("tag", F.lit("t")), ["tag"], ["seq"], "v", "e").first()
+    assert (r["kind"], r["min_value"], r["max_value"], r["n_changes"], r["errors"]) == ("number", "9.5", "10", 4, 1)
+
+
 def test_synthetic_and_budget(spark):
     got = {(r["cycle"], r["tag"]): r["value_json"] for r in series.synthetic(spark, ["a", "b"], 4, "DINT", 4, 10.0).collect()}
     assert [got[(c, "a")] for c in range(4)] == ["0", "2", "5", "8"] and got[(3, "b")] == "0"
