@@ -28,4 +28,4 @@ def intersection(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
 
 
 def ordered_distinct(array):
-    return F.array_distinct(F.filter(F.transform(array, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(array, lambda x: F.trim(x)), lambda x: x != ""))

@@ -209,7 +209,7 @@ class Analysis:
     # --- alarms
 
     def _alarm_sources(self) -> DataFrame:
-        tags = F.filter(F.transform(F.coalesce("assoc_tags", F.array().cast("array<string>")), F.trim), lambda t: (t != "") & ~F.upper(t).isin(*NO_SOURCE))
+        tags = F.filter(F.transform(F.coalesce("assoc_tags", F.array().cast("array<string>")), lambda t: F.trim(t)), lambda t: (t != "") & ~F.upper(t).isin(*NO_SOURCE))
         return self.data.alarms.withColumn("source_tags", F.array_distinct(tags))
 
     def resolve_alarm(self, name: str) -> DataFrame:
