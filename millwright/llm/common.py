@@ -69,7 +69,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def prefix_offsets(counts: DataFrame, order: str, value: str, out: str, rows: int, fan: int = 4096, by: list[str] | None = None) -> DataFrame:
-    """Exclusive running sum of ``value`` by the integer ``order`` (within ``by``), in two levels.
+    """Exclusive running sum of ``value`` by the integer ``order`` from 0 to below ``rows`` (within ``by``), in two levels.
 
     No task sees more than about ``max(fan, rows / fan)`` rows, so the per-bucket table may grow with the data.
     """

@@ -23,6 +23,7 @@ from millwright.llm.common import RID, WORD, materialize, pick, prefix_offsets,
 SEED, BLOCK_WORDS, WEIGHTS, MAX_REPEAT = 71, 128, (1, 2, 3), 3
 GOLDEN = 11_400_714_819_323_198_485  # 2^64 / phi
 CELLS = 1024
+RANGE_ROWS = 1024
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -72,7 +73,7 @@ def _prepared(docs: DataFrame, weights, max_repeat, block, seed):
     return base, plan, rows, total or 0
 
 
-def _taken(base, plan, rows, total, block):
+def _taken(base, plan, rows, total, block, range_rows):
     """rid, pass, taken: words of each pass over a document that scheduled blocks cover."""
     slots = materialize(schedule(plan, total, block), "mix-slots")
     used = slots.groupBy("src").agg((F.max("block") + 1).alias("blocks"))
@@ -80,8 +81,8 @@ def _taken(base, plan, rows, total, block):
     known = plan.join(used, "src").select("src", "source", "source_size", stop.alias("stop"), F.ceil(stop / F.col("source_size")).alias("passes")).where("stop > 0")
     run = base.join(F.broadcast(known) if known.limit(10_001).count() <= 10_000 else known, base["source"].eqNullSafe(known["source"])).where("size > 0").select(RID, "doc_id", "size", "key", "src", "source_size", "stop", "passes")
     # Offsets in a random order of each source: by hash range, then within the range.
-    bits = max(0, math.ceil(math.log2(max(1, rows) / 1024)))
-    spread = run.withColumn("range", F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long"))
+    bits = max(0, math.ceil(math.log2(max(1, rows) / range_rows)))
+    spread = run.withColumn("range", F.shiftright("key", 64 - bits) + F.lit(1 << (bits - 1)) if bits else F.lit(0).cast("long"))  # from 0, in the order of the signed keys
     sums = spread.groupBy("src", "range").agg(F.sum("size").alias("words"))
     start = prefix_offsets(sums, "range", "words", "start", 1 << bits, by=["src"]).select("src", "range", "start")
     inner = W.partitionBy("src", "range").orderBy("key", "doc_id", RID).rowsBetween(W.unboundedPreceding, -1)
@@ -94,23 +95,23 @@ def _taken(base, plan, rows, total, block):
     return pieces.select(RID, "src", "pass", "size", "block", overlap.alias("words")).join(slots.select("src", "block"), ["src", "block"])
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, block: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, block: int = BLOCK_WORDS, seed: int = SEED, range_rows: int = RANGE_ROWS) -> DataFrame:
     """One row per document: doc_id, size, source_size, target (of its source), taken (words, repeats counted)."""
     base, plan, rows, total = _prepared(docs, weights, max_repeat, block, seed)
-    taken = _taken(base, plan, rows, total, block).groupBy(RID).agg(F.sum("words").alias("taken"))
+    taken = _taken(base, plan, rows, total, block, range_rows).groupBy(RID).agg(F.sum("words").alias("taken"))
     known = plan.select(F.col("source").alias("s"), "source_size", "target")
     out = base.join(taken, RID, "left")
     return out.join(known, out["source"].eqNullSafe(known["s"]), "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, block: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, block: int = BLOCK_WORDS, seed: int = SEED, range_rows: int = RANGE_ROWS) -> DataFrame:
     """``docs`` once for each pass of which the mix takes at least half (the schedule cuts one document a source).
 
     What a source gives is the beginning of its order, after whole passes. So a row's copies follow from its place
     against the last document of that beginning, one row a source, and texts need no shuffle.
     """
     base, plan, rows, total = _prepared(docs, weights, max_repeat, block, seed)
-    passes = _taken(base, plan, rows, total, block).groupBy(RID, "pass").agg(F.sum("words").alias("words"), F.first("size").alias("size"))
+    passes = _taken(base, plan, rows, total, block, range_rows).groupBy(RID, "pass").agg(F.sum("words").alias("words"), F.first("size").alias("size"))
     copies = materialize(passes.where("2 * words >= size").groupBy(RID).agg(F.count("*").alias("copies")), "mix-copies")
     counted = materialize(base.where("size > 0").join(copies, RID, "left").select("source", F.struct("key", "doc_id", RID).alias("place"), F.coalesce("copies", F.lit(0)).alias("copies")), "mix-counted")
     ends = counted.groupBy("source").agg(F.min("copies").alias("whole"), F.max(F.struct("copies", "place")).alias("end"))

@@ -249,7 +249,7 @@ def simulate_mix(spark, table, targets, sizes, block=mixing.BLOCK_WORDS):
     taken = Counter()
     for s in names:
         stop = min(slots[s] * block, math.floor(targets[s]))
-        stream = sorted((r["key"] & (1 << 64) - 1, -1 << 65 if r["doc_id"] is None else r["doc_id"], i, r["size"]) for i, r in enumerate(table) if r["source"] == s and r["size"])
+        stream = sorted((r["key"], -1 << 65 if r["doc_id"] is None else r["doc_id"], i, r["size"]) for i, r in enumerate(table) if r["source"] == s and r["size"])
         while stop > 0:
             for _, _, i, n in stream:
                 taken[i] += min(n, stop)
@@ -257,13 +257,18 @@ def simulate_mix(spark, table, targets, sizes, block=mixing.BLOCK_WORDS):
     return Counter((r["doc_id"], r["size"], taken[i]) for i, r in enumerate(table))
 
 
-def test_mix_against_a_walk_of_the_schedule(spark, docs, rows):
+@pytest.mark.parametrize("range_rows", [1024, 8])
+def test_mix_against_a_walk_of_the_schedule(spark, docs, rows, range_rows):
     table = docs.select("doc_id", "source", common.word_count().alias("size"), F.xxhash64(F.lit(mixing.SEED), "doc_id", "text").alias("key")).collect()
     sizes = Counter()
     for r in table:
         sizes[r["source"]] += r["size"]
     want = simulate_mix(spark, table, water_fill(sizes), sizes)
-    assert Counter((r["doc_id"], r["size"], r["taken"]) for r in mixing.mix(docs).collect()) == want
+    assert Counter((r["doc_id"], r["size"], r["taken"]) for r in mixing.mix(docs, range_rows=range_rows).collect()) == want
+    copies = Counter(r["doc_id"] for r in mixing.mixed_documents(docs, range_rows=range_rows).collect())
+    for (doc, size, taken), n in want.items():
+        if n == 1 and doc not in (None, 9004) and size:
+            assert copies[doc] == taken // size + (2 * (taken % size) >= size and taken % size > 0)
 
 
 def test_mix(docs, rows, empty):
