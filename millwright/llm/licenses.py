@@ -6,6 +6,11 @@ bigrams have 2 * common / (a + b) >= t only if a lies in [t / (2 - t) * b, (2 -
 prune the templates for a unit before anything is compared. A unit of the longer kinds is looked at only where it
 has more than one line.
 
+Beside the units, words are read across lines: citations and headings of licences (``license_notices``) count whole,
+and templates and grants of ``WINDOW_WORDS`` or more are held against all windows of their own length (unit ``window``,
+the line of its first word). A name is refused where its version is missing, or where a word says another licence of
+the family (Lesser, Affero; NC, SA, ND).
+
 Every document gives one row, repeated rows too: its best template, score, unit and line, and all templates found
 (null and empty where there is none). Null text counts as empty. Ties go to the first template by name, then the
 first unit. Whole texts are read. An empty table gives an empty result; other columns are ignored.
@@ -13,14 +18,18 @@ first unit. Whole texts are read. An empty table gives an empty result; other co
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from millwright.llm.common import column, pick, slices, split_words, strings
+from millwright.llm.license_notices import GRANTS, cited_names, phrases, versions_only
 
-THRESHOLD = 0.8
+THRESHOLD, WINDOW_WORDS = 0.8, 10
 # Licence notices and grants as published by their authors (fixed values).
 TEMPLATES = {
     "Apache-2.0": [
@@ -63,12 +72,47 @@ def size_bounds(n: int, threshold: float) -> tuple[int, int]:
     return int(np.ceil(threshold / (2 - threshold) * n - 1e-9)), int(np.floor((2 - threshold) / threshold * n + 1e-9))
 
 
+KINDS = {
+    "lesser": r"\blesser\b|\blibrary general\b",
+    "affero": r"\baffero\b",
+    "nc": r"\bnc\b|\bnon ?commercial\b",
+    "sa": r"\bsa\b|\bshare ?alike\b",
+    "nd": r"\bnd\b|\bno ?deriv",
+}
+
+
+def kinds(words: list[str], name: str) -> set[str]:
+    """Which words of KINDS that tell licences of the name's family apart occur."""
+    own = ("nc", "sa", "nd") if name.startswith("CC-") else ("lesser", "affero") if "GPL" in name else ()
+    return {k for k in own if re.search(KINDS[k], " ".join(words))}
+
+
+def versions(words: list[str]) -> set[tuple[str, ...]]:
+    """Runs of numbers (2 0), and single numbers with the word before (version 3)."""
+    out, i = set(), 0
+    while i < len(words):
+        j = i
+        while j < len(words) and words[j].isdigit() and len(words[j]) < 3:
+            j += 1
+        if j > i:
+            out.add(tuple(words[i:j]) if j - i > 1 else tuple(words[max(0, i - 1) : j]))
+        i = max(j, i + 1)
+    return out
+
+
+def agrees(name: str, template: list[str], unit: list[str]) -> bool:
+    """Whether the unit's version and distinguishing words are the template's."""
+    pairs, need = bigrams(unit), versions(template)
+    return all(all(p in pairs for p in zip(v, v[1:])) for v in need) and kinds(template, name) == kinds(unit, name)
+
+
 class Matcher:
     def __init__(self, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD):
         self.threshold = threshold
         texts = [(name, t) for name, ts in sorted(templates.items()) for t in ts]
         sets = [bigrams(t.split()) for t in normalise(pa.array([t for _, t in texts])).to_pylist()]
         self.rows = [(name, s, *size_bounds(len(s), threshold)) for (name, _), s in zip(texts, sets) if s]
+        self.texts = [t.split() for t, s in zip(normalise(pa.array([t for _, t in texts])).to_pylist(), sets) if s]
         # A unit has at least as many words as distinct bigrams and one, so few words rule it out at once.
         self.least = min((lo for *_, lo, _ in self.rows), default=1)
         self.vocabulary = pa.array(sorted({w for _, s, *_ in self.rows for pair in s for w in pair}), pa.string())
@@ -76,10 +120,10 @@ class Matcher:
     def best(self, words: list[str]) -> list[tuple[str, float]]:
         """Templates at or over the threshold, each with its best score."""
         unit, found = bigrams(words), {}
-        for name, s, lo, hi in self.rows:
+        for (name, s, lo, hi), text in zip(self.rows, self.texts):
             if lo <= len(unit) <= hi:
                 dice = 2 * len(unit & s) / (len(unit) + len(s))
-                if dice >= self.threshold:
+                if dice >= self.threshold and agrees(name, text, words):
                     found[name] = max(dice, found.get(name, 0.0))
         return list(found.items())
 
@@ -89,9 +133,77 @@ class Matcher:
         return np.flatnonzero(np.bincount(owner[:-1][pair], minlength=n) >= max(1, self.least // 2))
 
 
+class Windows:
+    """Templates and grants within longer texts."""
+
+    def __init__(self, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD):
+        self.threshold = threshold
+        texts = [(name, t) for table in (templates, GRANTS) for name, ts in sorted(table.items()) for t in ts]
+        split = [t.split() for t in normalise(pa.array([t for _, t in texts], pa.string())).to_pylist()]
+        self.rows = [(name, w, bigrams(w)) for (name, _), w in zip(texts, split) if len(w) >= WINDOW_WORDS]
+        words = sorted({w for _, ws, _ in self.rows for w in ws})
+        at = {w: i for i, w in enumerate(words)}
+        self.vocabulary, self.width = pa.array(words, pa.string()), len(words)
+        pairs = sorted({at[a] * self.width + at[b] for *_, s in self.rows for a, b in s})
+        self.pairs = np.array(pairs, np.int64)
+        place = {p: i for i, p in enumerate(pairs)}
+        self.member = np.zeros((len(pairs), len(self.rows)), bool)
+        for k, (*_, s) in enumerate(self.rows):
+            self.member[[place[at[a] * self.width + at[b]] for a, b in s], k] = True
+        # c common pairs of b and a >= c: the Dice coefficient reaches t only if c >= t / (2 - t) * b.
+        self.need = np.array([size_bounds(len(s), threshold)[0] for *_, s in self.rows])
+
+    def candidates(self, words: pa.Array, doc: np.ndarray) -> list[tuple[int, int]]:
+        """Document and row of ``rows`` where enough pairs of the row occur anywhere in the document."""
+        if len(words) < 2 or not self.rows:
+            return []
+        code = pc.fill_null(pc.index_in(words, self.vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = np.flatnonzero((code[:-1] >= 0) & (code[1:] >= 0) & (doc[:-1] == doc[1:]))
+        pair = code[at] * self.width + code[at + 1]
+        slot = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        real = self.pairs[slot] == pair
+        key = np.unique(doc[at[real]] * len(self.pairs) + slot[real])
+        owner, slot = key // len(self.pairs), key % len(self.pairs)
+        docs, first = np.unique(owner, return_index=True)
+        enough = np.diff(np.append(first, len(owner))) >= self.need.min()
+        out = []
+        for d, lo, hi in zip(docs[enough], first[enough], np.append(first[1:], len(owner))[enough]):
+            counts = self.member[slot[lo:hi]].sum(axis=0)
+            out += [(int(d), int(k)) for k in np.flatnonzero(counts >= self.need)]
+        return out
+
+    def best(self, row: int, words: list[str]) -> tuple[str, float, int] | None:
+        """Name, score and first word of the best window of the row's length; the first of equal ones."""
+        name, template, s = self.rows[row]
+        n, held, common, found = min(len(template), len(words)), Counter(), 0, None
+        for i, pair in enumerate(zip(words, words[1:])):
+            held[pair] += 1
+            common += held[pair] == 1 and pair in s
+            first = i - (n - 2)
+            if first < 0:
+                continue
+            dice = 2 * common / (len(held) + len(s))
+            if dice >= self.threshold and (found is None or dice > found[1]) and agrees(name, template, words[first : first + n]):
+                found = name, dice, first
+            old = words[first], words[first + 1]
+            held[old] -= 1
+            if not held[old]:
+                del held[old]
+                common -= old in s
+        return found
+
+
+# Every citation and heading holds one of these words, so that other documents are passed over.
+ANCHORS = pa.array(sorted({w for table in phrases() for words in table for w in words if re.match(r"licen[cs]|creative|gnu$|[al]?gpl|gfdl|cc0?$|bsd$|m[p]l|epl$|eupl|cddl|ofl$|odbl|asl$|apache|unlicense|wtfpl|libpng|psf$|rights|domain$|attribution|publicdomain|bsd", w)} | {"licence", "licenced"}), pa.string())
+
+
+def _spelling(words: list[str]) -> list[str]:
+    return [{"licence": "license", "licenced": "licensed"}.get(w, w) for w in words]
+
+
 def _scan(templates, threshold):
     def run(batches):
-        match = Matcher(templates, threshold)
+        match, windows = Matcher(templates, threshold), Windows(templates, threshold)
         for b in slices(batches, "text"):
             texts = strings(b, "text").cast(pa.string())
             parts = pc.split_pattern(texts, "\n")
@@ -115,6 +227,22 @@ def _scan(templates, threshold):
                 for kind, a, z in units:
                     for name, dice in match.best(take(a, z)):
                         found.setdefault(d, []).append((-dice, name, kind, a - lo))
+            # Citations, and windows across lines.
+            text_of = doc[owner] if len(owner) else owner
+            for d in np.unique(text_of[pc.is_in(words, ANCHORS).to_numpy(zero_copy_only=False)]).tolist():
+                lo, hi = int(begins[d]), int(begins[d + 1])
+                line = owner[int(word_at[lo]) : int(word_at[hi])] - lo
+                heads = {0, *(1 + np.flatnonzero(blank[lo:hi])).tolist()}
+                for name, at in cited_names(_spelling(take(lo, hi)), line.tolist(), heads):
+                    found.setdefault(d, []).append((-1.0, name, "window", int(line[at])))
+            for d, k in windows.candidates(words, text_of):
+                lo, hi = int(begins[d]), int(begins[d + 1])
+                hit = windows.best(k, take(lo, hi))
+                if hit:
+                    found.setdefault(d, []).append((-hit[1], hit[0], "window", int(owner[int(word_at[lo]) + hit[2]]) - lo))
+            for d, hits in found.items():
+                names = versions_only({x[1] for x in hits})
+                found[d] = [x for x in hits if x[1] in names]
             top = [min(found[i]) if i in found else None for i in range(len(b))]
             get = lambda f: [None if t is None else f(t) for t in top]
             yield pa.RecordBatch.from_arrays(

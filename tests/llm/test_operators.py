@@ -500,3 +500,62 @@ def test_sql(spark, name):
 def test_shared_path_needs_a_setting(spark):
     assert common.shared_path(spark, "x").rpartition("/")[0]
     assert os.path.isdir(common.shared_path(spark, "x").rpartition("/")[0].removeprefix("file:"))
+
+
+# --- licence notices in other words
+
+
+NOTICES = [
+    ("Licensed under the MIT License.", "MIT"),
+    ("This work is licensed under the MIT License.", "MIT"),
+    ("This software is released under the MIT License.", "MIT"),
+    ("Licensed under CC BY-ND 4.0.", "CC-BY-ND-4.0"),
+    ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"),
+    ("Licensed under CC BY 3.0.", "CC-BY-3.0"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivs 3.0 Unported License.", "CC-BY-NC-ND-3.0"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International Licence.", "CC-BY-SA-4.0"),
+    ("Copyright 2020 X Inc. All rights reserved.", "Proprietary"),
+    ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+    ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"),
+    ("This work is licensed under the GNU Lesser General Public License, version 2.1.", "LGPL-2.1"),
+    ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"),
+    ("You may use it under the terms of the GNU GPL v2 or later, as you like.", "GPL-2.0"),
+    ("Released under the GNU General Public License.", "GPL"),
+    ("Code is available under the Apache License 2.0.", "Apache-2.0"),
+    ("It is distributed under the 2-clause BSD license, see there.", "BSD-2-Clause"),
+    ("// SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1"),
+    ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Everyone is permitted to copy", "GPL-3.0"),
+    ("MIT License\n\nCopyright (c) 2020 X", "MIT"),
+    ("Some words before. " + licenses.TEMPLATES["GPL-2.0"][0] + " And more words after it that belong to the same line of text, and a few others " * 3, "GPL-2.0"),
+    ("Intro\n" + licenses.TEMPLATES["GPL-3.0"][1].replace("GNU General", "GNU\nAffero General") + "\nand so on and on " * 9, "AGPL-3.0"),
+    ("One may compare the MIT entry, the licensed fishers of Apache county, and rights of others.", None),
+]
+
+
+def test_license_notices(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(NOTICES)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["license"], r["licenses"]) for r in licenses.scan_licenses(df).collect()}
+    assert [got[i] for i in range(len(NOTICES))] == [(n, [n] if n else []) for _, n in NOTICES]
+
+
+def test_license_windows_against_all_windows():
+    """Every window of a template's length, one by one."""
+    windows = licenses.Windows()
+    rng = np.random.default_rng(3)
+    for k, (name, template, s) in enumerate(windows.rows):
+        noise = [f"w{i}" for i in rng.integers(0, 9, 30)]
+        text = noise[:17] + [w for w in template if rng.random() > 0.04] + noise[17:]
+        want = None
+        for i in range(len(text) - len(template) + 1):
+            unit = text[i : i + len(template)]
+            dice = 2 * len(licenses.bigrams(unit) & s) / (len(licenses.bigrams(unit)) + len(s))
+            if dice >= licenses.THRESHOLD and licenses.agrees(name, template, unit) and (want is None or dice > want[1]):
+                want = name, dice, i
+        assert windows.best(k, text) == want
+        assert want is None or (0, k) in windows.candidates(pa.array(text), np.zeros(len(text), np.int64))
+
+
+def test_license_anchors():
+    anchors = set(licenses.ANCHORS.to_pylist())
+    assert [p for table in licenses.phrases() for p in table if not anchors & set(p)] == []
