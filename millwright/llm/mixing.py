@@ -2,7 +2,9 @@
 
 Each source's documents, in seeded random order, form a stream of words that repeats; the stream is cut into blocks
 of equal length. Slot j of the mix maps the golden-ratio point frac(j * phi) through the cumulative targets to a
-source; the r-th slot of a source takes its r-th block, up to the source's target. Targets share the total by weight, none above ``max_repeat``
+source; the r-th slot of a source takes its r-th block, up to the source's target. A source whose target is too small
+for a slot of its own gets its first block, up to its target, with ``every_source`` (as the query and the pipeline
+have it), and nothing without. Targets share the total by weight, none above ``max_repeat``
 times its source, the excess going to the others by weight until none is above.
 
 Sources sort by code point, null last, and weigh 1, 2, 3 repeating. Null text has size 0; such documents, and sources
@@ -73,9 +75,13 @@ def _prepared(docs: DataFrame, weights, max_repeat, block, seed):
     return base, plan, rows, total or 0
 
 
-def _taken(base, plan, rows, total, block, range_rows):
+def _taken(base, plan, rows, total, block, range_rows, every_source):
     """rid, pass, taken: words of each pass over a document that scheduled blocks cover."""
-    slots = materialize(schedule(plan, total, block), "mix-slots")
+    slots = materialize(schedule(plan, total, block).select("src", "block"), "mix-slots")
+    if every_source:
+        # A source without a slot has its first block.
+        missed = plan.where("target >= 1").join(slots.where("block = 0").select("src"), "src", "left_anti")
+        slots = slots.unionByName(materialize(missed.select("src", F.lit(0).cast(slots.schema["block"].dataType).alias("block")), "mix-missed"))
     used = slots.groupBy("src").agg((F.max("block") + 1).alias("blocks"))
     stop = F.least(F.col("blocks") * block, F.floor("target"))
     known = plan.join(used, "src").select("src", "source", "source_size", stop.alias("stop"), F.ceil(stop / F.col("source_size")).alias("passes")).where("stop > 0")
@@ -95,23 +101,23 @@ def _taken(base, plan, rows, total, block, range_rows):
     return pieces.select(RID, "src", "pass", "size", "block", overlap.alias("words")).join(slots.select("src", "block"), ["src", "block"])
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, block: int = BLOCK_WORDS, seed: int = SEED, range_rows: int = RANGE_ROWS) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, block: int = BLOCK_WORDS, seed: int = SEED, range_rows: int = RANGE_ROWS, every_source: bool = False) -> DataFrame:
     """One row per document: doc_id, size, source_size, target (of its source), taken (words, repeats counted)."""
     base, plan, rows, total = _prepared(docs, weights, max_repeat, block, seed)
-    taken = _taken(base, plan, rows, total, block, range_rows).groupBy(RID).agg(F.sum("words").alias("taken"))
+    taken = _taken(base, plan, rows, total, block, range_rows, every_source).groupBy(RID).agg(F.sum("words").alias("taken"))
     known = plan.select(F.col("source").alias("s"), "source_size", "target")
     out = base.join(taken, RID, "left")
     return out.join(known, out["source"].eqNullSafe(known["s"]), "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, block: int = BLOCK_WORDS, seed: int = SEED, range_rows: int = RANGE_ROWS) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, block: int = BLOCK_WORDS, seed: int = SEED, range_rows: int = RANGE_ROWS, every_source: bool = False) -> DataFrame:
     """``docs`` once for each pass of which the mix takes at least half (the schedule cuts one document a source).
 
     What a source gives is the beginning of its order, after whole passes. So a row's copies follow from its place
     against the last document of that beginning, one row a source, and texts need no shuffle.
     """
     base, plan, rows, total = _prepared(docs, weights, max_repeat, block, seed)
-    passes = _taken(base, plan, rows, total, block, range_rows).groupBy(RID, "pass").agg(F.sum("words").alias("words"), F.first("size").alias("size"))
+    passes = _taken(base, plan, rows, total, block, range_rows, every_source).groupBy(RID, "pass").agg(F.sum("words").alias("words"), F.first("size").alias("size"))
     copies = materialize(passes.where("2 * words >= size").groupBy(RID).agg(F.count("*").alias("copies")), "mix-copies")
     counted = materialize(base.where("size > 0").join(copies, RID, "left").select("source", F.struct("key", "doc_id", RID).alias("place"), F.coalesce("copies", F.lit(0)).alias("copies")), "mix-counted")
     ends = counted.groupBy("source").agg(F.min("copies").alias("whole"), F.max(F.struct("copies", "place")).alias("end"))

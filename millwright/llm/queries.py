@@ -43,7 +43,7 @@ def op6_chat_formatting(spark, sf_dir):
 
 
 def op7_source_mixing(spark, sf_dir):
-    return mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixing.mix(_table(spark, sf_dir, "documents"), every_source=True)
 
 
 def op8_simhash_dedup(spark, sf_dir):

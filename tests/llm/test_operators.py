@@ -559,3 +559,29 @@ def test_license_windows_against_all_windows():
 def test_license_anchors():
     anchors = set(licenses.ANCHORS.to_pylist())
     assert [p for table in licenses.phrases() for p in table if not anchors & set(p)] == []
+
+
+# --- a long tail of small sources
+
+
+def test_every_source_of_a_long_tail_is_mixed(spark, tmp_path):
+    tail = [(i, f"host{i % 40:02d}", "a few words of one short text") for i in range(80)]
+    big = [(1000 + i, "zbig", "word " * 700) for i in range(20)]
+    spark.createDataFrame(tail + big, "doc_id long, source string, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    of = {i: s for i, s, _ in tail + big}
+    taken, target = Counter(), {}
+    for r in queries.queries()["op7_source_mixing"](spark, str(tmp_path)).collect():
+        taken[of[r["doc_id"]]] += r["taken"]
+        target[of[r["doc_id"]]] = r["target"]
+    assert all(taken[s] == math.floor(target[s]) for s in target if target[s] < mixing.BLOCK_WORDS)
+    assert sum(t < mixing.BLOCK_WORDS for t in target.values()) == 40
+    import corpus_pipeline
+
+    mixed = {r["source"] for r in corpus_pipeline.source_mixing(spark, docs, str(tmp_path)).collect()}
+    assert mixed == set(of.values())
+    # without it, sources are missing
+    plain = Counter()
+    for r in mixing.mix(docs).collect():
+        plain[of[r["doc_id"]]] += r["taken"]
+    assert sum(plain[s] == 0 for s in target) > 5
