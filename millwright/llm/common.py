@@ -10,6 +10,7 @@ import types
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,15 +21,42 @@ WS_CLASS = r"\x20\x09-\x0D"
 WORD = rf"[^{WS_CLASS}]+"
 
 
+def row_id(df: DataFrame) -> Column:
+    """An id of each row. For a table of Parquet files it is the row's place, (hash of the file's path, row in it), which
+    no other number of cores, splits or attempts can change; two of a million files share a hash with probability 3e-8.
+    Other frames get ``monotonically_increasing_id``, which is good for one reading: see ``as_table``.
+    """
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    try:
+        df.select(place)
+    except AnalysisException:
+        return F.monotonically_increasing_id()
+    return place
+
+
+def as_table(df: DataFrame) -> DataFrame:
+    """``df`` itself if it is read from Parquet files, else a written copy: reading it twice gives the same rows and ids.
+
+    A frame that multiplies the rows of a file (an ``explode``, a join) must be written before it is handed over.
+    """
+    names = list(df.columns)
+    bare = df.toDF(*[f"c{i}" for i in range(len(names))])
+    try:
+        bare.select("_metadata.row_index")
+    except AnalysisException:
+        return materialize(bare, "rows").toDF(*names)
+    return df
+
+
 def pick(df: DataFrame, *names: str, rid: bool = False) -> DataFrame:
     """Exactly the named columns, whatever other (even equally named) columns ``df`` has; the first match counts.
 
-    ``rid`` adds a row id that is stable for a table scan, so that rows with equal or null ids stay apart.
+    ``rid`` adds ``row_id``, so that rows with equal or null ids stay apart.
     """
     found = list(df.columns)
     bare = df.toDF(*[f"__mw_{i}" for i in range(len(found))])
     cols = [F.col(f"__mw_{found.index(n)}").alias(n) for n in names]
-    return bare.select(*([F.monotonically_increasing_id().alias(RID)] if rid else []), *cols)
+    return bare.select(*([row_id(bare).alias(RID)] if rid else []), *cols)
 
 
 @contextlib.contextmanager
@@ -48,6 +76,23 @@ def with_rid(df: DataFrame) -> DataFrame:
     return df.select(F.monotonically_increasing_id().alias(RID), "*")
 
 
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Rows travel to Python in batches of about ``size`` bytes from now on, unless the session says otherwise.
+
+    It holds for the session, since the jobs of a lazy result start later; results do not depend on it.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, size)
+
+
+def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` (a table) without the rows whose id is in ``dropped`` (RID); all columns as they were."""
+    names = [f"__mw_{i}" for i in range(len(docs.columns))]
+    bare = docs.toDF(*names)
+    return join_bounded(bare.select(row_id(bare).alias(RID), *names), dropped, [RID], "left_anti").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+
+
 def join_bounded(big: DataFrame, small: DataFrame, on: list[str], how: str, limit: int = 1_000_000) -> DataFrame:
     """Join a materialised narrow table: broadcast while it has at most ``limit`` rows, else a shuffled join."""
     if small.count() <= limit:
@@ -102,16 +147,26 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def slices(batches, column: str, budget: int = 4 << 20):
-    """Cut Arrow batches where ``column`` passes ``budget`` bytes, so that work arrays stay small."""
+def slices(batches, column: str, budget: int = 1 << 20, hold: int = 8 << 20):
+    """Cut Arrow batches where ``column`` passes ``budget`` bytes, so that work arrays stay small.
+
+    Freed memory goes back to the system after every ``hold`` bytes and at the end.
+    """
+    done = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)
-        part = (np.cumsum(sizes, dtype=np.int64) - sizes) // budget
-        starts = np.flatnonzero(np.diff(part, prepend=-1))
+        upto = np.cumsum(sizes, dtype=np.int64)
+        starts = np.flatnonzero(np.diff((upto - sizes) // budget, prepend=-1))
         for lo, hi in zip(starts, [*starts[1:], batch.num_rows]):
             yield batch.slice(int(lo), int(hi - lo))
+            done += int(upto[hi - 1] - upto[lo] + sizes[lo])
+            if done >= hold:
+                done = 0
+                give_back()
+        batch = None
+    give_back()
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
