@@ -16,6 +16,8 @@ from millwright.streaming import sessions
 
 PAYLOAD = 50_000
 CLIP = 200
+# The most rows that a tool returns, and the caps of single tools.
+MOST_ROWS = 1000
 NESTED = ("attributes", "raw_xml", "body", "instructions", "parameters", "arrays", "info", "message_attributes")
 
 
@@ -39,6 +41,7 @@ def listing(frame: DataFrame, limit: int = 100, offset: int = 0, detail: str = "
         raise ValueError(f"unknown detail {detail!r}")
     order = [c for c in ("id", "name", "sequence", "key") if c in frame.columns] or [frame.columns[0]]
     shown = summarize(frame) if detail == "summary" else frame
+    limit = paging.bounded(limit, 0, MOST_ROWS, 100)
     return paging.envelope(shown, [c for c in order if c in shown.columns] or [shown.columns[0]], limit, offset)
 
 
@@ -180,7 +183,7 @@ def get_source_fragment(t, anchor, max_bytes=20_000):
 
 @tool
 def exists(t, query, kinds=None, scope=None):
-    n = t.a.search(query, kinds, scope).count()
+    n = t.a.exists(query, kinds, scope)
     return {"query": query, "exists": n > 0, "total": n}
 
 
@@ -198,25 +201,25 @@ def get_routine_slice(t, routine_id, unit_id=None, query=None, before=1, after=1
 @tool
 def get_fbd_sheet(t, sheet_id, limit=100):
     e = t.a.sheet_equations(sheet_id)
-    return {"sheet": sheet_id, "summary": [r.asDict() for r in t.a.sheet_summary().where(F.col("sheet_id") == sheet_id).collect()], "equations": [r.asDict() for r in e.orderBy("evidence_ref", "kind", "target", "expr").limit(limit).collect()]}
+    return {"sheet": sheet_id, "summary": [r.asDict() for r in t.a.sheet_summary().where(F.col("sheet_id") == sheet_id).collect()], "equations": [r.asDict() for r in e.orderBy("evidence_ref", "kind", "target", "expr").limit(paging.bounded(limit, 0, 300, 100)).collect()]}
 
 
 @tool
 def cross_reference(t, symbol, mode="exact", access=None, destructive=None, scope=None, limit=50, offset=0):
-    page = paging.envelope(t.a.cross_reference(symbol, mode, access, destructive, scope), ["routine", "source", "symbol", "access"], limit, offset)
+    page = paging.envelope(t.a.cross_reference(symbol, mode, access, destructive, scope), ["routine", "source", "symbol", "access"], paging.bounded(limit, 0, 200, 50), offset)
     facets = t.a.reference_facets(symbol, mode, access=access, destructive=destructive, scope=scope)
     return {**page, "facets": [r.asDict() for r in facets.orderBy("facet", F.desc("n"), "key").collect()]}
 
 
 @tool
 def find_references(t, symbol, limit=200):
-    return paging.envelope(t.a.references(symbol), ["routine", "source", "symbol", "access"], limit)
+    return paging.envelope(t.a.references(symbol), ["routine", "source", "symbol", "access"], paging.bounded(limit, 0, 200, 200))
 
 
 @tool
 def trace_signal(t, symbol, direction="upstream", max_depth=4, limit=100):
-    refs = paging.envelope(t.a.trace_signal(symbol, direction, max_depth), ["routine", "source", "symbol"], limit)
-    paths = [] if direction == "downstream" else [r.asDict() for r in t.a.trace_upstream(symbol, paging.bounded(max_depth, 1, 12, 4)).where("state <> 'inner'").limit(limit).collect()]
+    refs = paging.envelope(t.a.trace_signal(symbol, direction, max_depth), ["routine", "source", "symbol"], paging.bounded(limit, 0, 100, 100))
+    paths = [] if direction == "downstream" else [r.asDict() for r in t.a.trace_upstream(symbol, paging.bounded(max_depth, 1, 12, 4)).where("state <> 'inner'").limit(paging.bounded(limit, 0, 100, 100)).collect()]
     return {"symbol": symbol, "status": "limited" if direction == "downstream" else "ok", "references": refs, "paths": paths}
 
 
@@ -246,17 +249,17 @@ def decode_summary(t, tag, limit=50):
 @tool
 def aoi_instance_bindings(t, instance, limit=10):
     b = t.a.bindings().where(F.lower("instance") == instance.lower())
-    return paging.envelope(b, ["evidence_ref", "place"], limit * 25)
+    return paging.envelope(b, ["evidence_ref", "place"], 25 * paging.bounded(limit, 0, 40, 10))
 
 
 @tool
 def tag_producers_consumers(t, name):
-    return {"tag": name, "rows": [r.asDict() for r in t.a.producers_consumers(name).orderBy("role", "program", "routine").collect()]}
+    return {"tag": name, "rows": [r.asDict() for r in t.a.producers_consumers(name).orderBy("role", "program", "routine").limit(MOST_ROWS).collect()]}
 
 
 @tool
 def impact_of(t, name, max_depth=3, limit=300):
-    return paging.envelope(t.a.impact_of(name, max_depth), ["depth", "kind", "id"], limit)
+    return paging.envelope(t.a.impact_of(name, max_depth), ["depth", "kind", "id"], paging.bounded(limit, 0, MOST_ROWS, 300))
 
 
 @tool
@@ -274,7 +277,7 @@ def call_graph(t, routine=None, program=None):
 def run_diagnostics(t, rules=None, severity=None, limit=50):
     f = t.a.findings(rules, severity)
     by = {k: {r[k]: r["n"] for r in f.groupBy(k).agg(F.count("*").alias("n")).collect()} for k in ("rule", "severity")}
-    return {**paging.envelope(f, ["severity_rank", "rule", "entity", "detail"], limit), "by_rule": by["rule"], "by_severity": by["severity"]}
+    return {**paging.envelope(f, ["severity_rank", "rule", "entity", "detail"], paging.bounded(limit, 0, MOST_ROWS, 50)), "by_rule": by["rule"], "by_severity": by["severity"]}
 
 
 @tool
@@ -285,7 +288,7 @@ def sdk_status(t):
 @tool
 def runtime_evidence_summary(t, limit=50):
     latest = series.latest(sessions.read_samples(t.spark, t.runtime), ["tag"], ["ts", "seq"], ["session_id", "ts_utc", "value_json", "error"])
-    return paging.envelope(latest, ["tag"], limit)
+    return paging.envelope(latest, ["tag"], paging.bounded(limit, 0, MOST_ROWS, 50))
 
 
 @tool
@@ -331,4 +334,6 @@ def read_runtime_stream_slice(t, session_id, tag, start=None, end=None, max_poin
 def runtime_change_points(t, session_id, tag=None, max_points=200):
     rows = sessions.read_samples(t.spark, t.runtime, session_id)
     rows = rows.where(F.col("tag") == tag) if tag else rows
-    return paging.envelope(series.change_points(rows, ["session_id", "tag"], ["ts", "seq"], "value_json", "error"), ["ts", "seq"], paging.bounded(max_points, 0, 1000))
+    points = series.change_points(rows, ["session_id", "tag"], ["ts", "seq"], "value_json", "error")
+    total, few = points.count(), series.downsample(points, ["session_id"], ["ts", "seq", "tag"], paging.bounded(max_points, 0, 1000, 200))
+    return {**paging.envelope(few, ["ts", "seq", "tag"], 1000), "total": total}

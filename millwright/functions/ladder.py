@@ -11,42 +11,102 @@ from pyspark.sql import types as T
 
 from millwright.functions.text import IDENTIFIER, tag_references, without_comments, without_strings
 
-# The role of each operand of the instruction set, by groups of instructions with equal roles.
-# R reads, W writes, B does both, C calls, L is a label; +x is the role of all further operands.
-OPERAND_ROLES = """
-R: XIC XIO CMP EOT
-W: OTE OTL OTU RES CLR
-B: ONS MSG IOT
-B W: OSR OSF
-B R R: TON TOF RTO TONR TOFR RTOR CTU CTD CTUD
-R R: EQU NEQ LES LEQ GRT GEQ
-R R R: LIM MEQ
-R R W: ADD SUB MUL DIV MOD XPY AND OR XOR SWPB MVM SIZE
-R W: SQR SQRT NEG ABS LN LOG SIN COS TAN ASN ACS ATN DEG RAD TRN NOT MOV TOD FRD
-W R: CPT
-R W R: COP CPS FLL
-R R W R R: BTD
-R R B: DTR
-B R B R W R: FAL
-B R B R R: FSC
-R W B R B: FFL FFU LFL LFU AVE
-B B R R: BSL BSR
-B B R B: SRT
-R W W B R B: STD
-B R R B +R: PID
-B +R: PIDE
-R R R W: GSV
-R R R R: SSV
-B R R R R: ALMD
-B R R R R R: ALMA
-C +B: JSR
-C B R R R: FOR
-+W: SBR
-+R: RET
-L: JMP LBL
-C R: SFR SFP
-"""
-ROLE = {"R": "read", "W": "write", "B": "read_write", "C": "call", "L": "label"}
+# Each instruction, the roles of its operands in order, and the role of all further operands (None: none).
+OPERAND_ROLES = (
+    ("XIC", ("read",), None),
+    ("XIO", ("read",), None),
+    ("CMP", ("read",), None),
+    ("EOT", ("read",), None),
+    ("OTE", ("write",), None),
+    ("OTL", ("write",), None),
+    ("OTU", ("write",), None),
+    ("RES", ("write",), None),
+    ("CLR", ("write",), None),
+    ("ONS", ("read_write",), None),
+    ("MSG", ("read_write",), None),
+    ("IOT", ("read_write",), None),
+    ("OSR", ("read_write", "write"), None),
+    ("OSF", ("read_write", "write"), None),
+    ("TON", ("read_write", "read", "read"), None),
+    ("TOF", ("read_write", "read", "read"), None),
+    ("RTO", ("read_write", "read", "read"), None),
+    ("TONR", ("read_write", "read", "read"), None),
+    ("TOFR", ("read_write", "read", "read"), None),
+    ("RTOR", ("read_write", "read", "read"), None),
+    ("CTU", ("read_write", "read", "read"), None),
+    ("CTD", ("read_write", "read", "read"), None),
+    ("CTUD", ("read_write", "read", "read"), None),
+    ("EQU", ("read", "read"), None),
+    ("NEQ", ("read", "read"), None),
+    ("LES", ("read", "read"), None),
+    ("LEQ", ("read", "read"), None),
+    ("GRT", ("read", "read"), None),
+    ("GEQ", ("read", "read"), None),
+    ("LIM", ("read", "read", "read"), None),
+    ("MEQ", ("read", "read", "read"), None),
+    ("ADD", ("read", "read", "write"), None),
+    ("SUB", ("read", "read", "write"), None),
+    ("MUL", ("read", "read", "write"), None),
+    ("DIV", ("read", "read", "write"), None),
+    ("MOD", ("read", "read", "write"), None),
+    ("XPY", ("read", "read", "write"), None),
+    ("AND", ("read", "read", "write"), None),
+    ("OR", ("read", "read", "write"), None),
+    ("XOR", ("read", "read", "write"), None),
+    ("SWPB", ("read", "read", "write"), None),
+    ("MVM", ("read", "read", "write"), None),
+    ("SIZE", ("read", "read", "write"), None),
+    ("SQR", ("read", "write"), None),
+    ("SQRT", ("read", "write"), None),
+    ("NEG", ("read", "write"), None),
+    ("ABS", ("read", "write"), None),
+    ("LN", ("read", "write"), None),
+    ("LOG", ("read", "write"), None),
+    ("SIN", ("read", "write"), None),
+    ("COS", ("read", "write"), None),
+    ("TAN", ("read", "write"), None),
+    ("ASN", ("read", "write"), None),
+    ("ACS", ("read", "write"), None),
+    ("ATN", ("read", "write"), None),
+    ("DEG", ("read", "write"), None),
+    ("RAD", ("read", "write"), None),
+    ("TRN", ("read", "write"), None),
+    ("NOT", ("read", "write"), None),
+    ("MOV", ("read", "write"), None),
+    ("TOD", ("read", "write"), None),
+    ("FRD", ("read", "write"), None),
+    ("CPT", ("write", "read"), None),
+    ("COP", ("read", "write", "read"), None),
+    ("CPS", ("read", "write", "read"), None),
+    ("FLL", ("read", "write", "read"), None),
+    ("BTD", ("read", "read", "write", "read", "read"), None),
+    ("DTR", ("read", "read", "read_write"), None),
+    ("FAL", ("read_write", "read", "read_write", "read", "write", "read"), None),
+    ("FSC", ("read_write", "read", "read_write", "read", "read"), None),
+    ("FFL", ("read", "write", "read_write", "read", "read_write"), None),
+    ("FFU", ("read", "write", "read_write", "read", "read_write"), None),
+    ("LFL", ("read", "write", "read_write", "read", "read_write"), None),
+    ("LFU", ("read", "write", "read_write", "read", "read_write"), None),
+    ("AVE", ("read", "write", "read_write", "read", "read_write"), None),
+    ("BSL", ("read_write", "read_write", "read", "read"), None),
+    ("BSR", ("read_write", "read_write", "read", "read"), None),
+    ("SRT", ("read_write", "read_write", "read", "read_write"), None),
+    ("STD", ("read", "write", "write", "read_write", "read", "read_write"), None),
+    ("PID", ("read_write", "read", "read", "read_write"), "read"),
+    ("PIDE", ("read_write",), "read"),
+    ("GSV", ("read", "read", "read", "write"), None),
+    ("SSV", ("read", "read", "read", "read"), None),
+    ("ALMD", ("read_write", "read", "read", "read", "read"), None),
+    ("ALMA", ("read_write", "read", "read", "read", "read", "read"), None),
+    ("JSR", ("call",), "read_write"),
+    ("FOR", ("call", "read_write", "read", "read", "read"), None),
+    ("SBR", (), "write"),
+    ("RET", (), "read"),
+    ("JMP", ("label",), None),
+    ("LBL", ("label",), None),
+    ("SFR", ("call", "read"), None),
+    ("SFP", ("call", "read"), None),
+)
 USAGE = {"Input": "read", "Output": "write", "InOut": "read_write"}
 ALARMS = ("ALMD", "ALMA")
 
@@ -89,22 +149,18 @@ def parse_calls(text: pd.Series) -> pd.Series:
 
 def role_table(spark: SparkSession) -> DataFrame:
     """instruction, roles, rest: the operand roles of the fixed instruction set."""
-    rows = []
-    for line in OPERAND_ROLES.strip().splitlines():
-        spec, names = line.split(": ")
-        roles = [ROLE[x] for x in spec.split() if x[0] != "+"]
-        rest = next((ROLE[x[1]] for x in spec.split() if x[0] == "+"), None)
-        rows += [(n, roles, rest) for n in names.split()]
+    rows = [(name, list(roles), rest) for name, roles, rest in OPERAND_ROLES]
     return spark.createDataFrame(rows, "instruction string, roles array<string>, rest string")
 
 
 def classify(calls: DataFrame, roles: DataFrame, aoi: DataFrame) -> DataFrame:
     """Explode calls (columns instruction, args, ...) to operands with access and confidence.
 
-    The instruction set comes first, then add-on instructions (``aoi``: instruction, aoi_roles; their operand 0 is the
-    backing tag), and what neither knows is ``unknown``.
+    The instruction set comes first, then add-on instructions (``aoi``: instruction, aoi_roles, and doc where names
+    hold within a project; their operand 0 is the backing tag), and what neither knows is ``unknown``.
     """
-    rows = calls.join(F.broadcast(roles), "instruction", "left").join(aoi, "instruction", "left")
+    on = [c for c in ("doc", "instruction") if c in aoi.columns]
+    rows = calls.join(F.broadcast(roles), "instruction", "left").join(aoi, on, "left")
     rows = rows.select("*", F.posexplode("args").alias("pos", "operand"))
     listed = F.coalesce(F.get("roles", F.col("pos")), F.col("rest"), F.lit("unknown"))
     own = F.when(F.col("pos") == 0, "read_write").otherwise(F.coalesce(F.get("aoi_roles", F.col("pos") - 1), F.lit("read_write")))

@@ -38,7 +38,7 @@ def cap_and_count(frame: DataFrame, key: str, order: list, cap: int) -> DataFram
     totals = frame.groupBy(key).agg(F.count("*").alias("total"))
     rank = F.row_number().over(W.partitionBy(key).orderBy(*order))
     first = frame.withColumn("rank", rank).where(F.col("rank") <= cap)
-    return first.join(F.broadcast(totals) if cap is None else totals, key)
+    return first.join(totals, key)
 
 
 def coverage_surface(source: DataFrame, covered: DataFrame, key: str) -> DataFrame:

@@ -17,9 +17,11 @@ def impact_closure(reads: DataFrame, writes: DataFrame, start: DataFrame, max_de
     """kind ('unit' or 'item'), id, depth of all that a change reaches, by first visit.
 
     ``reads`` (unit, item): a unit that reads an affected item is affected one level deeper, and so is (at the unit's
-    level) every item of ``writes`` (unit, item) that it drives. ``start`` (item) has depth 0.
+    level) every item of ``writes`` (unit, item) that it drives. ``start`` (item) has depth 0. Both relations are read
+    as they are in each round, semi-joined to the frontier, and only what that touches is made distinct; a table sorted
+    by its join column skips what the frontier does not name.
     """
-    reads, writes = materialize(reads.select("unit", "item").distinct(), "reads"), materialize(writes.select("unit", "item").distinct(), "writes")
+    reads, writes = reads.select("unit", "item"), writes.select("unit", "item")
     items = [materialize(start.select("item").distinct().withColumn("depth", F.lit(0)), "items")]
     units: list[DataFrame] = []
     frontier = items[0]
@@ -39,30 +41,30 @@ def impact_closure(reads: DataFrame, writes: DataFrame, start: DataFrame, max_de
     return out.union(reduce(DataFrame.union, units).select(F.lit("unit"), F.col("unit").cast("string"), "depth")) if units else out
 
 
-def alias_roots(aliases: DataFrame, name: str, target: str, max_rounds: int = 40) -> DataFrame:
+def alias_roots(aliases: DataFrame, name: str, target: str) -> DataFrame:
     """name, root, hops for every alias, by doubling: each round follows a chain twice as far.
 
-    A chain that runs into a cycle ends at the cycle's smallest name.
+    A chain that runs into a cycle has the cycle's smallest name as root and no hops (null). Of several targets of a
+    name the largest counts.
     """
     edges = aliases.select(F.col(name).alias("name"), F.col(target).alias("target")).where("target is not null").groupBy("name").agg(F.max("target").alias("target"))
-    at = materialize(edges.select("name", F.col("target").alias("root"), F.lit(1).cast("long").alias("hops")), "alias")
-    for _ in range(max_rounds):
-        hop = at.select(F.col("name").alias("root"), F.col("root").alias("next"), F.col("hops").alias("more"))
-        step = at.join(hop, "root", "left")
-        # In a cycle hops double for ever; a chain of distinct names cannot be longer than their number.
-        step = step.select("name", F.coalesce("next", "root").alias("root"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.col("next").isNotNull().alias("moved"))
-        step = materialize(step, "alias")
-        at = step.select("name", "root", "hops")
-        if step.where("moved").isEmpty():
-            return at
-        if at.agg(F.min(F.when(F.col("hops") > (1 << 30), 1).otherwise(0))).first()[0]:
-            break
-    return at
-
-
-def alias_group(aliases: DataFrame, name: str, target: str, start: str, max_rounds: int = 40) -> DataFrame:
+    at = materialize(edges.select("name", F.col("target").alias("root"), F.lit(1).cast("long").alias("hops"), F.col("target").alias("low")), "alias")
+    most, reach = at.count(), 1
+    while True:
+        hop = at.select(F.col("name").alias("root"), F.col("root").alias("next"), F.col("hops").alias("more"), F.col("low").alias("lower"))
+        step = at.join(hop, "root", "left").select("name", F.coalesce("next", "root").alias("root"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.least("low", "lower").alias("low"), F.col("next").isNotNull().alias("moved"))
+        at, reach = materialize(step, "alias"), 2 * reach
+        if at.where("moved").isEmpty():
+            return at.select("name", "root", "hops")
+        if reach > most:  # what still moves goes round: its place is on a cycle, and ``low`` there has seen all of it
+            ends = at.where("moved").select(F.col("name").alias("root"), F.col("low").alias("least"))
+            out = at.join(ends, "root", "left")
+            return out.select("name", F.coalesce("least", "root").alias("root"), F.when(F.col("least").isNull(), F.col("hops")).alias("hops"))
+
+
+def alias_group(aliases: DataFrame, name: str, target: str, start: str) -> DataFrame:
     """name of everything that resolves to the same root as ``start`` (itself and the root too)."""
-    roots = materialize(alias_roots(aliases, name, target, max_rounds), "roots")
+    roots = materialize(alias_roots(aliases, name, target), "roots")
     own = roots.where(F.col("name") == F.lit(start)).select("root").first()
     root = start if own is None else own["root"]
     found = roots.where((F.col("root") == F.lit(root)) | (F.col("name") == F.lit(root))).select(F.col("name").cast("string").alias("name"))
@@ -70,23 +72,27 @@ def alias_group(aliases: DataFrame, name: str, target: str, start: str, max_roun
     return found.union(spark.createDataFrame([(str(start),), (str(root),)], "name string")).distinct()
 
 
-def tree(nodes: DataFrame, key: str, parent: str, max_depth: int = 64) -> DataFrame:
-    """key, parent, root, depth, orphan. Roots have no parent, themselves as parent, or an unknown one (orphans)."""
-    rows = materialize(nodes.select(F.col(key).alias("key"), F.col(parent).alias("parent")), "tree")
-    known = rows.select(F.col("key").alias("parent")).distinct()
-    self_or_none = F.col("parent").isNull() | (F.col("parent") == F.col("key"))
-    orphans = rows.where(~self_or_none).join(known, "parent", "left_anti").select("key", "parent")
-    level = rows.where(self_or_none).select("key", "parent", F.col("key").alias("root"), F.lit(0).alias("depth"), F.lit(False).alias("orphan"))
-    level = materialize(level.union(orphans.select("key", "parent", F.col("key"), F.lit(0), F.lit(True))), "tree")
-    levels = [level]
-    inner = rows.where(~self_or_none)
-    for depth in range(1, max_depth + 1):
-        above = level.select(F.col("key").alias("parent"), "root")
-        level = materialize(inner.join(above, "parent").select("key", "parent", "root", F.lit(depth).alias("depth"), F.lit(False).alias("orphan")), "tree")
-        if level.isEmpty():
-            break
-        levels.append(level)
-    return reduce(DataFrame.union, levels)
+def tree(nodes: DataFrame, key: str, parent: str, by: list[str] | None = None) -> DataFrame:
+    """by, key, parent, root, depth, orphan, cycle for each key (within ``by``), of any depth, by doubling.
+
+    Roots have no parent, themselves as parent, or an unknown one (orphans). What never reaches a root, because its
+    parents go round, has ``cycle`` and neither root nor depth. Of several parents of a key the smallest counts.
+    """
+    by = by or []
+    rows = nodes.groupBy(*by, F.col(key).alias("key")).agg(F.min(parent).alias("parent"))
+    known = rows.select(*by, F.col("key").alias("parent"), F.lit(True).alias("known"))
+    rows = rows.join(known, [*by, "parent"], "left")
+    top = F.col("parent").isNull() | (F.col("parent") == F.col("key"))
+    orphan = ~top & F.col("known").isNull()
+    top = top | orphan
+    at = rows.select(*by, "key", "parent", F.when(top, F.col("key")).otherwise(F.col("parent")).alias("root"), F.when(top, 0).otherwise(1).cast("long").alias("depth"), top.alias("done"), orphan.alias("orphan"))
+    at = materialize(at, "tree")
+    most, reach = at.count(), 1
+    while reach <= most and not at.where("not done").isEmpty():
+        hop = at.select(*by, F.col("key").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"), F.col("done").alias("ended"))
+        step = at.join(hop, [*by, "root"]).select(*by, "key", "parent", F.col("next").alias("root"), (F.col("depth") + F.when(F.col("done"), 0).otherwise(F.col("more"))).alias("depth"), F.col("ended").alias("done"), "orphan")
+        at, reach = materialize(step, "tree"), 2 * reach
+    return at.select(*by, "key", "parent", F.when(F.col("done"), F.col("root")).alias("root"), F.when(F.col("done"), F.col("depth")).cast("int").alias("depth"), "orphan", (~F.col("done")).alias("cycle"))
 
 
 def expand_paths(edges: DataFrame, start: DataFrame, max_depth: int, branches: int, order: list[Column]) -> DataFrame:

@@ -28,13 +28,13 @@ def absent(rows: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
     return rows.join(other.select(*on), on, "left_anti")
 
 
-def prefix_join(symbols: DataFrame, symbol: str, refs: DataFrame, ref: str) -> DataFrame:
-    """Symbols with each reference to them or to a member: an equi-join on the base, then the exact rule."""
+def prefix_join(symbols: DataFrame, symbol: str, refs: DataFrame, ref: str, by: list[str] | None = None) -> DataFrame:
+    """Symbols with each reference to them or to a member: an equi-join on the base (and ``by``), then the exact rule."""
     a = symbols.withColumn("__base", base_symbol(F.col(symbol)))
-    b = refs.withColumn("__b", base_symbol(F.col(ref)))
+    b = refs.withColumn("__base", base_symbol(F.col(ref)))
     s, r = F.col(symbol), F.col(ref)
     fits = (r == s) | F.startswith(r, F.concat(s, F.lit("."))) | F.startswith(r, F.concat(s, F.lit("[")))
-    return a.join(b, (F.col("__base") == F.col("__b")) & fits).drop("__base", "__b")
+    return a.join(b, [*(by or []), "__base"]).where(fits).drop("__base")
 
 
 def member_join(rows: DataFrame, array: str, also: str, names: DataFrame, name: str) -> DataFrame:
@@ -44,7 +44,10 @@ def member_join(rows: DataFrame, array: str, also: str, names: DataFrame, name:
 
 
 def through(left: DataFrame, right: DataFrame, via: str, frm: str, to: str) -> DataFrame:
-    """Distinct (frm, to) pairs of rows that share ``via``: one step of a flow."""
+    """Distinct (frm, to) pairs of rows that share ``via``: one step of a flow.
+
+    The pairs are what is asked for, so a ``via`` with n and m distinct ends gives n * m of them.
+    """
     return left.select(via, frm).distinct().join(right.select(via, to).distinct(), via).select(frm, to).distinct()
 
 

@@ -14,34 +14,43 @@ SEVERITIES = ("error", "warning", "info")
 CAP = 500
 
 
-def multiple_writers(writes: DataFrame, item: str, writer: str, least: int = 2, shown: int = 10) -> DataFrame:
-    """Items that several units write: writer_count and the first writers by name."""
-    pairs = writes.select(item, writer).distinct()
-    many = pairs.groupBy(item).agg(F.count("*").alias("writer_count")).where(F.col("writer_count") >= least)
-    rank = F.row_number().over(W.partitionBy(item).orderBy(writer))
-    first = pairs.withColumn("r", rank).where(F.col("r") <= shown).groupBy(item).agg(F.sort_array(F.collect_list(writer)).alias("writers"))
+def _columns(item: str | list[str]) -> list[str]:
+    return [item] if isinstance(item, str) else list(item)
+
+
+def multiple_writers(writes: DataFrame, item: str | list[str], writer: str, least: int = 2, shown: int = 10) -> DataFrame:
+    """Items (one or more columns) that several units write: writer_count and the first writers by name."""
+    item = _columns(item)
+    pairs = writes.select(*item, writer).distinct()
+    many = pairs.groupBy(*item).agg(F.count("*").alias("writer_count")).where(F.col("writer_count") >= least)
+    rank = F.row_number().over(W.partitionBy(*item).orderBy(writer))
+    first = pairs.withColumn("r", rank).where(F.col("r") <= shown).groupBy(*item).agg(F.sort_array(F.collect_list(writer)).alias("writers"))
     return many.join(first, item)
 
 
-def written_never_read(writes: DataFrame, reads: DataFrame, item: str) -> DataFrame:
-    return writes.select(item).distinct().join(reads.select(item), item, "left_anti")
+def written_never_read(writes: DataFrame, reads: DataFrame, item: str | list[str]) -> DataFrame:
+    item = _columns(item)
+    return writes.select(*item).distinct().join(reads.select(*item), item, "left_anti")
 
 
-def read_never_written(writes: DataFrame, reads: DataFrame, item: str) -> DataFrame:
-    return reads.select(item).distinct().join(writes.select(item), item, "left_anti")
+def read_never_written(writes: DataFrame, reads: DataFrame, item: str | list[str]) -> DataFrame:
+    item = _columns(item)
+    return reads.select(*item).distinct().join(writes.select(*item), item, "left_anti")
 
 
-def broken_references(refs: DataFrame, ref: str, known: list[tuple[DataFrame, str]]) -> DataFrame:
-    """Rows whose reference no list of known names has."""
+def broken_references(refs: DataFrame, ref: str, known: list[tuple[DataFrame, str]], by: list[str] | None = None) -> DataFrame:
+    """Rows whose reference no list of known names has (with equal ``by``, such as the project)."""
+    by = by or []
     out = refs.where(F.col(ref).isNotNull())
     for frame, name in known:
-        out = out.join(frame.select(F.col(name).alias(ref)), ref, "left_anti")
+        out = out.join(frame.select(*by, F.col(name).alias(ref)), [*by, ref], "left_anti")
     return out
 
 
-def unused_definitions(defined: DataFrame, name: str, uses: list[tuple[DataFrame, str]]) -> DataFrame:
-    used = union_all([f.select(F.col(c).alias(name)) for f, c in uses]).distinct()
-    return defined.join(used, name, "left_anti")
+def unused_definitions(defined: DataFrame, name: str, uses: list[tuple[DataFrame, str]], by: list[str] | None = None) -> DataFrame:
+    by = by or []
+    used = union_all([f.select(*by, F.col(c).alias(name)) for f, c in uses]).distinct()
+    return defined.join(used, [*by, name], "left_anti")
 
 
 def run(rules: dict[str, Callable[[], DataFrame]], only: list[str] | None = None, severity: str | None = None, cap: int = CAP) -> DataFrame:

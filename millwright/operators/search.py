@@ -5,9 +5,14 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millwright.sources.shared import materialize
+
 TERM = r"[a-z0-9]+"
 K1, B = 1.2, 0.75
 
@@ -23,9 +28,74 @@ def terms(text: Column) -> Column:
 
 
 def build_index(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """term, key, tf, positions: the postings, one row for each term of a document."""
-    rows = docs.select(key, F.posexplode(terms(F.col(text))).alias("pos", "term"))
-    return rows.groupBy("term", key).agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    """term, key, tf, positions: the postings, one row for each term of a document.
+
+    A posting lies within one document, so it is made where the document is read, without a shuffle; store it with
+    ``write_index``, which deals it by term.
+    """
+    bare = docs.select(F.col(key).alias("key"), F.regexp_replace(F.lower(text), r"[^a-z0-9]+", " ").alias("text"))
+    rows = bare.mapInArrow(_postings, f"term string, key {bare.schema['key'].dataType.simpleString()}, tf long, positions array<int>")
+    return rows.withColumnRenamed("key", key)
+
+
+def _postings(batches):
+    for batch in batches:
+        words = pc.ascii_split_whitespace(pc.fill_null(batch["text"], "").cast(pa.string()))
+        doc, word = pc.list_parent_indices(words), words.flatten()
+        full = pc.greater(pc.binary_length(word), 0)
+        doc, coded = doc.filter(full).to_numpy(zero_copy_only=False).astype(np.int64), word.filter(full).dictionary_encode()
+        if not len(doc):
+            continue
+        at = np.arange(len(doc)) - np.searchsorted(doc, doc)  # texts stand in order, so each begins where it is first found
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        pair = doc * len(coded.dictionary) + code
+        order = np.argsort(pair, kind="stable")
+        starts = np.flatnonzero(np.diff(pair[order], prepend=-1))
+        ends = np.append(starts[1:], len(order))
+        first = order[starts]
+        positions = pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)), pa.int32()), pa.array(at[order], pa.int32()))
+        yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[first])), batch["key"].take(pa.array(doc[first])), pa.array(ends - starts), positions], names=["term", "key", "tf", "positions"])
+
+
+def write_index(docs: DataFrame, key: str, text: str, path: str, partitions: int | None = None) -> None:
+    """Store ``docs`` with their lengths (``path/documents``), and the postings in ranges of terms, sorted (``path/postings``)."""
+    low = F.lower(text)
+    docs.withColumn("length", F.coalesce(F.regexp_count(low, F.lit(TERM)), F.lit(0))).write.mode("overwrite").parquet(f"{path}/documents")
+    rows = build_index(docs, key, text)
+    dealt = rows.repartitionByRange(partitions, "term", key) if partitions else rows.repartitionByRange("term", key)
+    dealt.sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{path}/postings")
+
+
+def ranked_by_index(documents: DataFrame, postings: DataFrame, key: str, query: str) -> DataFrame:
+    """``ranked`` from a stored index: only the postings of the query's terms are read, and lengths of their documents.
+
+    Statistics are those of the whole index. A phrase is found by its positions.
+    """
+    phrases = query_phrases(query)
+    if not phrases:
+        return documents.select(key, F.lit(0.0).alias("score")).limit(0)
+    n, mean = documents.agg(F.count("*"), F.avg("length")).first()
+    found = None
+    for i, phrase in enumerate(phrases):
+        hits = None
+        for j, term in enumerate(phrase):
+            one = postings.where(F.col("term") == term).select(key, _shifted(j).alias("at"))
+            hits = one if hits is None else hits.join(one.withColumnRenamed("at", "next"), key).select(key, F.array_intersect("at", "next").alias("at"))
+        hits = hits.select(key, F.size("at").alias(f"f{i}")).where(F.col(f"f{i}") > 0)
+        found = hits if found is None else found.join(hits, key)
+        phrases[i] = (phrase, hits.count())
+    scored = found.join(documents.select(key, F.col("length").alias("len")), key)
+    score = reduce(lambda a, b: a + b, [_term_score(F.col(f"f{i}"), df, n, mean or 1.0) for i, (_, df) in enumerate(phrases)])
+    return scored.select(key, F.round(score, 6).alias("score"))
+
+
+def _shifted(by: int) -> Column:
+    return F.transform("positions", lambda x: x - by)
+
+
+def _term_score(f: Column, df: int, n: int, mean: float) -> Column:
+    idf = F.ln(F.lit((n - df + 0.5) / (df + 0.5) + 1.0))
+    return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.lit(float(mean))))
 
 
 def _occurrences(tokens: Column, phrase: list[str]) -> Column:
@@ -50,27 +120,27 @@ def ranked(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
     maybe = [reduce(lambda a, b: a & b, [F.contains(low, F.lit(t)) for t in p]) for p in phrases]
     rows = docs.select(F.col(key), terms(F.col(text)).alias("t"), *[m.alias(f"m{i}") for i, m in enumerate(maybe)])
     counts = rows.select(key, F.size("t").alias("len"), *[F.when(F.col(f"m{i}"), _occurrences(F.col("t"), p)).otherwise(0).alias(f"f{i}") for i, p in enumerate(phrases)])
-    stats = counts.agg(F.count("*"), F.avg("len"), *[F.count_if(F.col(f"f{i}") > 0) for i in range(len(phrases))]).first()
-    n, mean = stats[0], stats[1] or 1.0
-    score = F.lit(0.0)
-    for i in range(len(phrases)):
-        idf = F.ln(F.lit((n - stats[2 + i] + 0.5) / (stats[2 + i] + 0.5) + 1.0))
-        f = F.col(f"f{i}")
-        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.lit(float(mean))))
+    counts = materialize(counts, "bm25")  # texts are read and cut into terms once
+    n, mean, *df = counts.agg(F.count("*"), F.avg("len"), *[F.count_if(F.col(f"f{i}") > 0) for i in range(len(phrases))]).first()
+    score = reduce(lambda a, b: a + b, [_term_score(F.col(f"f{i}"), d, n, mean or 1.0) for i, d in enumerate(df)])
     hit = reduce(lambda a, b: a & b, [F.col(f"f{i}") > 0 for i in range(len(phrases))])
     return counts.where(hit).select(key, F.round(score, 6).alias("score"))
 
 
-def search(docs: DataFrame, key: str, name: str, text: str, query: str, kinds: list[str] | None = None, scope: str | None = None) -> DataFrame:
-    """Ranked hits; where there are none, rows whose text or name contains the query (score 0)."""
+def search(docs: DataFrame, key: str, name: str, text: str, query: str, kinds: list[str] | None = None, scope: str | None = None, postings: DataFrame | None = None) -> DataFrame:
+    """Ranked hits; where there are none, rows whose text or name contains the query (score 0).
+
+    With ``postings`` (``docs`` then has ``length``) the stored index answers.
+    """
+    if not query.strip():
+        return docs.select("*", F.lit(0.0).alias("score")).limit(0)
+    hits = ranked(docs, key, text, query) if postings is None else ranked_by_index(docs, postings, key, query)
     if kinds:
         docs = docs.where(F.col("kind").isin(*kinds))
     if scope:
         docs = docs.where(F.col("scope") == scope)
-    if not query.strip():
-        return docs.select("*", F.lit(0.0).alias("score")).limit(0)
-    hits = ranked(docs, key, text, query)
-    if hits.isEmpty():
+    found = docs.join(hits, key)
+    if found.isEmpty():
         q = query.lower()
         return docs.where(F.contains(F.lower(text), F.lit(q)) | F.contains(F.lower(name), F.lit(q))).withColumn("score", F.lit(0.0))
-    return docs.join(hits, key)
+    return found

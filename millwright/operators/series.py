@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -95,21 +97,34 @@ def synthetic(spark: SparkSession, tags: list[str], cycles: int, kind: str = "DI
 def enforce_budget(samples: DataFrame, keys: list[str], order: list[str], value: str, error: str, limit: int = 4096) -> DataFrame:
     """Within each cycle values that no longer fit the byte budget become null with an error.
 
-    What fits depends on what was cut before, so each cycle (at most 32 samples) is one array, folded in order.
+    What fits depends on what was cut before, so a cycle is walked in order; its samples stream through a task that
+    keeps only the bytes used so far.
     """
-    columns = [*order, *[c for c in samples.columns if c not in order]]
-    cycles = samples.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("rows"))
-    size = lambda r: F.coalesce(F.octet_length(r[value]), F.lit(0))
-    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<boolean>").alias("fits"))
-
-    def step(state, row):
-        ok = state["used"] + size(row) <= limit
-        return F.struct((state["used"] + F.when(ok, size(row)).otherwise(0)).alias("used"), F.concat(state["fits"], F.array(ok)).alias("fits"))
-
-    walked = cycles.withColumn("fits", F.aggregate("rows", start, step)["fits"])
-    out = walked.select(F.inline(F.arrays_zip(F.col("rows").alias("row"), F.col("fits").alias("ok"))))
-    cut = {value: F.when(F.col("ok"), F.col("row")[value]), error: F.when(F.col("ok"), F.col("row")[error]).otherwise("sample exceeds the byte budget of its cycle")}
-    return out.select(*[cut.get(c, F.col("row")[c]).alias(c) for c in samples.columns])
+    names = [f"c{i}" for i in range(len(samples.columns))]
+    own = dict(zip(samples.columns, names))
+    inside = [own[c] for c in keys]
+    sized = samples.toDF(*names).withColumn("size", F.coalesce(F.octet_length(own[value]), F.lit(0)))
+    sized = sized.repartition(*inside).sortWithinPartitions(*inside, *[own[c] for c in order])
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sized.schema)
+    out = sized.mapInArrow(_walk(inside, own[value], own[error], limit), types)
+    return out.select(*[F.col(own[c]).alias(c) for c in samples.columns])
+
+
+def _walk(keys: list[str], value: str, error: str, limit: int):
+    def run(batches):
+        at, used = None, 0
+        for batch in batches:
+            fits = []
+            for *key, size in zip(*(batch[c].to_pylist() for c in [*keys, "size"])):
+                if key != at:
+                    at, used = key, 0
+                fits.append(used + size <= limit)
+                used += size if fits[-1] else 0
+            ok, note = pa.array(fits, pa.bool_()), pa.scalar("sample exceeds the byte budget of its cycle")
+            cut = {value: lambda c: pc.if_else(ok, c, pa.scalar(None, c.type)), error: lambda c: pc.if_else(ok, c, note.cast(c.type))}
+            yield pa.RecordBatch.from_arrays([cut.get(n, lambda c: c)(batch[n]) for n in batch.schema.names], names=batch.schema.names)
+
+    return run
 
 
 def snapshot(requested: DataFrame, results: DataFrame, tag: str, value: str, error: str) -> DataFrame:

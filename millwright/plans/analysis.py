@@ -12,16 +12,28 @@ from millwright.operators import aggregate, expressions, graph, joins, match, pa
 from millwright.operators.sets import union_all
 
 READ, WRITE = ("read", "read_write"), ("write", "read_write")
+ITEM = ["doc", "name"]
+SEP = "\x1f"  # between a project and a name in a joined key
+EVIDENCE_CHARACTERS = 240
 NO_SOURCE = ("SPACE", "NULL", "0", "FALSE", "TRUE")
-SEARCH_COLUMNS = "name id description text summary element data_type alias_for catalog_number module vendor cat_num instance_application_path engineering_unit operand tag_name message_type connection_path local_element destination_tag parent_program child_program online_edit_type node_type raw_text".split()
-SEARCHED = "symbols routines routine_units comments alarms modules module_io_points sfc_charts sfc_nodes sfc_branches source_fragments engineering_units message_parameters module_profile_fragments program_children entities".split()
+SEARCH_COLUMNS = (
+    "name", "id", "description", "text", "summary", "element", "data_type", "alias_for", "catalog_number", "module",
+    "vendor", "cat_num", "instance_application_path", "engineering_unit", "operand", "tag_name", "message_type",
+    "connection_path", "local_element", "destination_tag", "parent_program", "child_program", "online_edit_type",
+    "node_type", "raw_text",
+)
+SEARCHED = (
+    "symbols", "routines", "routine_units", "comments", "alarms", "modules", "module_io_points", "sfc_charts",
+    "sfc_nodes", "sfc_branches", "source_fragments", "engineering_units", "message_parameters",
+    "module_profile_fragments", "program_children", "entities",
+)
 # Words of an issue text that name nothing, and words that point beyond the export.
-STOP_WORDS = "the and will not run auto shows with even hmi mcc alarm".split()
-BEYOND = {
-    "needs_hmi_export_or_runtime": r"hmi|screen|display|color|colour|red|green|mcc screen|factorytalk|view|slow",
-    "needs_runtime_or_field_state": r"runtime|live|online|actual state|currently|breaker off|feedback mismatch",
-    "may_depend_on_external_controller_or_gateway": r"prosoft|modbus|serial|gateway|external|genset|ge engine|engine ecu",
-}
+STOP_WORDS = ("the", "and", "will", "not", "run", "auto", "shows", "with", "even", "hmi", "mcc", "alarm")
+BEYOND = (
+    ("needs_hmi_export_or_runtime", ("hmi", "screen", "display", "color", "colour", "red", "green", "mcc screen", "factorytalk", "view", "slow")),
+    ("needs_runtime_or_field_state", ("runtime", "live", "online", "actual state", "currently", "breaker off", "feedback mismatch")),
+    ("may_depend_on_external_controller_or_gateway", ("prosoft", "modbus", "serial", "gateway", "external", "genset", "ge engine", "engine ecu")),
+)
 
 
 class Analysis:
@@ -39,73 +51,84 @@ class Analysis:
         x = x.where(hit & match.in_list(F.col("access"), access) & match.destructive(F.col("access"), destructive))
         return x.where(F.col("program") == re.sub("^Program:", "", scope)) if scope else x
 
-    def evidence(self) -> DataFrame:
-        """source, snippet: text of every unit and node that a reference may come from."""
-        text = lambda f, *cols: f.select(F.col("id").alias("source"), clip(F.regexp_replace(F.coalesce(*[F.col(c) for c in cols], F.lit("")), r"\s+", " "), 240).alias("snippet"))
+    def unit_texts(self) -> DataFrame:
+        """doc, source, text: whole text of every unit and node that a reference may come from."""
+        text = lambda f, *cols: f.select("doc", F.col("id").alias("source"), F.coalesce(*[F.col(c) for c in cols], F.lit("")).alias("text"))
         return union_all([text(self.data.rungs if hasattr(self.data, "rungs") else self.data.routine_units, "text", "comment"), text(self.data.fbd_nodes, "operand", "instruction"), text(self.data.sfc_nodes, "st_body", "condition_body", "operand")])
 
+    def evidence(self) -> DataFrame:
+        """doc, source, snippet: ``unit_texts`` cut for display."""
+        return self.unit_texts().select("doc", "source", clip(F.regexp_replace("text", r"\s+", " "), EVIDENCE_CHARACTERS).alias("snippet"))
+
     def cross_reference(self, symbol: str, mode: str = "exact", access=None, destructive: bool | None = None, scope: str | None = None) -> DataFrame:
         """References with destructive flag and evidence, in the order routine, source, symbol."""
         x = self.references(symbol, mode, access, destructive, scope)
-        x = x.join(self.evidence(), "source", "left").withColumn("destructive", F.col("access").isin(*WRITE))
+        x = x.join(self.evidence(), ["doc", "source"], "left").withColumn("destructive", F.col("access").isin(*WRITE))
         return x.orderBy("routine", "source", "symbol")
 
     def reference_facets(self, symbol: str, mode: str = "exact", **filters) -> DataFrame:
         return aggregate.facets(self.references(symbol, mode, **filters), ["access", "instruction", "routine"])
 
     def producers_consumers(self, name: str) -> DataFrame:
-        """role, routine, program, instructions of the routines that write or read the tag."""
+        """doc, role, routine, program, instructions of the routines that write or read the tag."""
         x = self.data.xrefs.where(F.col("base_symbol") == base_of(name))
-        side = lambda wanted, role: aggregate.distinct_per_group(x.where(F.col("access").isin(*wanted)), ["routine", "routine_name", "program"], "instruction", "instructions").withColumn("role", F.lit(role))
+        side = lambda wanted, role: aggregate.distinct_per_group(x.where(F.col("access").isin(*wanted)), ["doc", "routine", "routine_name", "program"], "instruction", "instructions").withColumn("role", F.lit(role))
         return side(WRITE, "producer").unionByName(side(READ, "consumer"))
 
     # --- graphs
 
     def impact_of(self, name: str, max_depth: int = 3) -> DataFrame:
-        """kind (routine, tag, alarm), id, depth of what a change of the tag reaches."""
+        """doc, kind (routine, tag, alarm), id, depth of what a change of the tag reaches, in each project."""
         x = self.data.xrefs.where("base_symbol <> '' and routine is not null")
-        part = lambda wanted: x.where(F.col("access").isin(*wanted)).select(F.col("routine").alias("unit"), F.col("base_symbol").alias("item"))
-        start = x.sparkSession.createDataFrame([(base_of(name),)], "item string")
+        part = lambda wanted: x.where(F.col("access").isin(*wanted)).select(F.concat_ws(SEP, "doc", "routine").alias("unit"), F.concat_ws(SEP, "doc", "base_symbol").alias("item"))
+        start = self.data.controller.select(F.concat_ws(SEP, "doc", F.lit(base_of(name))).alias("item"))
         found = graph.impact_closure(part(READ), part(WRITE), start, max_depth)
-        tags = found.where("kind = 'item'")
-        alarms = self.data.alarms.withColumn("b", base_symbol(F.col("tag_name"))).join(tags.select(F.col("id").alias("b"), "depth"), "b").select(F.lit("alarm").alias("kind"), F.col("tag_name").alias("id"), "depth")
-        named = found.withColumn("kind", F.when(F.col("kind") == "item", "tag").otherwise("routine")).where("not (kind = 'tag' and depth = 0)")
-        return named.unionByName(alarms)
+        found = found.select(F.substring_index("id", SEP, 1).alias("doc"), F.when(F.col("kind") == "item", "tag").otherwise("routine").alias("kind"), F.substring_index("id", SEP, -1).alias("id"), "depth")
+        tags = found.where("kind = 'tag'").select("doc", F.col("id").alias("b"), "depth")
+        alarms = self.data.alarms.withColumn("b", base_symbol(F.col("tag_name"))).join(tags, ["doc", "b"]).select("doc", F.lit("alarm").alias("kind"), F.col("tag_name").alias("id"), "depth")
+        return found.where("not (kind = 'tag' and depth = 0)").unionByName(alarms)
 
     def alias_chain(self, name: str) -> DataFrame:
-        """Names of all tags that resolve to the same tag as ``name``."""
-        a = self.data.tags.where("alias_for <> ''").select("name", base_symbol(F.col("alias_for")).alias("target"))
-        return graph.alias_group(a, "name", "target", name)
+        """doc, name of all tags that resolve to the same tag as ``name``, in each project that has it."""
+        key = lambda c: F.concat_ws(SEP, "doc", c)
+        a = self.data.tags.where("alias_for <> ''").select(key("name").alias("name"), key(base_symbol(F.col("alias_for"))).alias("target"))
+        roots = graph.alias_roots(a, "name", "target")
+        starts = self.data.tags.where(F.col("name") == name).select(key("name").alias("name")).distinct()
+        own = starts.join(roots, "name", "left").select("name", F.coalesce("root", "name").alias("root"))
+        same = roots.join(own.select("root"), "root", "left_semi").select("name")
+        every = same.union(own.select("name")).union(own.select("root")).distinct()
+        return every.select(F.substring_index("name", SEP, 1).alias("doc"), F.substring_index("name", SEP, -1).alias("name"))
 
     def io_trace(self, name: str) -> dict[str, DataFrame]:
-        chain = self.alias_chain(name).select(F.col("name").alias("base_symbol"))
+        chain = self.alias_chain(name).select("doc", F.col("name").alias("base_symbol"))
         points = self.data.module_io_points.withColumn("base_symbol", base_symbol(F.col("operand")))
         alarms = self.data.alarms.withColumn("base_symbol", base_symbol(F.col("tag_name")))
-        refs = self.data.xrefs.join(chain, "base_symbol", "left_semi")
-        return {"chain": chain, "references": refs, "routines": refs.select("routine", "routine_name", "program").distinct(), "io_points": points.join(chain, "base_symbol", "left_semi"), "alarms": alarms.join(chain, "base_symbol", "left_semi")}
+        on = ["doc", "base_symbol"]
+        refs = self.data.xrefs.join(chain, on, "left_semi")
+        return {"chain": chain, "references": refs, "routines": refs.select("doc", "routine", "routine_name", "program").distinct(), "io_points": points.join(chain, on, "left_semi"), "alarms": alarms.join(chain, on, "left_semi")}
 
     def call_view(self, routine: str, program: str | None = None) -> DataFrame:
-        """direction, type, name: what the routine calls and who calls it."""
+        """doc, direction, type, name: what the routine calls and who calls it."""
         own = self.data.routines.where(F.col("name") == routine)
         own = own.where(F.col("program") == program) if program else own
-        ids = own.select(F.col("id").alias("routine"))
-        x = self.data.xrefs
-        aoi = self.data.aoi_definitions.select(F.upper("name").alias("op")).distinct()
-        out = x.join(ids, "routine", "left_semi")
-        calls = out.where("access = 'call'").select(F.lit("callee").alias("direction"), F.lit("routine").alias("type"), F.col("symbol").alias("name"))
-        uses = out.where("access <> 'call'").join(aoi, F.upper("instruction") == F.col("op"), "left_semi").select(F.lit("callee"), F.lit("aoi"), "instruction")
-        callers = x.where((F.col("access") == "call") & (F.col("symbol") == routine)).join(ids, "routine", "left_anti").select(F.lit("caller"), F.lit("routine"), "routine")
+        ids = own.select("doc", F.col("id").alias("routine"))
+        x = self.data.xrefs.withColumn("op", F.upper("instruction"))
+        aoi = self.data.aoi_definitions.select("doc", F.upper("name").alias("op")).distinct()
+        out = x.join(ids, ["doc", "routine"], "left_semi")
+        calls = out.where("access = 'call'").select("doc", F.lit("callee").alias("direction"), F.lit("routine").alias("type"), F.col("symbol").alias("name"))
+        uses = out.where("access <> 'call'").join(aoi, ["doc", "op"], "left_semi").select("doc", F.lit("callee"), F.lit("aoi"), "instruction")
+        callers = x.where((F.col("access") == "call") & (F.col("symbol") == routine)).join(ids, ["doc", "routine"], "left_anti").join(ids.select("doc").distinct(), "doc", "left_semi").select("doc", F.lit("caller"), F.lit("routine"), "routine")
         return calls.union(uses).union(callers).distinct()
 
     def scheduling(self) -> DataFrame:
-        """program, task (null: never scheduled)."""
-        s = self.data.tasks.select(F.col("name").alias("task"), F.explode("scheduled_programs").alias("program"))
-        return self.data.programs.select(F.col("name").alias("program")).join(s, "program", "left")
+        """doc, program, task (null: never scheduled)."""
+        s = self.data.tasks.select("doc", F.col("name").alias("task"), F.explode("scheduled_programs").alias("program"))
+        return self.data.programs.select("doc", F.col("name").alias("program")).join(s, ["doc", "program"], "left")
 
     def device_tree(self) -> DataFrame:
         m = self.data.modules
-        t = graph.tree(m.select("name", "parent_module"), "name", "parent_module")
-        return m.select("name", "id", "catalog_number", "slot", "address", "network_address", "inhibited", "major_fault").join(t.withColumnRenamed("key", "name"), "name")
+        t = graph.tree(m.select("doc", "name", "parent_module"), "name", "parent_module", ["doc"])
+        return m.select("doc", "name", "id", "catalog_number", "slot", "address", "network_address", "inhibited", "major_fault").join(t.withColumnRenamed("key", "name"), ["doc", "name"])
 
     # --- diagrams
 
@@ -194,8 +217,8 @@ class Analysis:
     def trace_upstream(self, symbol: str, max_depth: int = 4, branches: int = 3) -> DataFrame:
         """path (node ids from the target up), depth, state of the walks against the wires, across nets."""
         n = self.data.fbd_nodes
-        key = F.concat("sheet_id", F.lit("#"), "node_id")
-        wires = self.data.fbd_wires.select(F.concat("sheet_id", F.lit("#"), "to_id").alias("node"), F.concat("sheet_id", F.lit("#"), "from_id").alias("next"), F.col("id").alias("o"))
+        key = F.concat("doc", F.lit("|"), "sheet_id", F.lit("#"), "node_id")
+        wires = self.data.fbd_wires.select(F.concat("doc", F.lit("|"), "sheet_id", F.lit("#"), "to_id").alias("node"), F.concat("doc", F.lit("|"), "sheet_id", F.lit("#"), "from_id").alias("next"), F.col("id").alias("o"))
         o = n.where("node_type = 'OCon'").select("doc", "routine_id", "connector_name", key.alias("next"), F.col("id").alias("o"))
         hops = n.where("node_type = 'ICon'").select("doc", "routine_id", "connector_name", key.alias("node")).join(o, ["doc", "routine_id", "connector_name"]).select("node", "next", "o")
         driven = F.exists("parameters", lambda p: (p["argument"] == symbol) & p["kind"].isin("OutputParameter", "InOutParameter"))
@@ -220,23 +243,26 @@ class Analysis:
         hay = F.lower(F.concat_ws(" ", "tag_name", "id", "alarm_type", "alarm_class", "assoc_tags", F.transform("messages", lambda m: m["text"])))
         found = exact if not exact.isEmpty() else a.where(F.contains(hay, F.lit(q)))
         x = self.data.xrefs
-        own = x.where(F.col("access").isin(*WRITE)).select(base_symbol(F.col("symbol")).alias("tag_name")).distinct().withColumn("logic", F.lit(True))
-        src = found.select("id", F.explode("source_tags").alias("t")).withColumn("base_symbol", base_symbol(F.col("t"))).join(x.select("base_symbol").distinct(), "base_symbol").select("id").distinct().withColumn("source_logic", F.lit(True))
+        own = x.where(F.col("access").isin(*WRITE)).select("doc", base_symbol(F.col("symbol")).alias("tag_name")).distinct().withColumn("logic", F.lit(True))
+        src = found.select("doc", "id", F.explode("source_tags").alias("t")).withColumn("base_symbol", base_symbol(F.col("t"))).join(x.select("doc", "base_symbol").distinct(), ["doc", "base_symbol"]).select("doc", "id").distinct().withColumn("source_logic", F.lit(True))
         p = lambda k: F.try_element_at("parameters", F.lit(k))
         status = F.when(F.col("logic"), "plc_logic_found").when(F.col("source_logic"), "source_tag_logic_found").when(F.coalesce(p("Condition"), p("In")).isNotNull(), "alarm_config_only").otherwise("none_found")
-        rows = found.join(own, "tag_name", "left").join(src, "id", "left").withColumn("status", status)
+        rows = found.join(own, ["doc", "tag_name"], "left").join(src, ["doc", "id"], "left").withColumn("status", status)
         limits = F.array_compact(F.array(F.when(~F.col("status").isin("plc_logic_found", "source_tag_logic_found"), "no_trip_logic_found_in_this_controller"), F.when(F.exists("messages", lambda m: F.contains(F.coalesce(m["text"], F.lit("")), F.lit("%"))), "message_uses_hmi_or_alarm_server_substitution")))
         return rows.withColumn("limits", limits).drop("logic", "source_logic")
 
     def decode_summary(self, tag: str) -> DataFrame:
-        """symbol, references, alarms of what the logic that writes a summary tag mentions."""
-        w = self.references(tag, "exact", destructive=True).select("source").distinct()
-        text = w.join(self.evidence(), "source")
-        names = F.array_distinct(F.filter(F.regexp_extract_all("snippet", F.lit(IDENTIFIER), F.lit(0)), lambda s: ~F.upper(s).isin(*NOT_SYMBOLS)))
-        m = text.select(F.explode(names).alias("symbol")).where(base_symbol(F.col("symbol")) != base_of(tag)).distinct()
-        refs = joins.prefix_join(m, "symbol", self.data.xrefs.select(F.col("symbol").alias("ref")), "ref").groupBy("symbol").agg(F.count("*").alias("references"))
-        a = joins.member_join(self._alarm_sources().select("id", "tag_name", "source_tags"), "source_tags", "tag_name", m.withColumnRenamed("symbol", "s"), "s").groupBy(F.col("s").alias("symbol")).agg(F.sort_array(F.collect_set("id")).alias("alarms"))
-        return m.join(refs, "symbol", "left").join(a, "symbol", "left").withColumn("references", F.coalesce("references", F.lit(0)))
+        """doc, symbol, references, alarms of what the whole logic that writes a summary tag mentions."""
+        w = self.references(tag, "exact", destructive=True).select("doc", "source").distinct()
+        text = w.join(self.unit_texts(), ["doc", "source"])
+        names = F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0)), lambda s: ~F.upper(s).isin(*NOT_SYMBOLS)))
+        m = text.select("doc", F.explode(names).alias("symbol")).where(base_symbol(F.col("symbol")) != base_of(tag)).distinct()
+        refs = joins.prefix_join(m, "symbol", self.data.xrefs.select("doc", F.col("symbol").alias("ref")), "ref", ["doc"]).groupBy("doc", "symbol").agg(F.count("*").alias("references"))
+        keyed = lambda f, c: F.concat_ws(SEP, f["doc"], c)  # noqa: E731  a name within its project
+        s = self._alarm_sources()
+        s = s.select("id", keyed(s, F.col("tag_name")).alias("tag_name"), F.transform("source_tags", lambda t: F.concat_ws(SEP, "doc", t)).alias("source_tags"))
+        a = joins.member_join(s, "source_tags", "tag_name", m.select("doc", "symbol", keyed(m, F.col("symbol")).alias("s")), "s").groupBy("doc", "symbol").agg(F.sort_array(F.collect_set("id")).alias("alarms"))
+        return m.join(refs, ["doc", "symbol"], "left").join(a, ["doc", "symbol"], "left").withColumn("references", F.coalesce("references", F.lit(0)))
 
     # --- bundles, slices, search
 
@@ -273,8 +299,8 @@ class Analysis:
         c = self.data.sfc_charts.where(F.col("routine_id") == routine_id)
         if variant is not None:
             return c.where(F.col("online_edit_type") == variant).withColumn("ambiguous", F.lit(False))
-        n = c.groupBy("routine_id").agg((F.count("*") > 1).alias("ambiguous"))
-        return c.join(n, "routine_id")
+        n = c.groupBy("doc", "routine_id").agg((F.count("*") > 1).alias("ambiguous"))
+        return c.join(n, ["doc", "routine_id"])
 
     def source_fragment(self, anchor: str, max_bytes: int = 20_000) -> DataFrame:
         raw = F.encode("raw_xml", "UTF-8")
@@ -282,21 +308,32 @@ class Analysis:
         return self.data.source_fragments.where(F.col("id") == anchor).withColumns({"truncated": F.octet_length("raw_xml") > max_bytes, "raw_xml": F.when(F.octet_length("raw_xml") > max_bytes, cut).otherwise(F.col("raw_xml"))})
 
     def search_documents(self) -> DataFrame:
-        """key, kind, name, scope, text: what full-text search covers."""
+        """key, doc, kind, name, scope, text: what full-text search covers."""
         frames = []
         for dataset in SEARCHED:
             f = getattr(self.data, dataset)
             pick = lambda *names, f=f: F.coalesce(*[F.col(n).cast("string") for n in names if n in f.columns], F.lit(None).cast("string"))
             parts = [F.nullif(F.col(c).cast("string"), F.lit("")) for c in SEARCH_COLUMNS if c in f.columns]
             parts += [F.to_json(c) for c in ("messages",) if dict(f.dtypes).get(c, "").startswith("array")]
-            frames.append(f.select(pick("kind").alias("kind"), pick("name", "tag_name", "operand", "routine", "id").alias("name"), pick("scope", "program", "owner", "module").alias("scope"), F.concat_ws(" ", *parts).alias("text")))
+            frames.append(f.select("doc", pick("kind").alias("kind"), pick("name", "tag_name", "operand", "routine", "id").alias("name"), pick("scope", "program", "owner", "module").alias("scope"), F.concat_ws(" ", *parts).alias("text")))
         docs = union_all(frames)
-        return docs.withColumn("key", F.sha2(F.concat_ws("\0", "kind", "name", "scope", "text"), 256)).dropDuplicates(["key"])
+        return docs.withColumn("key", F.sha2(F.concat_ws("\0", "doc", "kind", "name", "scope", "text"), 256)).dropDuplicates(["key"])
 
     def search(self, query: str, kinds: list[str] | None = None, scope: str | None = None) -> DataFrame:
-        hits = search.search(self.search_documents(), "key", "name", "text", query, kinds, scope)
+        """Hits with a snippet around the first word of the query, best first; from the workspace's stored index if it has one."""
+        docs, postings = self._search_store()
+        hits = search.search(docs, "key", "name", "text", query, kinds, scope, postings).drop("length")
         return hits.withColumn("snippet", snippet(F.col("text"), query.split()[0] if query.split() else "", 80)).orderBy(F.desc("score"), "kind", "name", "key")
 
+    def _search_store(self) -> tuple[DataFrame, DataFrame | None]:
+        stored = getattr(self.data, "search_store", None)
+        return (self.search_documents(), None) if stored is None else stored()
+
+    def exists(self, query: str, kinds: list[str] | None = None, scope: str | None = None, most: int = 100) -> int:
+        """How many hits a query has, counted up to ``most``; nothing is sorted."""
+        docs, postings = self._search_store()
+        return search.search(docs, "key", "name", "text", query, kinds, scope, postings).limit(most).count()
+
     def search_logic(self, pattern: str) -> DataFrame:
         return self.data.routine_units.where(match.contains(F.coalesce("text", F.lit("")), pattern)).select("id", "routine_id", "kind", snippet(F.col("text"), pattern).alias("snippet"))
 
@@ -318,8 +355,8 @@ class Analysis:
         """Names in an issue text that the project knows, each with its reference count; and the first search hits."""
         tokens = [t for t in re.findall(r"[A-Za-z0-9_#.-]+", text) if len(t) > 2 and t.lower() not in STOP_WORDS][:12]
         known = self.data.symbols.where(F.lower("name").isin(*[t.lower() for t in tokens])) if tokens else self.data.symbols.limit(0)
-        counts = self.data.xrefs.groupBy(F.col("base_symbol").alias("name")).agg(F.count("*").alias("references"))
-        names = known.select("name", "kind", "id").join(counts, "name", "left")
+        counts = self.data.xrefs.groupBy("doc", F.col("base_symbol").alias("name")).agg(F.count("*").alias("references"))
+        names = known.select("doc", "name", "kind", "id").join(counts, ["doc", "name"], "left")
         hits = None
         for q in [text, *tokens]:
             hits = self.search(q)
@@ -330,7 +367,7 @@ class Analysis:
     @staticmethod
     def scope_limits(text: str) -> list[str]:
         """What an issue text may need beyond the export."""
-        return ["read_only_offline_export_only", *[k for k, words in BEYOND.items() if re.search(rf"\b(?:{words})\b", text.lower())]]
+        return ["read_only_offline_export_only", *[limit for limit, words in BEYOND if re.search(rf"\b(?:{'|'.join(words)})\b", text.lower())]]
 
     # --- diagnostics
 
@@ -340,19 +377,19 @@ class Analysis:
 
     def _finding(self, frame: DataFrame, rule: str, severity, entity: str, title: Column, detail: str | Column) -> DataFrame:
         level = severity if isinstance(severity, Column) else F.lit(severity)
-        return frame.select(F.lit(rule).alias("rule"), level.alias("severity"), F.col(entity).alias("entity"), title.alias("title"), (detail if isinstance(detail, Column) else F.lit(detail)).alias("detail"))
+        return frame.select("doc", F.lit(rule).alias("rule"), level.alias("severity"), F.col(entity).alias("entity"), title.alias("title"), (detail if isinstance(detail, Column) else F.lit(detail)).alias("detail"))
 
     def _known(self) -> DataFrame:
-        return windows.first_per_key(self.data.tags.select("name", "data_type", "tag_type", "alias_for", "constant", "id"), ["name"], ["id"])
+        return windows.first_per_key(self.data.tags.select("doc", "name", "data_type", "tag_type", "alias_for", "constant", "id"), ITEM, ["id"])
 
     def _accessed(self, wanted: tuple[str, ...]) -> DataFrame:
-        return self.data.xrefs.where(F.col("access").isin(*wanted) & (F.col("base_symbol") != "")).select(F.col("base_symbol").alias("name"), "routine", F.concat_ws("/", F.coalesce("program", F.substring_index("owner", ":", -1)), "routine_name").alias("label"))
+        return self.data.xrefs.where(F.col("access").isin(*wanted) & (F.col("base_symbol") != "")).select("doc", F.col("base_symbol").alias("name"), "routine", F.concat_ws("/", F.coalesce("program", F.substring_index("owner", ":", -1)), "routine_name").alias("label"))
 
     def _quoted(self, before: str, name: str, after: str) -> Column:
         return F.concat(F.lit(f"{before}'"), F.col(name), F.lit(f"'{after}"))
 
     def _rule_multiple_output(self) -> DataFrame:
-        many = rules.multiple_writers(self._accessed(("write",)), "name", "label").join(self._known(), "name")
+        many = rules.multiple_writers(self._accessed(("write",)), ITEM, "label").join(self._known(), ITEM)
         title = F.concat(F.lit("'"), "name", F.lit("' is written by "), "writer_count", F.lit(" routines"))
         return self._finding(many, "multiple_output", F.when(F.col("data_type") == "BOOL", "warning").otherwise("info"), "name", title, F.array_join("writers", ", "))
 
@@ -360,16 +397,16 @@ class Analysis:
         return self._known().where("coalesce(tag_type, '') <> 'Alias' and alias_for is null")
 
     def _rule_written_never_read(self) -> DataFrame:
-        found = rules.written_never_read(self._accessed(WRITE), self._accessed(READ), "name").join(self._plain_tags(), "name")
+        found = rules.written_never_read(self._accessed(WRITE), self._accessed(READ), ITEM).join(self._plain_tags(), ITEM)
         return self._finding(found, "written_never_read", "info", "name", self._quoted("", "name", " is written but never read"), "A dead output, or read outside of this project.")
 
     def _rule_read_never_written(self) -> DataFrame:
-        found = rules.read_never_written(self._accessed(WRITE), self._accessed(READ), "name").join(self._plain_tags().where("lower(coalesce(constant, '')) <> 'true'"), "name")
+        found = rules.read_never_written(self._accessed(WRITE), self._accessed(READ), ITEM).join(self._plain_tags().where("lower(coalesce(constant, '')) <> 'true'"), ITEM)
         return self._finding(found, "read_never_written", "info", "name", self._quoted("", "name", " is read but never written"), "Driven from outside, or never set.")
 
     def _rule_broken_alias(self) -> DataFrame:
         a = self.data.tags.where("alias_for <> '' and instr(alias_for, ':') = 0").withColumn("target", base_symbol(F.col("alias_for")))
-        found = rules.broken_references(a, "target", [(self.data.tags, "name"), (self.data.modules, "name")])
+        found = rules.broken_references(a, "target", [(self.data.tags, "name"), (self.data.modules, "name")], ["doc"])
         return self._finding(found, "broken_alias", "error", "name", self._quoted("Alias ", "name", " points to nothing known"), F.col("alias_for"))
 
     def _rule_unscheduled_program(self) -> DataFrame:
@@ -382,21 +419,21 @@ class Analysis:
         return self._finding(found, "inhibited_or_faulted_module", "warning", "name", F.concat(F.lit("Module '"), "name", F.lit("' is "), "states"), F.coalesce("catalog_number", F.lit("")))
 
     def _used_types(self) -> list[tuple[DataFrame, str]]:
-        members = self.data.data_types.select(F.explode("members").alias("m")).select(F.col("m.data_type").alias("data_type"))
+        members = self.data.data_types.select("doc", F.explode("members").alias("m")).select("doc", F.col("m.data_type").alias("data_type"))
         return [(self.data.tags, "data_type"), (self.data.aoi_parameters, "data_type"), (members, "data_type")]
 
     def _rule_aoi_never_instantiated(self) -> DataFrame:
-        a = self.data.aoi_definitions.join(self.data.xrefs.select(F.upper("instruction").alias("op")).distinct(), F.upper("name") == F.col("op"), "left_anti")
-        found = rules.unused_definitions(a, "name", self._used_types())
+        a = self.data.aoi_definitions.withColumn("op", F.upper("name")).join(self.data.xrefs.select("doc", F.upper("instruction").alias("op")).distinct(), ["doc", "op"], "left_anti")
+        found = rules.unused_definitions(a, "name", self._used_types(), ["doc"])
         return self._finding(found, "aoi_never_instantiated", "info", "name", self._quoted("Add-on instruction ", "name", " is never used"), "No call and no tag of its type.")
 
     def _rule_udt_never_used(self) -> DataFrame:
-        found = rules.unused_definitions(self.data.data_types, "name", self._used_types())
+        found = rules.unused_definitions(self.data.data_types, "name", self._used_types(), ["doc"])
         return self._finding(found, "udt_never_used", "info", "name", self._quoted("Type ", "name", " is never used"), "No tag, parameter or member has it.")
 
     def _rule_alarm_tag_unknown(self) -> DataFrame:
         a = self.data.alarms.withColumn("base", base_symbol(F.col("tag_name"))).where("base <> ''")
-        found = rules.broken_references(a, "base", [(self.data.tags, "name")])
+        found = rules.broken_references(a, "base", [(self.data.tags, "name")], ["doc"])
         return self._finding(found, "alarm_tag_unknown", "info", "tag_name", self._quoted("Alarm on ", "tag_name", " has no such tag"), "Its tag is not in the project.")
 
 

@@ -100,10 +100,17 @@ def downsample_even(t):
     return series.downsample(t.events, ["user_id"], ["ts", "event_id"], 7).select("user_id", "event_id", "ts", "value")
 
 
-@query()
+@query("""
+    WITH RECURSIVE s AS (SELECT user_id, CAST(ts AS DATE) AS day, event_id, props, coalesce(strlen(props), 0) AS n,
+                                row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id) AS i FROM events),
+    w(user_id, day, event_id, props, i, used, ok) AS (
+        SELECT user_id, day, event_id, props, i, CASE WHEN n <= 40 THEN n ELSE 0 END, n <= 40 FROM s WHERE i = 1 UNION ALL
+        SELECT s.user_id, s.day, s.event_id, s.props, s.i, w.used + CASE WHEN w.used + s.n <= 40 THEN s.n ELSE 0 END, w.used + s.n <= 40
+        FROM w JOIN s ON s.user_id = w.user_id AND s.day = w.day AND s.i = w.i + 1)
+    SELECT user_id, day, event_id, CASE WHEN ok THEN props END AS props, CASE WHEN NOT ok THEN 'sample exceeds the byte budget of its cycle' END AS error FROM w""")
 def cycle_budget(t):
     rows = t.events.select("user_id", F.to_date("ts").alias("day"), "event_id", "props", F.lit(None).cast("string").alias("error"))
-    return series.enforce_budget(rows, ["user_id", "day"], ["event_id"], "props", "error", 16)
+    return series.enforce_budget(rows, ["user_id", "day"], ["event_id"], "props", "error", 40)
 
 
 @query("""
@@ -508,12 +515,16 @@ def impact_closure(t):
 
 
 @query("""
-    WITH RECURSIVE c(name, root, hops) AS (
-        SELECT p_partkey, p_partkey // 10, 1 FROM part WHERE p_partkey >= 10 UNION ALL
-        SELECT name, root // 10, hops + 1 FROM c WHERE root >= 10)
-    SELECT name, CAST(arg_max(root, hops) AS BIGINT) AS root, CAST(max(hops) AS BIGINT) AS hops FROM c GROUP BY 1""")
+    WITH RECURSIVE a AS (SELECT p_partkey AS name, CASE p_partkey WHEN 11 THEN 12 WHEN 12 THEN 13 WHEN 13 THEN 11 ELSE p_partkey // 10 END AS target FROM part WHERE p_partkey >= 10),
+    c(name, root, hops) AS (
+        SELECT name, target, 1 FROM a UNION ALL
+        SELECT c.name, a.target, hops + 1 FROM c JOIN a ON a.name = c.root WHERE c.root NOT BETWEEN 11 AND 13),
+    e AS (SELECT name, CAST(arg_max(root, hops) AS BIGINT) AS root, CAST(max(hops) AS BIGINT) AS hops FROM c GROUP BY 1)
+    SELECT name, CASE WHEN root BETWEEN 11 AND 13 THEN 11 ELSE root END AS root, CASE WHEN root BETWEEN 11 AND 13 THEN NULL ELSE hops END AS hops FROM e""")
 def alias_closure(t):
-    return graph.alias_roots(t.part.where("p_partkey >= 10").select("p_partkey", F.expr("p_partkey div 10").alias("target")), "p_partkey", "target")
+    key = F.col("p_partkey")
+    target = F.when(key.isin(11, 12), key + 1).when(key == 13, 11).otherwise(F.expr("p_partkey div 10"))
+    return graph.alias_roots(t.part.where("p_partkey >= 10").select("p_partkey", target.alias("target")), "p_partkey", "target")
 
 
 @query("""
@@ -525,13 +536,17 @@ def unscheduled(t):
 
 
 @query("""
-    WITH RECURSIVE k AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 97 = 0 THEN c_custkey + 100000000 WHEN c_custkey < 4 THEN NULL ELSE c_custkey // 4 END AS parent FROM customer),
+    WITH RECURSIVE k AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 97 = 0 THEN c_custkey + 100000000 WHEN c_custkey < 4 THEN NULL
+                             WHEN c_custkey BETWEEN 20 AND 140 THEN c_custkey - 1 WHEN c_custkey = 141 THEN 143 WHEN c_custkey IN (142, 143) THEN c_custkey - 1
+                             ELSE c_custkey // 4 END AS parent FROM customer),
     r(key, parent, root, depth, orphan) AS (
         SELECT key, parent, key, 0, parent IS NOT NULL FROM k WHERE parent IS NULL OR parent NOT IN (SELECT key FROM k)
         UNION ALL SELECT k.key, k.parent, r.root, r.depth + 1, false FROM k JOIN r ON k.parent = r.key)
-    SELECT key, parent, root, depth, orphan FROM r""")
+    SELECT key, parent, root, depth, orphan, false AS cycle FROM r
+    UNION ALL SELECT key, parent, NULL, NULL, false, true FROM k WHERE key NOT IN (SELECT key FROM r)""")
 def device_tree(t):
-    parent = F.when(F.col("c_custkey") % 97 == 0, F.col("c_custkey") + 100000000).when(F.col("c_custkey") >= 4, F.expr("c_custkey div 4"))
+    key = F.col("c_custkey")
+    parent = F.when(key % 97 == 0, key + 100000000).when(key < 4, None).when(key.between(20, 140) | key.isin(142, 143), key - 1).when(key == 141, F.lit(143)).otherwise(F.expr("c_custkey div 4"))
     return graph.tree(t.customer.select("c_custkey", parent.alias("parent")), "c_custkey", "parent")
 
 

@@ -19,9 +19,21 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` and read it back: a lost executor costs no recomputation above this point."""
+FREE_FILES, ROWS_A_FILE = 48, 1_000_000
+
+
+def files_for(rows: int) -> int:
+    """How many files a narrow table of so many rows is worth: one for each 20,000 up to ``FREE_FILES``, then one for each million."""
+    return max(1, min(FREE_FILES, -(-rows // 20_000)), -(-rows // ROWS_A_FILE))
+
+
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` and read it back: a lost executor costs no recomputation above this point.
+
+    ``rows``: the most rows that it can have. A narrow table then has no more files than these are worth, however many
+    partitions it comes from.
+    """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(files_for(rows))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

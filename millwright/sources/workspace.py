@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from millwright.operators.search import write_index
 from millwright.operators.windows import last_per_key
 from millwright.plans.project import Project
 
@@ -44,6 +45,10 @@ class Workspace:
     def coverage(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/coverage")
 
+    def search_store(self) -> tuple[DataFrame, DataFrame]:
+        """The search documents and their postings, as ingest stored them."""
+        return tuple(self.spark.read.parquet(f"{self.path}/search/{part}") for part in ("documents", "postings"))
+
     def dataset(self, name: str, kind: str | None = None, limit: int | None = None) -> DataFrame:
         frame = getattr(self, name)
         frame = frame.where(F.col("kind") == kind) if kind else frame
@@ -53,6 +58,18 @@ class Workspace:
         return {k: self.manifest[k] for k in ("fingerprint", "controllers", "created_at", "version")}
 
 
+class Stored:
+    """The tables that an ingest has written so far, as attributes."""
+
+    def __init__(self, spark: SparkSession, path: str, names):
+        self.spark, self.path, self.names = spark, path, set(names)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in self.names:
+            raise AttributeError(name)
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+
 def indexed(frame: DataFrame) -> DataFrame:
     """One row per id: of equal ids the last in document order stays."""
     if "id" not in frame.columns or "pre" not in frame.columns:
@@ -67,14 +84,19 @@ def ingest(spark: SparkSession, source: str, path: str) -> Workspace:
     frames = project.datasets()
     for name, frame in frames.items():
         order = SORTED.get(name)
+        frame = indexed(frame)
         frame = frame.sortWithinPartitions(*order) if order else frame
         frame.write.mode("overwrite").parquet(f"{path}/{name}")
     project.coverage().write.mode("overwrite").parquet(f"{path}/coverage")
-    _purge(spark, path, {*frames, "coverage", "manifest"})
+    from millwright.plans.analysis import Analysis
+
+    stored = Stored(spark, path, frames)
+    write_index(Analysis(stored).search_documents(), "key", "text", f"{path}/search")
+    _purge(spark, path, {*frames, "coverage", "manifest", "search"})
     counts = {name: spark.read.parquet(f"{path}/{name}").count() for name in frames}
     files = spark.read.format("binaryFile").load(source).select("path", F.sha2("content", 256).alias("h"))
     fingerprint = files.agg(F.substring(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256), 1, 12)).first()[0]
-    controllers = [r["name"] for r in frames["controller"].select("name").orderBy("name").limit(100).collect()]
+    controllers = frames["controller"].agg(F.sort_array(F.collect_set("name"))).first()[0]  # one name a project file
     row = (SCHEMA_VERSION, fingerprint, controllers, source, datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"), json.dumps(counts))
     manifest = spark.createDataFrame([row], "version int, fingerprint string, controllers array<string>, source string, created_at string, counts string")
     manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
@@ -106,11 +128,11 @@ def write_jsonl(frame: DataFrame, path: str) -> None:
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Rows of JSON lines, torn or invalid lines left out; a missing path gives no rows."""
+    """Rows of JSON lines, torn or invalid lines left out; the suffix may be left out; a missing path gives no rows."""
     jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path if path.endswith(".jsonl") or "*" in path else path)
-    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not store.globStatus(where):
+    there = lambda p: bool((where := jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where))
+    path = next((p for p in (path, f"{path}.jsonl") if there(p)), None)
+    if path is None:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
