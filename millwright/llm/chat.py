@@ -5,13 +5,17 @@ of seq and folds them: ``delta`` appends its payload, ``edit`` replaces the text
 the text anew, ``delete`` removes the message. Messages stand in the order of their first event. ``render`` writes one
 segment a message; the segments of a conversation, in order, are its formatted text.
 
+``read_back`` sees only that text: it joins the segments of a conversation, finds the turns by the template, and takes
+the loss mask from their roles.
+
 The template is ``<|im_start|>role\\ntext<|im_end|>\\n``, the role URL-encoded. Control strings of this and of other known
 templates inside texts get a backslash after their first character, and backslashes are doubled, so that no text can
 pose as a turn and every text can be read back. The loss mask covers the escaped text of assistant turns alone.
 
 Null text or payload counts as empty, null role as an empty role, null conv_id is a conversation of its own. Equal
 turn numbers go by role, then by the MD5 of the text; repeated rows are separate turns. Other columns are ignored. An empty table gives
-an empty result. A conversation of any length streams through a task; it is never gathered.
+an empty result. A conversation of any length streams through a task; it is never gathered. A message is folded in one
+row, so its events must fit in memory, as its text must; very long texts and turns are whole.
 """
 
 from __future__ import annotations
@@ -24,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millwright.llm.common import column, materialize, pick
+from millwright.llm.common import RID, column, give_back, materialize, pick, small_batches
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 CONTROL = ["<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
 LOSS_ROLE = "assistant"
-SEGMENT = re.compile(r"<\|im_start\|>([^\n]*)\n(.*)<\|im_end\|>\n", re.S)
+TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
 ESCAPED = re.compile(r"\\(\\?)")
 
 
@@ -45,10 +49,27 @@ def unescape(text: str) -> str:
     return ESCAPED.sub(r"\1", text)
 
 
-def events_of_turns(turns: DataFrame) -> DataFrame:
-    """A table of finished turns (conv_id, turn, role, text) as a log: one message and one delta for each row."""
+def events_of_turns(turns: DataFrame, revised: bool = False) -> DataFrame:
+    """A table of finished turns (conv_id, turn, role, text) as a log of their messages.
+
+    Each text arrives in up to three deltas. With ``revised`` some messages (by their MD5) are first written otherwise and
+    then regenerated or edited, so that the log holds every kind of event that ends in the same messages.
+    """
     base = pick(turns, "conv_id", "turn", "role", "text", rid=True)
-    return base.select("conv_id", F.col("turn").alias("seq"), F.struct(F.coalesce("role", F.lit("")).alias("r"), F.md5(F.coalesce("text", F.lit(""))).alias("t"), F.col("__mw_rid").alias("i")).alias("msg_id"), F.lit("delta").alias("kind"), "role", F.col("text").alias("payload"))
+    text = F.coalesce("text", F.lit(""))
+    base = base.select("conv_id", "turn", "role", text.alias("text"), F.struct(F.coalesce("role", F.lit("")).alias("r"), F.md5(text).alias("t"), F.col(RID).alias("i")).alias("msg_id"))
+    part = F.ceil(F.length("text") / 3).cast("int")
+    event = lambda kind, payload: F.struct(F.lit(kind).alias("kind"), payload.alias("payload"))
+    deltas = [event("delta", F.col("text").substr(F.lit(1) + i * part, part)) for i in range(3)]
+    plain = F.array(*deltas)
+    draft = event("delta", F.lit("a draft that does not stay "))
+    regenerated = F.array(draft, event("regenerate", F.lit("")), *deltas)
+    edited = F.array(draft, deltas[0], event("edit", F.col("text")))
+    way = F.when(F.lit(revised), F.conv(F.substring("msg_id.t", 1, 1), 16, 10).cast("int") % 4).otherwise(0)
+    log = F.when(way == 1, regenerated).when(way == 2, edited).otherwise(F.filter(plain, lambda e: e["payload"] != ""))
+    log = F.when(F.size(log) == 0, F.array(event("delta", F.lit("")))).otherwise(log)
+    rows = base.select("conv_id", "turn", "msg_id", "role", F.posexplode(log).alias("step", "e"))
+    return rows.select("conv_id", F.struct("turn", "step").alias("seq"), "msg_id", "e.kind", "role", "e.payload")
 
 
 def fold(log: DataFrame) -> DataFrame:
@@ -63,40 +84,52 @@ def fold(log: DataFrame) -> DataFrame:
 
 
 def render(messages: DataFrame) -> DataFrame:
-    """One segment a message, keyed by its place, with the span of it that bears loss (empty span: none)."""
-    head = F.concat(F.lit(START), F.url_encode("role"), F.lit("\n"))
-    body = escape(F.col("text"))
-    rows = messages.select("conv_id", "seq", "msg_id", "role", head.alias("head"), body.alias("body"))
-    bears = F.col("role") == LOSS_ROLE
-    return rows.select("conv_id", "seq", "msg_id", F.concat("head", "body", F.lit(END)).alias("segment"), F.when(bears, F.length("head")).otherwise(0).alias("loss_from"), F.when(bears, F.length("head") + F.length("body")).otherwise(0).alias("loss_to"))
+    """One segment a message, keyed by its place: conv_id, seq, msg_id, segment."""
+    turn = F.concat(F.lit(START), F.url_encode("role"), F.lit("\n"), escape(F.col("text")), F.lit(END))
+    return messages.select("conv_id", "seq", "msg_id", turn.alias("segment"))
+
+
+def turns_of(text: str) -> tuple[list[tuple[str, str, bool]], int]:
+    """The turns that a formatted text begins with: role, text, whether it bears loss; and where they end."""
+    out, at = [], 0
+    while turn := TURN.match(text, at):
+        role = unquote_plus(turn.group(1))
+        out.append((role, unescape(turn.group(2)), role == LOSS_ROLE))
+        at = turn.end()
+    return out, at
 
 
 def _read_back(batches):
-    """Digests of sorted segments; state is one conversation's hashes."""
+    """Digests of the text that a conversation's segments make up; state is its hashes and what is no whole turn yet."""
     state, out = None, []
 
     def done(s):
+        if s["rest"]:
+            raise ValueError(f"conversation {s['conv']}: text that is no turn: {s['rest'][:80]!r}")
         return (s["conv"], s["turns"], s["all"].hexdigest(), s["chars"], s["loss"].hexdigest(), s["formatted"])
 
     for b in batches:
-        for conv, seg, lo, hi in zip(*(column(b, c).to_pylist() for c in ("conv_id", "segment", "loss_from", "loss_to"))):
+        for conv, segment in zip(*(column(b, c).to_pylist() for c in ("conv_id", "segment"))):
             if state is None or state["conv"] != conv:
                 if state is not None:
                     out.append(done(state))
-                state = {"conv": conv, "turns": 0, "all": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "formatted": 0}
-            role, body = SEGMENT.fullmatch(seg).groups()
-            state["turns"] += 1
-            state["all"].update(f"{unquote_plus(role)}\n{unescape(body)}\n".encode())
-            if hi > lo:
-                text = unescape(seg[lo:hi])
-                state["chars"] += len(text)
-                state["loss"].update(text.encode())
-            state["formatted"] += len(seg)
+                state = {"conv": conv, "turns": 0, "all": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "formatted": 0, "rest": ""}
+            text = state["rest"] + segment
+            turns, end = turns_of(text)
+            state["rest"] = text[end:]
+            state["formatted"] += len(segment)
+            for role, body, bears in turns:
+                state["turns"] += 1
+                state["all"].update(f"{role}\n{body}\n".encode())
+                if bears:
+                    state["chars"] += len(body)
+                    state["loss"].update(body.encode())
         if out:
             yield _rows(out)
             out = []
     if state is not None:
         yield _rows([done(state)])
+    give_back()
 
 
 def _rows(rows) -> pa.RecordBatch:
@@ -106,6 +139,7 @@ def _rows(rows) -> pa.RecordBatch:
 
 def read_back(segments: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, parsed from the formatted text."""
+    small_batches(segments.sparkSession)
     ordered = segments.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "msg_id")
     return ordered.mapInArrow(_read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 

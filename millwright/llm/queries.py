@@ -39,7 +39,7 @@ def op6_chat_formatting(spark, sf_dir):
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role")) for i, r in enumerate(("user", "assistant"))])).alias("t"))
     probe = probe.select("conv_id", "t.turn", "t.role", F.lit(PROBE).alias("text"))
-    return chat.read_back(chat.format_log(chat.events_of_turns(turns.unionByName(probe))))
+    return chat.read_back(chat.format_log(chat.events_of_turns(turns.unionByName(probe), revised=True)))
 
 
 def op7_source_mixing(spark, sf_dir):
@@ -84,10 +84,10 @@ def _quality_sql() -> str:
         l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS no FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM d)),
         m AS (SELECT doc_id, line, no, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw,
                      length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS solid,
-                     length(regexp_replace(line, '[^!-/:-@\[-`{{-~]', '', 'g')) AS marks FROM l),
+                     length(regexp_replace(line, '[^#$%&*+/<=>@\[\\\]^_`{{|}}~]', '', 'g')) AS marks FROM l),
         f AS (SELECT *, (len(lw) >= 4 AND marks >= {quality.MARKS} * greatest(solid, 1))
                      OR (len(lw) >= 4 AND len(list_filter(lw, lambda x: x IN ({separators}))) >= {quality.BARS} * len(lw))
-                     OR (len(lw) BETWEEN 1 AND 40 AND regexp_matches(line, '{quality.FURNITURE}')) AS fails FROM m),
+                     OR (len(lw) BETWEEN 1 AND {quality.FURNITURE_WORDS} AND regexp_matches(line, '{quality.FURNITURE}')) AS fails FROM m),
         u AS (SELECT doc_id, count(*) FILTER (WHERE fails) AS n_lines_removed, sum(CASE WHEN fails THEN solid ELSE 0 END) / greatest(sum(solid), 1) AS lost FROM f GROUP BY 1),
         q AS (SELECT doc_id, count(*) AS n_dup_lines FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY no) AS k FROM m WHERE len(lw) > 0) WHERE k > 1 GROUP BY 1),
         s AS (SELECT doc_id, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols FROM d),
