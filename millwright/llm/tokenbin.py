@@ -6,7 +6,7 @@ of the file gives every block's place, number of ids and plane lengths, so that
 
     magic | planes of block 0, planes of block 1, ... | documents | index | footer
 
-``documents`` is the doc_ids (int64, null as the smallest) and their numbers of ids (uint32), compressed; ``index`` is one
+``documents`` is the doc_ids (int64), their numbers of ids (uint32) and a bit each for those that are no null, compressed; ``index`` is one
 record of ``2 + planes`` unsigned 64-bit numbers a block (offset, ids, plane lengths); the footer is the offsets of both
 sections, blocks, documents, ids, planes and the magic again. Numbers are little-endian.
 
@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millwright.llm.common import arrow_rows, column, give_back, materialize, pick, shared_path, shuffle_partitions, slices, strings, worker_state
+from millwright.llm.common import column, give_back, materialize, pick, shared_path, shuffle_partitions, slices, small_batches, strings, worker_state
 
-MAGIC = b"MWPLANE1"
+MAGIC = b"MWPLANE2"
 BLOCK_IDS, END_ID, LEVEL = 1 << 16, 2, 3
-NO_ID = -(1 << 63)
+FILE_BYTES = 256 << 20  # of text to a file
 CACHE_PIECES = 250_000
 FOOTER = "<QQQQQQ8s"
 TOKENIZER = "byte_bpe_50k.json"
@@ -66,6 +66,9 @@ class PieceEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         tokenizer = Tokenizer.from_file(path)
+        # Cutting holds for a byte-level BPE that changes no text before, and whose added tokens begin with "<|".
+        marks = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.whole = not (type(tokenizer.model).__name__ == "BPE" and tokenizer.normalizer is None and isinstance(tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) and all(m.startswith("<|") for m in marks))
         self.encode, self.bpe = tokenizer.encode_batch_fast, tokenizer.model.tokenize
         self.end = np.uint32(end_id).tobytes()
         self.cache: dict[str, bytes] = {}
@@ -115,6 +118,9 @@ class PieceEncoder:
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text followed by the end id; the number of ids of each text."""
         n = len(texts)
+        if self.whole:
+            flat, size = _joined([x + self.end for x in self._ids(_list(texts))])
+            return flat, size
         parts = pc.split_pattern(texts, " ")
         pieces, doc = parts.flatten(), pc.list_parent_indices(parts).to_numpy(zero_copy_only=False).astype(np.int64)
         first = np.flatnonzero(np.diff(doc, prepend=-1))
@@ -189,6 +195,7 @@ class PlaneWriter:
         self.at, self.held, self.waiting, self.total = 0, [], 0, 0
         self.index: list[tuple[int, ...]] = []
         self.docs: list[np.ndarray] = []
+        self.known: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
         self._put(MAGIC)
 
@@ -206,8 +213,10 @@ class PlaneWriter:
             self._put(b"".join(packed))
         self.held, self.waiting = [ids[stop:]], len(ids) - stop
 
-    def add(self, doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+    def add(self, doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, known: np.ndarray | None = None) -> None:
+        """Documents with their numbers of ids, and all ids; ``known`` is false where there is no doc_id."""
         self.docs.append(doc_ids.astype("<i8"))
+        self.known.append(np.ones(len(doc_ids), bool) if known is None else known)
         self.counts.append(counts.astype("<u4"))
         self.held.append(ids)
         self.waiting += len(ids)
@@ -218,7 +227,8 @@ class PlaneWriter:
     def close(self) -> None:
         self._blocks(True)
         docs_at, n_docs = self.at, sum(map(len, self.docs))
-        self._put(self.press(b"".join(x.tobytes() for x in [*self.docs, *self.counts])))
+        known = np.packbits(np.concatenate(self.known)) if self.known else np.zeros(0, np.uint8)
+        self._put(self.press(b"".join(x.tobytes() for x in [*self.docs, *self.counts, known])))
         index_at = self.at
         self._put(np.array(self.index, "<u8").tobytes())
         self._put(struct.pack(FOOTER, docs_at, index_at, len(self.index), n_docs, self.total, self.planes, MAGIC))
@@ -238,8 +248,9 @@ class PlaneReader:
         if magic != MAGIC:
             raise ValueError("not a plane file")
         self.index = np.frombuffer(self._get(index_at, 8 * blocks * (2 + planes)), "<u8").reshape(blocks, 2 + planes)
-        raw = self.open(self._get(docs_at, index_at - docs_at), max_output_size=12 * n_docs + 1) if n_docs else b""
-        self.doc_ids, self.counts = np.frombuffer(raw, "<i8", n_docs), np.frombuffer(raw, "<u4", offset=8 * n_docs)
+        raw = self.open(self._get(docs_at, index_at - docs_at), max_output_size=13 * n_docs + 1) if n_docs else b""
+        self.doc_ids, self.counts = np.frombuffer(raw, "<i8", n_docs), np.frombuffer(raw, "<u4", n_docs, offset=8 * n_docs)
+        self.known = np.unpackbits(np.frombuffer(raw, np.uint8, offset=12 * n_docs), count=n_docs).astype(bool)
 
     def _get(self, at: int, size: int) -> bytes:
         self.source.seek(int(at))
@@ -252,15 +263,15 @@ class PlaneReader:
         return from_planes([self.open(data[e - s : e]) for s, e in zip(sizes, ends)], n)
 
     def documents(self):
-        """doc_id and ids of each document, in order."""
+        """doc_id (None where there is none) and ids of each document, in order."""
         held, blocks = np.zeros(0, np.uint32), iter(range(len(self.index)))
-        for doc, n in zip(self.doc_ids.tolist(), self.counts.tolist()):
+        for doc, known, n in zip(self.doc_ids.tolist(), self.known.tolist(), self.counts.tolist()):
             parts, have = [held], len(held)
             while have < n:
                 parts.append(self.block(next(blocks)))
                 have += len(parts[-1])
             ids = np.concatenate(parts) if len(parts) > 1 else held
-            yield doc, ids[:n]
+            yield doc if known else None, ids[:n]
             held = ids[n:]
 
 
@@ -270,7 +281,10 @@ class PlaneReader:
 def _filesystem(path: str):
     from pyarrow import fs
 
-    return (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
+    if path.startswith("/"):
+        return fs.LocalFileSystem(), path
+    scheme, _, rest = path.partition("://")  # Hadoop's names of object stores; abfs, gs, hdfs and file are the same in both
+    return fs.FileSystem.from_uri(path if not rest else f"{ {'s3a': 's3', 's3n': 's3', 'wasb': 'abfs', 'wasbs': 'abfss'}.get(scheme, scheme) }://{rest}")
 
 
 def _write(path: str, tokenizer: str, end_id: int, planes: int, block: int):
@@ -287,8 +301,8 @@ def _write(path: str, tokenizer: str, end_id: int, planes: int, block: int):
                 name = f"part-{part:06d}-{uuid.uuid4().hex}.planes"
                 writer = PlaneWriter(store.open_output_stream(f"{folder}/{name}"), planes, block)
             ids, counts = encode(strings(b, "text").cast(pa.string()))
-            docs = pc.fill_null(column(b, "doc_id").cast(pa.int64()), NO_ID).to_numpy(zero_copy_only=False)
-            writer.add(docs, counts, ids)
+            docs = column(b, "doc_id").cast(pa.int64())
+            writer.add(pc.fill_null(docs, 0).to_numpy(zero_copy_only=False), counts, ids, pc.is_valid(docs).to_numpy(zero_copy_only=False))
         if writer is not None:
             writer.close()
             give_back()
@@ -302,10 +316,13 @@ def write_tokens(docs: DataFrame, path: str | None = None, tokenizer: str | None
     spark = docs.sparkSession
     path = path or shared_path(spark, "tokens")
     base = pick(docs, "doc_id", "text").withColumn("tie", F.xxhash64("text"))
-    ranged = base.repartitionByRange(files or shuffle_partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    small_batches(spark)
+    if files is None:
+        volume = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        files = max(shuffle_partitions(spark), -(-volume // FILE_BYTES))
+    ranged = base.repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     written = ranged.mapInArrow(_write(path, tokenizer or tokenizer_path(), end_id, planes, block), "file_no long, file string, n_docs long, n_ids long")
-    with arrow_rows(spark, 1000):  # a task holds a batch, its pieces and their cache
-        manifest = materialize(written, "tokens-manifest")
+    manifest = materialize(written, "tokens-manifest")
     before = W.orderBy("file_no").rowsBetween(W.unboundedPreceding, -1)  # one row per file
     return manifest.select("file_no", F.concat(F.lit(f"{path}/"), "file").alias("file"), "n_docs", "n_ids", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start"))
 
@@ -317,13 +334,14 @@ def _read(batches):
             at, out = row["start"], []
             with store.open_input_file(file) as source:
                 for doc, ids in PlaneReader(source).documents():
-                    out.append((None if doc == NO_ID else doc, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                    out.append((doc, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                     at += len(ids)
                     if len(out) == 8192:
                         yield _digest(out)
                         out = []
             if out:
                 yield _digest(out)
+    give_back()
 
 
 def _digest(rows) -> pa.RecordBatch:
@@ -333,4 +351,4 @@ def _digest(rows) -> pa.RecordBatch:
 def read_digests(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, read from the files of the manifest."""
     files = manifest.select("file", "start")
-    return files.repartition(max(1, shuffle_partitions(manifest.sparkSession)), "file").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(max(1, shuffle_partitions(manifest.sparkSession), manifest.count()), "file").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
