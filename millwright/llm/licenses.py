@@ -19,6 +19,7 @@ first unit. Whole texts are read. An empty table gives an empty result; other co
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 import numpy as np
@@ -26,8 +27,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from millwright.llm.common import column, pick, slices, split_words, strings
-from millwright.llm.license_notices import GRANTS, cited_names, phrases, versions_only
+from millwright.llm.common import column, pick, slices, small_batches, split_words, strings
+from millwright.llm.license_notices import FULL_TEXTS, GRANTS, cited_names, phrases, versions_only
 
 THRESHOLD, WINDOW_WORDS = 0.8, 10
 # Licence notices and grants as published by their authors (fixed values).
@@ -47,7 +48,7 @@ TEMPLATES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
     "GPL-2.0": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."],
+    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
@@ -57,6 +58,8 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
     "Proprietary": ["All rights reserved."],
 }
+for _name, _texts in FULL_TEXTS.items():
+    TEMPLATES[_name] = [*TEMPLATES.get(_name, []), *_texts]
 
 
 def normalise(texts: pa.Array) -> pa.Array:
@@ -78,12 +81,13 @@ KINDS = {
     "nc": r"\bnc\b|\bnon ?commercial\b",
     "sa": r"\bsa\b|\bshare ?alike\b",
     "nd": r"\bnd\b|\bno ?deriv",
+    "endorse": r"\bendorse or promote\b",
 }
 
 
 def kinds(words: list[str], name: str) -> set[str]:
     """Which words of KINDS that tell licences of the name's family apart occur."""
-    own = ("nc", "sa", "nd") if name.startswith("CC-") else ("lesser", "affero") if "GPL" in name else ()
+    own = ("nc", "sa", "nd") if name.startswith("CC-") else ("lesser", "affero") if "GPL" in name else ("endorse",) if name.startswith("BSD-") else ()
     return {k for k in own if re.search(KINDS[k], " ".join(words))}
 
 
@@ -111,20 +115,22 @@ class Matcher:
         self.threshold = threshold
         texts = [(name, t) for name, ts in sorted(templates.items()) for t in ts]
         sets = [bigrams(t.split()) for t in normalise(pa.array([t for _, t in texts])).to_pylist()]
-        self.rows = [(name, s, *size_bounds(len(s), threshold)) for (name, _), s in zip(texts, sets) if s]
-        self.texts = [t.split() for t, s in zip(normalise(pa.array([t for _, t in texts])).to_pylist(), sets) if s]
+        split = [t.split() for t in normalise(pa.array([t for _, t in texts])).to_pylist()]
+        # By size, so that the bounds on a unit's size name a slice of them.
+        self.rows = sorted(((name, s, t) for (name, _), s, t in zip(texts, sets, split) if s), key=lambda r: len(r[1]))
+        self.sizes = [len(s) for _, s, _ in self.rows]
         # A unit has at least as many words as distinct bigrams and one, so few words rule it out at once.
-        self.least = min((lo for *_, lo, _ in self.rows), default=1)
-        self.vocabulary = pa.array(sorted({w for _, s, *_ in self.rows for pair in s for w in pair}), pa.string())
+        self.least = size_bounds(self.sizes[0], threshold)[0] if self.sizes else 1
+        self.vocabulary = pa.array(sorted({w for _, s, _ in self.rows for pair in s for w in pair}), pa.string())
 
     def best(self, words: list[str]) -> list[tuple[str, float]]:
         """Templates at or over the threshold, each with its best score."""
         unit, found = bigrams(words), {}
-        for (name, s, lo, hi), text in zip(self.rows, self.texts):
-            if lo <= len(unit) <= hi:
-                dice = 2 * len(unit & s) / (len(unit) + len(s))
-                if dice >= self.threshold and agrees(name, text, words):
-                    found[name] = max(dice, found.get(name, 0.0))
+        lo, hi = size_bounds(len(unit), self.threshold)  # the bounds hold both ways
+        for name, s, text in self.rows[bisect_left(self.sizes, lo) : bisect_right(self.sizes, hi)]:
+            dice = 2 * len(unit & s) / (len(unit) + len(s))
+            if dice >= self.threshold and agrees(name, text, words):
+                found[name] = max(dice, found.get(name, 0.0))
         return list(found.items())
 
     def candidates(self, known: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -255,4 +261,5 @@ def _scan(templates, threshold):
 
 def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, license, dice, unit, line_no (from 0), licenses, for each document."""
+    small_batches(docs.sparkSession)
     return pick(docs, "doc_id", "text").mapInArrow(_scan(templates, threshold), "doc_id long, license string, dice double, unit string, line_no long, licenses array<string>")
