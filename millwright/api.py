@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from millwright.functions.text import clip
 from millwright.operators import match, paging, series
+from millwright.plans import answers
 from millwright.plans.analysis import Analysis
 from millwright.sources.workspace import Workspace
 from millwright.streaming import sessions
@@ -57,10 +59,17 @@ class Tools:
         self.a = Analysis(self.data)
         self.captures: dict[str, object] = {}
 
-    def call(self, tool: str, **arguments) -> dict:
-        """Run a tool by name; a result over the budget is cut to its first items and says so."""
+    def call(self, tool: str, spill: bool = False, **arguments) -> dict:
+        """Run a tool by name; a result over the budget is cut to its first items and says so.
+
+        With ``spill`` the whole of such a result is also written as text under its hash, and ``spilled`` names the path.
+        """
         result = TOOLS[tool](self, **arguments)
         text = json.dumps(result, default=str)
+        if spill and len(text) > PAYLOAD:
+            path = f"{self.data.path}/spill/{tool}-{hashlib.sha256(text.encode()).hexdigest()[:16]}"
+            self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+            result = {**result, "spilled": path, "spilled_characters": len(text)}
         while len(text) > PAYLOAD and isinstance(result.get("items"), list) and len(result["items"]) > 1:
             result = {**result, "items": result["items"][: len(result["items"]) // 2], "truncated": True, "has_more": True}
             text = json.dumps(result, default=str)
@@ -194,14 +203,15 @@ def get_operand_context(t, operand, scope=None):
 
 
 @tool
-def get_routine_slice(t, routine_id, unit_id=None, query=None, before=1, after=1):
-    return listing(t.a.routine_slice(routine_id, unit_id, query, before, after), 50)
+def get_routine_slice(t, routine_id, unit_id=None, query=None, before=1, after=1, chart_id=None, sheet=None):
+    return {**listing(t.a.routine_slice(routine_id, unit_id, query, before, after, chart_id, sheet), 50), "limits": [r.asDict() for r in t.a.coverage_limits("routine").collect()]}
 
 
 @tool
-def get_fbd_sheet(t, sheet_id, limit=100):
-    e = t.a.sheet_equations(sheet_id)
-    return {"sheet": sheet_id, "summary": [r.asDict() for r in t.a.sheet_summary().where(F.col("sheet_id") == sheet_id).collect()], "equations": [r.asDict() for r in e.orderBy("evidence_ref", "kind", "target", "expr").limit(paging.bounded(limit, 0, 300, 100)).collect()]}
+def get_fbd_sheet(t, sheet_id=None, program=None, routine=None, routine_id=None, sheet=None, form="pseudo", limit=100):
+    if sheet_id is not None:  # a sheet's id begins with its routine's
+        routine_id, sheet = sheet_id.rsplit(".Sheet:", 1)[0], sheet_id
+    return answers.sheet_answer(t.a, routine_id, routine, program, sheet, form, limit)
 
 
 @tool
@@ -218,9 +228,7 @@ def find_references(t, symbol, limit=200):
 
 @tool
 def trace_signal(t, symbol, direction="upstream", max_depth=4, limit=100):
-    refs = paging.envelope(t.a.trace_signal(symbol, direction, max_depth), ["routine", "source", "symbol"], paging.bounded(limit, 0, 100, 100))
-    paths = [] if direction == "downstream" else [r.asDict() for r in t.a.trace_upstream(symbol, paging.bounded(max_depth, 1, 12, 4)).where("state <> 'inner'").limit(paging.bounded(limit, 0, 100, 100)).collect()]
-    return {"symbol": symbol, "status": "limited" if direction == "downstream" else "ok", "references": refs, "paths": paths}
+    return answers.trace_answer(t.a, symbol, direction, max_depth, limit)
 
 
 @tool
@@ -298,30 +306,41 @@ def read_tags_now(t, tags, kind="DINT"):
 
 
 @tool
-def start_runtime_capture(t, tags, interval_ms=1000, duration_seconds=60, session_id=None):
+def start_runtime_capture(t, tags, interval_ms=1000, duration_seconds=60, session_id=None, wait=False):
+    """Starts a capture in this process; with ``wait`` returns when it has ended."""
     sid = session_id or sessions.new_session_id()
     sessions.check_limits(interval_ms, duration_seconds)
-    sessions.create_session(t.spark, t.runtime, sid, tags, interval_ms)
+    identity = ",".join(t.data.manifest["controllers"][:5])
+    sessions.create_session(t.spark, t.runtime, sid, tags, interval_ms, duration_seconds, identity, t.runtime)
     t.captures[sid] = sessions.capture(t.spark, t.runtime, sid, tags, interval_ms, duration_seconds)
-    return {"session_id": sid, "status": "running"}
+    if wait:
+        t.captures[sid].awaitTermination()
+    return runtime_capture_status(t, sid)
 
 
 @tool
 def runtime_capture_status(t, session_id):
+    """The state that the capture wrote, whatever process it runs in."""
+    row = sessions.states(t.spark, t.runtime).where(F.col("session_id") == session_id).first()
     q = t.captures.get(session_id)
-    return {"session_id": session_id, "status": "unknown" if q is None else "running" if q.isActive else "failed" if q.exception() else "stopped"}
+    if q is not None and not q.isActive and q.exception() and row["status"] == sessions.RUNNING:
+        sessions.write_state(t.spark, t.runtime, session_id, sessions.FAILED, row["version"] + 1, row["cycles"], row["samples"], row["errors"], str(q.exception())[:500])
+        row = sessions.states(t.spark, t.runtime).where(F.col("session_id") == session_id).first()
+    return {"session_id": session_id, "status": "unknown"} if row is None else row.asDict()
 
 
 @tool
 def stop_runtime_capture(t, session_id):
+    """Asks for the end of a capture; waits for it where it runs in this process."""
+    sessions.request_stop(t.spark, t.runtime, session_id)
     if session_id in t.captures:
-        t.captures[session_id].stop()
-    return runtime_capture_status(t, session_id)
+        t.captures[session_id].awaitTermination(60)
+    return {**runtime_capture_status(t, session_id), "stop_requested": True}
 
 
 @tool
-def list_runtime_sessions(t, limit=50, offset=0):
-    return paging.envelope(sessions.sessions(t.spark, t.runtime), [F.desc("created_at"), F.desc("session_id")], paging.bounded(limit, 0, 1000), offset)
+def list_runtime_sessions(t, status=None, limit=50, offset=0):
+    return paging.envelope(sessions.sessions(t.spark, t.runtime, status), [F.desc("created_at"), F.desc("session_id")], paging.bounded(limit, 0, MOST_ROWS), offset)
 
 
 @tool

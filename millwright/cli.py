@@ -44,6 +44,8 @@ def main(argv: list[str] | None = None) -> int:
             print(json.dumps(tools.call(request["tool"], **request.get("arguments", {})), default=str), flush=True)
         return 0
     else:
+        if known.command.startswith("runtime-capture-") and COMMANDS[known.command] == "start_runtime_capture":
+            arguments.setdefault("wait", True)  # the capture runs in this process; another one may ask it to stop
         out = Tools(spark, known.workspace).call(COMMANDS.get(known.command, known.command), **arguments)
     print(json.dumps(out, default=str))
     return 0

@@ -34,7 +34,26 @@ def views(data) -> DataFrame:
     points = table(data.module_io_points, ["module"], ["role", "operand", "point", "description"], ["role", "operand"])
     params = table(data.aoi_parameters, ["aoi"], ["name", "usage", "data_type", "required"], ["sib"])
     alarms = table(data.alarms, ["alarm_class"], ["tag_name", "alarm_type", "severity"], ["tag_name"])
+    modules = table(data.modules, ["doc"], ["name", "catalog_number", "parent_module", "slot", "address", "inhibited"], ["name", "id"])
+    tasks = table(data.tasks.withColumn("programs", F.array_join("scheduled_programs", ", ")), ["doc"], ["name", "task_type", "rate", "priority", "programs"], ["name"])
+    programs = table(data.programs, ["doc"], ["name", "main_routine", "fault_routine", "description"], ["name"])
+    comments = table(data.comments, ["owner"], ["target", "text"], ["target", "id"], MOST_REFERENCES)
+    messages = table(data.messages, ["tag_name"], ["message_type", "lang", "text"], ["message_no", "text_no"])
+    charts = table(data.sfc_nodes, ["chart_id"], ["node_type", "node_id", "operand", "condition_body", "st_body"], ["pre"])
+    transfers = table(data.message_parameters, ["doc"], ["tag_name", "message_type", "connection_path", "destination_tag"], ["tag_name", "id"])
+    metadata = table(data.controller_metadata, ["doc"], ["element", "name", "text"], ["element", "id"])
+    covered = table(data.coverage(), ["priority"], ["surface", "source_count", "covered_count", "missing_count"], ["surface"])
+    of = lambda c: F.regexp_extract(F.col(c), r"([^/]*)$", 1)  # noqa: E731  the file of a project
     frames = [
+        page(modules, "modules", of("doc"), F.concat(F.lit("Modules of "), of("doc"))),
+        page(tasks, "tasks", of("doc"), F.concat(F.lit("Tasks of "), of("doc"))),
+        page(programs, "programs", of("doc"), F.concat(F.lit("Programs of "), of("doc"))),
+        page(comments, "comments", F.coalesce("owner", F.lit("none")), F.concat(F.lit("Comments of "), F.coalesce("owner", F.lit("none")))),
+        page(messages, "messages", F.col("tag_name"), F.concat(F.lit("Messages of "), "tag_name")),
+        page(charts, "charts", F.col("chart_id"), F.concat(F.lit("Chart "), "chart_id")),
+        page(transfers, "transfers", of("doc"), F.concat(F.lit("Message transfers of "), of("doc"))),
+        page(metadata, "metadata", of("doc"), F.concat(F.lit("Controller metadata of "), of("doc"))),
+        page(covered, "coverage", F.col("priority"), F.concat(F.lit("Coverage "), "priority")),
         page(tags, "tags", F.concat_ws("_", "scope_type", "scope"), F.concat_ws(" ", F.lit("Tags of"), "scope_type", "scope")),
         page(refs, "references", F.col("routine_id"), F.concat(F.lit("References of "), "routine_id")),
         page(text, "routines", F.col("id"), F.concat(F.lit("Routine "), "id")),

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+import os
+import warnings
 from datetime import UTC, datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -97,8 +100,10 @@ def ingest(spark: SparkSession, source: str, path: str) -> Workspace:
     files = spark.read.format("binaryFile").load(source).select("path", F.sha2("content", 256).alias("h"))
     fingerprint = files.agg(F.substring(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256), 1, 12)).first()[0]
     controllers = frames["controller"].agg(F.sort_array(F.collect_set("name"))).first()[0]  # one name a project file
-    row = (SCHEMA_VERSION, fingerprint, controllers, source, datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"), json.dumps(counts))
-    manifest = spark.createDataFrame([row], "version int, fingerprint string, controllers array<string>, source string, created_at string, counts string")
+    dates = project.nodes.where("depth = 0").select(F.try_element_at("attrs", F.lit("ExportDate")).alias("export_date"))
+    exported = dates.agg(F.max_by("export_date", export_time(F.col("export_date")))).first()[0]
+    row = (SCHEMA_VERSION, fingerprint, exported, controllers, source, datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"), json.dumps(counts))
+    manifest = spark.createDataFrame([row], "version int, fingerprint string, export_date string, controllers array<string>, source string, created_at string, counts string")
     manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
     return Workspace(spark, path)
 
@@ -137,7 +142,33 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> Data
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def export_time(text):
+    """An export date such as ``Tue Jan 02 10:00:00 2024`` as a timestamp; null where it is none."""
+    return F.try_to_timestamp(F.regexp_replace(F.regexp_replace(text, r"^\w{3}\s+", ""), r"\s+", " "), F.lit("MMM d HH:mm:ss yyyy"))
+
+
 def newest(candidates: DataFrame) -> DataFrame:
     """The workspace with the latest export date, then fingerprint, then path, of rows (path, export_date, fingerprint)."""
-    at = F.try_to_timestamp(F.regexp_replace(F.regexp_replace("export_date", r"^\w{3}\s+", ""), r"\s+", " "), F.lit("MMM d HH:mm:ss yyyy"))
-    return candidates.groupBy().agg(F.max_by("path", F.struct(at, "fingerprint", "path")).alias("path"))
+    return candidates.groupBy().agg(F.max_by("path", F.struct(export_time(F.col("export_date")), "fingerprint", "path")).alias("path"))
+
+
+def find_workspace(spark: SparkSession, root: str, declared: str | None = None, variable: str = "MILLWRIGHT_WORKSPACE") -> str:
+    """The workspace to use: the one that the environment names, else the declared one, else the only one under ``root``.
+
+    A declared workspace is kept even where another has a later export, with a warning.
+    """
+    if path := os.environ.get(variable):
+        return path
+    try:
+        found = spark.read.json(f"{root.rstrip('/')}/*/manifest", multiLine=True).select(F.regexp_extract(F.input_file_name(), r"^(.*)/manifest/[^/]*$", 1).alias("path"), "export_date", "fingerprint")
+        paths = [r["path"] for r in found.orderBy("path").limit(1000).collect()]
+    except AnalysisException:
+        paths = []
+    if declared:
+        latest = newest(found).first()["path"] if paths else None
+        if latest and latest.rsplit("/", 1)[-1] != declared.rstrip("/").rsplit("/", 1)[-1]:
+            warnings.warn(f"{latest} has a later export than the declared {declared}", stacklevel=2)
+        return declared
+    if len(paths) != 1:
+        raise WorkspaceError(f"{len(paths)} workspaces under {root}: name one")
+    return paths[0]

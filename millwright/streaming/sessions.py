@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import re
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -19,6 +21,7 @@ from millwright.operators import series
 SAMPLES = "session_id string, seq long, ts_utc string, ts timestamp, cycle long, tag string, value_json string, type string, error string"
 # Limits of a capture (fixed values).
 LEAST_INTERVAL_MS, MOST_SECONDS, MOST_TAGS, CYCLE_BYTES = 100, 300, 32, 4096
+STATE_EVERY = 10  # cycles between two states of a running capture
 SESSION_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9_.-]{0,127}")
 
 
@@ -41,40 +44,107 @@ def new_session_id(prefix: str = "session") -> str:
     return f"{prefix}-{uuid.uuid4().hex[:12]}"
 
 
-def create_session(spark: SparkSession, root: str, session_id: str, tags: list[str], interval_ms: int = 1000, **more: str) -> DataFrame:
-    """Write a session's manifest; an existing session is not overwritten."""
+MANIFEST = "schema_version int, session_id string, created_at string, requested_tags array<string>, interval_ms int, duration_seconds double, source string, mode string, controller_identity string, path_fingerprint string, permission string, retention_policy string, limits map<string,double>"
+STATES = "session_id string, version long, status string, updated_at string, ended_at string, cycles long, samples long, errors long, error string"
+RUNNING, COMPLETED, STOPPED, FAILED = "running", "completed", "stopped", "failed"
+PREVIEW_TAGS = 20
+
+
+def _now() -> str:
+    return pd.Timestamp.now("UTC").strftime("%Y-%m-%dT%H:%M:%S.%fZ")
+
+
+def create_session(spark: SparkSession, root: str, session_id: str, tags: list[str], interval_ms: int = 1000, seconds: float = 60, identity: str = "", path: str = "", **more: str) -> DataFrame:
+    """Write a session's manifest; an existing session is not overwritten. Its path is kept as a fingerprint only."""
     if not SESSION_ID.fullmatch(session_id):
         raise ValueError(f"bad session id {session_id!r}")
-    row = {"schema_version": 1, "session_id": session_id, "created_at": pd.Timestamp.utcnow().strftime("%Y-%m-%dT%H:%M:%SZ"), "requested_tags": normalize_tags(tags), "interval_ms": interval_ms, **more}
+    limits = {"max_tags": MOST_TAGS, "max_bytes_per_cycle": CYCLE_BYTES, "max_duration_seconds": MOST_SECONDS}
+    row = {"schema_version": 1, "session_id": session_id, "created_at": pd.Timestamp.now("UTC").strftime("%Y-%m-%dT%H:%M:%SZ"), "requested_tags": normalize_tags(tags), "interval_ms": interval_ms, "duration_seconds": seconds, "source": "synthetic", "mode": "OFFLINE", "controller_identity": identity, "path_fingerprint": hashlib.sha256(path.encode()).hexdigest()[:16], "permission": "read_only", "retention_policy": "keep", "limits": limits, **more}
     frame = spark.createDataFrame([(json.dumps(row),)], "value string")
     frame.coalesce(1).write.mode("errorifexists").text(f"{root}/manifests/session_id={session_id}")
     return frame
 
 
-def sessions(spark: SparkSession, root: str) -> DataFrame:
-    """Manifests, the newest first; those of another version are left out."""
-    m = spark.read.text(f"{root}/manifests/*").select(F.from_json("value", "schema_version int, session_id string, created_at string, requested_tags array<string>, interval_ms int").alias("m")).select("m.*")
-    return m.where("schema_version = 1").orderBy(F.desc("created_at"), F.desc("session_id"))
+def write_state(spark: SparkSession, root: str, session_id: str, status: str, version: int, cycles: int = 0, samples: int = 0, errors: int = 0, error: str | None = None) -> None:
+    """Append a state of a session; the one of the highest version counts, so that readers never see half of a change."""
+    now = _now()
+    row = (session_id, version, status, now, None if status == RUNNING else now, cycles, samples, errors, error)
+    spark.createDataFrame([row], STATES).coalesce(1).write.mode("append").parquet(f"{root}/states")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def states(spark: SparkSession, root: str) -> DataFrame:
+    """The current state of each session."""
+    rows = spark.read.schema(STATES).parquet(f"{root}/states") if _exists(spark, f"{root}/states") else spark.createDataFrame([], STATES)
+    newest = F.max_by(F.struct(*[c.split()[0] for c in STATES.split(", ")[1:]]), F.struct("version", "updated_at")).alias("s")
+    return rows.groupBy("session_id").agg(newest).select("session_id", "s.*")
+
 
+def request_stop(spark: SparkSession, root: str, session_id: str) -> None:
+    """Ask the capture of a session, in whatever process it runs, to end after its current cycle."""
+    spark.createDataFrame([(_now(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/stops/{session_id}")
 
-def capture(spark: SparkSession, root: str, session_id: str, tags: list[str], interval_ms: int = 1000, seconds: float = 60, kind: str = "DINT", period: int = 20, amplitude: float = 10.0) -> StreamingQuery:
-    """Append synthetic samples to the session's table, one row a tag and cycle, until stopped.
 
-    A rate stream is the clock; ``stop`` of the returned query ends the capture, its progress is the status.
+def stop_requested(spark: SparkSession, root: str, session_id: str) -> bool:
+    return _exists(spark, f"{root}/stops/{session_id}/_SUCCESS")
+
+
+def manifests(spark: SparkSession, root: str) -> DataFrame:
+    """Manifests of all sessions; those that cannot be read or are of another version are left out."""
+    m = spark.read.text(f"{root}/manifests/*").select(F.from_json("value", MANIFEST).alias("m")).select("m.*")
+    return m.where(F.col("schema_version") == 1)
+
+
+def sessions(spark: SparkSession, root: str, status: str | None = None) -> DataFrame:
+    """Sessions with their state and the first tags, the newest first."""
+    m = manifests(spark, root).withColumns({"tag_count": F.size("requested_tags"), "requested_tags": F.slice("requested_tags", 1, PREVIEW_TAGS)})
+    rows = m.join(states(spark, root), "session_id", "left").withColumn("status", F.coalesce("status", F.lit("created")))
+    rows = rows.where(F.col("status") == status) if status else rows
+    return rows.orderBy(F.desc("created_at"), F.desc("session_id"))
+
+
+def capture(spark: SparkSession, root: str, session_id: str, tags: list[str], interval_ms: int = 1000, seconds: float = 60, kind: str = "DINT", period: int = 20, amplitude: float = 10.0, failing: tuple[str, ...] = ()) -> StreamingQuery:
+    """Append synthetic samples to the session's table, one row a tag and cycle, for ``seconds`` or until a stop is asked for.
+
+    A rate stream is the clock; no sample of a cycle past the duration is written. ``failing`` tags give error rows. The
+    session's state table says how far the capture is and how it ended.
     """
     check_limits(interval_ms, seconds)
     names = normalize_tags(tags)
+    cycles = math.ceil(seconds * 1000 / interval_ms)
     clock = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("advanceMillisPerBatch", interval_ms).load()
-    rows = clock.select(F.col("value").alias("cycle"), F.col("timestamp").alias("ts"), F.posexplode(F.array(*map(F.lit, names))).alias("i", "tag"))
+    rows = clock.where(F.col("value") < cycles).select(F.col("value").alias("cycle"), F.col("timestamp").alias("ts"), F.posexplode(F.array(*map(F.lit, names))).alias("i", "tag"))
     phase = F.pmod(F.col("cycle") + F.col("i"), F.lit(period)) / F.lit(period)
     value = F.when(F.pmod(F.col("cycle") + F.col("i"), F.lit(2)) == 1, "true").otherwise("false") if kind == "BOOL" else F.bround(F.lit(amplitude) * phase, 6).cast("string") if kind == "REAL" else F.bround(F.lit(amplitude) * phase).cast("long").cast("string")
-    out = rows.select(F.lit(session_id).alias("session_id"), (F.col("cycle") * MOST_TAGS + F.col("i")).alias("seq"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts_utc"), "ts", "cycle", "tag", value.alias("value_json"), F.lit(kind).alias("type"), F.lit(None).cast("string").alias("error"))
-
-    def append(batch: DataFrame, _: int) -> None:
+    bad = F.col("tag").isin(*failing) if failing else F.lit(False)
+    out = rows.select(F.lit(session_id).alias("session_id"), (F.col("cycle") * MOST_TAGS + F.col("i")).alias("seq"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts_utc"), "ts", "cycle", "tag", F.when(~bad, value).alias("value_json"), F.lit(kind).alias("type"), F.when(bad, F.lit("tag could not be read")).alias("error"))
+    ended = threading.Event()
+
+    def end(query: StreamingQuery) -> None:
+        ended.wait()
+        query.stop()
+
+    def append(batch: DataFrame, epoch: int) -> None:
+        if ended.is_set():
+            return
+        spark = batch.sparkSession
         kept = series.enforce_budget(batch, ["session_id", "cycle"], ["seq"], "value_json", "error", CYCLE_BYTES)
         kept.write.mode("append").partitionBy("session_id").parquet(f"{root}/samples")
-
-    return out.writeStream.foreachBatch(append).option("checkpointLocation", f"{root}/checkpoints/{session_id}").trigger(processingTime=f"{interval_ms} milliseconds").start()
+        status = STOPPED if stop_requested(spark, root, session_id) else COMPLETED if epoch + 1 >= cycles else RUNNING
+        if status != RUNNING or epoch % STATE_EVERY == 0:
+            n, errors = read_samples(spark, root, session_id).agg(F.count("*"), F.count("error")).first()
+            write_state(spark, root, session_id, status, epoch + 1, min(epoch + 1, cycles), n, errors)
+        if status != RUNNING:
+            ended.set()
+
+    write_state(spark, root, session_id, RUNNING, 0)
+    query = out.writeStream.foreachBatch(append).option("checkpointLocation", f"{root}/checkpoints/{session_id}").trigger(processingTime=f"{interval_ms} milliseconds").start()
+    threading.Thread(target=end, args=(query,), daemon=True).start()
+    return query
 
 
 def read_samples(spark: SparkSession, root: str, session_id: str | None = None) -> DataFrame:

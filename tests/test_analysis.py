@@ -2,9 +2,10 @@
 
 import pytest
 
+from millwright.plans import answers
 from millwright.plans.analysis import Analysis
 from millwright.plans.reading_views import views
-from millwright.sources.workspace import Workspace, WorkspaceError, newest, read_jsonl, write_jsonl
+from millwright.sources.workspace import Workspace, WorkspaceError, find_workspace, newest, read_jsonl, write_jsonl
 
 
 @pytest.fixture(scope="module")
@@ -49,6 +50,31 @@ def test_diagrams(a):
     assert a.sheet_summary().where("aois = 1").count() == 1
 
 
+def test_sheet_answers(a):
+    f1 = "Program:Main.Routine:F1"
+    one = answers.sheet_answer(a, f1, sheet=2)
+    assert one["status"] == "ok" and "Lamp := P1.Sts" in one["equations"] and "CALL R2" in one["equations"]
+    assert one["summary"]["aois"] == 1 and one["summary"]["jsr_calls"] == 1 and {p["param"] for p in one["unwired_pins"]} == {"EnableIn", "Perm"}
+    assert one["output_tags"] == ["Lamp"] and one["aoi_instances"][0]["instance"] == "P1"
+    assert answers.sheet_answer(a, f1)["status"] == "needs_sheet" and len(answers.sheet_answer(a, f1)["sheets"]) == 3
+    assert answers.sheet_answer(a, f1, sheet=3)["status"] == "empty_sheet"
+    assert answers.sheet_answer(a, f1, sheet=1, form="drawing")["status"] == "unsupported_form"
+    assert "equations" not in answers.sheet_answer(a, routine="F1", program="Main", sheet=1, form="summary")
+    assert answers.sheet_answer(a, routine="R1")["status"] == "not_fbd" and not answers.sheet_answer(a, routine="none")["found"]
+    assert len(answers.sheet_answer(a, f1, sheet=2, limit=1)["equations"]) == 1
+
+
+def test_trace_answers(a):
+    lamp = answers.trace_answer(a, "Lamp", max_depth=6)
+    assert lamp["status"] == "ok" and {p["leaf_operand"] for p in lamp["paths"]} == {"Start", "Motor"} and not lamp["unresolved"]
+    assert any("OTE(Lamp)" in u["text"] for u in lamp["units"]) and any(e["target"] == "Lamp" for e in lamp["pseudo_equations"])
+    assert {u["reason"] for u in answers.trace_answer(a, "Lamp", max_depth=1)["unresolved"]} == {"max_depth"}
+    assert answers.trace_answer(a, "Lamp", "downstream")["status"] == "limited"
+    assert answers.trace_answer(a, "Nothing")["status"] == "unresolved"
+    report, page = answers.diagnostics_report(a)
+    assert report["by_rule"]["broken_alias"] == 1 and "| error | broken_alias | Bad |" in page
+
+
 def test_alarms(a):
     alarm = a.resolve_alarm("zu schnell").first()
     assert (alarm["tag_name"], alarm["source_tags"], alarm["status"]) == ("Alm", ["Speed"], "plc_logic_found")
@@ -99,7 +125,14 @@ def test_workspace(spark, a, tmp_path):
     torn.write_text('{"a":1}\n{"a":2}\n{"a":')
     assert {r["a"] for r in read_jsonl(spark, str(torn), "a int").where("a is not null").collect()} == {1, 2}
     assert read_jsonl(spark, str(tmp_path / "no.jsonl"), "a int").count() == 0
+    assert w.manifest["export_date"] == "Tue Jan 02 10:00:00 2024" and read_jsonl(spark, str(torn.with_suffix("")), "a int").count() > 0
+    above = os.path.dirname(w.path)
+    assert find_workspace(spark, above).endswith(os.path.basename(w.path)) and find_workspace(spark, above, w.path) == w.path
+    with pytest.raises(WorkspaceError):
+        find_workspace(spark, str(tmp_path))
+    with pytest.warns(UserWarning, match="later export"):
+        find_workspace(spark, above, "/elsewhere/old")
     rows = [("p1", "Tue Jan 02 10:00:00 2024", "x"), ("p2", "Wed Feb 07 09:00:00 2024", "a"), ("p3", None, "z")]
     assert newest(spark.createDataFrame(rows, "path string, export_date string, fingerprint string")).first()[0] == "p2"
     pages = {r["name"]: r["body"] for r in views(w).collect()}
-    assert "| Motor | BOOL |" in pages["tags/Controller_Plant.md"] and any(n.startswith("routines/") for n in pages)
+    assert "| Motor | BOOL |" in pages["tags/Controller_Plant.md"] and {n.split("/")[0] for n in pages} >= {"routines", "modules", "tasks", "programs", "comments", "charts", "messages", "coverage", "types"}

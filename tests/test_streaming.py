@@ -85,15 +85,21 @@ def test_capture(spark, tmp_path):
     sessions.create_session(spark, root, "s1", [" a ", "b", "a"])
     with pytest.raises(Exception):
         sessions.create_session(spark, root, "s1", ["a"])
-    query = sessions.capture(spark, root, "s1", ["a", "b"], interval_ms=100, seconds=5)
-    try:
-        while len(query.recentProgress) < 3:
-            query.awaitTermination(1)
-    finally:
-        query.stop()
+    query = sessions.capture(spark, root, "s1", ["a", "b"], interval_ms=100, seconds=0.5, failing=("b",))
+    assert query.awaitTermination(120) and query.exception() is None
+    state = sessions.states(spark, root).first()
+    assert (state["status"], state["cycles"], state["samples"], state["errors"]) == ("completed", 5, 10, 5) and state["ended_at"]
+    sessions.create_session(spark, root, "s2", ["c"])
+    long = sessions.capture(spark, root, "s2", ["c"], interval_ms=100, seconds=300)
+    sessions.request_stop(spark, root, "s2")  # as another process would
+    assert long.awaitTermination(120)
+    assert {r["session_id"]: r["status"] for r in sessions.sessions(spark, root).collect()} == {"s1": "completed", "s2": "stopped"}
+    assert [r["session_id"] for r in sessions.sessions(spark, root, "stopped").collect()] == ["s2"]
+    m = sessions.manifests(spark, root).where("session_id = 's1'").first()
+    assert m["limits"]["max_tags"] == 32 and len(m["path_fingerprint"]) == 16
     got = sessions.read_samples(spark, root, "s1")
-    assert got.count() >= 4 and {r["tag"] for r in got.select("tag").distinct().collect()} == {"a", "b"}
-    assert sessions.sessions(spark, root).first()["requested_tags"] == ["a", "b"]
+    assert got.count() == 10 and {r["tag"] for r in got.select("tag").distinct().collect()} == {"a", "b"}
+    assert sessions.sessions(spark, root, "completed").first()["requested_tags"] == ["a", "b"]
     for bad in ((50, 1), (100, 0), (100, float("inf")), (100, 301)):
         with pytest.raises(ValueError):
             sessions.check_limits(*bad)
