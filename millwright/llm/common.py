@@ -59,23 +59,6 @@ def pick(df: DataFrame, *names: str, rid: bool = False) -> DataFrame:
     return bare.select(*([row_id(bare).alias(RID)] if rid else []), *cols)
 
 
-@contextlib.contextmanager
-def arrow_rows(spark: SparkSession, rows: int):
-    """While jobs start inside, at most ``rows`` rows travel to Python at once."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, rows)
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-
-
-def with_rid(df: DataFrame) -> DataFrame:
-    """All columns of ``df`` as they are, and the row id of ``pick(rid=True)``."""
-    return df.select(F.monotonically_increasing_id().alias(RID), "*")
-
-
 def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
     """Rows travel to Python in batches of about ``size`` bytes from now on, unless the session says otherwise.
 

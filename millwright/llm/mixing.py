@@ -9,7 +9,8 @@ times its source, the excess going to the others by weight until none is above.
 
 Sources sort by code point, null last, and weigh 1, 2, 3 repeating. Null text has size 0; such documents, and sources
 without words, are taken 0 times. Rows with equal or null doc_id are separate. Reruns agree. An empty table gives an
-empty result. Other columns are ignored by ``mix`` and kept by ``mixed_documents``. The input must be a table scan.
+empty result. Other columns are ignored by ``mix`` and kept by ``mixed_documents``. Input that is not read from Parquet files is
+written out first where it is read twice.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millwright.llm.common import RID, WORD, materialize, pick, prefix_offsets, word_count
+from millwright.llm.common import RID, WORD, as_table, materialize, pick, prefix_offsets, row_id, word_count
 
 SEED, BLOCK_WORDS, WEIGHTS, MAX_REPEAT = 71, 128, (1, 2, 3), 3
 GOLDEN = 11_400_714_819_323_198_485  # 2^64 / phi
@@ -32,7 +33,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat:
     """src, source, source_size, weight, target, from rows (source, source_size): one row for each source."""
     order = W.orderBy(F.col("source").isNull(), "source")  # one row per source
     ranked = sources.withColumn("src", F.row_number().over(order))
-    ranked = materialize(ranked.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), F.pmod(F.col("src") - 1, F.lit(len(weights))) + 1)), "mix-sources")
+    ranked = materialize(ranked.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), F.pmod(F.col("src") - 1, F.lit(len(weights))) + 1)), "mix-sources", 0)
     total, level, capped = None, 0.0, -1
     cap = F.col("source_size") * max_repeat
     while True:
@@ -70,18 +71,18 @@ def _prepared(docs: DataFrame, weights, max_repeat, block, seed):
     base = base.select(RID, F.col("doc_id"), "source", word_count().alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("key"))
     base = materialize(base, "mix-rows")
     plan = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeat)
-    plan = materialize(plan, "mix-targets")
+    plan = materialize(plan, "mix-targets", 0)
     rows, total = base.agg(F.count("*"), F.sum("size")).first()
     return base, plan, rows, total or 0
 
 
 def _taken(base, plan, rows, total, block, range_rows, every_source):
     """rid, pass, taken: words of each pass over a document that scheduled blocks cover."""
-    slots = materialize(schedule(plan, total, block).select("src", "block"), "mix-slots")
+    slots = materialize(schedule(plan, total, block).select("src", "block"), "mix-slots", total // block + 1)
     if every_source:
         # A source without a slot has its first block.
         missed = plan.where("target >= 1").join(slots.where("block = 0").select("src"), "src", "left_anti")
-        slots = slots.unionByName(materialize(missed.select("src", F.lit(0).cast(slots.schema["block"].dataType).alias("block")), "mix-missed"))
+        slots = slots.unionByName(materialize(missed.select("src", F.lit(0).cast(slots.schema["block"].dataType).alias("block")), "mix-missed", 0))
     used = slots.groupBy("src").agg((F.max("block") + 1).alias("blocks"))
     stop = F.least(F.col("blocks") * block, F.floor("target"))
     known = plan.join(used, "src").select("src", "source", "source_size", stop.alias("stop"), F.ceil(stop / F.col("source_size")).alias("passes")).where("stop > 0")
@@ -116,16 +117,18 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPE
     What a source gives is the beginning of its order, after whole passes. So a row's copies follow from its place
     against the last document of that beginning, one row a source, and texts need no shuffle.
     """
+    docs = as_table(docs)
     base, plan, rows, total = _prepared(docs, weights, max_repeat, block, seed)
     passes = _taken(base, plan, rows, total, block, range_rows, every_source).groupBy(RID, "pass").agg(F.sum("words").alias("words"), F.first("size").alias("size"))
-    copies = materialize(passes.where("2 * words >= size").groupBy(RID).agg(F.count("*").alias("copies")), "mix-copies")
-    counted = materialize(base.where("size > 0").join(copies, RID, "left").select("source", F.struct("key", "doc_id", RID).alias("place"), F.coalesce("copies", F.lit(0)).alias("copies")), "mix-counted")
+    copies = materialize(passes.where("2 * words >= size").groupBy(RID).agg(F.count("*").alias("copies")), "mix-copies", rows)
+    counted = materialize(base.where("size > 0").join(copies, RID, "left").select("source", F.struct("key", "doc_id", RID).alias("place"), F.coalesce("copies", F.lit(0)).alias("copies")), "mix-counted", rows)
     ends = counted.groupBy("source").agg(F.min("copies").alias("whole"), F.max(F.struct("copies", "place")).alias("end"))
-    ends = materialize(ends.select(F.col("source").alias("__mw_source"), "whole", F.when(F.col("end.copies") > F.col("whole"), F.col("end.place")).alias("end")), "mix-ends")
+    ends = materialize(ends.select(F.col("source").alias("__mw_source"), "whole", F.when(F.col("end.copies") > F.col("whole"), F.col("end.place")).alias("end")), "mix-ends", 0)
     ends = F.broadcast(ends) if ends.count() <= 10_000 else ends
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = {c: names[docs.columns.index(c)] for c in ("doc_id", "source", "text")}
-    bare = docs.toDF(*names).withColumn(RID, F.monotonically_increasing_id())
+    bare = docs.toDF(*names)
+    bare = bare.select(row_id(bare).alias(RID), *names)
     placed = bare.where(F.coalesce(F.col(at["text"]).rlike(WORD), F.lit(False))).join(ends, F.col(at["source"]).eqNullSafe(F.col("__mw_source")))
     place = F.struct(F.xxhash64(F.lit(seed), at["doc_id"], at["text"]).alias("key"), F.col(at["doc_id"]).alias("doc_id"), RID)
     times = F.col("whole") + F.coalesce((place <= F.col("end")).cast("int"), F.lit(0))

@@ -2,9 +2,11 @@
 
 Words are ``[^\\x20\\x09-\\x0D]+``; lines are what ``\\n`` separates. A line fails as
 
-* punctuation: at least ``MARKS`` of its non-blank characters are ASCII punctuation (of four words or more),
+* punctuation: at least ``MARKS`` of its non-blank characters are ASCII punctuation other than the marks of sentences
+  (of four words or more),
 * navigation: at least ``BARS`` of its words are separators such as ``|`` (of four words or more),
-* boilerplate: a page furniture phrase (``FURNITURE``) in a line of at most 40 words.
+* boilerplate: a line of at most ``FURNITURE_WORDS`` words with a phrase of page furniture in English, French, German or
+  Spanish (``FURNITURE``); prose that mentions such a phrase is longer.
 
 A document fails the base rules with under 10 words, or with over 20 % of its words in 5-word windows that occur
 twice or more in it. It is kept if it passes these and loses at most ``max_lost`` of its non-blank characters.
@@ -21,18 +23,34 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millwright.llm.common import RID, pick, raw_bytes, slices, split_words, strings
+from millwright.llm.common import RID, pick, raw_bytes, slices, small_batches, split_words, strings
 
 MARKS, BARS, MAX_LOST = 0.20, 0.20, 0.30
 SYMBOLS = b"#*$%&|<>"
-PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+SENTENCE = b".,;:!?'\"()-"
+PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c not in SENTENCE)
 SEPARATORS = ["|", "||", "»", "›", "«", "·", "•", ">", ">>", "::", "/"]
-FURNITURE = (
-    r"(?i)\b(?:all rights reserved|terms (?:of|and) (?:use|service|conditions)|privacy policy|cookie (?:policy|settings)|"
-    r"(?:we|this site|this website) uses? cookies|accept (?:all )?cookies|enable javascript|javascript (?:is|must be) (?:disabled|enabled)|"
-    r"lorem ipsum|click here|read more|sign up (?:for|now)|subscribe (?:to|now)|log ?in to|skip to (?:main )?content|back to top|"
-    r"share (?:this|on) (?:post|page|facebook|twitter)|page \d+ of \d+|site ?map|follow us on)\b"
-)
+FURNITURE_WORDS = 10
+PHRASES = {
+    "en": (
+        "all rights reserved", "terms (?:of|and) (?:use|service|conditions)", "privacy policy", "cookie (?:policy|settings)", "(?:we|this site|this website) uses? cookies",
+        "accept (?:all )?cookies", "enable javascript", "javascript (?:is|must be) (?:disabled|enabled)", "lorem ipsum", "click here", "read more", "sign up (?:for|now)",
+        "subscribe (?:to|now)", "log ?in to", "skip to (?:main )?content", "back to top", "share (?:this|on) (?:post|page|facebook|twitter)", "page [0-9]+ of [0-9]+", "site ?map", "follow us on",
+    ),
+    "fr": (
+        "tous droits r.serv.s", "mentions l.gales", "conditions (?:g.n.rales )?d.utilisation", "politique de confidentialit.", "accepter (?:tous )?les cookies", "ce site utilise des cookies",
+        "cliquez ici", "lire la suite", "en savoir plus", "inscrivez-vous", "se connecter", "retour en haut", "aller au contenu", "plan du site", "suivez-nous sur", "partager sur (?:facebook|twitter)",
+    ),
+    "de": (
+        "alle rechte vorbehalten", "allgemeine gesch.ftsbedingungen", "datenschutzerkl.rung", "nutzungsbedingungen", "cookies (?:akzeptieren|zulassen)", "diese (?:seite|website) verwendet cookies",
+        "hier klicken", "mehr (?:lesen|erfahren)", "jetzt (?:anmelden|registrieren|abonnieren)", "nach oben", "zum inhalt springen", "seite [0-9]+ von [0-9]+", "folgen sie uns", "javascript aktivieren",
+    ),
+    "es": (
+        "todos los derechos reservados", "aviso legal", "t.rminos (?:de uso|y condiciones)", "pol.tica de (?:privacidad|cookies)", "aceptar (?:todas )?las cookies", "este sitio (?:web )?utiliza cookies",
+        "haga clic aqu.", "leer m.s", "iniciar sesi.n", "reg.strate", "volver arriba", "saltar al contenido", "mapa del sitio", "s.guenos en", "compartir en (?:facebook|twitter)", "p.gina [0-9]+ de [0-9]+",
+    ),
+}
+FURNITURE = r"(?i)(?:^|[^\p{L}\p{N}])(?:" + "|".join(p for ps in PHRASES.values() for p in ps) + r")(?:$|[^\p{L}\p{N}])"
 
 
 def _table(marks: bytes) -> np.ndarray:
@@ -79,7 +97,7 @@ def failing_lines(lines: pa.Array, owner: np.ndarray, words: pa.Array, codes: np
     bars = np.bincount(owner, bar[codes], len(lines)) if len(codes) else np.zeros(len(lines))
     enough = n_words >= 4
     furniture = np.zeros(len(lines), bool)
-    short = np.flatnonzero((n_words > 0) & (n_words <= 40))
+    short = np.flatnonzero((n_words > 0) & (n_words <= FURNITURE_WORDS))
     furniture[short] = pc.match_substring_regex(lines.take(pa.array(short)), FURNITURE).to_numpy(zero_copy_only=False)
     return (enough & (marks >= MARKS * np.maximum(solid, 1))) | (enough & (bars >= BARS * n_words)) | furniture
 
@@ -112,12 +130,9 @@ def measure(texts: pa.Array) -> dict[str, object]:
 
     clean = texts
     if fails.any():
-        values = texts.to_pylist()
-        bounds = np.searchsorted(line_doc, np.arange(n + 1))
-        for i in np.unique(line_doc[fails]):
-            lo, hi = bounds[i], bounds[i + 1]
-            values[i] = "\n".join(x for x, bad in zip(lines[lo:hi].to_pylist(), fails[lo:hi]) if not bad)
-        clean = pa.array(values, pa.string())
+        good = ~fails
+        ends = np.concatenate([[0], np.cumsum(np.bincount(line_doc[good], minlength=n))])
+        clean = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), lines.filter(pa.array(good))), "\n")
     return {
         "n_words": n_words.astype(np.int64),
         "word_chars": np.bincount(doc, lengths[codes] if len(codes) else None, n).astype(np.int64),
@@ -147,12 +162,14 @@ def _judge(keep: list[str], max_lost: float):
 
 def judge_documents(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
     """rid, doc_id, the measures, the cleaned text and the verdict, for each document."""
+    small_batches(docs.sparkSession)
     base = pick(docs, "doc_id", "text", rid=True).select(F.col(RID).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return base.mapInArrow(_judge(["rid", "doc_id"], max_lost), f"rid long, doc_id long, {FIELDS}, kept boolean")
+    return base.mapInArrow(_judge(["rid", "doc_id"], max_lost), f"rid {base.schema['rid'].dataType.simpleString()}, doc_id long, {FIELDS}, kept boolean")
 
 
 def clean_documents(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
     """The kept documents with their cleaned text (n_chars follows it); the columns of ``docs`` as they were."""
+    small_batches(docs.sparkSession)
     text = docs.columns.index("text")
     names = [f"c{i}" for i in range(len(docs.columns))]
     bare = docs.toDF(*["text" if i == text else n for i, n in enumerate(names)])

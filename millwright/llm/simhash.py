@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millwright.llm.common import RID, column, join_bounded, materialize, pick, raw_bytes, slices, split_words, strings, with_rid
+from millwright.llm.common import RID, as_table, column, join_bounded, materialize, pick, raw_bytes, slices, small_batches, split_words, strings, without_rows
 
 RADIUS = 4
 BUCKET_LIMIT = 65_536
@@ -60,7 +60,9 @@ def _fingerprints(batches):
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """rid, doc_id and the fingerprint as a signed long."""
-    return pick(docs, "doc_id", "text", rid=True).mapInArrow(_fingerprints, "rid long, doc_id long, fp long")
+    small_batches(docs.sparkSession)
+    base = pick(docs, "doc_id", "text", rid=True)
+    return base.mapInArrow(_fingerprints, f"rid {base.schema[RID].dataType.simpleString()}, doc_id long, fp long")
 
 
 def _forest(values: np.ndarray, earlier: np.ndarray, radius: int):
@@ -183,14 +185,15 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     Each round takes the smallest label around a node and then the label of that label, so that chains shorten by
     half; labels are written out between rounds.
     """
-    both = materialize(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct(), "cc-edges")
-    labels = materialize(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("label")), "cc-labels")
+    both = materialize(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct(), "cc-edges", 2 * edges.count())
+    most = both.count()
+    labels = materialize(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("label")), "cc-labels", most)
     for _ in range(max_rounds):
         near = both.join(labels, both["v"] == labels["node"]).select(F.col("u").alias("node"), "label")
         best = near.union(labels).groupBy("node").agg(F.min("label").alias("seen"))
         hop = labels.select(F.col("node").alias("seen"), F.col("label").alias("hop"))
         step = best.join(hop, "seen", "left").select("node", F.least("seen", "hop").alias("label"))
-        moved = materialize(step.join(labels.withColumnRenamed("label", "was"), "node").select("node", "label", (F.col("label") != F.col("was")).alias("moved")), "cc-labels")
+        moved = materialize(step.join(labels.withColumnRenamed("label", "was"), "node").select("node", "label", (F.col("label") != F.col("was")).alias("moved")), "cc-labels", most)
         labels = moved.select("node", "label")
         if moved.where("moved").isEmpty():
             return labels
@@ -201,16 +204,18 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, bucket_limit: int = BUCKE
     """One row per document: rid, doc_id, fingerprint (hex), component_id, first (its row stays)."""
     rows = materialize(fingerprints(docs), "simhash-fp")
     key = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rid"))
-    distinct = materialize(rows.groupBy("fp").agg(key.alias("rep")), "simhash-distinct")
+    total = rows.count()
+    distinct = materialize(rows.groupBy("fp").agg(key.alias("rep")), "simhash-distinct", total)
     labels = components(links(distinct.select("fp"), radius, bucket_limit))
     named = distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
     tops = named.groupBy("label").agg(F.min("rep").alias("top"))
     # Written out, so that the join has a plain exchange on both sides and Spark may split a hot fingerprint.
-    named = materialize(named.join(tops, "label").select("fp", "top"), "simhash-named")
+    named = materialize(named.join(tops, "label").select("fp", "top"), "simhash-named", total)
     return rows.join(named, "fp").select("rid", "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("top.doc_id").alias("component_id"), (F.col("top.rid") == F.col("rid")).alias("first"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with the first document (smallest doc_id) of each component, all columns as they were."""
-    dropped = materialize(near_groups(docs).where("not first").select(F.col("rid").alias(RID)), "simhash-dropped")
-    return join_bounded(with_rid(docs), dropped, [RID], "left_anti").drop(RID)
+    docs = as_table(docs)
+    dropped = materialize(near_groups(docs).where("not first").select(F.col("rid").alias(RID)), "simhash-dropped", docs.count())
+    return without_rows(docs, dropped)
