@@ -2,8 +2,8 @@
 
 For each row the posterior over languages combines
 
-* text: a naive Bayes model over hashed byte trigrams, fitted on labelled documents (at most ``SAMPLE`` of each of at
-  most ``MAX_LANGS`` languages, the first by a seeded hash), its weight tempered so that a long text is not certain,
+* text: a naive Bayes model over hashed byte trigrams, fitted on labelled documents (at most ``SAMPLE`` of each
+  language, the first by a seeded hash of the row), its weight tempered so that a long text is not certain,
 * the language declared in the markup (``<html lang=...>``), * the address suffix (last label of the host name),
 * a host prior: the host's mix of languages, smoothed towards its site's mix, and that towards the whole table's.
 
@@ -11,9 +11,10 @@ The last three are learned from the table itself by grouped aggregation of text
 posterior is taken out of its host and site counts. Hosts, suffixes and declarations are small aggregates that are
 joined back; their hot values are combined before the shuffle.
 
-Null or empty text gives equal likelihoods; a null address or declaration is evidence of value ''. Unlabelled tables
+Whole texts are read, however long. Null or empty text gives equal likelihoods; a null address or declaration is evidence of value ''. Unlabelled tables
 give no model: every language is null. Repeated rows are separate rows. Ties go to the first language by code point.
-An empty table gives an empty result; other columns are ignored.
+An empty table gives an empty result; other columns are ignored. A model of over ``MODEL_BYTES`` (over 256 languages) is
+refused with an error; no label is left out.
 """
 
 from __future__ import annotations
@@ -22,17 +23,16 @@ import re
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millwright.llm.common import column, materialize, pick, raw_bytes, slices, strings
+from millwright.llm.common import RID, as_table, column, join_bounded, materialize, pick, raw_bytes, slices, small_batches, strings
 
-SAMPLE, MAX_LANGS, SEED = 400, 64, 11
-DIMS = 1 << 16
+SAMPLE, SEED = 400, 11
+DIMS, MODEL_BYTES = 1 << 16, 64 << 20
 FULL_WEIGHT = 48  # trigrams that count in full; longer texts weigh as much as that many
 KAPPA = 4.0
 DROP = re.compile(r"(?is)<(script|style|nav)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[#\w]+;")
@@ -52,29 +52,49 @@ def _codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return code[inside], own[:-2][inside]
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages and their log probabilities (languages x DIMS) from rows (doc_id, lang, text)."""
-    # Hashes are uniform: four times the share that is wanted leaves enough of each language, and little to rank.
-    counts = labelled.where("lang is not null").groupBy("lang").agg(F.count("*").alias("rows"))
-    key = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id", "text"), 11) / F.lit(float(1 << 53))
-    keyed = labelled.join(counts, "lang").withColumn("key", key).where(F.col("key") * F.col("rows") <= 4 * sample)
-    first = F.row_number().over(W.partitionBy("lang").orderBy("key", "doc_id"))
-    few = keyed.select("lang", "text", first.alias("r")).where(F.col("r") <= sample)
+def _count(batches):
+    """Trigram counts of each language in a slice."""
+    for b in slices(batches, "text"):
+        langs = column(b, "lang").dictionary_encode()
+        codes, own = _codes(strings(b, "text").cast(pa.string()))
+        pair = langs.indices.to_numpy(zero_copy_only=False)[own].astype(np.int64) * DIMS + codes
+        key, n = np.unique(pair, return_counts=True)
+        yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(key // DIMS)), pa.array(key % DIMS), pa.array(n)], names=["lang", "dim", "n"])
 
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        codes, _ = _codes(pa.array(pdf["text"].fillna(""), pa.string()))
-        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "n": [len(pdf)], "counts": [np.bincount(codes, minlength=DIMS).astype("<i4").tobytes()]})
 
-    rows = few.groupBy("lang").applyInPandas(count, "lang string, n long, counts binary").orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
-    rows.sort(key=lambda r: r["lang"])
-    table = np.array([np.frombuffer(r["counts"], "<i4") for r in rows], np.float64).reshape(len(rows), DIMS) + 0.1
-    return [r["lang"] for r in rows], np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
+def chosen_rows(labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """Row ids (RID) and languages of the rows that the model is fitted on, written out. No text moves here.
+
+    Hashes are uniform, so four times the share that is wanted leaves enough of each language, and little to rank.
+    """
+    keyed = labelled.where("lang is not null").select(RID, "lang", (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id", f"{RID}.row"), 11) / F.lit(float(1 << 53))).alias("key"))
+    counts = materialize(keyed.groupBy("lang").agg(F.count("*").alias("rows")), "lang-counts")
+    few = join_bounded(keyed, counts, ["lang"], "inner").where(F.col("key") * F.col("rows") <= 4 * sample)
+    first = F.row_number().over(W.partitionBy("lang").orderBy("key", RID))
+    return materialize(few.select(RID, "lang", first.alias("r")).where(F.col("r") <= sample).select(RID, "lang"), "lang-sample")
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
+    """Languages and their log probabilities (languages x DIMS) from the columns doc_id, lang, text of ``docs``."""
+    labelled = pick(as_table(docs), "doc_id", "lang", "text", rid=True)
+    chosen = chosen_rows(labelled, sample)
+    langs = [r["lang"] for r in chosen.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MODEL_BYTES // (4 * DIMS) + 1).collect()]
+    if 4 * DIMS * len(langs) > MODEL_BYTES:
+        raise ValueError(f"over {MODEL_BYTES // (4 * DIMS)} languages: the model would pass {MODEL_BYTES} bytes")
+    langs.sort()
+    texts = join_bounded(labelled.select(RID, "text"), chosen, [RID], "inner").select("lang", "text")
+    counts = texts.mapInArrow(_count, "lang string, dim long, n long").groupBy("lang", "dim").agg(F.sum("n").alias("n"))
+    one = counts.groupBy("lang").agg(F.collect_list("dim").alias("dims"), F.collect_list("n").alias("ns"))  # at most DIMS of each
+    table = np.full((len(langs), DIMS), 0.1)
+    for r in one.toLocalIterator():
+        table[langs.index(r["lang"]), r["dims"]] += r["ns"]
+    return langs, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
 def _score(keep: list[str], weights, n_langs: int, html: bool):
     def run(batches):
         table = weights.value
-        for b in slices(batches, "body", 2 << 20):
+        for b in slices(batches, "body"):
             texts = strings(b, "body").cast(pa.string())
             if html:
                 texts = pa.array([DROP.sub(" ", t) for t in texts.to_pylist()], pa.string())
@@ -94,7 +114,7 @@ def score_text(rows: DataFrame, model: tuple[list[str], np.ndarray], html: bool)
     langs, table = model
     keep = [c for c in rows.columns if c != "body"]
     types = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
-    weights = rows.sparkSession.sparkContext.broadcast(table)  # MAX_LANGS x DIMS floats at most
+    weights = rows.sparkSession.sparkContext.broadcast(table)  # MODEL_BYTES at most
     return rows.mapInArrow(_score(keep, weights, len(langs), html), f"{types}, ll array<double>")
 
 
@@ -109,7 +129,7 @@ def fuse(scored: DataFrame, langs: list[str], kappa: float = KAPPA) -> DataFrame
     vector = F.array(*[F.col(f"s{i}") for i in k])
     # Written out, so that the joins below have plain exchanges on both sides and Spark may split a hot host.
     by_key = {c: materialize(rows.groupBy(c).agg(*sums).select(c, vector.alias(f"{c}_n")), f"lang-{c}") for c in ("declared", "suffix", "site", "host")}
-    # The whole table's mix: one row of at most MAX_LANGS numbers.
+    # The whole table's mix: one row, a number for each language.
     whole = rows.agg(*sums).first()
     mix = [float(x or 0) + 1.0 for x in whole]
     glob = F.array(*[F.lit(x / sum(mix)) for x in mix])
@@ -148,7 +168,8 @@ def identify(docs: DataFrame, pages: DataFrame, sample: int = SAMPLE) -> DataFra
 
     Documents lend their labels to the text model; their host is their source, and they declare nothing.
     """
-    model = fit(pick(docs, "doc_id", "lang", "text"), sample)
+    small_batches(docs.sparkSession)
+    model = fit(docs, sample)
     d = pick(docs, "doc_id", "source", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("page_id"), F.coalesce("source", F.lit("")).alias("host"), F.coalesce("source", F.lit("")).alias("site"), F.lit("").alias("suffix"), F.lit("").alias("declared"), F.col("text").alias("body"))
     p = pick(pages, "page_id", "url", "html").withColumns(address(F.col("url")))
     p = p.select(F.lit(None).cast("long").alias("doc_id"), F.col("page_id").cast("long").alias("page_id"), "host", "site", "suffix", F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), DECLARED, 1)).alias("declared"), F.col("html").alias("body"))
