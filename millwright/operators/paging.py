@@ -19,6 +19,11 @@ def page(frame: DataFrame, order: list, limit: int, offset: int = 0) -> DataFram
     return frame.orderBy(*order).offset(bounded(offset, 0)).limit(bounded(limit, 0))
 
 
+def probe(frame: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame:
+    """A page and, if there is one, the row after it, which tells that there are more without a count."""
+    return page(frame, order, bounded(limit, 0) + 1, offset)
+
+
 def envelope(frame: DataFrame, order: list, limit: int, offset: int = 0, exact: bool = True) -> dict:
     """A page as rows with totals; without ``exact`` one more row is fetched instead of counting."""
     limit, offset = bounded(limit, 0), bounded(offset, 0)
@@ -27,7 +32,7 @@ def envelope(frame: DataFrame, order: list, limit: int, offset: int = 0, exact:
         rows = page(frame, order, limit, offset).collect()
         more = offset + len(rows) < total
         return {"items": [r.asDict(True) for r in rows], "total": total, "offset": offset, "limit": limit, "has_more": more, "truncated": more}
-    rows = page(frame, order, limit + 1, offset).collect()
+    rows = probe(frame, order, limit, offset).collect()
     return {"items": [r.asDict(True) for r in rows[:limit]], "total": None, "offset": offset, "limit": limit, "has_more": len(rows) > limit, "truncated": None}
 
 

@@ -5,11 +5,10 @@ from __future__ import annotations
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millwright.functions.values import kind
-from millwright.operators.windows import previous
+from millwright.operators.windows import ordinal, previous
 
 
 def change_points(samples: DataFrame, keys: list[str], order: list[str], value: str, error: str, slot: Column | None = None) -> DataFrame:
@@ -64,19 +63,21 @@ def latest(samples: DataFrame, keys: list[str], order: list[str], columns: list[
     return samples.groupBy(*keys).agg(best).select(*keys, *[F.col(f"v.{c}").alias(c) for c in columns])
 
 
-def downsample(rows: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
-    """At most ``n`` rows of each key at even steps, both ends kept (halves round to even); n = 1 gives the first."""
+def downsample(rows: DataFrame, keys: list[str], order: list[str], n: int, slot: Column | None = None) -> DataFrame:
+    """At most ``n`` rows of each key at even steps, both ends kept (halves round to even); n = 1 gives the first.
+
+    ``slot``: see ``windows.ordinal``.
+    """
     if n <= 0:
         return rows.limit(0)
-    at = F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
     if n == 1:
-        wanted = sizes.select(*keys, F.lit(0).cast("int").alias("__i"))
+        wanted = sizes.select(*keys, F.lit(0).cast("long").alias("__i"))
     else:
-        even = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.bround(i * (F.col("__n") - 1) / F.lit(n - 1)).cast("int"))
-        every = F.sequence(F.lit(0), (F.col("__n") - 1).cast("int"))
+        even = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.bround(i * (F.col("__n") - 1) / F.lit(n - 1)).cast("long"))
+        every = F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)
         wanted = sizes.select(*keys, F.explode(F.when(F.col("__n") <= n, every).otherwise(F.array_distinct(even))).alias("__i"))
-    return rows.withColumn("__i", at).join(wanted, [*keys, "__i"], "left_semi").drop("__i")
+    return ordinal(rows, keys, order, "__i", slot).join(wanted, [*keys, "__i"], "left_semi").select(*rows.columns)
 
 
 def synthetic(spark: SparkSession, tags: list[str], cycles: int, kind: str = "DINT", period: int = 20, amplitude: float = 10.0, offset: float = 0.0) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millwright.functions import text as fx
 from millwright.operators import aggregate, expressions, graph, joins, match, paging, rules, search, series, sets, windows
+from millwright.streaming import sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -97,7 +98,7 @@ def stream_slice(t):
     SELECT n.user_id, event_id, ts, value FROM n
     WHERE n.n <= 7 OR EXISTS (SELECT 1 FROM want WHERE want.user_id = n.user_id AND want.i = n.i)""")
 def downsample_even(t):
-    return series.downsample(t.events, ["user_id"], ["ts", "event_id"], 7).select("user_id", "event_id", "ts", "value")
+    return series.downsample(t.events, ["user_id"], ["ts", "event_id"], 7, F.to_date("ts")).select("user_id", "event_id", "ts", "value")
 
 
 @query("""
@@ -152,21 +153,21 @@ def last_per_key(t):
     SELECT conv_id, turn, role FROM m WHERE near = 1""")
 def neighborhood_rows(t):
     hit = match.contains(F.col("text"), "the") & (F.col("role") == "user")
-    return windows.neighbourhood(t.conversations, ["conv_id"], ["turn"], hit, before=1, after=2).select("conv_id", "turn", "role")
+    return windows.neighbourhood(t.conversations, ["conv_id"], ["turn"], hit, before=1, after=2, slot=F.floor(F.col("turn") / 64)).select("conv_id", "turn", "role")
 
 
 @query("""
     SELECT l_orderkey, l_linenumber, l_quantity, lag(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS prev_l_quantity
     FROM lineitem""")
 def lag_pairs(t):
-    return windows.previous(t.lineitem, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], ["l_quantity"]).select("l_orderkey", "l_linenumber", "l_quantity", "prev_l_quantity")
+    return windows.previous(t.lineitem, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], ["l_quantity"], F.floor(F.col("l_linenumber") / 4)).select("l_orderkey", "l_linenumber", "l_quantity", "prev_l_quantity")
 
 
 @query("""
     SELECT l_orderkey, l_linenumber, 'Line:' || lpad(CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS VARCHAR), 4, '0') AS id
     FROM lineitem""")
 def running_id(t):
-    return windows.running_id(t.lineitem, ["l_orderkey"], ["l_linenumber"], "id", "Line:", 4).select("l_orderkey", "l_linenumber", "id")
+    return windows.running_id(t.lineitem, ["l_orderkey"], ["l_linenumber"], "id", "Line:", 4, F.floor(F.col("l_linenumber") / 4)).select("l_orderkey", "l_linenumber", "id")
 
 
 # --- aggregates
@@ -410,7 +411,8 @@ def array_member_join(t):
 
 
 def _bound(t: Tables) -> DataFrame:
-    formal = t.part.select(F.col("p_brand").alias("kind")).distinct().join(t.lineitem.select(F.col("l_returnflag").alias("param")).distinct())
+    flags = t.lineitem.agg(F.collect_set("l_returnflag").alias("params"))  # the formal parameters: one row
+    formal = t.part.select(F.col("p_brand").alias("kind")).distinct().withColumn("one", F.lit(1)).join(flags.withColumn("one", F.lit(1)), "one").select("kind", F.explode("params").alias("param"))
     wires = t.lineitem.where("l_quantity > 30").select(F.col("l_partkey").alias("id"), F.col("l_returnflag").alias("param"), F.col("l_linestatus").alias("expr")).distinct()
     args = t.lineitem.where("l_quantity = 1").select(F.col("l_partkey").alias("id"), F.col("l_returnflag").alias("param"), F.lit("one").alias("expr"))
     return joins.bindings(formal, t.part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("kind")), wires, args, ["kind", "id", "param"])
@@ -490,13 +492,11 @@ def did_you_mean(t):
 
 
 @query("""
-    SELECT name, row_number() OVER (ORDER BY coalesce(CASE WHEN regexp_full_match(name, '\\d+') THEN CAST(name AS BIGINT) END, 1000000000), name) AS place
-    FROM (SELECT DISTINCT CASE WHEN p_size % 3 = 0 THEN 'S' || p_size ELSE CAST(p_size AS VARCHAR) END AS name FROM part)""".replace("\\\\", "\\"))
+    SELECT name FROM (SELECT DISTINCT CASE WHEN p_size % 3 = 0 THEN 'S' || p_size ELSE CAST(p_size AS VARCHAR) END AS name FROM part)
+    ORDER BY coalesce(CASE WHEN regexp_full_match(name, '[0-9]+') THEN CAST(name AS BIGINT) END, 1000000000), name LIMIT 40""")
 def numeric_sort(t):
-    from pyspark.sql import Window as W
-
     names = t.part.select(F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("S"), "p_size")).otherwise(F.col("p_size").cast("string")).alias("name")).distinct()
-    return names.select("name", F.row_number().over(W.orderBy(*paging.numeric_first(F.col("name")))).cast("long").alias("place"))
+    return paging.page(names, paging.numeric_first(F.col("name")), 40)
 
 
 # --- graphs
@@ -644,7 +644,7 @@ def block_expressions(t):
 @query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderdate, o_orderkey LIMIT 26")
 def probe_page(t):
     """A page of 25 and the row that tells whether there are more."""
-    return paging.page(t.orders.where("o_orderstatus = 'P'").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"], 25 + 1)
+    return paging.probe(t.orders.where("o_orderstatus = 'P'").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"], 25)
 
 
 @query("""
@@ -658,8 +658,8 @@ def ordered_distinct(t):
 @query("""
     SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS samples, min(value) AS min_value, max(value) AS max_value FROM events GROUP BY 1, 2""")
 def windowed_statistics(t):
-    w = F.window("ts", "1 day")
-    return t.events.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("samples"), F.min("value").alias("min_value"), F.max("value").alias("max_value")).select(F.col("w.start").alias("start"), "event_type", "samples", "min_value", "max_value")
+    samples = t.events.select("ts", F.lit("s").alias("session_id"), F.col("event_type").alias("tag"), F.col("value").cast("string").alias("value_json"), F.lit(None).cast("string").alias("error"))
+    return sessions.window_stream(samples, width="1 day").select("start", F.col("tag").alias("event_type"), "samples", "min_value", "max_value")
 
 
 @query("""
@@ -697,5 +697,5 @@ def turn_counts(t):
 def slotted_steps(t):
     """Differences to the order before, ordered within years and carried across them."""
     rows = windows.previous(t.orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], ["o_totalprice"], F.year("o_orderdate"))
-    rows = windows.running_id(rows, ["o_custkey"], ["o_orderdate", "o_orderkey"], "seq")
+    rows = windows.running_id(rows, ["o_custkey"], ["o_orderdate", "o_orderkey"], "seq", slot=F.year("o_orderdate"))
     return rows.select("o_custkey", F.to_date("o_orderdate").alias("day"), F.col("seq").cast("long").alias("seq"), (F.col("o_totalprice") - F.col("prev_o_totalprice")).alias("step"))
