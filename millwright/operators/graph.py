@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millwright.sources.shared import materialize
+from millwright.sources.shared import discard, materialize
 
 
 def impact_closure(reads: DataFrame, writes: DataFrame, start: DataFrame, max_depth: int = 3) -> DataFrame:
@@ -53,7 +53,8 @@ def alias_roots(aliases: DataFrame, name: str, target: str) -> DataFrame:
     while True:
         hop = at.select(F.col("name").alias("root"), F.col("root").alias("next"), F.col("hops").alias("more"), F.col("low").alias("lower"))
         step = at.join(hop, "root", "left").select("name", F.coalesce("next", "root").alias("root"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.least("low", "lower").alias("low"), F.col("next").isNotNull().alias("moved"))
-        at, reach = materialize(step, "alias"), 2 * reach
+        before, at, reach = at, materialize(step, "alias"), 2 * reach
+        discard(before)
         if at.where("moved").isEmpty():
             return at.select("name", "root", "hops")
         if reach > most:  # what still moves goes round: its place is on a cycle, and ``low`` there has seen all of it
@@ -91,7 +92,8 @@ def tree(nodes: DataFrame, key: str, parent: str, by: list[str] | None = None) -
     while reach <= most and not at.where("not done").isEmpty():
         hop = at.select(*by, F.col("key").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"), F.col("done").alias("ended"))
         step = at.join(hop, [*by, "root"]).select(*by, "key", "parent", F.col("next").alias("root"), (F.col("depth") + F.when(F.col("done"), 0).otherwise(F.col("more"))).alias("depth"), F.col("ended").alias("done"), "orphan")
-        at, reach = materialize(step, "tree"), 2 * reach
+        before, at, reach = at, materialize(step, "tree"), 2 * reach
+        discard(before)
     return at.select(*by, "key", "parent", F.when(F.col("done"), F.col("root")).alias("root"), F.when(F.col("done"), F.col("depth")).cast("int").alias("depth"), "orphan", (~F.col("done")).alias("cycle"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import io
 import xml.etree.ElementTree as ET
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,8 @@ RAW = (
     "Trends", "DataLogs", "ChildPrograms", "RevisionNote", "HMICmd",
 )
 
+WHOLE = frozenset((*TEXT_ELEMENTS, *SEMANTIC, *RAW))
+
 NODES = (
     "doc string, pre long, post long, parent_pre long, depth int, ordinal int, sib int, name string, attrs map<string,string>, "
     "direct_text string, text string, path_p string, path_x string, anc array<struct<pre: long, name: string, attrs: map<string,string>>>, raw_xml string"
@@ -49,41 +52,51 @@ def segment(name: str, attrs: dict[str, str], keys: tuple[str, ...], ordinal: in
 
 
 def nodes_of(doc: str, content: bytes):
-    """Rows of the elements of one file in document order; ``pre`` and ``post`` enclose those of the elements inside."""
+    """Rows of the elements of one file, each when it ends; ``pre`` and ``post`` enclose those of the elements inside.
+
+    The file is parsed as a stream: an element leaves memory when it ends, unless one around it is read whole.
+    """
+    clock, controller, whole = 0, False, 0
+    open_: list[tuple[ET.Element, dict, dict[str, int]]] = []  # element, row, children seen by name
     try:
-        root = ET.parse(io.BytesIO(content)).getroot()
+        for event, elem in ET.iterparse(io.BytesIO(content), events=("start", "end")):
+            name = local(elem.tag)
+            if event == "start":
+                attrs = {local(k): v for k, v in elem.attrib.items()}
+                if open_:
+                    _, above, seen = open_[-1]
+                    seen[name] = ordinal = seen.get(name, 0) + 1
+                    sib, parent, depth = sum(seen.values()) - 1, above["pre"], above["depth"] + 1
+                    anc = [*above["anc"], {"pre": above["pre"], "name": above["name"], "attrs": above["attrs"]}]
+                    controller |= depth == 1 and name == "Controller"
+                elif name != ROOT:
+                    raise ProjectFormatError(f"{doc}: not a project export with a controller")
+                else:
+                    above, ordinal, sib, parent, depth, anc = None, 1, 0, None, 0, []
+                row = {"doc": doc, "pre": clock, "parent_pre": parent, "depth": depth, "ordinal": ordinal, "sib": sib, "name": name, "attrs": attrs, "anc": anc}
+                for out, keys in PATH_KEYS.items():
+                    step = segment(name, attrs, keys, ordinal if above is not None else None)
+                    row[out] = f"{above[out]}/{step}" if above is not None else step
+                clock += 1
+                whole += name in WHOLE
+                open_.append((elem, row, {}))
+                continue
+            _, row, _ = open_.pop()
+            whole -= name in WHOLE
+            row |= {"post": clock, "direct_text": (elem.text or "").strip(), "text": "".join(elem.itertext()).strip() if name in TEXT_ELEMENTS else None}
+            tail, elem.tail = elem.tail, None
+            row["raw_xml"] = ET.tostring(elem, encoding="unicode") + (tail or "") if name in SEMANTIC or name in RAW else None
+            elem.tail = tail
+            clock += 1
+            yield row
+            if not whole:
+                elem.clear()
+                if open_:
+                    open_[-1][0].remove(elem)
     except ET.ParseError as e:
         raise ProjectFormatError(f"{doc}: {e}") from e
-    if local(root.tag) != ROOT or all(local(c.tag) != "Controller" for c in root):
+    if not controller:
         raise ProjectFormatError(f"{doc}: not a project export with a controller")
-    clock, rows = 0, []
-    stack = [(root, None, 0, 1, 0, {}, ())]
-    open_rows: list[dict] = []
-    while stack:
-        elem, parent, depth, ordinal, sib, paths, anc = stack.pop()
-        if elem is None:  # all of its children are done
-            open_rows.pop()["post"] = clock
-            clock += 1
-            continue
-        name, attrs = local(elem.tag), {local(k): v for k, v in elem.attrib.items()}
-        row = {"doc": doc, "pre": clock, "parent_pre": parent, "depth": depth, "ordinal": ordinal, "sib": sib, "name": name, "attrs": attrs, "direct_text": (elem.text or "").strip(), "anc": [{"pre": p, "name": n, "attrs": a} for p, n, a in anc]}
-        row["text"] = "".join(elem.itertext()).strip() if name in TEXT_ELEMENTS else None
-        row["raw_xml"] = ET.tostring(elem, encoding="unicode") if name in SEMANTIC or name in RAW else None
-        for out, keys in PATH_KEYS.items():
-            step = segment(name, attrs, keys, ordinal if parent is not None else None)
-            row[out] = f"{paths[out]}/{step}" if paths else step
-        clock += 1
-        rows.append(row)
-        open_rows.append(row)
-        stack.append((None,) * 7)
-        seen: dict[str, int] = {}
-        below = []
-        for i, child in enumerate(elem):
-            n = local(child.tag)
-            seen[n] = seen.get(n, 0) + 1
-            below.append((child, row["pre"], depth + 1, seen[n], i, {k: row[k] for k in PATH_KEYS}, (*anc, (row["pre"], name, attrs))))
-        stack.extend(reversed(below))
-    return rows
 
 
 def _parse(frames):
@@ -91,8 +104,8 @@ def _parse(frames):
     for pdf in frames:
         for doc, content in zip(pdf["path"], pdf["content"]):
             rows = nodes_of(doc, content)
-            for i in range(0, len(rows), 5000):
-                yield pd.DataFrame(rows[i : i + 5000], columns=columns)
+            while part := list(islice(rows, 5000)):
+                yield pd.DataFrame(part, columns=columns)
 
 
 def read_nodes(spark: SparkSession, path: str) -> DataFrame:

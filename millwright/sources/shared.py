@@ -19,6 +19,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``materialize`` wrote, once nothing that is still to run reads them."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 FREE_FILES, ROWS_A_FILE = 48, 1_000_000
 
 

@@ -28,11 +28,11 @@ def one(frame, where, *columns):
 def test_scan_rejects_other_files():
     for content in (b"<a/>", b"<RSLogix5000Content><X/></RSLogix5000Content>", b"<broken"):
         with pytest.raises(ProjectFormatError):
-            nodes_of("x", content)
+            list(nodes_of("x", content))
 
 
 def test_intervals_and_paths():
-    found = nodes_of("x", PROJECT.encode())
+    found = sorted(nodes_of("x", PROJECT.encode()), key=lambda r: r["pre"])
     by = {r["pre"]: r for r in found}
     for r in found:
         if r["parent_pre"] is not None:
