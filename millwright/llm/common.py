@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwright.sources.shared import materialize, shared_path  # noqa: F401
+from millwright.sources.shared import discard, materialize, shared_path  # noqa: F401
 
 RID = "__mw_rid"
 WS_CLASS = r"\x20\x09-\x0D"

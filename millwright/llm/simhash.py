@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millwright.llm.common import RID, as_table, column, join_bounded, materialize, pick, raw_bytes, slices, small_batches, split_words, strings, without_rows
+from millwright.llm.common import RID, as_table, column, discard, join_bounded, materialize, pick, raw_bytes, slices, small_batches, split_words, strings, without_rows
 
 RADIUS = 4
 BUCKET_LIMIT = 65_536
@@ -188,14 +188,17 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     both = materialize(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct(), "cc-edges", 2 * edges.count())
     most = both.count()
     labels = materialize(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("label")), "cc-labels", most)
+    before = labels
     for _ in range(max_rounds):
         near = both.join(labels, both["v"] == labels["node"]).select(F.col("u").alias("node"), "label")
         best = near.union(labels).groupBy("node").agg(F.min("label").alias("seen"))
         hop = labels.select(F.col("node").alias("seen"), F.col("label").alias("hop"))
         step = best.join(hop, "seen", "left").select("node", F.least("seen", "hop").alias("label"))
         moved = materialize(step.join(labels.withColumnRenamed("label", "was"), "node").select("node", "label", (F.col("label") != F.col("was")).alias("moved")), "cc-labels", most)
-        labels = moved.select("node", "label")
+        discard(before)
+        before, labels = moved, moved.select("node", "label")
         if moved.where("moved").isEmpty():
+            discard(both)
             return labels
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 
