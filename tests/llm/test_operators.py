@@ -82,6 +82,24 @@ def test_exact_empty_and_drop(docs, rows, empty):
     assert out.columns == docs.columns and out.count() == expected_groups(rows)[1]
 
 
+def test_second_reading_may_be_split_otherwise(spark, docs, rows, tmp_path):
+    """Row ids are places in files, and an input column may have the name of the row id."""
+    path = str(tmp_path / "d")
+    docs.withColumn(common.RID, F.lit("own")).repartition(2).write.parquet(path)
+    table = spark.read.parquet(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    dropped = common.materialize(exact_dedup.exact_groups(table).where("not kept").select(F.col("rid").alias(common.RID)), "t")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+        out = common.without_rows(spark.read.parquet(path), dropped)
+        assert out.columns == table.columns and {r[common.RID] for r in out.select(common.RID).collect()} == {"own"}
+        assert Counter(norm(r["text"]) for r in out.collect()) == Counter({norm(r["text"]) for r in rows})
+        near = simhash.drop_near_copies(table)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert near.columns == table.columns and near.count() == simhash.near_groups(docs).where("first").count()
+
+
 @pytest.mark.parametrize("n", [1, 2, 1000])
 def test_rice_round_trip(n):
     values = np.unique(np.random.default_rng(n).integers(0, 1 << 40, n, dtype=np.uint64))
@@ -111,6 +129,14 @@ def test_shards(docs, rows, empty, tmp_path):
     assert sharding.write_shards(empty, str(tmp_path / "e")).count() == 0
 
 
+def test_shards_of_repeated_rows(spark, tmp_path):
+    """One row that is a third of the table spreads over the buckets like any other."""
+    same = spark.range(4000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 > 0, F.repeat(F.lit("word "), F.lit(20))).otherwise("again").alias("text"))
+    got = sharding.write_shards(same, str(tmp_path / "s"), shards=10, bucket_bytes=5_000)
+    counts = [r["count"] for r in got.where("doc_id is null").groupBy("shard").count().collect()]
+    assert got.count() == 4000 and len(counts) == 10 and max(counts) < 200
+
+
 # --- licences
 
 
@@ -131,7 +157,7 @@ def test_licenses(spark, docs, rows, empty):
         best = {}
         for u in units:
             a = licenses.bigrams(u)
-            for name, s, *_ in match.rows:
+            for name, s, _ in match.rows:
                 dice = 2 * len(a & s) / (len(a) + len(s))
                 if dice >= licenses.THRESHOLD:
                     best[name] = max(dice, best.get(name, 0))
@@ -169,12 +195,26 @@ def test_quality(spark, docs, rows, empty):
     clean = quality.clean_documents(docs)
     assert clean.columns == docs.columns and clean.count() == sum(r["kept"] for r in got)
     body = "A clean sentence with quite enough ordinary words in it to be kept here.\nIt has a second line that says some other harmless things."
-    text = body + "\nHome | News | About | Contact | Help\nAll rights reserved.\nWOW!! BUY!! NOW!! THIS!!"
+    text = body + "\nHome | News | About | Contact | Help\nAll rights reserved.\n@@ WOW ## BUY %% NOW"
     one = quality.judge_documents(spark.createDataFrame([(1, text), (2, "Home | News | About | Contact | Help | More | Shop | Jobs | Map | Top")], "doc_id long, text string")).collect()
     assert [(r["kept"], r["n_lines_removed"]) for r in one] == [(False, 3), (False, 1)]
     assert one[0]["clean_text"] == body
 
 
+FURNITURE = [
+    ("Tous droits réservés.", True), ("Alle Rechte vorbehalten", True), ("Política de privacidad", True), ("Read more", True), ("Lire la suite »", True), ("Seite 1 von 20", True),
+    ("In this longer sentence somebody says that you should read more books than you do now.", False), ("readymore and clickhere are no phrases", False),
+    ("Of, a ndlyre, a it.", False), ("\"Well,\" she said, \"no - (not) yet...\"", False), ("### $$$ one two && three ***", True), ("a > b > c", True),
+]
+
+
+@pytest.mark.parametrize("line, fails", FURNITURE)
+def test_line_rules(line, fails):
+    m = quality.measure(pa.array([f"first line\n{line}\nlast line", "untouched", ""]))
+    assert m["n_lines_removed"].tolist() == [int(fails), 0, 0]
+    assert m["clean_text"].to_pylist() == ["first line\nlast line" if fails else f"first line\n{line}\nlast line", "untouched", ""]
+
+
 def test_quality_against_labels(spark):
     judged = quality.judge_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -202,7 +242,13 @@ def test_chat_contract(spark):
         assert row["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in g).encode()).hexdigest()
         assert (row["loss_chars"], row["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert chat.read_back(chat.format_log(chat.events_of_turns(df.limit(0)))).count() == 0
-    segments = chat.render(chat.fold(chat.events_of_turns(df))).collect()
+    log = chat.events_of_turns(df, revised=True)
+    assert {r["kind"] for r in log.collect()} == {"delta", "edit", "regenerate"} and log.count() > 2 * len(turns)
+    revised = {r["conv_id"]: r for r in chat.read_back(chat.format_log(log)).collect()}
+    assert revised == got
+    with pytest.raises(Exception, match="no turn"):
+        chat.read_back(spark.createDataFrame([(1, 1, 1, "<|im_start|>user\nx")], "conv_id long, seq long, msg_id long, segment string")).collect()
+    segments = chat.render(chat.fold(log)).collect()
     for s in segments:
         inner = s["segment"][len(chat.START) : -len(chat.END)]
         assert not any(c in inner for c in chat.CONTROL)
@@ -416,9 +462,10 @@ def test_plane_file(planes):
     sizes = [0, 1, 99, 100, 101, 350, 0]
     all_ids = [rng.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32) for n in sizes]
     for i, ids in enumerate(all_ids):
-        writer.add(np.array([i]), np.array([len(ids)]), ids)
+        writer.add(np.array([-(1 << 63) if i == 1 else i]), np.array([len(ids)]), ids, np.array([i != 2]))
     writer.close()
     reader = tokenbin.PlaneReader(sink)
+    assert [d for d, _ in reader.documents()] == [0, -(1 << 63), None, 3, 4, 5, 6]
     assert all((a == b).all() and len(a) == len(b) for a, (_, b) in zip(all_ids, reader.documents()))
     assert len(reader.index) == math.ceil(sum(sizes) / 100)
     assert (reader.block(2) == np.concatenate(all_ids)[200:300]).all()
@@ -455,11 +502,53 @@ def test_packing(docs, rows, empty):
 
 
 def test_best_fit_prefers_the_fullest_bin():
-    bins, offsets, caps, used = packing.best_fit([60, 50, 38, 10], (100,), 0)
+    bins, offsets, caps, used, _ = packing.best_fit([60, 50, 38, 10], (100,), 0)
     assert bins == [0, 1, 0, 1] and used == [98, 60] and offsets == [0, 0, 60, 50]
     assert packing.best_fit([10], (16, 100), 5)[2] == [16]
 
 
+def brute_pack(sizes, capacities, overhead, attention):
+    """The rule as it is stated, piece by piece over plain lists."""
+    bins = []  # [room, when it got this room, fill, opened]
+    out = []
+    for i, s in enumerate(sizes):
+        rest = sizes[i + 1 :]
+        fits = [b for b in bins if b[0] >= s]
+        if fits:
+            b = min(fits, key=lambda b: (b[0], -b[1]))
+        else:
+            weighed = []
+            for c in sorted(capacities):
+                if c < s:
+                    continue
+                room = c - s
+                for x in rest:  # in descending order
+                    if x <= room:
+                        room -= x
+                weighed.append(((overhead + c + c * c / attention) / (c - room), c))
+            c = min(weighed)[1]
+            b = [c, i, 0, c]
+            bins.append(b)
+        out.append((bins.index(b) if bins.count(b) == 1 else next(k for k, x in enumerate(bins) if x is b), b[2]))
+        b[0], b[1], b[2] = b[0] - s, i, b[2] + s
+    return out, [(min(c for c in capacities if c >= b[2]), b[2], b[3]) for b in bins]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_best_fit_against_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    sizes = sorted((int(x) for x in np.minimum(200, rng.geometric(1 / rng.integers(5, 80), rng.integers(1, 120)))), reverse=True)
+    got = packing.best_fit(sizes, (25, 50, 100, 200), 4, 300)
+    want, ends = brute_pack(sizes, (25, 50, 100, 200), 4, 300)
+    assert list(zip(*got[:2])) == want and list(zip(*got[2:])) == ends
+
+
+def test_several_lengths_are_opened(spark):
+    got = packing.pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    opened = Counter(r["bin_opened"] for r in got.where("bin_id is not null").select("bin_id", "bin_opened", "bin_capacity", "bin_used").distinct().collect())
+    assert len(opened) >= 3, opened
+
+
 # --- language ID
 
 
@@ -474,6 +563,45 @@ def test_language_accuracy(spark):
     assert ((found.confidence > 0) & (found.confidence <= 1)).all()
 
 
+def test_language_fusion_against_brute_force(spark):
+    """The posterior recomputed row by row from the text likelihoods, by the formulas of the module."""
+    rng = np.random.default_rng(3)
+    langs = ["aa", "bb", "cc"]
+    spec = [(i, f"h{i % 4}.s{i % 2}.x", f"s{i % 2}.x", ["x", "y", ""][i % 3], ["aa", "", "bb", "zz"][i % 4], [float(v) for v in rng.uniform(-6, 0, 3)]) for i in range(40)]
+    frame = spark.createDataFrame(spec, "id long, host string, site string, suffix string, declared string, ll array<double>")
+    got = {r["id"]: r for r in langid.fuse(frame, langs).collect()}
+    p = np.array([np.exp(r[5]) / np.exp(r[5]).sum() for r in spec])
+    group = lambda k: {v: p[[r[k] == v for r in spec]].sum(axis=0) for v in {r[k] for r in spec}}
+    host, site, suffix, declared = (group(k) for k in (1, 2, 3, 4))
+    mix = p.sum(axis=0) + 1
+    whole = mix / mix.sum()
+    smooth = lambda counts, own, below: (np.maximum(counts - own, 0) + langid.KAPPA * below) / (max(counts.sum() - 1, 0) + langid.KAPPA)
+    for r, own in zip(spec, p):
+        prior = smooth(host[r[1]], own, smooth(site[r[2]], own, whole))
+        log = np.array(r[5]) + np.log(prior)
+        for value, table in ((r[3], suffix), (r[4], declared)):
+            if value:
+                log += np.log((table[value] + langid.KAPPA * whole) / (mix.sum() * whole + langid.KAPPA))
+        want = np.exp(log - log.max())
+        assert got[r[0]]["lang"] == langs[int(log.argmax())] and abs(got[r[0]]["confidence"] - 1 / want.sum()) < 2e-6
+        assert got[r[0]]["text_lang"] == langs[int(np.argmax(r[5]))]
+
+
+def test_many_languages_and_repeated_rows(spark):
+    """Seventy languages stay; a language that is one row repeated is sampled like any other."""
+    words_of = lambda i: " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + k % 26)}" for k in range(30))
+    rows = [(i * 10 + k, f"l{i:02d}", words_of(i)) for i in range(70) for k in range(2)] + [(7, "rep", "the very same row")] * 2000
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").withColumn("source", F.lit("s"))
+    langs, table = langid.fit(docs, sample=50)
+    assert langs == [f"l{i:02d}" for i in range(70)] + ["rep"] and table.shape == (71, langid.DIMS)
+    chosen = langid.chosen_rows(common.pick(common.as_table(docs), "doc_id", "lang", "text", rid=True), 50)
+    assert {r["lang"]: r["count"] for r in chosen.groupBy("lang").count().collect()} == {**{f"l{i:02d}": 2 for i in range(70)}, "rep": 50}
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    got = langid.identify(docs.where("lang <> 'rep'"), pages)
+    wanted = docs.where("lang <> 'rep'").select("doc_id", F.col("lang").alias("want"))
+    assert got.join(wanted, "doc_id").where("text_lang = want").count() == 140
+
+
 def test_language_odd_rows(spark, docs, empty):
     pages = spark.createDataFrame([(1, None, None, "x"), (2, "notaurl", "", "x"), (3, "https://Ex.Example.FR:80/a", "<html lang='FR'>le de la", "x"), (3, "https://Ex.Example.FR:80/a", "<html lang='FR'>le de la", "x")], "page_id long, url string, html string, host string")
     got = langid.identify(docs, pages)

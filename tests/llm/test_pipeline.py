@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import pytest
+import regex
 
 import corpus_pipeline
 from llm.test_operators import brute_components, brute_fingerprint, brute_quality, expected_groups, words
@@ -24,9 +25,9 @@ def brute_clean(text):
     solid = lambda t: len(re.sub(r"[\x20\x09-\x0D]", "", t))
     for line in lines:
         w = words(line)
-        marks = sum(33 <= ord(c) < 127 and not c.isalnum() for c in line)
+        marks = sum(33 <= ord(c) < 127 and not c.isalnum() and c not in ".,;:!?'\"()-" for c in line)
         bars = sum(x in quality.SEPARATORS for x in w)
-        furniture = 0 < len(w) <= 40 and re.search(quality.FURNITURE.removeprefix("(?i)"), line, re.I)
+        furniture = 0 < len(w) <= quality.FURNITURE_WORDS and regex.search(quality.FURNITURE, line)
         bad.append(bool((len(w) >= 4 and (marks >= quality.MARKS * max(1, solid(line)) or bars >= quality.BARS * len(w))) or furniture))
     lost = sum(solid(x) for x, b in zip(lines, bad) if b) / max(1, sum(map(solid, lines)))
     return "\n".join(x for x, b in zip(lines, bad) if not b), not brute_quality(text)[5] and lost <= quality.MAX_LOST
