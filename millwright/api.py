@@ -20,6 +20,16 @@ PAYLOAD = 50_000
 CLIP = 200
 # The most rows that a tool returns, and the caps of single tools.
 MOST_ROWS = 1000
+# Rows of each part of a context, by detail; ``full`` has MOST_ROWS of all.
+CAPS = {
+    "tag": {"comments": (5, 25), "tag_comments": (10, 50), "data": (10, 50), "messages": (5, 25), "references": (10, 50)},
+    "routine": {"routine_units": (25, 100), "fbd_nodes": (25, 100), "fbd_wires": (40, 160)},
+    "aoi": {"parameters": (20, 100), "local_tags": (20, 100), "routines": (10, 50)},
+    "module": {"connections": (10, 50), "io_tags": (20, 100), "io_points": (50, 250), "engineering_units": (25, 100), "profiles": (25, 100)},
+}
+DETAILS = ("summary", "detail", "full")
+# What a summary shows of these parts, with the characters it keeps.
+SHORT = {"comments": {"target": CLIP, "text": 240}, "tag_comments": {"target": CLIP, "text": 240}, "data": {"owner": CLIP, "element": CLIP, "format": CLIP, "raw_text": 180}}
 NESTED = ("attributes", "raw_xml", "body", "instructions", "parameters", "arrays", "info", "message_attributes")
 
 
@@ -39,7 +49,7 @@ def summarize(frame: DataFrame) -> DataFrame:
 
 def listing(frame: DataFrame, limit: int = 100, offset: int = 0, detail: str = "summary") -> dict:
     """A page in the order of the columns ``id``, ``name`` or the first."""
-    if detail not in ("summary", "detail", "full"):
+    if detail not in DETAILS:
         raise ValueError(f"unknown detail {detail!r}")
     order = [c for c in ("id", "name", "sequence", "key") if c in frame.columns] or [frame.columns[0]]
     shown = summarize(frame) if detail == "summary" else frame
@@ -51,6 +61,21 @@ def bundle(frames: dict[str, DataFrame], caps: dict[str, int] | None = None, det
     return {name: listing(f, (caps or {}).get(name, 20), detail=detail) for name, f in frames.items()}
 
 
+def context(kind: str, frames: dict[str, DataFrame], detail: str = "summary") -> dict:
+    """The parts of a context with their caps by detail; a summary shows comments and data in short form."""
+    if detail not in DETAILS:
+        raise ValueError(f"unknown detail {detail!r}")
+    caps = {name: (*CAPS[kind][name], MOST_ROWS)[DETAILS.index(detail)] if name in CAPS[kind] else (20, 100, MOST_ROWS)[DETAILS.index(detail)] for name in frames}
+    if detail == "summary":
+        frames = {name: short(f, SHORT[name]) if name in SHORT else f for name, f in frames.items()}
+    return {"detail": detail, **bundle(frames, caps, detail)}
+
+
+def short(frame: DataFrame, columns: dict[str, int]) -> DataFrame:
+    """Single-line columns cut at their sizes; what a dataset does not have is left out."""
+    return frame.select(*[clip(F.trim(F.regexp_replace(F.col(c).cast("string"), r"\s+", " ")), n).alias(c) for c, n in columns.items() if c in frame.columns])
+
+
 class Tools:
     """Tools over one workspace; runtime tools over a capture folder."""
 
@@ -132,22 +157,22 @@ def coverage_report(t):
 
 @tool
 def get_tag_context(t, name, detail="summary"):
-    return bundle(t.a.tag_bundle(name), {"comments": 5, "tag_comments": 10, "data": 10, "messages": 5, "references": 10}, detail)
+    return context("tag", t.a.tag_bundle(name), detail)
 
 
 @tool
 def get_routine_context(t, routine_id, detail="summary"):
-    return bundle(t.a.routine_context(routine_id), {"routine_units": 25, "fbd_nodes": 25, "fbd_wires": 40}, detail)
+    return context("routine", t.a.routine_context(routine_id), detail)
 
 
 @tool
 def get_aoi_context(t, name, detail="summary"):
-    return bundle(t.a.aoi_bundle(name), {"parameters": 20, "local_tags": 20, "routines": 10}, detail)
+    return context("aoi", t.a.aoi_bundle(name), detail)
 
 
 @tool
 def get_module_context(t, name, detail="summary"):
-    return bundle(t.a.module_bundle(name), {"connections": 10, "io_tags": 20, "io_points": 50, "engineering_units": 25, "profiles": 25}, detail)
+    return context("module", t.a.module_bundle(name), detail)
 
 
 @tool
@@ -300,14 +325,16 @@ def runtime_evidence_summary(t, limit=50):
 
 
 @tool
-def read_tags_now(t, tags, kind="DINT"):
+def read_tags_now(t, tags, kind="DINT", source="simulated"):
+    sessions.check_source(source)
     names = sessions.normalize_tags(tags)
     return {"mode": "OFFLINE", "samples": [r.asDict() for r in series.synthetic(t.spark, names, 1, kind).collect()]}
 
 
 @tool
-def start_runtime_capture(t, tags, interval_ms=1000, duration_seconds=60, session_id=None, wait=False):
+def start_runtime_capture(t, tags, interval_ms=1000, duration_seconds=60, session_id=None, wait=False, source="simulated"):
     """Starts a capture in this process; with ``wait`` returns when it has ended."""
+    sessions.check_source(source)
     sid = session_id or sessions.new_session_id()
     sessions.check_limits(interval_ms, duration_seconds)
     identity = ",".join(t.data.manifest["controllers"][:5])

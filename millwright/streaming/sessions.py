@@ -21,6 +21,7 @@ from millwright.operators import series
 SAMPLES = "session_id string, seq long, ts_utc string, ts timestamp, cycle long, tag string, value_json string, type string, error string"
 # Limits of a capture (fixed values).
 LEAST_INTERVAL_MS, MOST_SECONDS, MOST_TAGS, CYCLE_BYTES = 100, 300, 32, 4096
+SOURCES = ("fake", "simulated")
 STATE_EVERY = 10  # cycles between two states of a running capture
 SESSION_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9_.-]{0,127}")
 
@@ -40,6 +41,12 @@ def check_limits(interval_ms: int, seconds: float) -> None:
         raise ValueError(f"a duration over 0 and up to {MOST_SECONDS} s, not {seconds}")
 
 
+def check_source(source: str) -> None:
+    """Readers are synthetic; one that reaches a controller needs its vendor's kit and a network."""
+    if source not in SOURCES:
+        raise ValueError(f"no reader {source!r}: one of {', '.join(SOURCES)}")
+
+
 def new_session_id(prefix: str = "session") -> str:
     return f"{prefix}-{uuid.uuid4().hex[:12]}"
 

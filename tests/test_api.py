@@ -34,6 +34,13 @@ def test_all_calls_within_budget(tools):
     assert tools.call("get_sfc_chart", routine_id="Program:Main.Routine:S1")["status"] == "needs_variant"
     assert tools.call("get_tag", name="Moto")["suggestions"] == ["Motor", "MotorA", "MotorB"]
     assert tools.call("run_diagnostics", severity="error")["by_rule"] == {"broken_alias": 1}
+    start = tools.call("get_tag_context", name="Start")
+    assert {tuple(sorted(x)) for x in start["comments"]["items"]} == {("target", "text")} and start["comments"]["limit"] == 5
+    assert tools.call("get_tag_context", name="Start", detail="detail")["references"]["limit"] == 50
+    with pytest.raises(ValueError):
+        tools.call("get_tag_context", name="Start", detail="none")
+    with pytest.raises(ValueError):
+        tools.call("read_tags_now", tags=["a"], source="device")
     page = tools.call("list_tags", limit=3, offset=2)
     assert len(page["items"]) == 3 and page["has_more"] and page["total"] == 16
 
@@ -44,6 +51,7 @@ def test_runtime_tools(tools):
         tools.captures[sid].awaitTermination(1)
     assert tools.call("runtime_capture_status", session_id=sid)["status"] == "running"
     assert tools.call("stop_runtime_capture", session_id=sid)["status"] == "stopped"
+    assert tools.call("list_runtime_sessions", status="running")["total"] == 0
     assert tools.call("list_runtime_sessions")["total"] == 1
     assert tools.call("read_runtime_stream_slice", session_id=sid, tag="a", max_points=2)["total"] == 2
     assert tools.call("runtime_evidence_summary")["items"][0]["tag"] == "a"
