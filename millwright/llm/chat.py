@@ -55,7 +55,7 @@ def events_of_turns(turns: DataFrame, revised: bool = False) -> DataFrame:
     Each text arrives in up to three deltas. With ``revised`` some messages (by their MD5) are first written otherwise and
     then regenerated or edited, so that the log holds every kind of event that ends in the same messages.
     """
-    base = pick(turns, "conv_id", "turn", "role", "text", rid=True)
+    base = pick(turns, "conv_id", "turn", "role", "text").withColumn(RID, F.monotonically_increasing_id())  # read once
     text = F.coalesce("text", F.lit(""))
     base = base.select("conv_id", "turn", "role", text.alias("text"), F.struct(F.coalesce("role", F.lit("")).alias("r"), F.md5(text).alias("t"), F.col(RID).alias("i")).alias("msg_id"))
     part = F.ceil(F.length("text") / 3).cast("int")
