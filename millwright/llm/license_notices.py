@@ -203,7 +203,9 @@ def unversioned() -> list[str]:
 
 
 def versions_only(names: set[str]) -> set[str]:
-    """Without the names of which a version is there too."""
+    """Without the names of which a version is there too; a dedication to the public domain by name counts by that name."""
+    if names & {"Unlicense", "CC0-1.0"}:
+        names = names - {"Public-Domain"}
     gives = {n for n in names if n in _UNVERSIONED and any(m.startswith(f"{n}-") and (m[len(n) + 1].isdigit()) for m in names)}
     return names - gives
 

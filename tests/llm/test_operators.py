@@ -450,6 +450,20 @@ def test_tokens(docs, rows, empty, tmp_path):
     assert tokenbin.read_digests(tokenbin.write_tokens(empty, str(tmp_path / "e"))).count() == 0
 
 
+@pytest.mark.parametrize("name, whole", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_encoder_of_each_kind(rows, name, whole):
+    """A tokenizer that is no plain byte-level BPE gets whole texts; both give what the library gives."""
+    from tokenizers import Tokenizer
+
+    path = tokenbin.tokenizer_path(name)
+    encode = tokenbin.PieceEncoder(path)
+    assert encode.whole == whole
+    texts = [r["text"] or "" for r in rows if len(r["text"] or "") < 20_000][-60:]
+    ids, counts = encode(pa.array(texts, pa.string()))
+    want = [[*e.ids, tokenbin.END_ID] for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert counts.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+
+
 @pytest.mark.parametrize("planes", [4, 32])
 def test_plane_file(planes):
     class Sink(io.BytesIO):
@@ -713,3 +727,14 @@ def test_every_source_of_a_long_tail_is_mixed(spark, tmp_path):
     for r in mixing.mix(docs).collect():
         plain[of[r["doc_id"]]] += r["taken"]
     assert sum(plain[s] == 0 for s in target) > 5
+
+
+def test_whole_licence_texts():
+    """Each whole text is found under its own name alone, within other text."""
+    from millwright.llm.license_notices import FULL_TEXTS
+
+    names = sorted(FULL_TEXTS)
+    texts = [f"Some words about a thing.\n\nCopyright 2020 Somebody\n\n{FULL_TEXTS[n][0]}\n\nThe thing goes on here." for n in names]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(names)), pa.int64()), "text": texts})
+    out = [r for b in licenses._scan(licenses.TEMPLATES, licenses.THRESHOLD)([batch]) for r in b.to_pylist()]
+    assert [(r["license"], r["licenses"]) for r in out] == [(n, [n]) for n in names]
