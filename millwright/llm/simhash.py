@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millwright.llm.common import RID, as_table, column, discard, join_bounded, materialize, pick, raw_bytes, slices, small_batches, split_words, strings, without_rows
+from millwright.llm.common import RID, as_table, column, discard, materialize, pick, raw_bytes, slices, small_batches, split_words, strings, without_rows
 
 RADIUS = 4
 BUCKET_LIMIT = 65_536
