@@ -49,14 +49,17 @@ def alias_roots(aliases: DataFrame, name: str, target: str) -> DataFrame:
     """
     edges = aliases.select(F.col(name).alias("name"), F.col(target).alias("target")).where("target is not null").groupBy("name").agg(F.max("target").alias("target"))
     at = materialize(edges.select("name", F.col("target").alias("root"), F.lit(1).cast("long").alias("hops"), F.col("target").alias("low")), "alias")
-    most, reach = at.count(), 1
+    most, reach, last = at.count(), 1, -1
     while True:
         hop = at.select(F.col("name").alias("root"), F.col("root").alias("next"), F.col("hops").alias("more"), F.col("low").alias("lower"))
         step = at.join(hop, "root", "left").select("name", F.coalesce("next", "root").alias("root"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.least("low", "lower").alias("low"), F.col("next").isNotNull().alias("moved"))
         before, at, reach = at, materialize(step, "alias"), 2 * reach
         discard(before)
-        if at.where("moved").isEmpty():
+        moving = at.where("moved").count()
+        if not moving:
             return at.select("name", "root", "hops")
+        # On a chain every distance to its end occurs, so a round in which none arrives leaves those that go round alone.
+        most, last = moving if moving == last else most, moving
         if reach > most:  # what still moves goes round: its place is on a cycle, and ``low`` there has seen all of it
             ends = at.where("moved").select(F.col("name").alias("root"), F.col("low").alias("least"))
             out = at.join(ends, "root", "left")
@@ -88,11 +91,13 @@ def tree(nodes: DataFrame, key: str, parent: str, by: list[str] | None = None) -
     top = top | orphan
     at = rows.select(*by, "key", "parent", F.when(top, F.col("key")).otherwise(F.col("parent")).alias("root"), F.when(top, 0).otherwise(1).cast("long").alias("depth"), top.alias("done"), orphan.alias("orphan"))
     at = materialize(at, "tree")
-    most, reach = at.count(), 1
-    while reach <= most and not at.where("not done").isEmpty():
+    last = -1
+    # On a branch every distance to its root occurs, so a round in which none arrives leaves those that go round alone.
+    while (going := at.where("not done").count()) not in (0, last):
+        last = going
         hop = at.select(*by, F.col("key").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"), F.col("done").alias("ended"))
         step = at.join(hop, [*by, "root"]).select(*by, "key", "parent", F.col("next").alias("root"), (F.col("depth") + F.when(F.col("done"), 0).otherwise(F.col("more"))).alias("depth"), F.col("ended").alias("done"), "orphan")
-        before, at, reach = at, materialize(step, "tree"), 2 * reach
+        before, at = at, materialize(step, "tree")
         discard(before)
     return at.select(*by, "key", "parent", F.when(F.col("done"), F.col("root")).alias("root"), F.when(F.col("done"), F.col("depth")).cast("int").alias("depth"), "orphan", (~F.col("done")).alias("cycle"))
 
