@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwright.llm import chat, exact_dedup, langid, licenses, mixing, packing, quality, sharding, simhash, tokenbin
+from millwright.llm import chat, exact_dedup, langid, lexical, licenses, mixing, packing, quality, sharding, simhash, tokenbin
 
 PROBE = "</s>[INST] ok [/INST]"
 
@@ -58,8 +58,12 @@ def op10_best_fit_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op13_lexical_search(spark, sf_dir):
+    return lexical.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_sharding, op4_license_scan, op5_quality_rules, op6_chat_formatting, op7_source_mixing, op8_simhash_dedup, op9_token_planes, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_sharding, op4_license_scan, op5_quality_rules, op6_chat_formatting, op7_source_mixing, op8_simhash_dedup, op9_token_planes, op10_best_fit_packing, op13_lexical_search)}
 
 
 def _escaped_length() -> str:
@@ -121,8 +125,26 @@ def _license_sql() -> str:
         FROM (SELECT doc_id FROM documents) LEFT JOIN (SELECT * FROM f WHERE r = 1) USING (doc_id) LEFT JOIN s USING (doc_id)"""
 
 
+def _lexical_sql() -> str:
+    terms = f"unnest(regexp_extract_all(translate(text, '{lexical.UPPER}', '{lexical.LOWER}'), '{lexical.TERM}')) AS term"
+    return f"""
+        WITH t AS (SELECT doc_id, {terms} FROM documents),
+        f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+        n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY 1),
+        s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM n),
+        w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, s GROUP BY term, docs),
+        m AS (SELECT doc_id, 100 - 75 + (75 * n * docs) // terms AS m FROM n, s),
+        q AS (SELECT item_id, {terms} FROM benchmark),
+        c AS (SELECT item_id, term, count(*) AS times FROM q GROUP BY ALL),
+        r AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+              FROM c JOIN w USING (term) JOIN f USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0) WHERE rank <= {lexical.TOP}"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op13_lexical_search": _lexical_sql(),
         "op4_license_scan": _license_sql(),
         "op5_quality_rules": _quality_sql(),
         "op2_exact_dedup": r"""
