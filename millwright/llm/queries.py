@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwright.llm import chat, exact_dedup, langid, lexical, licenses, mixing, packing, quality, sharding, simhash, tokenbin
+from millwright.llm import align, chat, exact_dedup, jaccard, langid, lexical, licenses, mixing, packing, quality, sharding, simhash, tokenbin
 
 PROBE = "</s>[INST] ok [/INST]"
 
@@ -58,12 +58,20 @@ def op10_best_fit_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark, sf_dir):
+    return align.align_documents(_table(spark, sf_dir, "documents")).drop("rid")
+
+
+def op12_jaccard_join(spark, sf_dir):
+    return jaccard.jaccard_groups(_table(spark, sf_dir, "documents")).drop("rid")
+
+
 def op13_lexical_search(spark, sf_dir):
     return lexical.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def queries():
-    return {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_sharding, op4_license_scan, op5_quality_rules, op6_chat_formatting, op7_source_mixing, op8_simhash_dedup, op9_token_planes, op10_best_fit_packing, op13_lexical_search)}
+    return {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_sharding, op4_license_scan, op5_quality_rules, op6_chat_formatting, op7_source_mixing, op8_simhash_dedup, op9_token_planes, op10_best_fit_packing, op11_token_alignment, op12_jaccard_join, op13_lexical_search)}
 
 
 def _escaped_length() -> str:
@@ -125,6 +133,22 @@ def _license_sql() -> str:
         FROM (SELECT doc_id FROM documents) LEFT JOIN (SELECT * FROM f WHERE r = 1) USING (doc_id) LEFT JOIN s USING (doc_id)"""
 
 
+def _jaccard_sql() -> str:
+    later = " || ".join(f"coalesce(' ' || lead(w, {k}) OVER o, '')" for k in range(1, jaccard.WIDTH))
+    return rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i, len(ws) AS n
+          FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{lexical.UPPER}', '{lexical.LOWER}'), '[^\x20\x09-\x0D]+') AS ws FROM documents)),
+        g AS (SELECT doc_id, w || {later} AS s, i, n FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        s AS (SELECT DISTINCT doc_id, s FROM g WHERE i = 1 OR i <= n - {jaccard.WIDTH - 1}),
+        c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE 100 * k >= {jaccard.PERCENT} * (x.n + y.n - k)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(least(doc_id, m), doc_id) AS component_id
+        FROM (SELECT doc_id FROM documents) LEFT JOIN c USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM r GROUP BY 1) USING (doc_id)"""
+
+
 def _lexical_sql() -> str:
     terms = f"unnest(regexp_extract_all(translate(text, '{lexical.UPPER}', '{lexical.LOWER}'), '{lexical.TERM}')) AS term"
     return f"""
@@ -144,6 +168,7 @@ def _lexical_sql() -> str:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op12_jaccard_join": _jaccard_sql(),
         "op13_lexical_search": _lexical_sql(),
         "op4_license_scan": _license_sql(),
         "op5_quality_rules": _quality_sql(),
