@@ -49,11 +49,24 @@ def folded_terms(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return split_words(pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(kept)))
 
 
+def _count(batches):
+    for b in slices(batches, "text"):
+        data, offsets = raw_bytes(strings(b, "text"))
+        kept = _FOLD[data] != 32
+        begins = kept.copy()
+        begins[1:] &= ~kept[:-1]
+        full = offsets[:-1][np.diff(offsets) > 0]
+        begins[full] = kept[full]  # a text's first character follows no other
+        upto = np.append(0, np.cumsum(begins))
+        n = upto[offsets[1:]] - upto[offsets[:-1]]
+        yield pa.RecordBatch.from_arrays([pa.array([int((n > 0).sum())]), pa.array([int(n.sum())])], names=["documents", "terms"])
+
+
 def corpus_size(docs: DataFrame) -> tuple[int, int]:
     """Documents with a term, and all terms with repeats."""
-    n = F.regexp_count(F.col("text"), F.lit(TERM))
-    row = pick(docs, "text").select(n.alias("n")).where("n > 0").agg(F.count("*"), F.sum(F.col("n").cast("long"))).first()
-    return row[0], row[1] or 0
+    small_batches(docs.sparkSession)
+    row = pick(docs, "text").mapInArrow(_count, "documents long, terms long").agg(F.sum("documents"), F.sum("terms")).first()
+    return row[0] or 0, row[1] or 0
 
 
 # --- the index --------------------------------------------------------------------------------------------------
