@@ -25,7 +25,7 @@ compared with the whole list, in blocks, through the same bound: every pair that
 Null and empty texts and those without words have the empty set and are linked with nothing, not even each other. Null
 doc_ids never name a component unless it has no other. Rows with equal or null doc_id are separate. Repeated rows, ties
 and other columns are harmless; an empty table gives an empty result. Input that is not read from Parquet files is
-written out first, since texts are read three times.
+written out first, since texts are read several times.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millwright.llm.common import RID, as_table, column, join_bounded, materialize, pick, slices, small_batches, split_words, strings
+from millwright.llm.common import RID, as_table, column, discard, join_bounded, materialize, pick, slices, small_batches, split_words, strings
 from millwright.llm.simhash import components
 
 WIDTH, PERCENT = 3, 90
@@ -378,22 +378,27 @@ def jaccard_links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, l
     sets = rows.where("n > 0").groupBy("digest").agg(first, F.first("n").alias("n"), F.first("key").alias("key"), F.first("bins").alias("bins"))
     sets = materialize(sets.withColumn("id", F.monotonically_increasing_id()), "jaccard-sets")
 
-    short = base.select("text").mapInArrow(_short_lists(levels, width, percent), "shingle long, key long").distinct()
+    short = materialize(base.select("text").mapInArrow(_short_lists(levels, width, percent), "shingle long, key long").distinct(), "jaccard-short")
     shared = short.groupBy("shingle").agg(F.count("*").alias("d")).where("d > 1")
-    lists = short.join(shared, "shingle").join(sets.select("key", "id", "n", "bins"), "key").select("shingle", "d", "id", "n", "bins")
+    lists = short.join(shared, "shingle").join(sets.select("key", "id", "n"), "key").select("shingle", "d", "id", "n")
     lists = materialize(lists, "jaccard-lists")
+    discard(short)
     if lists.isEmpty():
         return rows, sets, None
-    needed = materialize(lists.select("id").distinct().join(sets.select("id", F.col("rep.rid").alias(RID)), "id"), "jaccard-needed")
-    texts = join_bounded(base.select(RID, "text"), needed, [RID], "inner").select("id", "text")
-    bodies = materialize(texts.mapInArrow(_bodies(levels, width), "id long, body binary"), "jaccard-bodies")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """The links among ``pairs``; texts are read again for the sets that these name."""
+        named = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        needed = materialize(named.join(sets.select("id", F.col("rep.rid").alias(RID)), "id"), "jaccard-needed")
+        texts = join_bounded(base.select(RID, "text"), needed, [RID], "inner").select("id", "text")
+        bodies = materialize(texts.mapInArrow(_bodies(levels, width), "id long, body binary"), "jaccard-bodies")
         a, b = (bodies.select(F.col("id").alias(x), F.col("body").alias(f"body_{x}")) for x in "ab")
-        return materialize(pairs.join(a, "a").join(b, "b").mapInArrow(_probe(percent), "a long, b long"), "jaccard-links")
+        links = materialize(pairs.join(a, "a").join(b, "b").mapInArrow(_probe(percent), "a long, b long"), "jaccard-links")
+        discard(bodies)
+        return links
 
     hot = lists.where(F.col("d") > list_limit)
-    found, labels = ([], None) if hot.isEmpty() else _family_links(hot, verified, percent, list_limit)
+    found, labels = ([], None) if hot.isEmpty() else _family_links(hot.join(sets.select("id", "bins"), "id"), verified, percent, list_limit)
     cold = lists.where(F.col("d") <= list_limit)
     members = F.sort_array(F.collect_list(F.struct("n", "id")))  # at most ``list_limit``
     queries = cold.groupBy("shingle").agg(members.alias("members")).select("members", F.explode("members").alias("q")).select("q.n", "q.id", "members")
