@@ -21,31 +21,37 @@ WS_CLASS = r"\x20\x09-\x0D"
 WORD = rf"[^{WS_CLASS}]+"
 
 
+def is_scan(df: DataFrame) -> bool:
+    """Whether ``df`` is a table of Parquet files under projections and filters alone, so that each of its rows is a row of a file."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.children().size():
+        if plan.nodeName() not in ("Project", "Filter", "SubqueryAlias", "View") or not plan.deterministic():
+            return False
+        plan = plan.children().head()
+    if plan.nodeName() != "LogicalRelation":
+        return False
+    try:
+        df.select("_metadata.row_index")
+    except AnalysisException:
+        return False
+    return True
+
+
 def row_id(df: DataFrame) -> Column:
     """An id of each row. For a table of Parquet files it is the row's place, (hash of the file's path, row in it), which
     no other number of cores, splits or attempts can change; two of a million files share a hash with probability 3e-8.
     Other frames get ``monotonically_increasing_id``, which is good for one reading: see ``as_table``.
     """
-    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    try:
-        df.select(place)
-    except AnalysisException:
-        return F.monotonically_increasing_id()
-    return place
+    if not is_scan(df):
+        return F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("row"))
+    return F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
 def as_table(df: DataFrame) -> DataFrame:
-    """``df`` itself if it is read from Parquet files, else a written copy: reading it twice gives the same rows and ids.
-
-    A frame that multiplies the rows of a file (an ``explode``, a join) must be written before it is handed over.
-    """
+    """``df`` itself if ``is_scan``, else a written copy (of an ``explode``, a join, a union, rows in memory): reading it twice gives the same rows and ids."""
     names = list(df.columns)
     bare = df.toDF(*[f"c{i}" for i in range(len(names))])
-    try:
-        bare.select("_metadata.row_index")
-    except AnalysisException:
-        return materialize(bare, "rows").toDF(*names)
-    return df
+    return df if is_scan(bare) else materialize(bare, "rows").toDF(*names)
 
 
 def pick(df: DataFrame, *names: str, rid: bool = False) -> DataFrame:

@@ -65,11 +65,12 @@ def _count(batches):
 def chosen_rows(labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Row ids (RID) and languages of the rows that the model is fitted on, written out. No text moves here.
 
-    Hashes are uniform, so four times the share that is wanted leaves enough of each language, and little to rank.
+    Hashes of places are uniform, so four times the share that is wanted leaves enough of each language, and little to
+    rank; the row of the lowest hash stays in any case, and with it its language.
     """
-    keyed = labelled.where("lang is not null").select(RID, "lang", (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id", f"{RID}.row"), 11) / F.lit(float(1 << 53))).alias("key"))
-    counts = materialize(keyed.groupBy("lang").agg(F.count("*").alias("rows")), "lang-counts")
-    few = join_bounded(keyed, counts, ["lang"], "inner").where(F.col("key") * F.col("rows") <= 4 * sample)
+    keyed = labelled.where("lang is not null").select(RID, "lang", (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id", RID), 11) / F.lit(float(1 << 53))).alias("key"))
+    counts = materialize(keyed.groupBy("lang").agg(F.count("*").alias("rows"), F.min("key").alias("least")), "lang-counts")
+    few = join_bounded(keyed, counts, ["lang"], "inner").where((F.col("key") * F.col("rows") <= 4 * sample) | (F.col("key") == F.col("least")))
     first = F.row_number().over(W.partitionBy("lang").orderBy("key", RID))
     return materialize(few.select(RID, "lang", first.alias("r")).where(F.col("r") <= sample).select(RID, "lang"), "lang-sample")
 

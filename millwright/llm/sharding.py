@@ -1,13 +1,13 @@
 """Two-pass external shuffle into shards, in DataFrame operations alone.
 
-Pass 1 scatters whole records uniformly into memory-sized buckets by a seeded hash of the row (its id and its place in
-its file). Pass 2 permutes each bucket with Spark's seeded Fisher-Yates ``shuffle`` and writes it. What is shuffled is
+Pass 1 scatters whole records uniformly into memory-sized buckets by a seeded hash of the row (its id, its text and its
+place in its file). Pass 2 permutes each bucket with Spark's seeded Fisher-Yates ``shuffle`` and writes it. What is shuffled is
 the numbers of a bucket's records; the records themselves are sorted by Spark, which spills, and never gathered. A
 first look at the rows of each hash cell gives each bucket its place in the global order, so record g of N goes to
 shard floor(g * shards / N): shard counts differ by at most one (law ``rows``).
 
 Null text counts as empty (size 16), null doc_id hashes like any value, other columns travel along whatever their
-names (they sit in ``record``). Repeated rows, however many, spread over all buckets by their places. A very long text
+names (they sit in ``record``). Repeated rows, however many, spread over all buckets by their places (those at the same place of different files share one). A very long text
 makes its bucket larger by itself. An empty table gives an empty result. Equal texts (groups of copies) are dealt like
 any others. Input that is not read from Parquet files is written out first, since it is read twice.
 """
@@ -27,9 +27,9 @@ CELL_BITS = 20  # buckets are ranges of hash cells
 MAX_TASKS = 20_000
 
 
-def _place(seed: int, doc_id: str, rid: str = RID):
-    """The seeded hash of a row; its cell is the top bits."""
-    return F.xxhash64(F.lit(seed), doc_id, F.col(f"{rid}.row"))
+def _place(seed: int, doc_id, text, rid: str = RID):
+    """The seeded hash of a row; its cell is the top bits. Only repeats of a row that have the same place in their files share it."""
+    return F.xxhash64(F.lit(seed), doc_id, text, F.col(f"{rid}.row"))
 
 
 def _cell(place):
@@ -43,14 +43,14 @@ def write_shards(docs: DataFrame, path: str | None = None, shards: int = SHARDS,
     path = path or shared_path(spark, "shards")
     size = lambda text: (F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(16)).cast("long")
     narrow = pick(docs, "doc_id", "text", rid=True)
-    cells = narrow.groupBy(_cell(_place(seed, "doc_id")).alias("cell")).agg(F.count("*").alias("n"), F.sum(size("text")).alias("bytes"))
+    cells = narrow.groupBy(_cell(_place(seed, "doc_id", "text")).alias("cell")).agg(F.count("*").alias("n"), F.sum(size("text")).alias("bytes"))
     cells = materialize(cells, "shard-cells")
     rows, volume = cells.agg(F.sum("n"), F.sum("bytes")).first()
     rows, volume = rows or 0, volume or 0
     buckets = min(1 << CELL_BITS, max(math.ceil(volume / bucket_bytes), shuffle_partitions(spark)))
     tasks = min(buckets, MAX_TASKS)
     bucket = lambda cell: F.shiftright(cell * F.lit(buckets), CELL_BITS).cast("int")
-    task = F.pmod(F.col("bucket"), F.lit(tasks))
+    task = F.expr(f"cast(cast(bucket as long) * {tasks} div {buckets} as int)")  # a range of buckets, so of one or two shards
 
     counts = cells.groupBy(bucket(F.col("cell")).alias("bucket")).agg(F.sum("n").alias("n"))
     offsets = prefix_offsets(counts, "bucket", "n", "start", buckets).select("bucket", "n", "start", task.alias("task"))
@@ -62,7 +62,7 @@ def write_shards(docs: DataFrame, path: str | None = None, shards: int = SHARDS,
     own = {c: names[docs.columns.index(c)] for c in ("doc_id", "text")}
     bare = docs.toDF(*names)
     record = F.struct(*[F.col(n) for n in names])
-    placed = bare.select(row_id(bare).alias(RID), record.alias("record")).withColumn("place", _place(seed, f"record.{own['doc_id']}"))
+    placed = bare.select(row_id(bare).alias(RID), record.alias("record")).withColumn("place", _place(seed, f"record.{own['doc_id']}", f"record.{own['text']}"))
     scattered = placed.withColumn("bucket", bucket(_cell(F.col("place")))).withColumn("task", task).repartitionById(tasks, F.col("task"))
     inner = F.row_number().over(W.partitionBy("task", "bucket").orderBy("place", RID)) - 1
     mixed = scattered.withColumn("pos", inner).join(dealt.hint("merge"), ["task", "bucket"])

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millwright.llm.common import column, give_back, materialize, pick, shared_path, shuffle_partitions, slices, small_batches, strings, worker_state
+from millwright.llm.common import RID, column, give_back, materialize, pick, shared_path, shuffle_partitions, slices, small_batches, strings, worker_state
 
 MAGIC = b"MWPLANE2"
 BLOCK_IDS, END_ID, LEVEL = 1 << 16, 2, 3
@@ -68,7 +68,7 @@ class PieceEncoder:
         tokenizer = Tokenizer.from_file(path)
         # Cutting holds for a byte-level BPE that changes no text before, and whose added tokens begin with "<|".
         marks = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        self.whole = not (type(tokenizer.model).__name__ == "BPE" and tokenizer.normalizer is None and isinstance(tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) and all(m.startswith("<|") for m in marks))
+        self.whole = not (type(tokenizer.model).__name__ == "BPE" and tokenizer.normalizer is None and isinstance(tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) and tokenizer.pre_tokenizer.use_regex and all(m.startswith("<|") for m in marks))
         self.encode, self.bpe = tokenizer.encode_batch_fast, tokenizer.model.tokenize
         self.end = np.uint32(end_id).tobytes()
         self.cache: dict[str, bytes] = {}
@@ -278,11 +278,16 @@ class PlaneReader:
 # --- jobs -------------------------------------------------------------------------------------------------------
 
 
+def qualified(spark, path: str) -> str:
+    """``path`` as Spark takes it, with the name of its store: a bare path lies in the default file system, not on an executor's disk."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    full = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return full if "://" in full else full.replace(":/", ":///", 1)
+
+
 def _filesystem(path: str):
     from pyarrow import fs
 
-    if path.startswith("/"):
-        return fs.LocalFileSystem(), path
     scheme, _, rest = path.partition("://")  # Hadoop's names of object stores; abfs, gs, hdfs and file are the same in both
     return fs.FileSystem.from_uri(path if not rest else f"{ {'s3a': 's3', 's3n': 's3', 'wasb': 'abfs', 'wasbs': 'abfss'}.get(scheme, scheme) }://{rest}")
 
@@ -314,13 +319,14 @@ def _write(path: str, tokenizer: str, end_id: int, planes: int, block: int):
 def write_tokens(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, end_id: int = END_ID, planes: int = 4, block: int = BLOCK_IDS, files: int | None = None) -> DataFrame:
     """Write the files of ``docs`` and return their manifest: file_no, file (full path), n_docs, n_ids, start (ids before it)."""
     spark = docs.sparkSession
-    path = path or shared_path(spark, "tokens")
-    base = pick(docs, "doc_id", "text").withColumn("tie", F.xxhash64("text"))
+    path = qualified(spark, path or shared_path(spark, "tokens"))
+    base = pick(docs, "doc_id", "text", rid=True).withColumn("tie", F.xxhash64("text"))
     small_batches(spark)
     if files is None:
         volume = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         files = max(shuffle_partitions(spark), -(-volume // FILE_BYTES))
-    ranged = base.repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    place = ("doc_id", "tie", RID)  # repeats of one row may fill several files
+    ranged = base.repartitionByRange(files, *place).sortWithinPartitions(*place).select("doc_id", "text")
     written = ranged.mapInArrow(_write(path, tokenizer or tokenizer_path(), end_id, planes, block), "file_no long, file string, n_docs long, n_ids long")
     manifest = materialize(written, "tokens-manifest")
     before = W.orderBy("file_no").rowsBetween(W.unboundedPreceding, -1)  # one row per file

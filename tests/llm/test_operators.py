@@ -738,3 +738,64 @@ def test_whole_licence_texts():
     batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(names)), pa.int64()), "text": texts})
     out = [r for b in licenses._scan(licenses.TEMPLATES, licenses.THRESHOLD)([batch]) for r in b.to_pylist()]
     assert [(r["license"], r["licenses"]) for r in out] == [(n, [n]) for n in names]
+
+
+# --- frames that are no bare scan, and rows of equal ids in many files
+
+
+@pytest.fixture(scope="module")
+def exploded(spark, tmp_path_factory):
+    """Rows that share places in their file: an explode, a filter on it and a projection."""
+    path = str(tmp_path_factory.mktemp("x") / "t")
+    spark.createDataFrame([(1, "en", "s", "aa bb,zz one"), (2, "en", "s", "aa bb,yy two")], "doc_id long, lang string, source string, text string").coalesce(1).write.parquet(path)
+    return spark.read.parquet(path).withColumn("text", F.explode(F.split("text", ","))).where("text != ''").select("doc_id", "text", "lang", "source")
+
+
+def test_exploded_frames(exploded, tmp_path):
+    assert not common.is_scan(exploded)
+    texts = {"aa bb", "zz one", "yy two"}
+    assert {r["text"] for r in exact_dedup.drop_copies(exploded).collect()} == texts
+    assert Counter(r["kept"] for r in exact_dedup.exact_groups(exploded).collect()) == {True: 3, False: 1}
+    assert Counter(r["text"] for r in sharding.write_shards(exploded, str(tmp_path / "s"), shards=3).collect()) == {"aa bb": 2, "zz one": 1, "yy two": 1}
+    groups = simhash.near_groups(common.as_table(exploded)).collect()
+    assert len(groups) == 4 and simhash.drop_near_copies(exploded).count() == sum(r["first"] for r in groups) == 3
+    assert sum(r["taken"] for r in mixing.mix(exploded, block=1).collect()) == 8
+    assert Counter(r["text"] for r in mixing.mixed_documents(exploded, block=1).collect()) == {"aa bb": 2, "zz one": 1, "yy two": 1}
+
+
+def test_scans(spark, exploded, tmp_path):
+    exploded.write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    table.createOrReplaceTempView("mw_scan")
+    assert common.is_scan(table.where("doc_id > 0").select("text")) and common.is_scan(spark.table("mw_scan"))
+    assert not common.is_scan(table.union(table)) and not common.is_scan(table.where(F.rand() < 2)) and not common.is_scan(table.distinct())
+
+
+def test_equal_ids_in_many_files(spark, tmp_path):
+    """Each file has one row of each language, all without an id: places differ by their files."""
+    path = str(tmp_path / "d")
+    rows = [(None, f"text {i} of language {k}", f"l{k}", "s", i) for i in range(30) for k in range(10)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, f int").repartitionByRange(30, "f").sortWithinPartitions("lang").write.parquet(path)
+    table = spark.read.parquet(path)
+    assert len(table.inputFiles()) == 30
+    model = langid.fit(table, sample=2)
+    assert model[0] == [f"l{k}" for k in range(10)]
+    chosen = langid.chosen_rows(common.pick(table, "doc_id", "lang", rid=True), 2).collect()
+    assert all(1 <= n <= 2 for n in Counter(r["lang"] for r in chosen).values())
+    places = common.pick(table, "doc_id", "text", rid=True).select(sharding._place(1, "doc_id", "text")).distinct().count()
+    assert places == 300
+    got = sharding.write_shards(table, str(tmp_path / "s"), shards=7, bucket_bytes=500).collect()
+    assert max(Counter(r["shard"] for r in got).values()) - min(Counter(r["shard"] for r in got).values()) <= 1
+
+
+def test_paths_of_token_files(spark, tmp_path):
+    """A bare path is one of the default file system, whatever that is."""
+    assert tokenbin.qualified(spark, str(tmp_path)) == f"file://{tmp_path}"
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    try:
+        conf.set("fs.defaultFS", "viewfs://other/")
+        conf.set("fs.viewfs.mounttable.other.link./in", f"file://{tmp_path}")
+        assert tokenbin.qualified(spark, "/in/x").startswith("viewfs://other/")
+    finally:
+        conf.set("fs.defaultFS", before or "file:///")
