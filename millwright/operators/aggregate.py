@@ -34,11 +34,14 @@ def distinct_per_group(frame: DataFrame, keys: list[str], value: str, out: str,
 
 
 def cap_and_count(frame: DataFrame, key: str, order: list, cap: int) -> DataFrame:
-    """The first ``cap`` rows of each key, each with the key's uncapped ``total``."""
-    totals = frame.groupBy(key).agg(F.count("*").alias("total"))
+    """The first ``cap`` rows of each key (null is one), each with the key's uncapped ``total``.
+
+    Counts combine before the shuffle, and rows are cut in each task before they are ranked.
+    """
+    totals = frame.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("total"))
     rank = F.row_number().over(W.partitionBy(key).orderBy(*order))
     first = frame.withColumn("rank", rank).where(F.col("rank") <= cap)
-    return first.join(totals, key)
+    return first.join(totals, F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
 
 
 def coverage_surface(source: DataFrame, covered: DataFrame, key: str) -> DataFrame:

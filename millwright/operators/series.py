@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millwright.functions.values import kind
-from millwright.operators.windows import ordinal, previous
+from millwright.operators.windows import at_places, ordinal, previous
 
 
 def change_points(samples: DataFrame, keys: list[str], order: list[str], value: str, error: str, slot: Column | None = None) -> DataFrame:
@@ -77,7 +77,7 @@ def downsample(rows: DataFrame, keys: list[str], order: list[str], n: int, slot:
         even = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.bround(i * (F.col("__n") - 1) / F.lit(n - 1)).cast("long"))
         every = F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)
         wanted = sizes.select(*keys, F.explode(F.when(F.col("__n") <= n, every).otherwise(F.array_distinct(even))).alias("__i"))
-    return ordinal(rows, keys, order, "__i", slot).join(wanted, [*keys, "__i"], "left_semi").select(*rows.columns)
+    return at_places(ordinal(rows, keys, order, "__i", slot), wanted, keys).select(*rows.columns)
 
 
 def synthetic(spark: SparkSession, tags: list[str], cycles: int, kind: str = "DINT", period: int = 20, amplitude: float = 10.0, offset: float = 0.0) -> DataFrame:

@@ -49,6 +49,12 @@ def ordinal(frame: DataFrame, keys: list[str], order: list[str], out: str, slot:
     return joined.select(*[F.col(f"a.{c}") for c in frame.columns], (F.col("b.__start") + F.col("a.__in")).cast("long").alias(out))
 
 
+def at_places(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys and place (``__i``) are in ``wanted``; null is a key like any other."""
+    same = reduce(lambda a, b: a & b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in keys], F.col("a.__i") == F.col("b.__i"))
+    return rows.alias("a").join(wanted.alias("b"), same, "left_semi")
+
+
 def neighbourhood(frame: DataFrame, keys: list[str], order: list[str], match: Column, before: int = 1, after: int = 1, slot: Column | None = None) -> DataFrame:
     """Rows at most ``before`` ahead of a match or ``after`` behind one.
 
@@ -61,7 +67,7 @@ def neighbourhood(frame: DataFrame, keys: list[str], order: list[str], match: Co
     rows = ordinal(frame.withColumn("__hit", F.coalesce(match, F.lit(False))), keys, order, "__i", slot)
     around = F.explode(F.sequence(F.col("__i") - before, F.col("__i") + after))
     wanted = rows.where("__hit").select(*keys, around.alias("__i")).distinct()
-    return rows.join(wanted, [*keys, "__i"], "left_semi").select(*frame.columns)
+    return at_places(rows, wanted, keys).select(*frame.columns)
 
 
 def running_id(frame: DataFrame, keys: list[str], order: list[str], out: str, prefix: str = "", width: int = 0, slot: Column | None = None) -> DataFrame:

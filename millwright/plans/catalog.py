@@ -92,13 +92,15 @@ def stream_slice(t):
 
 @query("""
     WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i,
-                      count(*) OVER (PARTITION BY user_id) AS n FROM events),
+                      count(*) OVER (PARTITION BY user_id) AS n
+               FROM (SELECT * REPLACE (CASE WHEN user_id % 10 > 0 THEN user_id END AS user_id) FROM events)),
     want AS (SELECT DISTINCT user_id, CAST(round_even(k * (n - 1) / 6.0, 0) AS BIGINT) AS i
              FROM (SELECT DISTINCT user_id, n FROM n) CROSS JOIN range(7) AS g(k))
     SELECT n.user_id, event_id, ts, value FROM n
-    WHERE n.n <= 7 OR EXISTS (SELECT 1 FROM want WHERE want.user_id = n.user_id AND want.i = n.i)""")
+    WHERE n.n <= 7 OR EXISTS (SELECT 1 FROM want WHERE want.user_id IS NOT DISTINCT FROM n.user_id AND want.i = n.i)""")
 def downsample_even(t):
-    return series.downsample(t.events, ["user_id"], ["ts", "event_id"], 7, F.to_date("ts")).select("user_id", "event_id", "ts", "value")
+    rows = t.events.withColumn("user_id", F.when(F.col("user_id") % 10 > 0, F.col("user_id")))  # null is a key
+    return series.downsample(rows, ["user_id"], ["ts", "event_id"], 7, F.to_date("ts")).select("user_id", "event_id", "ts", "value")
 
 
 @query("""
@@ -149,11 +151,13 @@ def last_per_key(t):
 
 @query("""
     WITH m AS (SELECT *, max(CASE WHEN contains(lower(text), 'the') AND role = 'user' THEN 1 ELSE 0 END) OVER (
-                   PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS near FROM conversations)
+                   PARTITION BY CASE WHEN conv_id % 7 > 0 THEN conv_id END ORDER BY turn, conv_id ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS near
+               FROM conversations)
     SELECT conv_id, turn, role FROM m WHERE near = 1""")
 def neighborhood_rows(t):
     hit = match.contains(F.col("text"), "the") & (F.col("role") == "user")
-    return windows.neighbourhood(t.conversations, ["conv_id"], ["turn"], hit, before=1, after=2, slot=F.floor(F.col("turn") / 64)).select("conv_id", "turn", "role")
+    rows = t.conversations.withColumn("key", F.when(F.col("conv_id") % 7 > 0, F.col("conv_id")))  # null is a key
+    return windows.neighbourhood(rows, ["key"], ["turn", "conv_id"], hit, before=1, after=2, slot=F.col("turn")).select("conv_id", "turn", "role")
 
 
 @query("""
@@ -185,9 +189,10 @@ def facet_counts(t):
 @query("""
     SELECT l_returnflag, l_orderkey, l_linenumber, rank, total FROM (
         SELECT *, CAST(row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber) AS INTEGER) AS rank,
-               count(*) OVER (PARTITION BY l_returnflag) AS total FROM lineitem) WHERE rank <= 500""")
+               count(*) OVER (PARTITION BY l_returnflag) AS total FROM (SELECT * REPLACE (nullif(l_returnflag, 'R') AS l_returnflag) FROM lineitem)) WHERE rank <= 500""")
 def cap_and_count(t):
-    return aggregate.cap_and_count(t.lineitem, "l_returnflag", ["l_orderkey", "l_linenumber"], 500).select("l_returnflag", "l_orderkey", "l_linenumber", "rank", "total")
+    rows = t.lineitem.withColumn("l_returnflag", F.nullif("l_returnflag", F.lit("R")))  # null is a key
+    return aggregate.cap_and_count(rows, "l_returnflag", ["l_orderkey", "l_linenumber"], 500).select("l_returnflag", "l_orderkey", "l_linenumber", "rank", "total")
 
 
 @query("""

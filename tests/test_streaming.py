@@ -106,3 +106,17 @@ def test_capture(spark, tmp_path):
     for bad in ([], [" "], [str(i) for i in range(33)]):
         with pytest.raises(ValueError):
             sessions.normalize_tags(bad)
+
+
+def test_null_keys_with_and_without_slots(spark):
+    """Null is a key like any other, in every form of the operators."""
+    from millwright.operators import aggregate, windows
+
+    df = spark.createDataFrame([(k, i) for k in ("a", None) for i in range(20)], "k string, i long").repartition(3)
+    hit = F.col("i") == 7
+    plain, dealt = (sorted(map(str, windows.neighbourhood(df, ["k"], ["i"], hit, 1, 2, slot).collect())) for slot in (None, F.floor(F.col("i") / 4)))
+    assert plain == dealt and len(plain) == 8
+    plain, dealt = (sorted(map(str, series.downsample(df, ["k"], ["i"], 5, slot).collect())) for slot in (None, F.floor(F.col("i") / 4)))
+    assert plain == dealt and len(plain) == 10
+    assert series.downsample(df, ["k"], ["i"], 1).count() == 2
+    assert {(r["k"], r["rank"], r["total"]) for r in aggregate.cap_and_count(df, "k", ["i"], 2).collect()} == {(k, r, 20) for k in ("a", None) for r in (1, 2)}
