@@ -14,6 +14,7 @@ from millwright.operators import match, paging, series
 from millwright.plans import answers
 from millwright.plans.analysis import Analysis
 from millwright.sources.workspace import Workspace
+from millwright.sources.tags import read_tags
 from millwright.streaming import sessions
 
 PAYLOAD = 50_000
@@ -326,20 +327,23 @@ def runtime_evidence_summary(t, limit=50):
 
 @tool
 def read_tags_now(t, tags, kind="DINT", source="simulated"):
-    sessions.check_source(source)
     names = sessions.normalize_tags(tags)
-    return {"mode": "OFFLINE", "samples": [r.asDict() for r in series.synthetic(t.spark, names, 1, kind).collect()]}
+    rows = read_tags(t.spark, source, names, cycles=1, kind=kind)
+    return {"mode": "OFFLINE", "source": source, "samples": [r.asDict() for r in rows.orderBy("seq").drop("ts").collect()]}  # one row a tag
 
 
 @tool
-def start_runtime_capture(t, tags, interval_ms=1000, duration_seconds=60, session_id=None, wait=False, source="simulated"):
-    """Starts a capture in this process; with ``wait`` returns when it has ended."""
+def start_runtime_capture(t, tags, interval_ms=1000, duration_seconds=60, session_id=None, wait=False, source="simulated", process=False):
+    """Starts a capture in this process, or with ``process`` in one of its own; with ``wait`` returns when it has ended."""
     sessions.check_source(source)
     sid = session_id or sessions.new_session_id()
     sessions.check_limits(interval_ms, duration_seconds)
+    if process:
+        pid = sessions.capture_process(t.data.path, sid, tags, interval_ms, duration_seconds, source, t.runtime)
+        return {"session_id": sid, "status": "starting", "pid": pid}
     identity = ",".join(t.data.manifest["controllers"][:5])
-    sessions.create_session(t.spark, t.runtime, sid, tags, interval_ms, duration_seconds, identity, t.runtime)
-    t.captures[sid] = sessions.capture(t.spark, t.runtime, sid, tags, interval_ms, duration_seconds)
+    sessions.create_session(t.spark, t.runtime, sid, tags, interval_ms, duration_seconds, identity, t.runtime, source=source)
+    t.captures[sid] = sessions.capture(t.spark, t.runtime, sid, tags, interval_ms, duration_seconds, source)
     if wait:
         t.captures[sid].awaitTermination()
     return runtime_capture_status(t, sid)
@@ -347,12 +351,8 @@ def start_runtime_capture(t, tags, interval_ms=1000, duration_seconds=60, sessio
 
 @tool
 def runtime_capture_status(t, session_id):
-    """The state that the capture wrote, whatever process it runs in."""
-    row = sessions.states(t.spark, t.runtime).where(F.col("session_id") == session_id).first()
-    q = t.captures.get(session_id)
-    if q is not None and not q.isActive and q.exception() and row["status"] == sessions.RUNNING:
-        sessions.write_state(t.spark, t.runtime, session_id, sessions.FAILED, row["version"] + 1, row["cycles"], row["samples"], row["errors"], str(q.exception())[:500])
-        row = sessions.states(t.spark, t.runtime).where(F.col("session_id") == session_id).first()
+    """The state that the capture wrote, whatever process it runs in; one whose process is lost has failed."""
+    row = sessions.states(t.spark, t.runtime, session_id).first()
     return {"session_id": session_id, "status": "unknown"} if row is None else row.asDict()
 
 

@@ -30,6 +30,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("command", choices=["ingest", "inspect", "serve", *COMMANDS, *TOOLS])
     parser.add_argument("--workspace", required=True)
     parser.add_argument("--source", help="project files to ingest")
+    parser.add_argument("--runtime", help="folder of the captures, if it is not in the workspace")
     known, rest = parser.parse_known_args(argv)
     arguments = {k.removeprefix("--").replace("-", "_"): value(v) for k, v in zip(rest[::2], rest[1::2], strict=True)}
     spark = SparkSession.builder.appName("millwright").getOrCreate()
@@ -46,7 +47,9 @@ def main(argv: list[str] | None = None) -> int:
     else:
         if known.command.startswith("runtime-capture-") and COMMANDS[known.command] == "start_runtime_capture":
             arguments.setdefault("wait", True)  # the capture runs in this process; another one may ask it to stop
-        out = Tools(spark, known.workspace).call(COMMANDS.get(known.command, known.command), **arguments)
+        if "source_name" in arguments:
+            arguments["source"] = arguments.pop("source_name")
+        out = Tools(spark, known.workspace, known.runtime).call(COMMANDS.get(known.command, known.command), **arguments)
     print(json.dumps(out, default=str))
     return 0
 

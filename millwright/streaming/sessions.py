@@ -1,4 +1,9 @@
-"""Capture sessions: synthetic and file sources, change points and statistics as Structured Streaming."""
+"""Capture sessions, their samples and states, change points and statistics as Structured Streaming.
+
+Samples lie by session and epoch: a batch that Spark runs again replaces what it wrote, so that each sample is there
+once, and counters are taken from the samples. A capture renews its lease with every state that it writes; a session
+that is running by its last state and past its lease has lost its process, and reads as failed.
+"""
 
 from __future__ import annotations
 
@@ -6,9 +11,13 @@ import hashlib
 import json
 import math
 import re
+import subprocess
+import sys
 import threading
+import time
 import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,12 +26,13 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from millwright.operators import series
+from millwright.sources.tags import MOST_TAGS, reader_of, stream_tags, utc_text
 
 SAMPLES = "session_id string, seq long, ts_utc string, ts timestamp, cycle long, tag string, value_json string, type string, error string"
 # Limits of a capture (fixed values).
-LEAST_INTERVAL_MS, MOST_SECONDS, MOST_TAGS, CYCLE_BYTES = 100, 300, 32, 4096
-SOURCES = ("fake", "simulated")
-STATE_EVERY = 10  # cycles between two states of a running capture
+LEAST_INTERVAL_MS, MOST_SECONDS, CYCLE_BYTES = 100, 300, 4096
+LEASE_SECONDS = 30  # a running capture writes a state at least three times in it
+KEEP_STATES = 3
 SESSION_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9_.-]{0,127}")
 
 
@@ -42,9 +52,8 @@ def check_limits(interval_ms: int, seconds: float) -> None:
 
 
 def check_source(source: str) -> None:
-    """Readers are synthetic; one that reaches a controller needs its vendor's kit and a network."""
-    if source not in SOURCES:
-        raise ValueError(f"no reader {source!r}: one of {', '.join(SOURCES)}")
+    """An unknown reader is an error."""
+    reader_of(source)
 
 
 def new_session_id(prefix: str = "session") -> str:
@@ -52,13 +61,13 @@ def new_session_id(prefix: str = "session") -> str:
 
 
 MANIFEST = "schema_version int, session_id string, created_at string, requested_tags array<string>, interval_ms int, duration_seconds double, source string, mode string, controller_identity string, path_fingerprint string, permission string, retention_policy string, limits map<string,double>"
-STATES = "session_id string, version long, status string, updated_at string, ended_at string, cycles long, samples long, errors long, error string"
+STATES = "session_id string, version long, status string, updated_at string, lease_until string, ended_at string, cycles long, samples long, errors long, error string"
 RUNNING, COMPLETED, STOPPED, FAILED = "running", "completed", "stopped", "failed"
 PREVIEW_TAGS = 20
 
 
 def _now() -> str:
-    return pd.Timestamp.now("UTC").strftime("%Y-%m-%dT%H:%M:%S.%fZ")
+    return utc_text(datetime.now(UTC))
 
 
 def create_session(spark: SparkSession, root: str, session_id: str, tags: list[str], interval_ms: int = 1000, seconds: float = 60, identity: str = "", path: str = "", **more: str) -> DataFrame:
@@ -66,17 +75,28 @@ def create_session(spark: SparkSession, root: str, session_id: str, tags: list[s
     if not SESSION_ID.fullmatch(session_id):
         raise ValueError(f"bad session id {session_id!r}")
     limits = {"max_tags": MOST_TAGS, "max_bytes_per_cycle": CYCLE_BYTES, "max_duration_seconds": MOST_SECONDS}
-    row = {"schema_version": 1, "session_id": session_id, "created_at": pd.Timestamp.now("UTC").strftime("%Y-%m-%dT%H:%M:%SZ"), "requested_tags": normalize_tags(tags), "interval_ms": interval_ms, "duration_seconds": seconds, "source": "synthetic", "mode": "OFFLINE", "controller_identity": identity, "path_fingerprint": hashlib.sha256(path.encode()).hexdigest()[:16], "permission": "read_only", "retention_policy": "keep", "limits": limits, **more}
+    row = {"schema_version": 1, "session_id": session_id, "created_at": pd.Timestamp.now("UTC").strftime("%Y-%m-%dT%H:%M:%SZ"), "requested_tags": normalize_tags(tags), "interval_ms": interval_ms, "duration_seconds": seconds, "source": "simulated", "mode": "OFFLINE", "controller_identity": identity, "path_fingerprint": hashlib.sha256(path.encode()).hexdigest()[:16], "permission": "read_only", "retention_policy": "keep", "limits": limits, **more}
     frame = spark.createDataFrame([(json.dumps(row),)], "value string")
     frame.coalesce(1).write.mode("errorifexists").text(f"{root}/manifests/session_id={session_id}")
     return frame
 
 
-def write_state(spark: SparkSession, root: str, session_id: str, status: str, version: int, cycles: int = 0, samples: int = 0, errors: int = 0, error: str | None = None) -> None:
-    """Append a state of a session; the one of the highest version counts, so that readers never see half of a change."""
-    now = _now()
-    row = (session_id, version, status, now, None if status == RUNNING else now, cycles, samples, errors, error)
-    spark.createDataFrame([row], STATES).coalesce(1).write.mode("append").parquet(f"{root}/states")
+def write_state(spark: SparkSession, root: str, session_id: str, status: str, version: int, cycles: int = 0, samples: int = 0, errors: int = 0, error: str | None = None, lease: float = LEASE_SECONDS) -> None:
+    """Write a state of a session; the one of the highest version counts, so that readers never see half of a change.
+
+    The same version again replaces itself; only the newest few stay.
+    """
+    now = datetime.now(UTC)
+    running = status == RUNNING
+    row = (session_id, version, status, utc_text(now), utc_text(now + timedelta(seconds=lease)) if running else None, None if running else utc_text(now), cycles, samples, errors, error)
+    folder = f"{root}/states/{session_id}"
+    spark.createDataFrame([row], STATES).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{version:012d}")
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(folder)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = sorted(x.getPath().getName() for x in store.listStatus(where))
+    for name in names[:-KEEP_STATES]:
+        store.delete(jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"), True)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -84,11 +104,15 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
-def states(spark: SparkSession, root: str) -> DataFrame:
-    """The current state of each session."""
-    rows = spark.read.schema(STATES).parquet(f"{root}/states") if _exists(spark, f"{root}/states") else spark.createDataFrame([], STATES)
+def states(spark: SparkSession, root: str, session_id: str | None = None) -> DataFrame:
+    """The current state of each session (or of one); a running one past its lease has failed."""
+    there = _exists(spark, f"{root}/states/{session_id}" if session_id else f"{root}/states")
+    read = spark.read.schema(STATES).option("ignoreMissingFiles", "true").option("recursiveFileLookup", "true")
+    rows = read.parquet(f"{root}/states/{session_id}" if session_id else f"{root}/states") if there else spark.createDataFrame([], STATES)
     newest = F.max_by(F.struct(*[c.split()[0] for c in STATES.split(", ")[1:]]), F.struct("version", "updated_at")).alias("s")
-    return rows.groupBy("session_id").agg(newest).select("session_id", "s.*")
+    current = rows.groupBy("session_id").agg(newest).select("session_id", "s.*")
+    lost = (F.col("status") == RUNNING) & (F.col("lease_until") < _now())
+    return current.withColumns({"status": F.when(lost, FAILED).otherwise(F.col("status")), "ended_at": F.when(lost, F.col("lease_until")).otherwise(F.col("ended_at")), "error": F.when(lost, "the capture's process did not renew its lease").otherwise(F.col("error"))})
 
 
 def request_stop(spark: SparkSession, root: str, session_id: str) -> None:
@@ -114,48 +138,69 @@ def sessions(spark: SparkSession, root: str, status: str | None = None) -> DataF
     return rows.orderBy(F.desc("created_at"), F.desc("session_id"))
 
 
-def capture(spark: SparkSession, root: str, session_id: str, tags: list[str], interval_ms: int = 1000, seconds: float = 60, kind: str = "DINT", period: int = 20, amplitude: float = 10.0, failing: tuple[str, ...] = ()) -> StreamingQuery:
-    """Append synthetic samples to the session's table, one row a tag and cycle, for ``seconds`` or until a stop is asked for.
+def append_epoch(batch: DataFrame, root: str, session_id: str, epoch: int) -> None:
+    """Put a batch in its place; the same epoch again replaces itself."""
+    kept = series.enforce_budget(batch, ["session_id", "cycle"], ["seq"], "value_json", "error", CYCLE_BYTES)
+    kept.drop("session_id").write.mode("overwrite").parquet(f"{root}/samples/session_id={session_id}/epoch={epoch}")
+
 
-    A rate stream is the clock; no sample of a cycle past the duration is written. ``failing`` tags give error rows. The
-    session's state table says how far the capture is and how it ended.
+def capture(spark: SparkSession, root: str, session_id: str, tags: list[str], interval_ms: int = 1000, seconds: float = 60, source: str = "simulated", lease: float = LEASE_SECONDS, started: str | None = None, **options) -> StreamingQuery:
+    """Write samples of a reader to the session, one row a tag and cycle, for ``seconds`` or until a stop is asked for.
+
+    The data source's cycles are the offsets: a capture that is started again with the time at which it ``started`` goes
+    on where its checkpoint is. ``options`` are the reader's. The session's states say how far it is and how it ended.
     """
     check_limits(interval_ms, seconds)
     names = normalize_tags(tags)
     cycles = math.ceil(seconds * 1000 / interval_ms)
-    clock = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("advanceMillisPerBatch", interval_ms).load()
-    rows = clock.where(F.col("value") < cycles).select(F.col("value").alias("cycle"), F.col("timestamp").alias("ts"), F.posexplode(F.array(*map(F.lit, names))).alias("i", "tag"))
-    phase = F.pmod(F.col("cycle") + F.col("i"), F.lit(period)) / F.lit(period)
-    value = F.when(F.pmod(F.col("cycle") + F.col("i"), F.lit(2)) == 1, "true").otherwise("false") if kind == "BOOL" else F.bround(F.lit(amplitude) * phase, 6).cast("string") if kind == "REAL" else F.bround(F.lit(amplitude) * phase).cast("long").cast("string")
-    bad = F.col("tag").isin(*failing) if failing else F.lit(False)
-    out = rows.select(F.lit(session_id).alias("session_id"), (F.col("cycle") * MOST_TAGS + F.col("i")).alias("seq"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts_utc"), "ts", "cycle", "tag", F.when(~bad, value).alias("value_json"), F.lit(kind).alias("type"), F.when(bad, F.lit("tag could not be read")).alias("error"))
-    ended = threading.Event()
+    rows = stream_tags(spark, source, names, cycles=cycles, interval_ms=interval_ms, started=started or _now(), **options).withColumn("session_id", F.lit(session_id))
+    rows = rows.select(*[c.split()[0] for c in SAMPLES.split(", ")])
+    ended, told = threading.Event(), [0.0]
 
     def end(query: StreamingQuery) -> None:
-        ended.wait()
+        while not ended.wait(lease / 6):
+            if not query.isActive:  # it failed: the caller has its exception, others its state
+                last = states(spark, root, session_id).first()
+                write_state(spark, root, session_id, FAILED, (last["version"] if last else 0) + 1, error=str(query.exception())[:500])
+                return
         query.stop()
 
     def append(batch: DataFrame, epoch: int) -> None:
         if ended.is_set():
             return
         spark = batch.sparkSession
-        kept = series.enforce_budget(batch, ["session_id", "cycle"], ["seq"], "value_json", "error", CYCLE_BYTES)
-        kept.write.mode("append").partitionBy("session_id").parquet(f"{root}/samples")
-        status = STOPPED if stop_requested(spark, root, session_id) else COMPLETED if epoch + 1 >= cycles else RUNNING
-        if status != RUNNING or epoch % STATE_EVERY == 0:
-            n, errors = read_samples(spark, root, session_id).agg(F.count("*"), F.count("error")).first()
-            write_state(spark, root, session_id, status, epoch + 1, min(epoch + 1, cycles), n, errors)
+        append_epoch(batch, root, session_id, epoch)
+        last = batch.agg(F.max("cycle")).first()[0]
+        done = last is not None and last + 1 >= cycles
+        status = STOPPED if stop_requested(spark, root, session_id) else COMPLETED if done else RUNNING
+        if status != RUNNING or time.monotonic() - told[0] > lease / 3:
+            told[0] = time.monotonic()
+            n, errors, most = read_samples(spark, root, session_id).agg(F.count("*"), F.count("error"), F.max("cycle")).first()
+            write_state(spark, root, session_id, status, epoch + 1, (-1 if most is None else most) + 1, n, errors, lease=lease)
         if status != RUNNING:
             ended.set()
 
-    write_state(spark, root, session_id, RUNNING, 0)
-    query = out.writeStream.foreachBatch(append).option("checkpointLocation", f"{root}/checkpoints/{session_id}").trigger(processingTime=f"{interval_ms} milliseconds").start()
+    write_state(spark, root, session_id, RUNNING, 0, lease=lease)
+    query = rows.writeStream.foreachBatch(append).option("checkpointLocation", f"{root}/checkpoints/{session_id}").trigger(processingTime=f"{interval_ms} milliseconds").start()
     threading.Thread(target=end, args=(query,), daemon=True).start()
     return query
 
 
+def capture_process(workspace: str, session_id: str, tags: list[str], interval_ms: int = 1000, seconds: float = 60, source: str = "simulated", runtime: str | None = None) -> int:
+    """Start a capture in a process of its own, which outlives this one, and give its PID."""
+    check_limits(interval_ms, seconds)
+    check_source(source)
+    arguments = {"tags": json.dumps(normalize_tags(tags)), "interval-ms": interval_ms, "duration-seconds": seconds, "session-id": json.dumps(session_id), "source-name": source}
+    command = [sys.executable, "-m", "millwright.cli", "runtime-capture-run", "--workspace", workspace, *(["--runtime", runtime] if runtime else [])]
+    command += [x for k, v in arguments.items() for x in (f"--{k}", str(v))]
+    return subprocess.Popen(command, stdin=subprocess.DEVNULL, stdout=subprocess.DEVNULL, stderr=subprocess.DEVNULL, start_new_session=True).pid
+
+
 def read_samples(spark: SparkSession, root: str, session_id: str | None = None) -> DataFrame:
-    rows = spark.read.parquet(f"{root}/samples")
+    """Samples of all sessions or one; a capture that has written none yet has none."""
+    if not _exists(spark, f"{root}/samples"):
+        return spark.createDataFrame([], SAMPLES)
+    rows = spark.read.schema(f"{SAMPLES}, epoch long").parquet(f"{root}/samples").drop("epoch")
     return rows.where(F.col("session_id") == session_id) if session_id else rows
 
 
