@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from millwright.llm.common import RID, as_table, column, give_back, materialize,
 from millwright.llm.tokenbin import tokenizer_path
 
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-SLICE_BYTES, CACHE_PIECES = 1 << 19, 200_000
+SLICE_BYTES, CACHE_PIECES = 1 << 19, 500_000
 HELD_PAIRS = 1 << 20
 HEAD = 2_000_000
 
@@ -94,133 +95,144 @@ class PieceSide:
 class Encoder:
     """Ids of both sides for whole texts, each distinct piece encoded once while it is in the cache."""
 
-    def __init__(self, a: str, b: str):
-        self.a, self.b = ByteSide(a), PieceSide(b)
+    def __init__(self, a: str, b: str, most: int = CACHE_PIECES):
+        self.a, self.b, self.most = ByteSide(a), PieceSide(b), most
         self.cuts = self.a.cuts and self.b.cuts
         self.sizes = [np.fromiter(map(len, side.bytes), np.int64, len(side.bytes)) for side in (self.a, self.b)]
         width = max(len(self.a.bytes), len(self.b.bytes))
         digits = [str(i).encode() for i in range(width)]
         self.digits = np.frombuffer(b"".join(digits), np.uint8), np.fromiter(map(len, digits), np.int64, width)
-        self.cache: dict[str, tuple[bytes, bytes, bool]] = {}
-
-    def _known(self, pieces: list[str]) -> list[tuple[bytes, bytes, bool]]:
-        known = self.cache
-        missing = [p for p in pieces if p not in known]
-        if len(known) + len(missing) > CACHE_PIECES:
-            known = self.cache = {p: known[p] for p in pieces if p in known}
-        for lo in range(0, len(missing), 4096):
-            part = missing[lo : lo + 4096]
-            for p, x, y in zip(part, self.a(part), self.b(part)):
-                raw = b" " + p.encode()
-                same = b"".join([self.a.bytes[i] for i in x]) == raw and b"".join([self.b.bytes[i] for i in y]) == raw
-                known[p] = np.array(x, "<u4").tobytes(), np.array(y, "<u4").tobytes(), same
-        return [known[p] for p in pieces]
+        self._clear()
+
+    def _clear(self) -> None:
+        self.places: dict[str, int] = {}  # of each known piece in the arrays below
+        self.same = np.zeros(0, bool)
+        self.flat = [np.zeros(0, np.int32)] * 2
+        self.count = [np.zeros(0, np.int32)] * 2
+
+    def _places(self, pieces: list[str]) -> np.ndarray:
+        """The places of distinct pieces; those that are not known yet are encoded."""
+        missing = [p for p in pieces if p not in self.places]
+        if len(self.places) + len(missing) > self.most:
+            self._clear()
+            missing = pieces
+        if missing:
+            known, same, new = len(self.places), np.ones(len(missing), bool), []
+            raw = [b" " + p.encode() for p in missing]
+            for side in (self.a, self.b):
+                found = [ids for lo in range(0, len(missing), 4096) for ids in side(missing[lo : lo + 4096])]
+                count = np.fromiter(map(len, found), np.int32, len(found))
+                ids = np.fromiter(chain.from_iterable(found), np.int32, int(count.sum()))
+                ends = np.cumsum(count)
+                if b"".join(map(side.bytes.__getitem__, ids.tolist())) != b"".join(raw):
+                    for i in range(len(missing)):
+                        same[i] &= b"".join([side.bytes[x] for x in ids[ends[i] - count[i] : ends[i]]]) == raw[i]
+                new.append((ids, count))
+            self.flat = [np.concatenate([x, ids]) for x, (ids, _) in zip(self.flat, new)]
+            self.count = [np.concatenate([x, count]) for x, (_, count) in zip(self.count, new)]
+            self.same = np.concatenate([self.same, same])
+            self.places.update(zip(missing, range(known, known + len(missing))))
+        return np.fromiter(map(self.places.__getitem__, pieces), np.int64, len(pieces))
+
+    def _pieces(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The pieces of all texts in order, and the text of each."""
+        n = len(texts)
+        uneven = pc.match_substring_regex(texts, _BLANK_CUT) if self.cuts else pa.array(np.ones(n, bool))
+        odd = [CUT.split(t) if self.cuts else [t] for t in texts.filter(uneven).to_pylist()]
+        even = pc.invert(uneven)
+        parts = pa.concat_arrays([pc.split_pattern(texts.filter(even), " "), pa.array(odd, pa.list_(pa.string()))])
+        mask = even.to_numpy(zero_copy_only=False)
+        back = np.empty(n, np.int64)
+        back[np.concatenate([np.flatnonzero(mask), np.flatnonzero(~mask)])] = np.arange(n)
+        parts = parts.take(pa.array(back)) if odd else parts
+        return parts.flatten(), pc.list_parent_indices(parts).to_numpy(zero_copy_only=False).astype(np.int64)
 
     def __call__(self, texts: pa.Array):
         """For texts that are not empty: whether the bytes agree, and per side the ids of those that do and how many each has."""
         n = len(texts)
-        parts = pc.split_pattern(texts, " ")
-        if self.cuts:
-            uneven = pc.match_substring_regex(texts, _BLANK_CUT).to_numpy(zero_copy_only=False)
-        else:
-            uneven = np.ones(n, bool)
-        if uneven.any():
-            lists = parts.to_pylist()
-            for i in np.flatnonzero(uneven).tolist():
-                lists[i] = CUT.split(texts[i].as_py()) if self.cuts else [texts[i].as_py()]
-            parts = pa.array(lists, pa.list_(pa.string()))
-        owner = pc.list_parent_indices(parts).to_numpy(zero_copy_only=False).astype(np.int64)
-        coded = parts.flatten().dictionary_encode()
-        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        a, b, same = zip(*self._known(coded.dictionary.to_pylist()))
+        pieces, owner = self._pieces(texts)
+        coded = pieces.dictionary_encode()
+        place = self._places(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
         good = np.ones(n, bool)
-        good[owner[~np.array(same, bool)[code]]] = False
+        good[owner[~self.same[place]]] = False
         used = good[owner]
+        place, owner = place[used], owner[used]
         out = []
-        for side in (a, b):
-            flat, size = np.frombuffer(b"".join(side), "<u4").astype(np.int64), np.fromiter(map(len, side), np.int64, len(side)) // 4
-            ids, lengths = ragged(flat, size, code[used])
-            out += [ids, np.bincount(owner[used], lengths, n).astype(np.int64)]
+        for flat, count in zip(self.flat, self.count):
+            starts = np.cumsum(count, dtype=np.int64) - count
+            lengths = count[place].astype(np.int64)
+            shift = starts[place] - (np.cumsum(lengths) - lengths)
+            out += [flat[np.repeat(shift, lengths) + np.arange(int(lengths.sum()))].astype(np.int64), np.bincount(owner, lengths, n).astype(np.int64)]
         return good, *out
 
 
-def ragged(flat: np.ndarray, size: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The items of a ragged array in the given order, and their sizes."""
-    lengths = size[order]
-    shift = (np.cumsum(size) - size)[order] - (np.cumsum(lengths) - lengths)
-    return flat[np.repeat(shift, lengths) + np.arange(int(lengths.sum()))], lengths
-
-
 # --- alignment --------------------------------------------------------------------------------------------------
 
 
 def align(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First token of each group on both sides, and both ends of each link, in order, for end arrays that end together."""
-    raw_a, raw_b = ends_a.astype("<i8").tobytes(), ends_b.astype("<i8").tobytes()
-    a, b = ends_a.tolist(), ends_b.tolist()
-    n, m = len(a), len(b)
-    runs: list[tuple[int, int, int]] = []  # one-to-one stretches: indices and length
-    odd: list[tuple[int, int, int]] = []  # irregular groups: indices and links
-    link_a: list[int] = []
-    link_b: list[int] = []
+    n, m = len(ends_a), len(ends_b)
+    # Beyond the ends the arrays differ, so no stretch passes them.
+    ends = np.append(ends_a, -1).astype("<i8"), np.append(ends_b, -2).astype("<i8")
+    raw_a, raw_b = (x.tobytes() for x in ends)
+    a, b = (x.tolist() for x in ends)
+    runs: list[int] = []  # one-to-one stretches: first token of A, shift, tokens
+    odd: list[int] = []  # irregular groups: first and last token of A and of B
     i = j = 0
     while i < n:
         if a[i] == b[j]:
-            # Probe: double the stretch while both arrays agree at this shift.
-            have, step, most = 1, 1, min(n - i, m - j)
-            while have < most:
-                step = min(step, most - have)
-                lo = have * 8
-                hi = lo + step * 8
-                if raw_a[i * 8 + lo : i * 8 + hi] == raw_b[j * 8 + lo : j * 8 + hi]:
-                    have += step
+            # Probe at this shift: double the stretch while both arrays agree, then halve to the first difference.
+            first, shift, step = i, j - i, 2
+            i += 1
+            while a[i] == b[i + shift]:
+                at = i + shift
+                if raw_a[i << 3 : (i + step) << 3] == raw_b[at << 3 : (at + step) << 3]:
+                    i += step
                     step *= 2
-                elif step == 1:
-                    break
+                    continue
+                while step > 1:
+                    half, at = step >> 1, i + shift
+                    if raw_a[i << 3 : (i + half) << 3] == raw_b[at << 3 : (at + half) << 3]:
+                        i += half
+                        step -= half
+                    else:
+                        step = half
+            j = i + shift
+            runs += (first, shift, i - first)
+        else:
+            # Walk: the token that ends first gives way, until both end together at a new shift.
+            odd += (i, j)
+            x, y = a[i], b[j]
+            while x != y:
+                if x < y:
+                    i += 1
+                    x = a[i]
                 else:
-                    # Halve to the first difference.
-                    while step > 1:
-                        half = step // 2
-                        lo = have * 8
-                        hi = lo + half * 8
-                        if raw_a[i * 8 + lo : i * 8 + hi] == raw_b[j * 8 + lo : j * 8 + hi]:
-                            have += half
-                            step -= half
-                        else:
-                            step = half
-                    break
-            runs.append((i, j, have))
-            i += have
-            j += have
-            continue
-        # Walk: the token that ends first gives way, until both end together.
-        first_a, first_b, x, y, links = i, j, a[i], b[j], 1
-        link_a.append(i)
-        link_b.append(j)
-        while x != y:
-            if x < y:
-                i += 1
-                x = a[i]
-            else:
-                j += 1
-                y = b[j]
-            link_a.append(i)
-            link_b.append(j)
-            links += 1
-        odd.append((first_a, first_b, links))
-        i += 1
-        j += 1
-    run = np.array(runs, np.int64).reshape(-1, 3)
-    step = np.arange(int(run[:, 2].sum())) - np.repeat(np.cumsum(run[:, 2]) - run[:, 2], run[:, 2])
-    one_a, one_b = np.repeat(run[:, 0], run[:, 2]) + step, np.repeat(run[:, 1], run[:, 2]) + step
-    group = np.array(odd, np.int64).reshape(-1, 3)
-    by = np.argsort(np.concatenate([one_a, group[:, 0]]), kind="stable")
-    groups = np.concatenate([one_a, group[:, 0]])[by], np.concatenate([one_b, group[:, 1]])[by]
-    links_a, links_b = np.concatenate([one_a, np.array(link_a, np.int64)]), np.concatenate([one_b, np.array(link_b, np.int64)])
-    by = np.argsort(links_a + links_b, kind="stable")  # each link is one step further than the one before
+                    j += 1
+                    y = b[j]
+            odd += (i, j)
+            i += 1
+            j += 1
+    first, shift, size = np.array(runs, np.int64).reshape(-1, 3).T
+    one_a = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    one_b = one_a + np.repeat(shift, size)
+    from_a, from_b, to_a, to_b = np.array(odd, np.int64).reshape(-1, 4).T
+    by = np.argsort(np.concatenate([one_a, from_a]), kind="stable")
+    groups = np.concatenate([one_a, from_a])[by], np.concatenate([one_b, from_b])[by]
+    # In an irregular group each token that ends is linked with the one of the other side that it ends in.
+    in_a, in_b = _spread(from_a, to_a + 1), _spread(from_b, to_b)
+    links_a = np.concatenate([one_a, in_a, np.searchsorted(ends_a, ends_b[in_b])])
+    links_b = np.concatenate([one_b, np.searchsorted(ends_b, ends_a[in_a]), in_b])
+    by = np.argsort(links_a + links_b, kind="stable")  # each link is at least one step further than the one before
     return *groups, links_a[by], links_b[by]
 
 
+def _spread(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """All numbers of ranges."""
+    size = hi - lo
+    return np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 def group_text(ids_a: np.ndarray, ids_b: np.ndarray, first_a: np.ndarray, first_b: np.ndarray, digits) -> tuple[np.ndarray, np.ndarray]:
     """``a1,a2|b1;a3|b2,b3;`` as bytes, each group closed by ``;``, and where each group ends in it."""
     n, m = len(ids_a), len(ids_b)
