@@ -17,8 +17,8 @@ The order of shingles is by counts over all documents, kept as the levels of at
 table of ``SLOTS`` bytes, then by hash. Any order gives the same links; this one keeps lists short.
 
 A short list of more than ``LIST_LIMIT`` sets is that of a large family of near copies. It is dealt into sublists by
-hash; in each a set is compared with the two others nearest to it by a histogram of its shingles, whose differences
-bound how much two sets can differ. Links found join components; rounds go on with one set a component and list, until
+hash; in each a set is compared with the two others nearest to it by the parities of its shingles in hash ranges: each
+shingle that only one of two sets has changes one, so that as many differ at most as shingles do. Links found join components; rounds go on with one set a component and list, until
 lists have one component or nothing new is found. What is left (sets outside the largest component of a list) is
 compared with the whole list, in blocks, through the same bound: every pair that shares a list is compared or connected.
 
@@ -40,14 +40,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millwright.llm.common import RID, as_table, column, discard, join_bounded, materialize, pick, slices, small_batches, split_words, strings
+from millwright.llm.common import RID, as_table, column, discard, join_bounded, materialize, pick, shuffle_partitions, slices, small_batches, split_words, strings
 from millwright.llm.simhash import components
 
 WIDTH, PERCENT = 3, 90
 SLOTS, HEAVY = 1 << 22, 1 << 20
 BLOCK_SHINGLES = 1 << 20
 LIST_LIMIT, ROUNDS = 32, 4
-BINS = 32
+PARITY_BITS = 1024
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)  # the finalizer of MurmurHash3
 
@@ -114,8 +114,8 @@ def can_link(n, percent: int):
 
 # --- scans ------------------------------------------------------------------------------------------------------
 
-_SCAN = pa.schema([("rid", pa.struct([("file", pa.int64()), ("row", pa.int64())])), ("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("key", pa.int64()), ("bins", pa.binary()), ("shingle", pa.int64()), ("count", pa.int64())])
-_SCAN_SQL = "rid struct<file:long,row:long>, doc_id long, n long, digest binary, key long, bins binary, shingle long, count long"
+_SCAN = pa.schema([("rid", pa.struct([("file", pa.int64()), ("row", pa.int64())])), ("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("key", pa.int64()), ("parity", pa.binary()), ("shingle", pa.int64()), ("count", pa.int64())])
+_SCAN_SQL = "rid struct<file:long,row:long>, doc_id long, n long, digest binary, key long, parity binary, shingle long, count long"
 
 
 def _digests(hashed: np.ndarray, ends: np.ndarray, n: np.ndarray) -> list[bytes]:
@@ -146,10 +146,12 @@ def _scan(width: int):
             hashed, n = shingle_sets(strings(b, "text"), width)
             ends = np.cumsum(n)
             digests = _digests(hashed, ends, n)
-            slot = np.repeat(np.arange(len(b)) * BINS, n) + (hashed >> np.uint64(59)).astype(np.int64)
-            bins = np.minimum(np.bincount(slot, minlength=len(b) * BINS), 65535).astype("<u2").reshape(len(b), BINS)
+            slot = np.repeat(np.arange(len(b)) * PARITY_BITS, n) + (hashed >> np.uint64(64 - PARITY_BITS.bit_length() + 1)).astype(np.int64)
+            parity = np.zeros(len(b) * PARITY_BITS // 8, np.uint8)
+            np.bitwise_xor.at(parity, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
+            parity = parity.reshape(len(b), PARITY_BITS // 8)
             none = {f: pa.nulls(len(b), pa.int64()) for f in ("shingle", "count")}
-            given = {"rid": column(b, RID).cast(_SCAN.field("rid").type), "doc_id": column(b, "doc_id").cast(pa.int64()), "n": pa.array(n.astype(np.int64)), "digest": pa.array(digests, pa.binary()), "key": pa.array([_key(d) for d in digests], pa.int64()), "bins": pa.array([x.tobytes() for x in bins], pa.binary())}
+            given = {"rid": column(b, RID).cast(_SCAN.field("rid").type), "doc_id": column(b, "doc_id").cast(pa.int64()), "n": pa.array(n.astype(np.int64)), "digest": pa.array(digests, pa.binary()), "key": pa.array([_key(d) for d in digests], pa.int64()), "parity": pa.array([x.tobytes() for x in parity], pa.binary())}
             yield pa.RecordBatch.from_arrays([(given | none)[f.name] for f in _SCAN], schema=_SCAN)
             fresh = []
             for d in digests:
@@ -280,14 +282,14 @@ def _probe(percent: int):
     return run
 
 
-def _close(n, bins, m, others, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which of ``others`` (sets of m shingles) a set of n can be linked with by size and histogram, and the histograms' differences."""
-    apart = np.abs(others - bins).sum(axis=1)
+def _close(n, parity, m, others, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``others`` (sets of m shingles) a set of n can be linked with by size and parities, and how many of these differ."""
+    apart = np.bitwise_count(others ^ parity).sum(axis=1, dtype=np.int64)
     return (np.minimum(n, m) >= at_least(np.maximum(n, m), percent)) & (apart <= n + m - 2 * required(n, m, percent)), apart
 
 
 def _arrays(members) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.array([x["n"] for x in members], np.int64), np.array([x["id"] for x in members], np.int64), np.stack([np.frombuffer(x["bins"], "<u2") for x in members]).astype(np.int64)
+    return np.array([x["n"] for x in members], np.int64), np.array([x["id"] for x in members], np.int64), np.stack([np.frombuffer(x["parity"], "<u8") for x in members])
 
 
 def _nearest(percent: int, most: int = 2):
@@ -297,9 +299,9 @@ def _nearest(percent: int, most: int = 2):
         for b in batches:
             out = []
             for members in column(b, "members").to_pylist():
-                n, ids, bins = _arrays(members)
+                n, ids, parity = _arrays(members)
                 for i in range(1, len(n)):
-                    ok, apart = _close(n[i], bins[i], n[:i], bins[:i], percent)
+                    ok, apart = _close(n[i], parity[i], n[:i], parity[:i], percent)
                     at = np.flatnonzero(ok)
                     out += [(int(ids[i]), int(ids[j])) for j in at[np.argsort(apart[at], kind="stable")][:most]]
             yield _pairs(out)
@@ -314,8 +316,8 @@ def _against(percent: int):
         for b in batches:
             out = []
             for r in b.to_pylist():
-                n, ids, bins = _arrays(r["members"])
-                ok, _ = _close(r["n"], np.frombuffer(r["bins"], "<u2").astype(np.int64), n, bins, percent)
+                n, ids, parity = _arrays(r["members"])
+                ok, _ = _close(r["n"], np.frombuffer(r["parity"], "<u8"), n, parity, percent)
                 ok &= np.array([x["label"] for x in r["members"]]) != r["label"]
                 out += [(max(r["id"], x), min(r["id"], x)) for x in ids[ok].tolist()]
             yield _pairs(out)
@@ -330,10 +332,10 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _family_links(hot: DataFrame, verified, percent: int, limit: int):
-    """Links between the sets of long lists (shingle, id, n, bins), and the components so far."""
+    """Links between the sets of long lists (shingle, id, n, parity), and the components so far."""
     found, labels = [], None
     for seed in range(ROUNDS):
-        firsts = _labelled(hot, labels).groupBy("shingle", "label").agg(F.min(F.struct("n", "id", "bins")).alias("m"))
+        firsts = _labelled(hot, labels).groupBy("shingle", "label").agg(F.min(F.struct("n", "id", "parity")).alias("m"))
         open_ = firsts.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1")
         dealt = firsts.join(open_, "shingle").withColumn("sub", F.pmod(F.xxhash64(F.lit(seed), "label"), F.ceil(F.col("k") / limit)))
         blocks = dealt.groupBy("shingle", "sub").agg(F.sort_array(F.collect_list("m")).alias("members"))  # about ``limit``, dealt by hash
@@ -348,9 +350,10 @@ def _family_links(hot: DataFrame, verified, percent: int, limit: int):
     sizes = materialize(sizes.where("labels > 1"), "jaccard-open")
     if not sizes.isEmpty():
         left = rest.join(sizes, "shingle")
-        blocks = left.withColumn("sub", F.pmod(F.xxhash64("id"), F.ceil(F.col("k") / (8 * limit)))).groupBy("shingle", "sub").agg(F.collect_list(F.struct("n", "id", "label", "bins")).alias("members"))
-        outside = left.where("label != most").select("shingle", "id", "n", "label", "bins")
-        pairs = outside.join(blocks, "shingle").mapInArrow(_against(percent), "a long, b long").distinct()
+        blocks = left.withColumn("sub", F.pmod(F.xxhash64("id"), F.ceil(F.col("k") / (8 * limit)))).groupBy("shingle", "sub").agg(F.collect_list(F.struct("n", "id", "label", "parity")).alias("members"))
+        outside = left.where("label != most").select("shingle", "id", "n", "label", "parity")
+        dealt = outside.repartition(4 * shuffle_partitions(hot.sparkSession))  # few rows, each with much to compare
+        pairs = dealt.join(blocks, "shingle").mapInArrow(_against(percent), "a long, b long").distinct()
         new = verified(materialize(pairs, "jaccard-outside"))
         if not new.isEmpty():
             found.append(new)
@@ -373,9 +376,9 @@ def jaccard_links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, l
     base = pick(docs, "doc_id", "text", rid=True)
     scan = materialize(base.mapInArrow(_scan(width), _SCAN_SQL), "jaccard-scan")
     levels = shingle_levels(scan.where("shingle is not null").select("shingle", "count"))
-    rows = scan.where("shingle is null").select("rid", "doc_id", "n", "digest", "key", "bins")
+    rows = scan.where("shingle is null").select("rid", "doc_id", "n", "digest", "key", "parity")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rid")).alias("rep")
-    sets = rows.where("n > 0").groupBy("digest").agg(first, F.first("n").alias("n"), F.first("key").alias("key"), F.first("bins").alias("bins"))
+    sets = rows.where("n > 0").groupBy("digest").agg(first, F.first("n").alias("n"), F.first("key").alias("key"), F.first("parity").alias("parity"))
     sets = materialize(sets.withColumn("id", F.monotonically_increasing_id()), "jaccard-sets")
 
     short = materialize(base.select("text").mapInArrow(_short_lists(levels, width, percent), "shingle long, key long").distinct(), "jaccard-short")
@@ -398,7 +401,7 @@ def jaccard_links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, l
         return links
 
     hot = lists.where(F.col("d") > list_limit)
-    found, labels = ([], None) if hot.isEmpty() else _family_links(hot.join(sets.select("id", "bins"), "id"), verified, percent, list_limit)
+    found, labels = ([], None) if hot.isEmpty() else _family_links(hot.join(sets.select("id", "parity"), "id"), verified, percent, list_limit)
     cold = lists.where(F.col("d") <= list_limit)
     members = F.sort_array(F.collect_list(F.struct("n", "id")))  # at most ``list_limit``
     queries = cold.groupBy("shingle").agg(members.alias("members")).select("members", F.explode("members").alias("q")).select("q.n", "q.id", "members")
