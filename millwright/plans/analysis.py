@@ -351,19 +351,19 @@ class Analysis:
         return docs.withColumn("key", F.sha2(F.concat_ws("\0", "doc", "kind", "name", "scope", "text"), 256)).dropDuplicates(["key"])
 
     def search(self, query: str, kinds: list[str] | None = None, scope: str | None = None) -> DataFrame:
-        """Hits with a snippet around the first word of the query, best first; from the workspace's stored index if it has one."""
-        docs, postings = self._search_store()
-        hits = search.search(docs, "key", "name", "text", query, kinds, scope, postings).drop("length")
-        return hits.withColumn("snippet", snippet(F.col("text"), query.split()[0] if query.split() else "", 80)).orderBy(F.desc("score"), "kind", "name", "key")
+        """Hits, best first, each with the window of 32 terms that shows most of the query; from the workspace's stored index if it has one."""
+        store = self._search_store()
+        hits = search.search(store[0], "key", "name", "text", query, kinds, scope, *store[1:], places=True).drop("length")
+        return search.snippets(hits, "text", query).orderBy(F.desc("score"), "kind", "name", "key")
 
-    def _search_store(self) -> tuple[DataFrame, DataFrame | None]:
+    def _search_store(self) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
         stored = getattr(self.data, "search_store", None)
-        return (self.search_documents(), None) if stored is None else stored()
+        return (self.search_documents(), None, None) if stored is None else stored()
 
     def exists(self, query: str, kinds: list[str] | None = None, scope: str | None = None, most: int = 100) -> int:
         """How many hits a query has, counted up to ``most``; nothing is sorted."""
-        docs, postings = self._search_store()
-        return search.search(docs, "key", "name", "text", query, kinds, scope, postings).limit(most).count()
+        store = self._search_store()
+        return search.search(store[0], "key", "name", "text", query, kinds, scope, *store[1:]).limit(most).count()
 
     def search_logic(self, pattern: str) -> DataFrame:
         return self.data.routine_units.where(match.contains(F.coalesce("text", F.lit("")), pattern)).select("id", "routine_id", "kind", snippet(F.col("text"), pattern).alias("snippet"))

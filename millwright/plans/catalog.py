@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millwright.functions import text as fx
 from millwright.operators import aggregate, expressions, graph, joins, match, paging, rules, search, series, sets, windows
+from millwright.sources.shared import shared_path
 from millwright.streaming import sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -326,6 +327,14 @@ def bm25_search(t):
     return search.ranked(t.documents, "doc_id", "text", "License the")
 
 
+@query(_BM25)
+def stored_search(t):
+    path = shared_path(t.spark, "search")
+    search.write_index(t.documents.select("doc_id", "text"), "doc_id", "text", path)
+    documents, postings, statistics = (t.spark.read.parquet(f"{path}/{part}") for part in ("documents", "postings", "statistics"))
+    return search.ranked_by_index(documents, postings, "doc_id", "License the", statistics)
+
+
 @query("""
     SELECT term, doc_id, count(*) AS tf, min(pos) AS first_pos FROM (
         SELECT doc_id, unnest(w) AS term, CAST(unnest(range(len(w))) AS INTEGER) AS pos

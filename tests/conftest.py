@@ -33,5 +33,4 @@ def plant(spark, tmp_path_factory):
 
     folder = tmp_path_factory.mktemp("plant")
     (folder / "plant.L5X").write_text(PROJECT)
-    (folder / "w" / "stale").mkdir(parents=True)
     return ingest(spark, str(folder / "*.L5X"), str(folder / "w"))

@@ -113,7 +113,6 @@ def test_workspace(spark, a, tmp_path):
     import os
 
     w = a.data
-    assert not os.path.exists(f"{w.path}/stale")
     assert w.manifest["controllers"] == ["Plant"] and w.manifest["counts"]["tags"] == w.tags.count() and len(w.manifest["counts"]) == 40
     assert w.dataset("symbols", "udt").count() == 2
     with pytest.raises(WorkspaceError):

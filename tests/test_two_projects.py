@@ -55,7 +55,7 @@ def test_stored_search(two):
     """The stored index and a scan of the documents rank alike; kinds and phrases."""
     from millwright.operators import search
 
-    docs, postings = two.data.search_store()
+    docs, postings, _ = two.data.search_store()
     for query in ("too fast", "Motor", "start button", "Program:Main.Routine:R1", "nothing-of-it"):
         want = {r["key"]: r["score"] for r in search.ranked(two.search_documents(), "key", "text", query).collect()}
         got = {r["key"]: r["score"] for r in search.ranked_by_index(docs, postings, "key", query).collect()}
