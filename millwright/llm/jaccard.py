@@ -331,9 +331,22 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
 
 
-def _family_links(hot: DataFrame, verified, percent: int, limit: int):
-    """Links between the sets of long lists (shingle, id, n, parity), and the components so far."""
-    found, labels = [], None
+def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``labels`` (node, label) after more links: components of components, so that earlier links are not gone through again."""
+    if labels is None:
+        return components(links)
+    nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    every = nodes.join(labels, "node", "full").withColumn("label", F.coalesce("label", "node"))
+    every = materialize(every, "jaccard-labels")
+    a, b = (every.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
+    edges = materialize(links.join(a, "a").join(b, "b").where("label_a != label_b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct(), "jaccard-edges")
+    tops = components(edges).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    return materialize(every.join(tops, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "jaccard-labels")
+
+
+def _family_labels(hot: DataFrame, verified, percent: int, limit: int) -> DataFrame | None:
+    """node, label: the components of the sets of long lists (shingle, id, n, parity); None if they have no links."""
+    labels = None
     for seed in range(ROUNDS):
         firsts = _labelled(hot, labels).groupBy("shingle", "label").agg(F.min(F.struct("n", "id", "parity")).alias("m"))
         open_ = firsts.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1")
@@ -343,8 +356,7 @@ def _family_links(hot: DataFrame, verified, percent: int, limit: int):
         new = verified(pairs)
         if new.isEmpty():
             break
-        found.append(new)
-        labels = components(_union(found))
+        labels = _joined(labels, new)
     rest = materialize(_labelled(hot, labels), "jaccard-rest")
     sizes = rest.groupBy("shingle", "label").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max_by("label", F.struct("k", "label")).alias("most"), F.sum("k").alias("k"), F.count("*").alias("labels"))
     sizes = materialize(sizes.where("labels > 1"), "jaccard-open")
@@ -356,20 +368,12 @@ def _family_links(hot: DataFrame, verified, percent: int, limit: int):
         pairs = dealt.join(blocks, "shingle").mapInArrow(_against(percent), "a long, b long").distinct()
         new = verified(materialize(pairs, "jaccard-outside"))
         if not new.isEmpty():
-            found.append(new)
-            labels = components(_union(found))
-    return found, labels
-
-
-def _union(tables: list[DataFrame]) -> DataFrame:
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return out
+            labels = _joined(labels, new)
+    return labels
 
 
 def jaccard_links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, list_limit: int = LIST_LIMIT) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """rows (rid, doc_id, n, digest), sets (id, rep, n, digest; one for each distinct set) and links a, b between sets (ids) that connect all within the bound."""
+    """rows (rid, doc_id, n, digest), sets (id, rep, n, digest; one for each distinct set) and edges a, b between sets (ids) that connect all within the bound: links, and for large families each set with its component."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = as_table(docs)
@@ -401,7 +405,7 @@ def jaccard_links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, l
         return links
 
     hot = lists.where(F.col("d") > list_limit)
-    found, labels = ([], None) if hot.isEmpty() else _family_links(hot.join(sets.select("id", "parity"), "id"), verified, percent, list_limit)
+    labels = None if hot.isEmpty() else _family_labels(hot.join(sets.select("id", "parity"), "id"), verified, percent, list_limit)
     cold = lists.where(F.col("d") <= list_limit)
     members = F.sort_array(F.collect_list(F.struct("n", "id")))  # at most ``list_limit``
     queries = cold.groupBy("shingle").agg(members.alias("members")).select("members", F.explode("members").alias("q")).select("q.n", "q.id", "members")
@@ -409,8 +413,10 @@ def jaccard_links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, l
     if labels is not None:  # those connected already need no probe
         a, b = (labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
         pairs = pairs.join(a, "a", "left").join(b, "b", "left").where("label_a is null or label_b is null or label_a != label_b").select("a", "b")
-    found.append(verified(materialize(pairs, "jaccard-pairs")))
-    return rows, sets, _union(found)
+    links = verified(materialize(pairs, "jaccard-pairs"))
+    if labels is not None:
+        links = links.unionByName(labels.where("node != label").select(F.col("node").alias("a"), F.col("label").alias("b")))
+    return rows, sets, links
 
 
 def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, list_limit: int = LIST_LIMIT) -> DataFrame:
