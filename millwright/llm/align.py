@@ -36,7 +36,7 @@ from millwright.llm.common import RID, as_table, column, give_back, materialize,
 from millwright.llm.tokenbin import tokenizer_path
 
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-SLICE_BYTES, CACHE_PIECES = 1 << 19, 500_000
+SLICE_BYTES, CACHE_PIECES, JOINED = 1 << 19, 800_000, 8192
 HELD_PAIRS = 1 << 20
 HEAD = 2_000_000
 
@@ -117,23 +117,40 @@ class Encoder:
             self._clear()
             missing = pieces
         if missing:
-            known, same, new = len(self.places), np.ones(len(missing), bool), []
-            raw = [b" " + p.encode() for p in missing]
-            for side in (self.a, self.b):
-                found = [ids for lo in range(0, len(missing), 4096) for ids in side(missing[lo : lo + 4096])]
-                count = np.fromiter(map(len, found), np.int32, len(found))
-                ids = np.fromiter(chain.from_iterable(found), np.int32, int(count.sum()))
-                ends = np.cumsum(count)
-                if b"".join(map(side.bytes.__getitem__, ids.tolist())) != b"".join(raw):
-                    for i in range(len(missing)):
-                        same[i] &= b"".join([side.bytes[x] for x in ids[ends[i] - count[i] : ends[i]]]) == raw[i]
-                new.append((ids, count))
-            self.flat = [np.concatenate([x, ids]) for x, (ids, _) in zip(self.flat, new)]
-            self.count = [np.concatenate([x, count]) for x, (_, count) in zip(self.count, new)]
-            self.same = np.concatenate([self.same, same])
-            self.places.update(zip(missing, range(known, known + len(missing))))
+            ends = [p for p in missing if self.cuts and p and not p[0].isspace() and not p[-1].isspace()]
+            alone = [p for p in missing if not (self.cuts and p and not p[0].isspace() and not p[-1].isspace())]
+            for lo in range(0, len(ends), JOINED):
+                self._learn(ends[lo : lo + JOINED], True)
+            if alone:
+                self._learn(alone, False)
         return np.fromiter(map(self.places.__getitem__, pieces), np.int64, len(pieces))
 
+    def _learn(self, pieces: list[str], joined: bool) -> None:
+        """Put pieces into the cache. Those that may be ``joined`` by single spaces are encoded as one text, which is cut again by bytes."""
+        raw = [b" " + p.encode() for p in pieces]
+        stops = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+        same, new = np.ones(len(pieces), bool), []
+        for side, sizes in zip((self.a, self.b), self.sizes):
+            if joined:
+                ids = np.array(side([" ".join(pieces)])[0], np.int32)
+                at = np.cumsum(sizes[ids])
+                last = np.searchsorted(at, stops)
+                if len(at) and at[-1] == stops[-1] and (at[last] == stops).all() and b"".join(map(side.bytes.__getitem__, ids.tolist())) == b"".join(raw):
+                    new.append((ids, np.diff(last, prepend=-1).astype(np.int32)))
+                    continue
+            found = side(pieces)
+            count = np.fromiter(map(len, found), np.int32, len(found))
+            ids = np.fromiter(chain.from_iterable(found), np.int32, int(count.sum()))
+            ends = np.cumsum(count)
+            for i in range(len(pieces)):
+                same[i] &= b"".join([side.bytes[x] for x in ids[ends[i] - count[i] : ends[i]]]) == raw[i]
+            new.append((ids, count))
+        known = len(self.places)
+        self.flat = [np.concatenate([x, ids]) for x, (ids, _) in zip(self.flat, new)]
+        self.count = [np.concatenate([x, count]) for x, (_, count) in zip(self.count, new)]
+        self.same = np.concatenate([self.same, same])
+        self.places.update(zip(pieces, range(known, known + len(pieces))))
+
     def _pieces(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """The pieces of all texts in order, and the text of each."""
         n = len(texts)
