@@ -260,7 +260,8 @@ def trace_signal(t, symbol, direction="upstream", max_depth=4, limit=100):
 @tool
 def triage_issue(t, issue_text, limit=5):
     found = t.a.triage(issue_text)
-    return {"tokens": found["tokens"], "names": listing(found["names"], limit), "hits": listing(found["hits"], limit)}
+    context = found["context"].orderBy(F.desc("references"), "doc", "name")
+    return {"tokens": found["tokens"], "names": listing(found["names"], limit), "hits": listing(found["hits"], limit), "candidates": listing(context, paging.bounded(limit, 1, 20, 5), detail="full")}
 
 
 @tool

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millwright.functions.text import IDENTIFIER, NOT_SYMBOLS, base_symbol, clip, snippet
@@ -384,6 +385,26 @@ class Analysis:
         found = self.data.coverage().where("missing_count > 0")
         return found if area is None else found.where(F.col("surface").isin(*AREAS.get(area.lower(), ())))
 
+    def name_context(self, names: DataFrame, most: int = 3) -> DataFrame:
+        """Of each of ``names`` (doc, name): references to it and its members, those to itself, its writers and readers, the first writer, the first ``most`` references with their evidence, and whether a writer's logic is known (trace_status).
+
+        One pass over the references for all names: counts combine before the shuffle, and references are cut in each task.
+        """
+        own = names.select("doc", F.col("name").alias("base_symbol")).distinct()
+        x = self.data.xrefs.join(own, ["doc", "base_symbol"]).withColumn("name", F.col("base_symbol"))
+        writes = F.col("access").isin(*WRITE)
+        texts = self.unit_texts().where("text is not null").select("doc", "source").distinct().withColumn("known", F.lit(True))
+        x = x.join(texts, ["doc", "source"], "left").withColumn("traced", writes & (F.coalesce("known", F.lit(False)) | F.col("language").isin("FBD", "ST")))
+        counts = x.groupBy("doc", "name").agg(
+            F.count("*").alias("references"), F.count_if(F.col("symbol") == F.col("name")).alias("exact_references"), F.count_if(writes).alias("writers"), F.count_if(F.col("access").isin(*READ)).alias("readers"),
+            F.min(F.when(writes, F.struct("routine", "source", "instruction"))).alias("first_writer"), F.when(F.max("traced"), "ok").otherwise("unresolved").alias("trace_status"),
+        )
+        rank = F.row_number().over(W.partitionBy("doc", "name").orderBy("routine", "source", "symbol", "access"))
+        first = x.withColumn("r", rank).where(F.col("r") <= most).join(self.evidence(), ["doc", "source"], "left")
+        shown = F.struct("r", "symbol", "access", "routine", "source", "snippet")
+        samples = first.groupBy("doc", "name").agg(F.sort_array(F.collect_list(shown)).alias("evidence"))  # at most ``most``
+        return counts.join(samples, ["doc", "name"], "left")
+
     def triage(self, text: str) -> dict:
         """Names in an issue text that the project knows, each with its reference count; and the first search hits."""
         tokens = [t for t in re.findall(r"[A-Za-z0-9_#.-]+", text) if len(t) > 2 and t.lower() not in STOP_WORDS][:12]
@@ -395,7 +416,7 @@ class Analysis:
             hits = self.search(q)
             if not hits.isEmpty():
                 break
-        return {"tokens": tokens, "names": names, "hits": hits}
+        return {"tokens": tokens, "names": names, "hits": hits, "context": self.name_context(known)}
 
     @staticmethod
     def scope_limits(text: str) -> list[str]:

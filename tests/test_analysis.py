@@ -94,7 +94,12 @@ def test_slices_and_search(a):
     assert rows(a.suggestions("motor"), "name") == {("Motor",), ("MotorA",), ("MotorB",)}
     fragment = a.data.source_fragments.where("element = 'Trends'").first()
     assert a.source_fragment(fragment["id"], 3).first()["raw_xml"] == "<Tr"
-    assert {r["name"] for r in a.triage("Why does Motor stop when Speed is high on the screen")["names"].collect()} == {"Motor", "Speed"}
+    found = a.triage("Why does Motor stop when Speed is high on the screen")
+    assert {r["name"] for r in found["names"].collect()} == {"Motor", "Speed"}
+    context = {r["name"]: r for r in found["context"].collect()}["Motor"]
+    refs = a.data.xrefs.where("base_symbol = 'Motor'").collect()
+    assert context["references"] == len(refs) and context["exact_references"] == sum(r["symbol"] == "Motor" for r in refs) and context["trace_status"] == "ok"
+    assert context["writers"] >= 2 and context["first_writer"]["routine"] and 0 < len(context["evidence"]) <= 3 and context["evidence"][0]["snippet"]
     assert a.scope_limits("the HMI screen is slow") == ["read_only_offline_export_only", "needs_hmi_export_or_runtime"]
     assert a.tag_bundle("Start")["tag_comments"].count() == 2
     assert a.module_bundle("Adapter:4")["io_points"].count() == 2
