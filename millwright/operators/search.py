@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millwright.functions.batches import slices, small_batches
 from millwright.sources.shared import materialize
 
 TERM = r"[a-z0-9]+"
@@ -31,8 +32,9 @@ def build_index(docs: DataFrame, key: str, text: str, by: str | None = None) ->
     """term, key, tf, positions (and ``by``, a column of ``docs``): the postings, one row for each term of a document.
 
     A posting lies within one document, so it is made where the document is read, without a shuffle; store it with
-    ``write_index``, which deals it by term.
+    ``write_index``, which deals it by term. Texts come to Python and are cut into terms a few megabytes at a time.
     """
+    small_batches(docs.sparkSession)
     more = [F.col(by).alias("by")] if by else []
     bare = docs.select(F.col(key).alias("key"), F.regexp_replace(F.lower(text), r"[^a-z0-9]+", " ").alias("text"), *more)
     kind = lambda c: bare.schema[c].dataType.simpleString()
@@ -41,7 +43,7 @@ def build_index(docs: DataFrame, key: str, text: str, by: str | None = None) ->
 
 
 def _postings(batches):
-    for batch in batches:
+    for batch in slices(batches, "text"):
         words = pc.ascii_split_whitespace(pc.fill_null(batch["text"], "").cast(pa.string()))
         doc, word = pc.list_parent_indices(words), words.flatten()
         full = pc.greater(pc.binary_length(word), 0)

@@ -4,7 +4,9 @@ import itertools
 import os
 import random
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
 from fixtures import PROJECT
@@ -132,3 +134,40 @@ def test_snippets_of_stored_postings(spark, tmp_path):
         best = max(((len({"alpha", "gamma"} & {*w}), sum(x in ("alpha", "gamma") for x in w)) for w in (words[i : i + 32] for i in range(len(words) - 31))))
         shown = [*itertools.chain(*(re.findall(r"\w+", x) for x in re.findall(r"\[(.*?)\]", r["snippet"])))]
         assert (len({*shown}), len(shown)) == best
+
+
+def long_texts(rows: int) -> list[str | None]:
+    """Texts of 4 kB, some short, empty or null, whose terms stand at known places."""
+    return [None if i % 500 == 7 else "" if i % 500 == 8 else f"only{i} " * 2 if i % 500 == 9 else f"first{i} " + "alpha beta " * 350 + f"last{i}" for i in range(rows)]
+
+
+def test_postings_of_a_large_batch():
+    """Work and output stay small however many rows of text come in one batch, and no row is lost at a cut."""
+    texts = long_texts(4000)
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string()), "key": pa.array(range(len(texts)), pa.int64())})
+    got, largest = {}, 0
+    tracemalloc.start()
+    for out in search._postings([batch, batch.slice(0, 0)]):
+        largest = max(largest, out.nbytes)
+        keys, words, starts = out["key"].to_numpy(), out["term"].to_pylist(), out["positions"].flatten().take(out["positions"].offsets.slice(0, out.num_rows)).to_pylist()
+        got |= {(k, w): (n, p) for k, w, n, p in zip(keys.tolist(), words, out["tf"].to_pylist(), starts)}
+    peak = tracemalloc.get_traced_memory()[1] - tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    want = {}
+    for i, t in enumerate(texts):
+        for at, w in enumerate((t or "").split()):
+            n, first = want.get((i, w), (0, at))
+            want[i, w] = n + 1, first
+    assert got == want
+    assert largest < 8 << 20 and peak < 48 << 20, (largest, peak)
+
+
+def test_texts_reach_the_index_in_small_batches(spark, monkeypatch):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"term": pa.array([""]), "key": pa.array([0], pa.int64()), "tf": pa.array([b.nbytes], pa.int64()), "positions": pa.array([[]], pa.list_(pa.int32()))})
+
+    monkeypatch.setattr(search, "_postings", sizes)
+    docs = spark.newSession().range(0, 4000, 1, 1).selectExpr("id", "repeat('alpha beta ', 370) AS text")
+    found = [r["tf"] for r in search.build_index(docs, "id", "text").collect()]
+    assert sum(found) > 16_000_000 and max(found) < 8 << 20
