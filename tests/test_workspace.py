@@ -171,3 +171,30 @@ def test_texts_reach_the_index_in_small_batches(spark, monkeypatch):
     docs = spark.newSession().range(0, 4000, 1, 1).selectExpr("id", "repeat('alpha beta ', 370) AS text")
     found = [r["tf"] for r in search.build_index(docs, "id", "text").collect()]
     assert sum(found) > 16_000_000 and max(found) < 8 << 20
+
+
+def test_stored_texts_reach_the_postings_in_small_batches(spark, tmp_path, monkeypatch):
+    """``write_index`` reads the documents that it stored, many to a file; how it is dealt out does not matter."""
+    most = tmp_path / "most"
+    most.mkdir()
+    make = search._postings
+
+    def seen(batches):
+        def noted():
+            for k, b in enumerate(batches):
+                (most / f"{os.getpid()}-{k}-{b.nbytes}").touch()
+                yield b
+
+        yield from make(noted())
+
+    monkeypatch.setattr(search, "_postings", seen)
+    session = spark.newSession()
+    texts = [t or "" for t in long_texts(3000)]
+    docs = session.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    search.write_index(docs, "id", "text", f"{tmp_path}/index", partitions=3)
+    assert max(int(p.name.rsplit("-", 1)[1]) for p in most.iterdir()) < 8 << 20
+    documents, postings, statistics = (session.read.parquet(f"{tmp_path}/index/{p}") for p in ("documents", "postings", "statistics"))
+    assert postings.count() == sum(len({*t.split()}) for t in texts)
+    for query in ("alpha", "first1234 last1234"):
+        want = {r["id"]: r["score"] for r in search.ranked(docs, "id", "text", query).collect()}
+        assert want and {r["id"]: r["score"] for r in search.ranked_by_index(documents, postings, "id", query, statistics).collect()} == want
