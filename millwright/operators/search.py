@@ -64,17 +64,18 @@ def _postings(batches):
 
 
 def write_index(docs: DataFrame, key: str, text: str, path: str, partitions: int | None = None, by: str | None = None) -> None:
-    """Store ``docs`` with their lengths (``path/documents``), the postings in ranges of terms, sorted (``path/postings``), and how many documents and terms there are (``path/statistics``).
+    """Store ``docs`` with their lengths (``path/documents``), the postings in ranges of terms, sorted (``path/postings``), and how many documents, texts and terms there are (``path/statistics``).
 
+    A null text has no length, as in ``ranked``: it counts as a document, not in the mean length.
     ``by``: a column that postings keep and statistics are kept by, such as the project.
     """
     low = F.lower(text)
-    docs.withColumn("length", F.coalesce(F.regexp_count(low, F.lit(TERM)), F.lit(0))).write.mode("overwrite").parquet(f"{path}/documents")
+    docs.withColumn("length", F.regexp_count(low, F.lit(TERM))).write.mode("overwrite").parquet(f"{path}/documents")
     stored = docs.sparkSession.read.parquet(f"{path}/documents")
     rows = build_index(stored, key, text, by)
     dealt = rows.repartitionByRange(partitions, "term", key) if partitions else rows.repartitionByRange("term", key)
     dealt.sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{path}/postings")
-    stored.groupBy(*([by] if by else [])).agg(F.count("*").alias("documents"), F.sum(F.col("length").cast("long")).alias("terms")).write.mode("overwrite").parquet(f"{path}/statistics")
+    stored.groupBy(*([by] if by else [])).agg(F.count("*").alias("documents"), F.count("length").alias("texts"), F.sum(F.col("length").cast("long")).alias("terms")).write.mode("overwrite").parquet(f"{path}/statistics")
 
 
 def phrase_hits(postings: DataFrame, key: str, phrase: list[str], i: int) -> DataFrame:
@@ -99,8 +100,9 @@ def ranked_by_index(documents: DataFrame, postings: DataFrame, key: str, query:
     if statistics is None:
         n, mean = documents.agg(F.count("*"), F.avg("length")).first()
     else:
-        n, terms_ = statistics.agg(F.sum("documents"), F.sum("terms")).first()
-        mean = (terms_ or 0) / n if n else 0.0
+        texts = F.coalesce("texts", "documents") if "texts" in statistics.columns else F.col("documents")  # older stores lack it
+        n, texts, terms_ = statistics.agg(F.sum("documents"), F.sum(texts), F.sum("terms")).first()
+        mean = (terms_ or 0) / texts if texts else 0.0
     hits = [phrase_hits(postings, key, p, i) for i, p in enumerate(phrases)]
     df = {r["i"]: r["df"] for r in reduce(DataFrame.unionByName, [h.select(F.lit(i).alias("i")) for i, h in enumerate(hits)]).groupBy("i").agg(F.count("*").alias("df")).collect()}
     found = reduce(lambda a, b: a.join(b, key), hits)

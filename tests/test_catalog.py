@@ -67,6 +67,17 @@ def test_point_lookup_falls_back(spark):
     assert (first("a", "b"), first("x", "b"), first("x", "y")) == ([2], [1], [])
 
 
+@pytest.mark.parametrize("name", ["bm25_search", "stored_search"])
+def test_search_of_null_texts(spark, tmp_path, name):
+    """A null text counts as a document, an empty one also in the mean length."""
+    texts = [None, "", "the license", None, "The License of the work, the whole of it", "the work", None, "no such word"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.execute(catalog.oracle_sql()[name]).fetchall())
+    assert len(want) == 2 and sorted(map(tuple, catalog.queries()[name](spark, str(tmp_path)).collect())) == want
+
+
 def test_entry_survives_without_the_training_data_part():
     import subprocess
     import sys
